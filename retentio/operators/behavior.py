@@ -153,15 +153,17 @@ def support_friction(tickets: DataFrame, as_of, user: str = "user_id", opened: s
 def downgrade_momentum(billing: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
                        amount: str = "amount") -> DataFrame:
     """Spend in the month of ``as_of`` − mean spend of the 3 months before it
-    (months without spend count as 0), DECIMAL(18,2). One conditional
-    aggregation; no month spine or window is needed for a single date."""
+    (months without spend count as 0), DECIMAL(18,2), for every user with
+    billing up to that month. One conditional aggregation; no month spine or
+    window is needed for a single date."""
     month0 = F.trunc(F.to_date(_ts(as_of)), "month")
     m = F.trunc(F.to_date(ts), "month")
     amt = F.col(amount).cast("decimal(18,2)")
-    b = billing.where((m <= month0) & (m >= F.add_months(month0, -3)))
+    b = billing.where(m <= month0)
     g = b.groupBy(user).agg(
         F.coalesce(F.sum(F.when(m == month0, amt)), F.lit(0).cast("decimal(18,2)")).alias("current_spend"),
-        F.coalesce(F.sum(F.when(m < month0, amt)), F.lit(0).cast("decimal(18,2)")).alias("_prior"))
+        F.coalesce(F.sum(F.when((m < month0) & (m >= F.add_months(month0, -3)), amt)),
+                   F.lit(0).cast("decimal(18,2)")).alias("_prior"))
     return g.select(user, F.col("current_spend").cast("decimal(18,2)").alias("current_spend"),
                     (F.col("current_spend") - F.col("_prior") / 3).cast("decimal(18,2)")
                     .alias("downgrade_momentum"))

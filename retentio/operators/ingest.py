@@ -38,9 +38,11 @@ def project_user(raw: DataFrame) -> DataFrame:
                         for c in PROFILE_FIELDS])
 
 
-def project_repo(raw: DataFrame) -> DataFrame:
-    """Twelve repository fields, ``name``/``id`` renamed."""
-    return raw.select(*[(F.col(s) if s in raw.columns else F.lit(None)).alias(o)
+def project_repo(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Twelve repository fields, ``name``/``id`` renamed (``keep`` columns,
+    such as the owner key of a flat table, pass through first)."""
+    return raw.select(*[F.col(k) for k in keep],
+                      *[(F.col(s) if s in raw.columns else F.lit(None)).alias(o)
                         for s, o in REPO_FIELDS])
 
 
@@ -67,15 +69,21 @@ def assemble_users(users: DataFrame, repos: DataFrame, as_of=None, key: str = "l
 
     Users without repositories get one record with an empty array; users
     absent from ``users`` get none. A user with more than ``max_repos``
-    repositories is split by repository-id range (``repo_id div max_repos``)
-    into parts of at most ``max_repos`` entries; the metrics are the user's
+    repositories is split into parts 1, 2, … of ``max_repos`` consecutive
+    repositories in id order (exact rank from bucketed running counts, so the
+    heavy user's rows are ordered in many tasks); the metrics are the user's
     totals on every part.
     """
+    from retentio.operators.ordering import ordered_rank
     metrics = activity_metrics(repos, as_of, key)
     repo_cols = [c for c in repos.columns if c != key]
-    tagged = (repos.join(metrics.select(key, "total_repositories"), key)
-              .withColumn("part", F.when(F.col("total_repositories") <= max_repos, F.lit(0))
-                          .otherwise(F.floor(F.col(repo_key) / max_repos) + 1).cast("long")))
+    sized = repos.join(metrics.select(key, "total_repositories"), key)
+    light = (sized.where(F.col("total_repositories") <= max_repos)
+             .withColumn("part", F.lit(0).cast("long")))
+    heavy = ordered_rank(sized.where(F.col("total_repositories") > max_repos), [key], repo_key)
+    heavy = (heavy.withColumn("part", (F.floor(F.col("_rank") / max_repos) + 1).cast("long"))
+             .drop("_rank"))
+    tagged = light.unionByName(heavy)
     nested = (tagged.groupBy(key, "part")
               .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [repo_key] +
                                                           [c for c in repo_cols if c != repo_key]])))
@@ -107,11 +115,12 @@ def reject_bad_numbers(raw: DataFrame, column: str = "repositories") -> DataFram
     if column in raw.columns and isinstance(sch[column].dataType, T.ArrayType) \
             and isinstance(sch[column].dataType.elementType, T.StructType):
         st = sch[column].dataType.elementType
+        def bad_repo(f, ft):
+            return lambda r: r.isNotNull() & bad_number(r[f], ft, "double")
+
         for f in ("stargazers_count", "forks_count"):
             if f in st.fieldNames():
-                ft = st[f].dataType
-                bad = bad | F.coalesce(F.exists(F.col(column), lambda r, f=f, ft=ft:
-                                                r.isNotNull() & bad_number(r[f], ft, "double")),
+                bad = bad | F.coalesce(F.exists(F.col(column), bad_repo(f, st[f].dataType)),
                                        F.lit(False))
     return raw.where(~bad)
 

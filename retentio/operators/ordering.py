@@ -55,3 +55,15 @@ def hashed_rank(df: DataFrame, groups: list[str], key: Column, seed: int = 42,
           .withColumn("_hk", key.cast("string"))
     out = running_sums(d, groups, "_hb", [F.col("_h"), F.col("_hk")], {"_one": F.lit(1)})
     return out.withColumnRenamed("_one_before", "_rank").drop("_h", "_hb", "_hk")
+
+
+def ordered_rank(df: DataFrame, groups: list[str], order_col: str, buckets: int = 4096) -> DataFrame:
+    """0-based rank inside each group by ``order_col`` (ties by row order of
+    the column value only; give a unique column for a strict order)."""
+    mm = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    if mm["lo"] is None:
+        return df.withColumn("_rank", F.lit(None).cast("long"))
+    v = F.col(order_col).cast("double")
+    d = df.withColumn("_vb", value_bucket(v, F.lit(float(mm["lo"])), F.lit(float(mm["hi"])), buckets))
+    out = running_sums(d, groups, "_vb", [F.col(order_col)], {"_one": F.lit(1)})
+    return out.withColumnRenamed("_one_before", "_rank").drop("_vb")

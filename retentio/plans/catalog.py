@@ -423,3 +423,11 @@ def q_retention_action(spark, sf):
 
 
 ORACLE["filter_selection"] = _filter_selection_sql().replace("__PAIRS__", _raw_pairs("training_v", TRAIN_COLS))
+
+
+def _register_more():
+    # imported for their @query side effects
+    from retentio.plans import ingest_queries  # noqa: F401
+
+
+_register_more()

@@ -36,6 +36,8 @@ RAW_USER = T.StructType([
     T.StructField("inactive_repositories", L),
     T.StructField("repositories", T.ArrayType(S)),
     T.StructField("scraped_at", S),
+    # record part (users heavier than the per-record bound span several parts)
+    T.StructField("part", L),
 ])
 
 FEATURE_COLUMNS = [

@@ -56,7 +56,7 @@ def landed_users(spark: SparkSession, sf_dir: str, as_of=tables.ORDERS_AS_OF,
     from retentio.operators.ingest import MAX_REPOS_PER_RECORD, assemble_users, project_repo, project_user
     users = project_user(api_users(spark, sf_dir))
     ar = api_repos(spark, sf_dir)
-    repos = project_repo(ar).withColumn("login", ar["login"])
+    repos = project_repo(ar, keep=("login",))
     rec = assemble_users(users, repos, as_of, max_repos=max_repos or MAX_REPOS_PER_RECORD)
     return rec.withColumn("scraped_at", F.lit(f"{as_of.isoformat()}T00:00:00+00:00"))
 
