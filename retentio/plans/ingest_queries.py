@@ -359,3 +359,21 @@ def q_incremental_ingest(spark, sf):
     ckpt = scratch_path(spark, "ingest_ckpt")
     cur = ingest_available(spark, landing + "/*", log, ckpt)
     return cur.select("login", "followers", "scraped_at")
+
+
+@query("collection_summary", o.with_base("""
+SELECT count(*) AS users, CAST(sum(total_repositories) AS BIGINT) AS total_repositories,
+       round(avg(total_repositories), 6) AS avg_repositories, round(avg(followers), 6) AS avg_followers,
+       CAST(sum(active_repositories) AS BIGINT) AS active_repositories,
+       CAST(sum(inactive_repositories) AS BIGINT) AS inactive_repositories
+FROM records WHERE part <= 1""", API))
+def q_collection_summary(spark, sf):
+    from retentio.operators.stats import collection_summary
+    # the first part of every record carries the user's metrics once
+    return collection_summary(landed_json(spark, sf).where(F.col("part") <= 1))
+
+
+@query("preview", o.with_base("SELECT * FROM labeled_v ORDER BY login LIMIT 8"))
+def q_preview(spark, sf):
+    # a head(8) preview: the limit is the feature
+    return labeled(spark, sf).orderBy("login").limit(8)
