@@ -89,8 +89,8 @@ def q_activity_metrics(spark, sf):
 def q_assemble_users(spark, sf):
     r = landed(spark, sf)
     return r.select("login", "part", F.size("repositories").cast("long").alias("n_repos"),
-                    F.col("repositories")[0]["repo_id"].alias("first_repo"),
-                    F.element_at("repositories", -1)["repo_id"].alias("last_repo"),
+                    F.try_element_at("repositories", F.lit(1))["repo_id"].alias("first_repo"),
+                    F.try_element_at("repositories", F.lit(-1))["repo_id"].alias("last_repo"),
                     "total_repositories", "active_repositories")
 
 
