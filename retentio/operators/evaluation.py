@@ -85,7 +85,8 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
         lo_hi = rng.first()
         b = agg.withColumn("_lo", F.lit(lo_hi["_lo"])).withColumn("_hi", F.lit(lo_hi["_hi"]))
     b = b.withColumn("_b", value_bucket(F.col("_s"), F.col("_lo"), F.col("_hi"), buckets))
-    r = running_sums(b, by, "_b", [F.col("_s")], {"_neg": F.col("_neg")})
+    # groups are features or model names: a bounded set
+    r = running_sums(b, by, "_b", [F.col("_s")], {"_neg": F.col("_neg")}, bounded_groups=True)
     contrib = F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg"))
     res = r.groupBy(*by).agg(F.sum(contrib).alias("_u"), F.sum("_pos").alias("n_pos"),
                              F.sum("_neg").alias("n_neg"))

@@ -100,28 +100,46 @@ def nested_repo_activity(records: DataFrame, as_of=None, column: str = "reposito
 
     ``column`` must be ARRAY<STRUCT> (use ``parse_repositories`` first for
     landed JSON). NULL elements are malformed: skipped, but counted in
-    ``total``. A NULL array counts as empty.
+    ``total``. A NULL array counts as empty. Each element's terms are
+    evaluated once (``transform``) and folded in one ``aggregate`` pass.
     """
     ref = as_of_date(as_of)
     arr_t = records.schema[column].dataType
     struct = arr_t.elementType
     arr = F.coalesce(F.col(column), F.array().cast(arr_t))
 
-    def terms(r):
-        return _repo_terms(r, struct, ref, active_days, maintained_days)
-
-    return records.select(
-        "*",
-        F.size(arr).cast("long").alias("total"),
-        F.size(F.filter(arr, lambda r: r.isNotNull() & terms(r)["active"])).cast("long").alias("active"),
-        F.size(F.filter(arr, lambda r: r.isNotNull() & ~terms(r)["active"])).cast("long").alias("inactive"),
-        F.size(F.filter(arr, lambda r: r.isNotNull() & terms(r)["maintained"])).cast("long").alias("maintained"),
-        F.aggregate(arr, F.lit(0.0),
-                    lambda acc, r: acc + F.when(r.isNull(), 0.0).otherwise(terms(r)["stars"])).alias("stars"),
-        F.aggregate(arr, F.lit(0.0),
-                    lambda acc, r: acc + F.when(r.isNull(), 0.0).otherwise(terms(r)["forks"])).alias("forks"),
-        F.exists(arr, lambda r: r.isNotNull() & terms(r)["bad"]).alias("has_bad_number"),
-    )
+    def term_struct(r):
+        t = _repo_terms(r, struct, ref, active_days, maintained_days)
+        ok = r.isNotNull()
+        return F.struct(
+            F.when(ok, 1).otherwise(0).cast("long").alias("valid"),
+            F.when(ok & t["active"], 1).otherwise(0).cast("long").alias("active"),
+            F.when(ok & t["maintained"], 1).otherwise(0).cast("long").alias("maintained"),
+            F.when(ok, t["stars"]).otherwise(0.0).cast("double").alias("stars"),
+            F.when(ok, t["forks"]).otherwise(0.0).cast("double").alias("forks"),
+            F.coalesce(ok & t["bad"], F.lit(False)).alias("bad"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("valid"), F.lit(0).cast("long").alias("active"),
+                    F.lit(0).cast("long").alias("maintained"), F.lit(0.0).alias("stars"),
+                    F.lit(0.0).alias("forks"), F.lit(False).alias("bad"))
+
+    def merge(acc, t):
+        return F.struct((acc["valid"] + t["valid"]).alias("valid"),
+                        (acc["active"] + t["active"]).alias("active"),
+                        (acc["maintained"] + t["maintained"]).alias("maintained"),
+                        (acc["stars"] + t["stars"]).alias("stars"),
+                        (acc["forks"] + t["forks"]).alias("forks"),
+                        (acc["bad"] | t["bad"]).alias("bad"))
+
+    folded = F.aggregate(F.transform(arr, term_struct), zero, merge)
+    out = records.withColumn("_agg", folded).withColumn("total", F.size(arr).cast("long"))
+    return out.select(
+        *[c for c in records.columns], "total",
+        F.col("_agg.active").alias("active"),
+        (F.col("_agg.valid") - F.col("_agg.active")).alias("inactive"),
+        F.col("_agg.maintained").alias("maintained"),
+        F.col("_agg.stars").alias("stars"), F.col("_agg.forks").alias("forks"),
+        F.col("_agg.bad").alias("has_bad_number"))
 
 
 def account_features(users: DataFrame, repo_stats: DataFrame | None = None, as_of=None,

@@ -35,8 +35,7 @@ def running_sums(df: DataFrame, groups: list[str], bucket: str, order: list,
     offsets = tot.select(*groups, bucket,
                          *[F.coalesce(F.sum(k).over(w_off), F.lit(0)).alias(f"{k}_off")
                            for k in values])
-    # groups × buckets rows: bounded by construction, safe to broadcast.
-    joined = df.join(F.broadcast(offsets), [*groups, bucket])
+    joined = df.join(F.broadcast(offsets) if bounded_groups else offsets, [*groups, bucket])
     w_in = (Window.partitionBy(*groups, bucket).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, -1))
     out = joined
@@ -53,7 +52,9 @@ def hashed_rank(df: DataFrame, groups: list[str], key: Column, seed: int = 42,
     h = F.xxhash64(key, F.lit(seed))
     d = df.withColumn("_h", h).withColumn("_hb", hash_bucket(F.col("_h"), bits)) \
           .withColumn("_hk", key.cast("string"))
-    out = running_sums(d, groups, "_hb", [F.col("_h"), F.col("_hk")], {"_one": F.lit(1)})
+    # groups are class labels here: a bounded set
+    out = running_sums(d, groups, "_hb", [F.col("_h"), F.col("_hk")], {"_one": F.lit(1)},
+                       bounded_groups=True)
     return out.withColumnRenamed("_one_before", "_rank").drop("_h", "_hb", "_hk")
 
 

@@ -30,30 +30,33 @@ def _long(row_df: DataFrame, columns, fields) -> DataFrame:
     return row_df.select(F.explode(arr).alias("s")).select("s.*")
 
 
-def exact_quantiles(df: DataFrame, columns, probs=(0.25, 0.5, 0.75), buckets: int = 1024,
-                    gather_limit: int = 50_000, max_rounds: int = 40, cache: bool = True) -> dict:
+def exact_quantiles(df: DataFrame, columns, probs=(0.25, 0.5, 0.75), buckets: int = 512,
+                    gather_limit: int = 50_000, max_rounds: int = 40, cache: bool = True,
+                    extra_aggs=()):
     """Exact linear-interpolated quantiles (pandas / ``quantile_cont``).
 
-    Returns ``{(column, prob): value}``. NULL and NaN are ignored. Each round
-    is one job over ``df`` (cache it when it is expensive); the driver only
-    ever sees bucket counts or, once a range holds at most ``gather_limit``
-    values, those values.
+    Returns ``({(column, prob): value}, stats_row)``; ``stats_row`` also holds
+    ``extra_aggs`` evaluated on the NaN-free columns in the same first pass.
+    Each round is one job: rank targets that search the same value range
+    share one bucket histogram (at most ranges × buckets rows reach the
+    driver); a range holding at most ``gather_limit`` values is collected and
+    ordered on the driver.
     """
     vals = df.select(*[nan_to_null(F.col(c)).alias(c) for c in columns])
     if cache:
         vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds)
+        return _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, extra_aggs)
     finally:
         if cache:
             vals.unpersist()
 
 
-def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds):
+def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, extra_aggs):
     stats = vals.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
                      *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
-                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
-    # target rank -> search state
+                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
+                     *extra_aggs).first()
     targets = {}
     for i, c in enumerate(columns):
         n = stats[f"n{i}"]
@@ -65,53 +68,55 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds):
                 targets[(i, r)] = {"lo": stats[f"lo{i}"], "hi": stats[f"hi{i}"], "below": 0,
                                    "value": None}
     for _ in range(max_rounds):
-        open_t = [(k, s) for k, s in targets.items() if s["value"] is None]
-        if not open_t:
-            break
-        for k, s in open_t:
-            if s["lo"] == s["hi"]:
+        for s in targets.values():
+            if s["value"] is None and s["lo"] == s["hi"]:
                 s["value"] = s["lo"]
-        open_t = [(k, s) for k, s in open_t if s["value"] is None]
+        open_t = [(k, s) for k, s in targets.items() if s["value"] is None]
         if not open_t:
             break
+        # targets that search the same (column, range) share one histogram
+        ranges = sorted({(i, s["lo"], s["hi"], s["below"]) for (i, _), s in open_t})
+        rid = {rg: g for g, rg in enumerate(ranges)}
         parts = []
-        for tid, ((i, r), s) in enumerate(open_t):
+        for g, (i, lo, hi, _) in enumerate(ranges):
             v = F.col(columns[i])
-            lo, hi = float(s["lo"]), float(s["hi"])
-            b = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1))
-            parts.append(F.when((v >= lo) & (v <= hi), F.struct(F.lit(tid).alias("t"),
-                                                                 b.cast("int").alias("b"), v.alias("v"))))
-        rows = (vals.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x"))
-                .groupBy("x.t", "x.b")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("mn"), F.max("x.v").alias("mx"))
-                .collect())
-        by_t: dict[int, list] = {}
-        for row in rows:
-            by_t.setdefault(row["t"], []).append(row)
-        gather = []
-        for tid, ((i, r), s) in enumerate(open_t):
+            b = F.least(F.floor((v - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * buckets),
+                        F.lit(buckets - 1))
+            parts.append(F.when((v >= lo) & (v <= hi),
+                                F.struct(F.lit(g).alias("g"), b.cast("int").alias("b"), v.alias("v"))))
+        counts = (vals.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x"))
+                  .groupBy("x.g", "x.b")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("mn"), F.max("x.v").alias("mx"))
+                  .toPandas())
+        hist: dict[int, list] = {}
+        for row in counts.sort_values(["g", "b"]).to_dict("records"):
+            hist.setdefault(int(row["g"]), []).append(row)
+        gather = {}
+        for (i, r), s in open_t:
+            g = rid[(i, s["lo"], s["hi"], s["below"])]
             cum = s["below"]
-            for row in sorted(by_t.get(tid, []), key=lambda x: x["b"]):
+            for row in hist.get(g, []):
                 if cum + row["n"] > r:
                     if row["mn"] == row["mx"]:
                         s["value"] = row["mn"]
                     else:
                         s["lo"], s["hi"], s["below"] = row["mn"], row["mx"], cum
                         if row["n"] <= gather_limit:
-                            gather.append((i, r, s))
+                            gather.setdefault((i, s["lo"], s["hi"]), []).append((r, s))
                     break
-                cum += row["n"]
+                cum += int(row["n"])
         if gather:
             # one pass collects the values of every narrowed range
-            picks = [F.when((F.col(columns[i]) >= s["lo"]) & (F.col(columns[i]) <= s["hi"]),
+            keys = list(gather)
+            picks = [F.when((F.col(columns[i]) >= lo) & (F.col(columns[i]) <= hi),
                             F.struct(F.lit(g).alias("g"), F.col(columns[i]).alias("v")))
-                     for g, (i, r, s) in enumerate(gather)]
-            got: dict[int, list] = {}
-            for row in (vals.select(F.explode(F.filter(F.array(*picks), lambda x: x.isNotNull())).alias("x"))
-                        .select("x.g", "x.v").collect()):
-                got.setdefault(row["g"], []).append(row["v"])
-            for g, (i, r, s) in enumerate(gather):
-                s["value"] = sorted(got[g])[r - s["below"]]
+                     for g, (i, lo, hi) in enumerate(keys)]
+            got = (vals.select(F.explode(F.filter(F.array(*picks), lambda x: x.isNotNull())).alias("x"))
+                   .select("x.g", "x.v").toPandas())
+            by_g = {int(g): sorted(grp["v"].tolist()) for g, grp in got.groupby("g")}
+            for g, key in enumerate(keys):
+                for r, s in gather[key]:
+                    s["value"] = by_g[g][r - s["below"]]
     out = {}
     for i, c in enumerate(columns):
         n = stats[f"n{i}"]
@@ -124,31 +129,31 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds):
             a = targets[(i, f)]["value"]
             b = targets[(i, min(f + 1, n - 1))]["value"]
             out[(c, q)] = a + (b - a) * (pos - f)
-    return out
+    return out, stats
 
 
 def describe(df: DataFrame, columns=None, quantiles: bool = True) -> DataFrame:
-    """Per column: count, mean, std (sample), min, 25%, 50%, 75%, max."""
+    """Per column: count, mean, std (sample), min, 25%, 50%, 75%, max.
+    Moments ride along with the first pass of the exact quantile search."""
     from retentio.operators.quality import numeric_columns
     columns = list(columns) if columns is not None else numeric_columns(df)
-    vals = df.select(*[nan_to_null(F.col(c)).alias(c) for c in columns])
-    aggs = []
-    for c in columns:
-        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
-                 F.max(c).alias(f"{c}__max")]
-    row = vals.agg(*aggs)
-    out = _long(row, columns, ["count", "mean", "std", "min", "max"])
-    q = exact_quantiles(vals, columns) if quantiles else {}
-    spark = df.sparkSession
-    qdf = spark.createDataFrame(
-        [(c, q.get((c, 0.25)), q.get((c, 0.5)), q.get((c, 0.75))) for c in columns],
-        "feature string, p25 double, p50 double, p75 double")
-    return (out.join(F.broadcast(qdf), "feature")
-            .select("feature", "count", F.round("mean", DIGITS).alias("mean"),
-                    F.round("std", DIGITS).alias("std"), "min",
-                    F.round("p25", DIGITS).alias("p25"), F.round("p50", DIGITS).alias("p50"),
-                    F.round("p75", DIGITS).alias("p75"), "max"))
+    moments = []
+    for i, c in enumerate(columns):
+        moments += [F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}")]
+    q, st = exact_quantiles(df, columns, extra_aggs=moments)
+
+    def r6(x):
+        return None if x is None else round(float(x), DIGITS)
+
+    rows = [(c, int(st[f"n{i}"]), r6(st[f"mean{i}"]), r6(st[f"std{i}"]),
+             None if st[f"lo{i}"] is None else float(st[f"lo{i}"]),
+             r6(q.get((c, 0.25))), r6(q.get((c, 0.5))), r6(q.get((c, 0.75))),
+             None if st[f"hi{i}"] is None else float(st[f"hi{i}"]))
+            for i, c in enumerate(columns)]
+    # one row per column: the p statistics come back as a small table
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, count long, mean double, std double, min double, p25 double, "
+              "p50 double, p75 double, max double")
 
 
 def variance(df: DataFrame, columns=None) -> DataFrame:
@@ -160,26 +165,32 @@ def variance(df: DataFrame, columns=None) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns=None) -> DataFrame:
-    """Pearson r for all pairs i < j in one aggregation, pairwise-complete
-    (rows where both are present). A constant column gives NULL.
-    (feature_a, feature_b, ordinal_a, ordinal_b, corr)."""
+    """Pearson r for all pairs i < j, pairwise-complete (rows where both are
+    present). A constant column gives NULL.
+    (feature_a, feature_b, ordinal_a, ordinal_b, corr).
+
+    Each row is expanded into its p(p-1)/2 (pair, x, y) entries and grouped by
+    pair: three aggregates per group instead of one very wide aggregate, and
+    map-side partial aggregation keeps the shuffle at pairs × partitions rows.
+    """
     from retentio.operators.quality import numeric_columns
     columns = list(columns) if columns is not None else numeric_columns(df)
     vals = df.select(*[nan_to_null(F.col(c)).alias(c) for c in columns])
-    aggs = []
     pairs = list(combinations(range(len(columns)), 2))
-    for a, b in pairs:
-        x, y = F.col(columns[a]), F.col(columns[b])
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        aggs.append(F.try_divide(F.covar_pop(xs, ys),
-                                 F.stddev_pop(xs) * F.stddev_pop(ys)).alias(f"p{a}_{b}"))
-    row = vals.agg(*aggs)
-    arr = F.array(*[F.struct(F.lit(columns[a]).alias("feature_a"), F.lit(columns[b]).alias("feature_b"),
-                             F.lit(a).alias("ordinal_a"), F.lit(b).alias("ordinal_b"),
-                             F.col(f"p{a}_{b}").alias("corr")) for a, b in pairs])
-    return (row.select(F.explode(arr).alias("s")).select("s.*")
-            .withColumn("corr", nan_to_null(F.col("corr"))))
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(columns[a]).alias("x"),
+                                 F.col(columns[b]).alias("y")) for k, (a, b) in enumerate(pairs)])
+    long = (vals.select(F.explode(entries).alias("e")).select("e.*")
+            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    stats = long.groupBy("k").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
+    spark = df.sparkSession
+    names = spark.createDataFrame(
+        [(k, columns[a], columns[b], a, b) for k, (a, b) in enumerate(pairs)],
+        "k int, feature_a string, feature_b string, ordinal_a int, ordinal_b int")
+    # names has one row per pair (p² bound): broadcast
+    return (F.broadcast(names).join(stats, "k", "left")
+            .select("feature_a", "feature_b", "ordinal_a", "ordinal_b",
+                    nan_to_null(F.col("corr")).alias("corr")))
 
 
 def target_distribution(df: DataFrame, target: str = "churn") -> DataFrame:

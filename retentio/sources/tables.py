@@ -20,9 +20,20 @@ ORDERS_AS_OF = _dt.date(2001, 8, 1)
 EVENTS_AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
 
 
+_READS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet scan of a shared table. The DataFrame (schema and file
+    listing) is reused within a session; it stays a lazy scan."""
     prepare_session(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
