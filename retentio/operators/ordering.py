@@ -27,9 +27,15 @@ def value_bucket(v: Column, lo: Column, hi: Column, buckets: int = 4096) -> Colu
 
 
 def running_sums(df: DataFrame, groups: list[str], bucket: str, order: list,
-                 values: dict[str, Column]) -> DataFrame:
+                 values: dict[str, Column], bounded_groups: bool = False) -> DataFrame:
     """Adds ``{name}_before`` = Σ value over rows of the same group that come
-    earlier in (bucket, *order); exclusive, exact, bucket-local windows."""
+    earlier in (bucket, *order); exclusive, exact, bucket-local windows.
+
+    The offsets table has groups × buckets rows. With ``bounded_groups``
+    (classes, features, a fixed set of queries) it is broadcast; otherwise
+    the join strategy is left to AQE's runtime size check, and a shuffle join
+    on (group, bucket) also serves the bucket windows that follow.
+    """
     tot = df.groupBy(*groups, bucket).agg(*[F.sum(v).alias(k) for k, v in values.items()])
     w_off = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(*groups, bucket,

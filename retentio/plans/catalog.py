@@ -143,7 +143,7 @@ def q_prediction_features(spark, sf):
 
 @query("align_features", o.with_base(
     "SELECT login, " + ", ".join(
-        f"0.0 AS {c}" if c in ("active_repo_ratio", "inactive_repo_ratio") else f"CAST({c} AS DOUBLE) AS {c}"
+        f"CAST(0.0 AS DOUBLE) AS {c}" if c in ("active_repo_ratio", "inactive_repo_ratio") else f"CAST({c} AS DOUBLE) AS {c}"
         for c in qa.RANGE_RULES) + " FROM features_v"))
 def q_align_features(spark, sf):
     from retentio.operators.scoring import align_features
@@ -275,34 +275,35 @@ def q_filter_selection(spark, sf):
 
 
 def _var_importance(spark, sf):
+    """Population variance as an exact importance, at the reported precision
+    (6 places): values equal there are ties and keep column order, whatever
+    the floating summation order of the aggregate was."""
     v = st.variance(training(spark, sf), TRAIN_COLS)
-    return v.select("feature", F.col("variance").alias("importance"), "ordinal")
+    return v.select("feature", F.round("variance", 6).alias("importance"), "ordinal")
 
 
-_RANK_SQL = ("SELECT feature, round(importance, 6) AS importance, ordinal, "
+_RANK_SQL = ("SELECT feature, importance, ordinal, "
              "row_number() OVER (ORDER BY importance DESC, ordinal) AS rank FROM ("
-             + o.unpivot("training_v", TRAIN_COLS, {"importance": "var_pop({c})"}) + ")")
+             + o.unpivot("training_v", TRAIN_COLS, {"importance": "round(var_pop({c}), 6)"}) + ")")
 
 
 @query("rank_importance", o.with_base(_RANK_SQL))
 def q_rank_importance(spark, sf):
-    return sel.rank_importance(_var_importance(spark, sf)).withColumn(
-        "importance", F.round("importance", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return sel.rank_importance(_var_importance(spark, sf)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("select_top_k", o.with_base(f"SELECT * FROM ({_RANK_SQL}) WHERE rank <= 6"))
 def q_select_top_k(spark, sf):
-    return sel.select_top_k(_var_importance(spark, sf), k=6).withColumn(
-        "importance", F.round("importance", 6)).withColumn("rank", F.col("rank").cast("long"))
+    return sel.select_top_k(_var_importance(spark, sf), k=6).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("select_min_importance", o.with_base(
-    "SELECT feature, round(importance, 6) AS importance, ordinal, rank FROM ("
+    "SELECT feature, importance, ordinal, rank FROM ("
     "SELECT *, row_number() OVER (ORDER BY importance DESC, ordinal) AS rank FROM ("
-    + o.unpivot("training_v", TRAIN_COLS, {"importance": "var_pop({c})"}) + ")) WHERE importance >= 0.01"))
+    + o.unpivot("training_v", TRAIN_COLS, {"importance": "round(var_pop({c}), 6)"}) + ")) WHERE importance >= 0.01"))
 def q_select_min_importance(spark, sf):
     return sel.select_top_k(_var_importance(spark, sf), min_importance=0.01).withColumn(
-        "importance", F.round("importance", 6)).withColumn("rank", F.col("rank").cast("long"))
+        "rank", F.col("rank").cast("long"))
 
 
 # --- split, folds, weights ---------------------------------------------------
