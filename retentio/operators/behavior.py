@@ -82,33 +82,45 @@ def core_action_intensity(events: DataFrame, as_of, user: str = "user_id", ts: s
 
 
 def session_starts(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                   order: str = "event_id", gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
+                   order: str = "event_id", gap_minutes: int = SESSION_GAP_MINUTES,
+                   since_days: int | None = None) -> DataFrame:
     """Adds ``session_start``: the user's previous event (by ts, then
     ``order``) is missing or more than ``gap_minutes`` earlier.
 
     Only the bucket just before an event's bucket can hold a previous event
     within the gap, so each (user, bucket) is ordered on its own and its
     first event looks up the last timestamp of the user's previous bucket.
+
+    With ``since_days`` only events of the last ``since_days`` days are
+    returned, and only events from one gap before that are read: an older
+    event is more than a gap before every returned one, so it cannot change
+    a flag. The time filter reaches the scan.
     """
     gap = gap_minutes * 60
-    e = (_before(events, as_of, ts)
+    src = events
+    if since_days is not None:
+        src = events.where(F.col(ts) >= _since(as_of, since_days) - F.make_dt_interval(
+            F.lit(0), F.lit(0), F.lit(gap_minutes)))
+    e = (_before(src, as_of, ts)
          .withColumn("_sec", F.unix_seconds(F.col(ts).cast("timestamp")))
          .withColumn("_bkt", F.floor(F.col("_sec") / gap)))
     last = e.groupBy(user, "_bkt").agg(F.max("_sec").alias("_prev_bucket_last")) \
             .withColumn("_bkt", F.col("_bkt") + 1)
     w = Window.partitionBy(user, "_bkt").orderBy(ts, order)
     prev = F.coalesce(F.lag("_sec").over(w), F.col("_prev_bucket_last"))
-    return (e.join(last, [user, "_bkt"], "left")
-            .withColumn("session_start", prev.isNull() | (F.col("_sec") - prev > gap))
-            .drop("_sec", "_bkt", "_prev_bucket_last"))
+    out = (e.join(last, [user, "_bkt"], "left")
+           .withColumn("session_start", prev.isNull() | (F.col("_sec") - prev > gap))
+           .drop("_sec", "_bkt", "_prev_bucket_last"))
+    if since_days is not None:
+        out = out.where(F.col(ts) >= _since(as_of, since_days))
+    return out
 
 
 def error_rate_severity(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
                         kind: str = "event_type", error: str = ERROR_EVENT,
                         order: str = "event_id") -> DataFrame:
     """Errors in the last 14 days / sessions started in them."""
-    s = session_starts(events, as_of, user, ts, order)
-    s = s.where(F.col(ts) >= _since(as_of, ERROR_DAYS))
+    s = session_starts(events, as_of, user, ts, order, since_days=ERROR_DAYS)
     g = s.groupBy(user).agg(F.count_if(F.col(kind) == error).alias("errors_14d"),
                             F.count_if("session_start").alias("sessions_14d"))
     return g.select(user, "errors_14d", "sessions_14d",
