@@ -1,8 +1,9 @@
 """Model matrix, forest training, cross-validation and persistence (MLlib).
 
-The assembled frame is cached once per training call; every fold and the
-final fit reuse it. Inputs are repartitioned by the row key before fitting,
-because MLlib forests are deterministic only for a fixed partitioning."""
+The ranked training input is written once per training call to the
+checkpoint folder; every fold, the fit and the hold-out scoring read it.
+Inputs are repartitioned by the row key before fitting, because MLlib
+forests are deterministic only for a fixed partitioning."""
 
 from __future__ import annotations
 
@@ -94,19 +95,20 @@ def cross_validate(df: DataFrame, features: list[str], target: str = TARGET, key
     validation part of every fold → (metric, split, mean, std (ddof 0),
     leakage_warning)."""
     spark = df.sparkSession
-    data = stratified_folds(df, target, key, k, seed).repartition(key).cache()
+    from retentio.session import checkpoint_dir
+    checkpoint_dir(spark)
+    # written to the checkpoint folder: every fold reads it instead of
+    # recomputing the ranked input, and a lost executor does not lose it
+    data = stratified_folds(df, target, key, k, seed).repartition(key).checkpoint(eager=True)
     scores = {}
-    try:
-        for f in range(k):
-            tr = data.where(F.col("fold") != f)
-            va = data.where(F.col("fold") == f)
-            model = fit_forest(tr, features, target, seed=seed, **params)
-            for split, part in (("train", tr), ("validation", va)):
-                m = _metrics(positive_probability(model, part), target)
-                for name, v in m.items():
-                    scores.setdefault((name, split), []).append(v)
-    finally:
-        data.unpersist()
+    for f in range(k):
+        tr = data.where(F.col("fold") != f)
+        va = data.where(F.col("fold") == f)
+        model = fit_forest(tr, features, target, seed=seed, **params)
+        for split, part in (("train", tr), ("validation", va)):
+            m = _metrics(positive_probability(model, part), target)
+            for name, v in m.items():
+                scores.setdefault((name, split), []).append(v)
     rows = []
     for (name, split), vs in sorted(scores.items()):
         vs = [v for v in vs if v is not None]
@@ -123,7 +125,11 @@ def train_forest(df: DataFrame, features: list[str] | None = None, target: str =
     """Exact stratified hold-out, forest on the train part, hold-out
     predictions. Returns (model, holdout_predictions, features)."""
     features = features or feature_list(df, target)
-    parts = stratified_split(df, target, key, test_size, seed).repartition(key)
+    from retentio.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # the split input is ranked by several jobs and read by the fit and the
+    # hold-out scoring: write it once to the checkpoint folder
+    parts = stratified_split(df, target, key, test_size, seed).repartition(key).checkpoint(eager=True)
     train = parts.where(~F.col("is_test"))
     test = parts.where(F.col("is_test"))
     model = fit_forest(train, features, target, seed=seed, **params)
