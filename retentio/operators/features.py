@@ -215,9 +215,11 @@ def features_from_records(records: DataFrame, as_of=None, column: str = "reposit
         records = parse_repositories(records, column)
     with_stats = nested_repo_activity(records, as_of, column).drop(column)
     if "part" in with_stats.columns:
-        profile = [c for c in ("followers", "following", "public_repos", "created_at", "updated_at")]
-        with_stats = with_stats.groupBy("login").agg(
-            *[F.any_value(c).alias(c) for c in profile],
+        # every part repeats the record's profile, so the profile columns are
+        # grouping keys and the combine stays a hash aggregation of sums
+        profile = [c for c in ("followers", "following", "public_repos", "created_at", "updated_at")
+                   if c in with_stats.columns]
+        with_stats = with_stats.groupBy("login", *profile).agg(
             *[F.sum(c).alias(c) for c in STAT_COLUMNS if c != "has_bad_number"],
             F.max("has_bad_number").alias("has_bad_number"))
     return account_features(with_stats, None, as_of)
