@@ -47,3 +47,10 @@ def div_or_zero(num: Column, den: Column, digits: int = 4) -> Column:
     so ANSI division never sees a zero)."""
     return F.when(den == 0, F.lit(0.0)).otherwise(
         F.round(num.cast("double") / den.cast("double"), digits))
+
+
+def size_or_zero(c) -> Column:
+    """Array length, 0 for a NULL array (independent of the session's
+    legacy ``sizeOfNull`` setting)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.isNull(), F.lit(0)).otherwise(F.size(c))

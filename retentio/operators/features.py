@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.dates import as_of_date, days_between, to_utc_date
-from retentio.functions.numbers import bad_number, div_or_zero, number_or_zero
+from retentio.functions.numbers import bad_number, div_or_zero, number_or_zero, size_or_zero
 
 # Activity windows and the year length used by the feature layer.
 ACTIVE_DAYS = 180
@@ -132,7 +132,7 @@ def nested_repo_activity(records: DataFrame, as_of=None, column: str = "reposito
                         (acc["bad"] | t["bad"]).alias("bad"))
 
     folded = F.aggregate(F.transform(arr, term_struct), zero, merge)
-    out = records.withColumn("_agg", folded).withColumn("total", F.size(arr).cast("long"))
+    out = records.withColumn("_agg", folded).withColumn("total", size_or_zero(arr).cast("long"))
     return out.select(
         *[c for c in records.columns], "total",
         F.col("_agg.active").alias("active"),

@@ -14,6 +14,11 @@ from retentio.operators.quality import numeric_columns
 from retentio.operators.stats import correlation_pairs, variance
 from retentio.schemas import LEAK_COLUMN, TARGET
 
+# Deep trees (unlimited depth maps to Spark's maximum of 30): keep node ids
+# cached between levels and give each pass more nodes, so a deep level does
+# not cost a pass over the data per small group of nodes.
+DEEP_TREE = dict(cacheNodeIds=True, maxMemoryInMB=1024)
+
 VARIANCE_THRESHOLD = 0.01
 CORRELATION_THRESHOLD = 0.9
 
@@ -153,7 +158,7 @@ def tree_importance(df: DataFrame, target: str = TARGET, task: str = "classifica
     cls = {"classification": DecisionTreeClassifier, "regression": DecisionTreeRegressor}.get(task)
     if cls is None:
         raise ValueError(f"unsupported task: {task}")
-    model = cls(maxDepth=max_depth, maxBins=max_bins, seed=seed).fit(data)
+    model = cls(maxDepth=max_depth, maxBins=max_bins, seed=seed, **DEEP_TREE).fit(data)
     return rank_importance(importance_table(df.sparkSession, features,
                                             model.featureImportances.toArray()))
 
@@ -169,10 +174,10 @@ def forest_importance(df: DataFrame, target: str = TARGET, task: str = "classifi
     data = _assembled(df, features, target)
     if task == "classification":
         est = RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, maxBins=max_bins,
-                                     featureSubsetStrategy="sqrt", seed=seed)
+                                     featureSubsetStrategy="sqrt", seed=seed, **DEEP_TREE)
     elif task == "regression":
         est = RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, maxBins=max_bins,
-                                    featureSubsetStrategy="all", seed=seed)
+                                    featureSubsetStrategy="all", seed=seed, **DEEP_TREE)
     else:
         raise ValueError(f"unsupported task: {task}")
     model = est.fit(data)
@@ -185,7 +190,7 @@ def _weights(est_name: str, task: str, data: DataFrame, n: int, seed: int):
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
     if task == "classification" and est_name == "rf":
         m = RandomForestClassifier(numTrees=100, maxDepth=30, maxBins=256,
-                                   featureSubsetStrategy="sqrt", seed=seed).fit(data)
+                                   featureSubsetStrategy="sqrt", seed=seed, **DEEP_TREE).fit(data)
         return list(m.featureImportances.toArray())
     if task == "classification" and est_name == "logistic":
         m = LogisticRegression(maxIter=5000, regParam=1.0 / n, elasticNetParam=0.0,
@@ -193,7 +198,7 @@ def _weights(est_name: str, task: str, data: DataFrame, n: int, seed: int):
         return [float(x) ** 2 for x in m.coefficients.toArray()]
     if task == "regression" and est_name == "rf":
         m = RandomForestRegressor(numTrees=100, maxDepth=30, maxBins=256,
-                                  featureSubsetStrategy="all", seed=seed).fit(data)
+                                  featureSubsetStrategy="all", seed=seed, **DEEP_TREE).fit(data)
         return list(m.featureImportances.toArray())
     if task == "regression" and est_name == "linear":
         m = LinearRegression(regParam=0.0).fit(data)

@@ -6,6 +6,7 @@ import datetime as _dt
 
 from pyspark.sql import functions as F
 
+from retentio.functions.numbers import size_or_zero
 from retentio.operators import ingest as ig
 from retentio.operators.features import features_from_records
 from retentio.plans import oracle as o
@@ -88,7 +89,7 @@ def q_activity_metrics(spark, sf):
     "SELECT login, part, n_repos, first_repo, last_repo, total_repositories, active_repositories FROM records", API))
 def q_assemble_users(spark, sf):
     r = landed(spark, sf)
-    return r.select("login", "part", F.size("repositories").cast("long").alias("n_repos"),
+    return r.select("login", "part", size_or_zero("repositories").cast("long").alias("n_repos"),
                     F.try_element_at("repositories", F.lit(1))["repo_id"].alias("first_repo"),
                     F.try_element_at("repositories", F.lit(-1))["repo_id"].alias("last_repo"),
                     "total_repositories", "active_repositories")
@@ -111,7 +112,7 @@ def q_scan_raw_users(spark, sf):
     return r.select("login", "id", "followers", "following", "public_repos", "created_at", "updated_at",
                     "company", "location", "total_repositories", "total_stars_received",
                     "total_forks_received", "active_repositories", "inactive_repositories", "part",
-                    "scraped_at", F.coalesce(F.size("repositories"), F.lit(0)).cast("long").alias("n_elements"))
+                    "scraped_at", size_or_zero("repositories").cast("long").alias("n_elements"))
 
 
 @query("features_raw_json", o.with_base("SELECT * FROM features_v"))
@@ -377,3 +378,27 @@ def q_collection_summary(spark, sf):
 def q_preview(spark, sf):
     # a head(8) preview: the limit is the feature
     return labeled(spark, sf).orderBy("login").limit(8)
+
+
+@query("read_training_csv", o.with_base("SELECT * FROM labeled_v"))
+def q_read_training_csv(spark, sf):
+    """Labelled table written as CSV, read back with the declared schema and
+    the target check."""
+    path = sinks.save_labeled(labeled(spark, sf), scratch_path(spark, "labeled_csv"))
+    return sinks.read_training_csv(spark, path, "churn", LABELED)
+
+
+@query("sink_ranking", o.with_base(
+    "SELECT feature, importance, ordinal, row_number() OVER (ORDER BY importance DESC, ordinal) AS rank FROM ("
+    + o.unpivot("training_v", o.TRAIN_COLS, {"importance": "round(var_pop({c}), 6)"}) + ")"))
+def q_sink_ranking(spark, sf):
+    """A ranking table written as one CSV file and read back."""
+    from pyspark.sql import types as T
+    from retentio.operators.selection import rank_importance
+    from retentio.operators.stats import variance
+    v = variance(training(spark, sf), o.TRAIN_COLS)
+    ranked = rank_importance(v.select("feature", F.round("variance", 6).alias("importance"), "ordinal"))
+    path = sinks.save_ranking(ranked, scratch_path(spark, "ranking_csv"))
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType()),
+                           T.StructField("ordinal", T.IntegerType()), T.StructField("rank", T.LongType())])
+    return sinks.read_csv(spark, path, schema)

@@ -160,3 +160,19 @@ def q_parse_date(spark, sf):
     p = parse_date(F.col("text"))
     return t.select("o_orderkey", F.date_format(p, "yyyy-MM-dd").alias("parsed"),
                     days_between(p, as_of_date(tables.ORDERS_AS_OF)).alias("days_to_as_of"))
+
+
+@query("dt_selection_regression")
+def q_dt_selection_regression(spark, sf):
+    """Regression tree importances for a numeric target (account age)."""
+    t = training(spark, sf)
+    feats = [c for c in sel.candidate_features(t, drop=()) if c != "account_age_days"]
+    return sel.tree_importance(t, target="account_age_days", task="regression", features=feats)
+
+
+@query("rf_selection_regression")
+def q_rf_selection_regression(spark, sf):
+    """Regression forest (every feature considered at each split)."""
+    t = training(spark, sf)
+    feats = [c for c in sel.candidate_features(t, drop=()) if c != "account_age_days"]
+    return sel.forest_importance(t, target="account_age_days", task="regression", features=feats)

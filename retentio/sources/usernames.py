@@ -42,7 +42,8 @@ def search_logins(pages: DataFrame, max_pages: int = 5, per_page: int = 100,
     """
     from pyspark.sql import Window
     p = pages.where((F.col("page") >= 1) & (F.col("page") <= max_pages))
-    n_items = F.coalesce(F.size("items"), F.lit(0))
+    from retentio.functions.numbers import size_or_zero
+    n_items = size_or_zero("items")
     items = (p.select(query, "page", F.posexplode("items").alias("pos", "item"))
              .select(query, "page", "pos", F.col("item.login").alias("login"))
              .where(F.col("login").isNotNull()))
