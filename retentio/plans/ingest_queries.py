@@ -174,7 +174,9 @@ def q_reject_bad_numbers(spark, sf):
 
 def upsert_batches(spark, sf):
     c = tables.table(spark, sf, "customer").select("c_custkey", "c_name")
-    existing = c.where(F.col("c_custkey") % 3 != 0).select(
+    # every customer is in the existing table; the incoming batch re-spells
+    # some logins (upper / lower case, blank) and must replace those records
+    existing = c.select(
         F.col("c_name").alias("login"), F.lit("v1").alias("version"), F.col("c_custkey").alias("pos"))
     up = c.where(F.col("c_custkey") % 2 == 0).select(
         F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.upper("c_name")).alias("login"),
@@ -192,7 +194,7 @@ SELECT login, version, first_batch, first_pos FROM (
   FROM allrows WHERE coalesce(login, '') <> '')
   CROSS JOIN LATERAL (SELECT CAST(first_key // 1000000000 AS INT) AS first_batch, first_key % 1000000000 AS first_pos)
 WHERE rn = 1""", """allrows AS (
-  SELECT c_name AS login, 'v1' AS version, c_custkey AS pos, 0 AS batch FROM customer WHERE c_custkey % 3 <> 0
+  SELECT c_name AS login, 'v1' AS version, c_custkey AS pos, 0 AS batch FROM customer
   UNION ALL SELECT CASE WHEN c_custkey % 7 = 0 THEN '' ELSE upper(c_name) END, 'v2', c_custkey * 2, 1
             FROM customer WHERE c_custkey % 2 = 0
   UNION ALL SELECT lower(c_name), 'v3', c_custkey * 2 + 1, 1 FROM customer WHERE c_custkey % 4 = 0)"""))
