@@ -171,7 +171,8 @@ def downgrade_momentum(billing: DataFrame, as_of, user: str = "user_id", ts: str
     month0 = F.trunc(F.to_date(_ts(as_of)), "month")
     m = F.trunc(F.to_date(ts), "month")
     amt = F.col(amount).cast("decimal(18,2)")
-    b = billing.where(m <= month0)
+    # the timestamp bound reaches the scan; the month test is exact
+    b = billing.where((F.col(ts) < F.add_months(month0, 1).cast("timestamp_ntz")) & (m <= month0))
     g = b.groupBy(user).agg(
         F.coalesce(F.sum(F.when(m == month0, amt)), F.lit(0).cast("decimal(18,2)")).alias("current_spend"),
         F.coalesce(F.sum(F.when((m < month0) & (m >= F.add_months(month0, -3)), amt)),

@@ -65,7 +65,8 @@ def classification_report(confusion: DataFrame, by: list[str] | None = None,
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
-            by: list[str] | None = None, buckets: int = 4096) -> DataFrame:
+            by: list[str] | None = None, buckets: int = 4096,
+            materialize: bool = True) -> DataFrame:
     """Exact ROC-AUC per group = P(s+ > s-) + ½·P(s+ = s-) (rank-sum with
     average ranks on ties). NULL when a group has only one class.
 
@@ -77,6 +78,13 @@ def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
     agg = (scored.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull())
            .groupBy(*by, s.alias("_s"))
            .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
+    if materialize:
+        # the per-score counts feed three branches (range, offsets, rows);
+        # write them once to the checkpoint folder instead of recomputing the
+        # scored input three times
+        from retentio.session import checkpoint_dir
+        checkpoint_dir(scored.sparkSession)
+        agg = agg.checkpoint(eager=True)
     rng = agg.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     # one row per group: bounded by the number of groups
     if by:
