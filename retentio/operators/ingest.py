@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retentio.functions.dates import as_of_date, to_timestamp_any
+from retentio.functions.dates import to_timestamp_any
 from retentio.functions.numbers import bad_number
 from retentio.schemas import PROFILE_FIELDS
 

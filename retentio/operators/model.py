@@ -51,10 +51,12 @@ def assemble(df: DataFrame, features: list[str], target: str = TARGET,
 
 def forest(n_trees=200, max_depth=10, min_leaf=5, seed=42, max_bins=256,
            weight_col: str | None = "weight") -> RandomForestClassifier:
+    # 1 GiB of split statistics per pass lets one pass over the data grow
+    # many more nodes of the 200 trees than the 256 MiB default
     est = RandomForestClassifier(numTrees=n_trees, maxDepth=min(max_depth or 30, 30),
                                  minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt",
                                  seed=seed, maxBins=max_bins, labelCol="label",
-                                 featuresCol="features")
+                                 featuresCol="features", maxMemoryInMB=1024)
     if weight_col:
         est = est.setWeightCol(weight_col)
     return est

@@ -8,7 +8,7 @@ properties in the tests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame  # noqa: F401
 from pyspark.sql import functions as F
 
 from retentio.operators import evaluation as ev
