@@ -58,12 +58,15 @@ def velocity_ratio(events: DataFrame, as_of, user: str = "user_id", ts: str = "t
 
 
 def feature_breadth(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                    module: str = "event_type", essential=ESSENTIAL_MODULES) -> DataFrame:
+                    module: str = "event_type", essential=ESSENTIAL_MODULES,
+                    approximate: bool = False) -> DataFrame:
     """Distinct essential modules used in the last 30 days / number of
-    essential modules; band low (<= 0.2) / medium / high (> 0.7)."""
+    essential modules; band low (<= 0.2) / medium / high (> 0.7).
+    ``approximate`` uses a HyperLogLog++ sketch instead of an exact count."""
     e = (_before(events, as_of, ts).where(F.col(ts) >= _since(as_of, MONTH_DAYS))
          .where(F.col(module).isin(list(essential))))
-    g = e.groupBy(user).agg(F.count_distinct(module).alias("modules_used"))
+    distinct = F.approx_count_distinct(module) if approximate else F.count_distinct(module)
+    g = e.groupBy(user).agg(distinct.alias("modules_used"))
     b = F.col("modules_used") / F.lit(float(len(essential)))
     return g.select(user, "modules_used", F.round(b, 6).alias("feature_breadth"),
                     F.when(b <= BREADTH_LOW, "low").when(b > BREADTH_HIGH, "high")

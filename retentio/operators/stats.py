@@ -132,11 +132,15 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, ex
     return out, stats
 
 
-def describe(df: DataFrame, columns=None, quantiles: bool = True) -> DataFrame:
+def describe(df: DataFrame, columns=None, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Per column: count, mean, std (sample), min, 25%, 50%, 75%, max.
-    Moments ride along with the first pass of the exact quantile search."""
+    Moments ride along with the first pass of the exact quantile search.
+    ``exact=False`` takes the quartiles from one ``percentile_approx`` pass
+    (rank error about 1/accuracy, no interpolation)."""
     from retentio.operators.quality import numeric_columns
     columns = list(columns) if columns is not None else numeric_columns(df)
+    if not exact:
+        return _describe_approx(df, columns, accuracy)
     moments = []
     for i, c in enumerate(columns):
         moments += [F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"std{i}")]
@@ -156,6 +160,21 @@ def describe(df: DataFrame, columns=None, quantiles: bool = True) -> DataFrame:
               "p50 double, p75 double, max double")
 
 
+def _describe_approx(df: DataFrame, columns, accuracy: int) -> DataFrame:
+    vals = df.select(*[nan_to_null(F.col(c)).alias(c) for c in columns])
+    aggs = []
+    for c in columns:
+        aggs += [F.count(c).alias(f"{c}__count"), F.round(F.avg(c), DIGITS).alias(f"{c}__mean"),
+                 F.round(F.stddev_samp(c), DIGITS).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
+                 F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"),
+                 F.max(c).alias(f"{c}__max")]
+    row = vals.agg(*aggs)
+    out = _long(row, columns, ["count", "mean", "std", "min", "q", "max"])
+    return out.select("feature", "count", "mean", "std", "min",
+                      F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
+                      F.col("q")[2].alias("p75"), "max")
+
+
 def variance(df: DataFrame, columns=None) -> DataFrame:
     """Population variance of every column in one pass: (feature, ordinal, variance)."""
     from retentio.operators.quality import numeric_columns

@@ -87,3 +87,12 @@ def test_fixture_variance_filter_drops_the_two_ratios(spark):
     kept = sel.variance_filter(t, sel.candidate_features(t))
     assert "active_repo_ratio" not in kept and "inactive_repo_ratio" not in kept
     assert "repository_maintenance_ratio" in kept
+
+
+def test_describe_approximate_quartiles_are_close(spark):
+    from retentio.operators.stats import describe
+    df = spark.range(0, 1001).select(F.col("id").cast("double").alias("x"))
+    ex = describe(df, ["x"]).first()
+    ap = describe(df, ["x"], exact=False).first()
+    assert (ex.p25, ex.p50, ex.p75) == (250.0, 500.0, 750.0)
+    assert abs(ap.p50 - 500.0) <= 1.0 and ap["count"] == ex["count"] == 1001
