@@ -54,11 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session names none (local tests) is a fresh local folder
     created and registered.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="retentio-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - a core setting may be read-only at runtime
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
