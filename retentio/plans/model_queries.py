@@ -176,3 +176,15 @@ def q_rf_selection_regression(spark, sf):
     t = training(spark, sf)
     feats = [c for c in sel.candidate_features(t, drop=()) if c != "account_age_days"]
     return sel.forest_importance(t, target="account_age_days", task="regression", features=feats)
+
+
+@query("score_landed_users")
+def q_score_landed_users(spark, sf):
+    """Serving path on a whole table: landed raw records → the same feature
+    function as training (nested route, all repositories) → model → score."""
+    from retentio.operators.features import features_from_records
+    from retentio.plans.ingest_queries import landed_json
+    m = matrix(spark, sf)
+    model, _, _ = md.train_forest(m)
+    feats = features_from_records(landed_json(spark, sf), tables.ORDERS_AS_OF)
+    return batch_score(model, feats)

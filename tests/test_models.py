@@ -82,3 +82,17 @@ def test_cross_validate_reports_train_and_validation(spark, lab):
     keys = {(r.metric, r.split) for r in cv}
     assert keys == {(x, s) for x in ("accuracy", "f1", "roc_auc") for s in ("train", "validation")}
     assert all(0.0 <= r.mean <= 1.0 and r.std >= 0.0 for r in cv)
+
+
+def test_scores_from_landed_records_equal_table_scores(spark):
+    """Train/serve parity: one feature function for both routes."""
+    from retentio.operators.features import features_from_records
+    from retentio.plans.catalog import features, labeled
+    from retentio.plans.ingest_queries import landed_json
+    from retentio.sources import tables
+    sf = "/root/testdata/sf0.001"
+    model, _, _ = md.train_forest(md.model_matrix(labeled(spark, sf)), n_trees=10)
+    a = batch_score(model, features(spark, sf))
+    b = batch_score(model, features_from_records(landed_json(spark, sf), tables.ORDERS_AS_OF))
+    assert a.count() == 150
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
