@@ -64,7 +64,8 @@ def activity_metrics(repos: DataFrame, as_of, key: str = "login",
 
 
 def assemble_users(users: DataFrame, repos: DataFrame, as_of=None, key: str = "login",
-                   repo_key: str = "repo_id", max_repos: int = MAX_REPOS_PER_RECORD) -> DataFrame:
+                   repo_key: str = "repo_id", max_repos: int = MAX_REPOS_PER_RECORD,
+                   materialize: bool = True) -> DataFrame:
     """Raw user records: profile + metrics + ``repositories`` array + part.
 
     Users without repositories get one record with an empty array; users
@@ -73,8 +74,17 @@ def assemble_users(users: DataFrame, repos: DataFrame, as_of=None, key: str = "l
     repositories in id order (exact rank from bucketed running counts, so the
     heavy user's rows are ordered in many tasks); the metrics are the user's
     totals on every part.
+
+    ``materialize`` writes the flat repositories once to the checkpoint
+    folder: the metrics, the light / heavy split and the rank offsets all
+    read them, instead of recomputing the joins behind them several times
+    (and a lost executor does not send the job back to the sources).
     """
     from retentio.operators.ordering import ordered_rank
+    from retentio.session import checkpoint_dir
+    if materialize:
+        checkpoint_dir(repos.sparkSession)
+        repos = repos.checkpoint(eager=True)
     metrics = activity_metrics(repos, as_of, key)
     repo_cols = [c for c in repos.columns if c != key]
     sized = repos.join(metrics.select(key, "total_repositories"), key)
