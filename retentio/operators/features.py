@@ -59,9 +59,9 @@ def _repo_terms(r: Column, struct: T.StructType, as_of: Column,
 
 def repo_activity(repos: DataFrame, as_of=None, key: str = "login",
                   active_days: int = ACTIVE_DAYS,
-                  maintained_days: int = MAINTAINED_DAYS) -> DataFrame:
+                  maintained_days: int = MAINTAINED_DAYS, extra=()) -> DataFrame:
     """Flat route: per-key total / active / inactive / maintained counts and
-    star / fork sums in one aggregation pass.
+    star / fork sums in one aggregation pass (plus ``extra`` aggregates).
 
     A row whose optional ``malformed`` column is true counts in ``total`` only.
     """
@@ -77,6 +77,7 @@ def repo_activity(repos: DataFrame, as_of=None, key: str = "login",
         F.sum(F.when(ok, t["stars"]).otherwise(0.0)).alias("stars"),
         F.sum(F.when(ok, t["forks"]).otherwise(0.0)).alias("forks"),
         F.max(ok & t["bad"]).alias("has_bad_number"),
+        *extra,
     )
 
 
