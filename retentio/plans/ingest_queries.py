@@ -315,14 +315,35 @@ def q_coerce_numeric(spark, sf):
     return coerce_numeric(sinks.read_csv(spark, path, as_text))
 
 
-@query("sink_selected")
+def _sink_selected_sql():
+    var = o.unpivot("training_v", o.TRAIN_COLS, {"v": "var_pop({c})"})
+    pairs = o.pairs("training_v", o.TRAIN_COLS).replace("round(", "(").replace(", 6) AS corr", ") AS corr")
+    longs = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM training_v"
+        for c in o.TRAIN_COLS + ["churn"])
+    return o.with_base("""
+SELECT feature, value FROM lv
+WHERE feature = 'churn' OR feature IN (
+  SELECT feature FROM vr LEFT JOIN (
+    SELECT feature_b AS feature, max(abs(corr)) AS m FROM pr
+    WHERE feature_a IN (SELECT feature FROM vr WHERE v > 0.01) AND feature_b IN (SELECT feature FROM vr WHERE v > 0.01)
+    GROUP BY feature_b) USING (feature)
+  WHERE v > 0.01 AND NOT coalesce(m > 0.9, false))""", f"vr AS ({var}),\npr AS ({pairs}),\nlv AS ({longs})")
+
+
+@query("sink_selected", _sink_selected_sql())
 def q_sink_selected(spark, sf):
+    """Selected columns + target written as CSV and read back, returned as
+    (feature, value) pairs so the written columns and values can be checked."""
     from retentio.operators.selection import filter_selection
     t = training(spark, sf)
     data, chosen = filter_selection(t)
     path = sinks.save_selected(data, chosen, "churn", scratch_path(spark, "selected_csv"))
-    schema = data.schema
-    return sinks.read_csv(spark, path, schema)
+    back = sinks.read_csv(spark, path, data.schema)
+    cols = chosen + ["churn"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                for c in cols]))
+    return back.select(pairs.alias("p")).select("p.feature", "p.value")
 
 
 # --- streaming ---------------------------------------------------------------------------
