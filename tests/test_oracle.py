@@ -43,7 +43,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SF).toPandas()
+    df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # no cross products / nested-loop joins anywhere in a registered plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toPandas()
     want = con.execute(E.oracle_sql()[name]).df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
@@ -56,3 +60,13 @@ def test_every_query_is_registered_once_and_entry_runs(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
     df = E.entry(spark)
     assert "churn" in df.columns and df.count() == 150
+
+
+def test_scale_properties_of_key_plans(spark):
+    from tools.show_plans import summarize
+    q = E.queries()
+    flagship = summarize(q["features"](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert flagship["shuffles"] <= 2          # per-order and per-owner aggregation only
+    sess = summarize(q["error_rate_severity"](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert any("GreaterThanOrEqual(ts" in p for p in sess["pushed"])   # window bound reaches the scan
+    assert sess["windows"] == 1
