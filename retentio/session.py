@@ -51,12 +51,16 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Only when the session names none (local tests) is a fresh local folder
-    created and registered.
+    Only when the session names none and the master is local (tests) is a
+    fresh local folder created and registered; on a cluster that folder would
+    not reach the executors, so the call fails.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               "executors share: the intermediate tables are written there")
         path = tempfile.mkdtemp(prefix="retentio-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
