@@ -40,13 +40,13 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
               / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target FROM l),
 r AS (SELECT c.doc_id, c.size, c.source, t.source_size, t.target,
-             row_number() OVER (PARTITION BY c.source ORDER BY class, k, c.doc_id, c.size) AS at,
+             row_number() OVER (PARTITION BY c.source ORDER BY class, k, c.doc_id, c.size) AS nth,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
              CAST('0x' || substr(md5('mix:' || coalesce('s:' || c.source, 'n')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start
       FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source, source_size, target,
-       CAST(least(floor(start + rate * at) - floor(start + rate * (at - 1)), 2) AS BIGINT) AS copies,
-       CAST(least(floor(start + rate * at) - floor(start + rate * (at - 1)), 2) AS BIGINT) * size AS taken
+       CAST(least(floor(start + rate * nth) - floor(start + rate * (nth - 1)), 2) AS BIGINT) AS copies,
+       CAST(least(floor(start + rate * nth) - floor(start + rate * (nth - 1)), 2) AS BIGINT) * size AS taken
 FROM r"""
 
 
