@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retentio.llm import mixing, quality
+from retentio.llm import decontamination, mixing, pii, quality
 from retentio.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,13 @@ FROM r"""
 def op5(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select(
         "doc_id", "size", "source", "source_size", "target", "copies", "taken")
+
+
+@query("op8_decontaminate")
+def op8(spark, sf):
+    return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op2_personal_data")
+def op2(spark, sf):
+    return pii.personal_data(table(spark, sf, "documents"))
