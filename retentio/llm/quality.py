@@ -11,7 +11,8 @@ depends on its own text and the two models only.
 The trusted set is a classifier's training sample: the ``max_trusted`` good
 ids with the smallest id hash (documented bound: their ids are broadcast, so no
 text is shuffled). The raw model counts all documents. The model is a row of
-``buckets`` doubles; scoring and counting are one projection each.
+``buckets`` doubles. Counting and scoring explode the tokens inside one stage
+and sum at once, so only sums are shuffled.
 
 Defined cases: null, empty and blank texts have no words and fail the base
 rules (score null); without any trusted document all scores are 0; an empty
@@ -24,10 +25,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import WORD, words
+from retentio.llm.common import WORD, row_key, words
 
 BUCKETS = 8192
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+# runs of letters (any character beyond ASCII counts as one) and digits, or of punctuation
+TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+|[^a-z0-9\x{80}-\x{10FFFF}\s]+"
 #: Bound of the labelled sample behind the trusted model.
 MAX_TRUSTED = 20_000
 #: Mean log ratio per n-gram below which a text is unlike the trusted set.
@@ -43,13 +45,13 @@ def _bucket(*parts: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
-def ngram_buckets(w: Column, buckets: int) -> Column:
-    """Bucket numbers (from 0) of the unigrams and bigrams of an array of words."""
-    uni = F.transform(w, lambda x: _bucket(x, buckets=buckets))
-    bi = F.transform(F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("a"),
-                                  F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("b")),
-                     lambda p: _bucket(p["a"], p["b"], buckets=buckets))
-    return F.concat(uni, bi)
+def ngrams(df: DataFrame, buckets: int) -> DataFrame:
+    """One row per token of the array ``_k``: the other columns, the bucket
+    of the token (``_b1``) and of it with the next (``_b2``, null at the end)."""
+    d = df.select("*", F.posexplode("_k").alias("_p", "_t"))
+    nxt = F.get("_k", F.col("_p") + 1)
+    return d.select(*[c for c in df.columns if c != "_k"], _bucket(F.col("_t"), buckets=buckets).alias("_b1"),
+                    F.when(nxt.isNotNull(), _bucket(F.col("_t"), nxt, buckets=buckets)).alias("_b2"))
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
@@ -66,8 +68,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     ids = trusted_ids(labels, max_trusted).select(F.col("doc_id").alias("_tid"))
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     d = d.join(F.broadcast(ids), F.col("_id") == F.col("_tid"), "left")
-    grams = d.select(F.col("_tid").isNotNull().alias("trusted"), tokens(F.col("_text")).alias("_w")).select(
-        "trusted", F.explode(ngram_buckets(F.col("_w"), buckets)).alias("bucket"))
+    grams = ngrams(d.select(F.col("_tid").isNotNull().alias("trusted"), tokens(F.col("_text")).alias("_k")), buckets)
+    grams = grams.select("trusted", F.explode(F.array("_b1", "_b2")).alias("bucket")).where("bucket IS NOT NULL")
     counts = np.zeros((2, buckets))
     for r in grams.groupBy("trusted", "bucket").count().toLocalIterator():
         counts[int(r["trusted"]), r["bucket"]] += r["count"]
@@ -78,23 +80,39 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
             - np.log((raw + 1.0) / (raw.sum() + buckets)))
 
 
-def score(w: Column, model: np.ndarray) -> Column:
-    """Mean log ratio of the n-grams of an array of tokens."""
-    # float text of a fixed length: the literal array is folded once
+def scores(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """Per row key (``_key``) of a text with tokens: the mean log ratio of its
+    n-grams."""
+    # the text of the model becomes one array literal when the plan is built
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    total = F.aggregate(ngram_buckets(w, len(model)), F.lit(0.0),
-                        lambda acc, b: acc + F.get(ratios, b))
-    n = F.size(w)
-    return F.when(n > 0, total / (n + n - 1))
+    d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), tokens(F.col("text")).alias("_k"))
+    part = F.get(ratios, F.col("_b1")) + F.coalesce(F.get(ratios, F.col("_b2")), F.lit(0.0))
+    grams = F.sum(F.lit(1) + F.col("_b2").isNotNull().cast("int"))
+    return ngrams(d, len(model)).groupBy("_key").agg((F.sum(part) / grams).alias("score"))
 
 
-def sorted_windows(w: Column) -> Column:
-    """The 3-word windows of an array as (hash, position), sorted."""
-    n = F.size(w)
-    return F.when(n >= 3, F.array_sort(F.transform(
-        F.slice(w, 1, n - 2),
-        lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+def windows(w: Column) -> Column:
+    """Hashes of the 3-word windows of an array."""
+    return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
+                       lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+
+def near_repeats(h: Column) -> Column:
+    """The hashes of an array sorted by their low 36 bits, each with its
+    position in the low 28 bits; null where all are distinct."""
+    packed = F.transform(h, lambda x, i: F.shiftleft(x, 28).bitwiseOR(i.cast("long")))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(packed))
+
+
+def repeats(s: Column, h: Column) -> Column:
+    """Those among the sorted neighbours that share their 36 bits, as sorted
+    pairs of (whole hash, position)."""
+    def equal(x, y):
+        return F.shiftrightunsigned(x.bitwiseXOR(y), 28) == 0
+
+    shared = F.filter(s, lambda x, i: equal(x, F.get(s, i + 1)) | ((i > 0) & equal(x, F.get(s, i - 1))))
+    at = F.transform(shared, lambda x: x.bitwiseAND(F.lit((1 << 28) - 1)).cast("int"))
+    return F.array_sort(F.transform(at, lambda p: F.struct(F.get(h, p).alias("h"), p.alias("i"))))
 
 
 def repeat_cover(grams: Column) -> Column:
@@ -103,33 +121,47 @@ def repeat_cover(grams: Column) -> Column:
     Equal neighbours are repeats; their sorted positions cover
     ``min(3, distance to the next)`` words each.
     """
-    m = F.size(grams)
-    prev = F.transform(grams, lambda x, k: F.when((k > 0) & (F.get(grams, k - 1)["h"] == x["h"]), x["i"])
-                       .when(F.get(grams, k + 1)["h"] == x["h"], x["i"]))
-    at = F.sort_array(F.filter(prev, lambda x: x.isNotNull()))
-    nxt = F.slice(at, 2, F.greatest(F.size(at), F.lit(1)))
-    steps = F.zip_with(at, nxt, lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return F.when(m > 0, F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)).otherwise(F.lit(0))
+    dup = F.transform(grams, lambda x, k: F.when(
+        ((k > 0) & (F.get(grams, k - 1)["h"] == x["h"])) | (F.get(grams, k + 1)["h"] == x["h"]), x["i"]))
+    at = F.sort_array(F.filter(dup, lambda x: x.isNotNull()))
+    steps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))),
+                       lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    return F.when(grams.isNotNull(), F.aggregate(steps, F.lit(0), lambda acc, x: acc + x)).otherwise(F.lit(0))
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD,
-            max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """``_row`` (the input row as a struct) with n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept."""
-    model = log_ratios(docs, labels, buckets, max_trusted)
+def base_rules(docs: DataFrame) -> DataFrame:
+    """Per row: _key, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                    F.col("text").alias("_text"))
-    d = d.withColumn("_w", words(F.col("_text")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    d = d.select("_row", F.size("_w").cast("long").alias("n_words"),
+    d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), "doc_id", F.col("text").alias("_text"))
+    d = d.select("_key", "doc_id", "_text", words(F.col("_text")).alias("_w"))
+    d = d.select("_key", "doc_id", F.size("_w").cast("long").alias("n_words"),
                  F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
                  F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-                 lines.alias("_lines"), sorted_windows(F.col("_w")).alias("_grams"),
-                 score(tokens(F.col("_text")), model).alias("score"))
-    d = d.select("_row", "n_words", "word_chars", "n_symbols",
-                 (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                 repeat_cover(F.col("_grams")).cast("long").alias("n_repeat_words"), "score")
+                 lines.alias("_lines"), windows(F.col("_w")).alias("_h"))
+    d = d.withColumn("_s", near_repeats(F.col("_h")))
+    d = d.withColumn("_grams", repeats(F.col("_s"), F.col("_h")))
+    return d.select("_key", "doc_id", "n_words", "word_chars", "n_symbols",
+                    (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+                    repeat_cover(F.col("_grams")).cast("long").alias("n_repeat_words"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD,
+            max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """One row per row of ``docs``: _key, doc_id, n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+    s = scores(docs, log_ratios(docs, labels, buckets, max_trusted)).withColumnRenamed("_key", "_k")
+    d = base_rules(docs)
+    d = d.join(s, F.col("_key") == F.col("_k"), "left").drop("_k")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     d = d.withColumn("base_failed", failed)
     return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False)))
+
+
+def keep(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs`` that pass."""
+    good = quality(docs, labels, **kw).where("kept").select(F.col("_key").alias("_good")).distinct()
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                    row_key(F.col("doc_id"), F.col("text")).alias("_key"))
+    return d.join(good, F.col("_key") == F.col("_good"), "left_semi").select("_row.*")
