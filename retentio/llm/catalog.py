@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retentio.llm import decontamination, mixing, pii, quality
+from retentio.llm import debruijn, decontamination, jaccard, language, mixing, pii, quality, substrings
 from retentio.llm.common import table
 
 QUERIES: dict = {}
@@ -23,7 +23,7 @@ def query(name, sql=None):
 @query("op1_quality_rules")
 def op1(spark, sf):
     q = quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return q.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "kept", "score")
 
 
@@ -50,6 +50,12 @@ SELECT doc_id, size, source, source_size, target,
 FROM r"""
 
 
+@query("op3_jaccard_join")
+def op3(spark, sf):
+    return jaccard.jaccard_components(table(spark, sf, "documents"), size=3, pct=90).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 @query("op5_mix_sources", MIX_SQL)
 def op5(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select(
@@ -64,3 +70,22 @@ def op8(spark, sf):
 @query("op2_personal_data")
 def op2(spark, sf):
     return pii.personal_data(table(spark, sf, "documents"))
+
+
+@query("op4_language")
+def op4(spark, sf):
+    # fixed by contract: every fifth id hash is held out of learning
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    d = table(spark, sf, "documents").withColumn("held_out", held)
+    model = language.fit(d.where(~F.col("held_out")).select("text", "lang"))
+    return language.predict(d.select("doc_id", "text", "held_out"), model)
+
+
+@query("op9_repeated_bytes")
+def op9(spark, sf):
+    return substrings.strip(table(spark, sf, "documents"), texts=False)
+
+
+@query("op10_repeated_words")
+def op10(spark, sf):
+    return debruijn.strip(table(spark, sf, "documents"), texts=False)

@@ -56,3 +56,20 @@ def drop_saved(df: DataFrame) -> None:
 def uniform(text: Column) -> Column:
     """Deterministic number in [0, 1) from a string: 32 bits of its MD5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (counted
+    here), else as it is, for a shuffled join."""
+    df = saved(df, "side")
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def by_lists(docs: DataFrame, lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (with a key ``doc``) whose key is in ``lists`` (one row
+    per key), joined with it, and the other rows. The keys are broadcast up to
+    ``most`` of them: then only the texts in the lists are shuffled."""
+    keys = sized(lists.select(F.col("doc").alias("_k")), most)
+    inside = docs.join(keys, F.col("doc") == F.col("_k"), "left_semi")
+    both = inside.join(lists.withColumnRenamed("doc", "_k"), F.col("doc") == F.col("_k")).drop("_k")
+    return both, docs.join(keys, F.col("doc") == F.col("_k"), "left_anti")
