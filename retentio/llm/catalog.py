@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retentio.llm import debruijn, decontamination, jaccard, language, mixing, pii, quality, substrings
+from retentio.llm import debruijn, decontamination, jaccard, language, licenses, mixing, pii, quality, substrings, tokens
 from retentio.llm.common import table
 
 QUERIES: dict = {}
@@ -89,3 +89,37 @@ def op9(spark, sf):
 @query("op10_repeated_words")
 def op10(spark, sf):
     return debruijn.strip(table(spark, sf, "documents"), texts=False)
+
+
+LICENSE_SQL = """
+WITH c AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(
+        __SPELL__, '[^a-z0-9\\x{80}-\\x{10FFFF}\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+    FROM (SELECT doc_id, text, regexp_replace(lower(coalesce(text, '')),
+        '(?m)^[^a-z0-9\\n]*(?:copyright\\b|\\(c\\)|©|all rights reserved).*$', '', 'g') AS t FROM __TABLE__))
+SELECT doc_id, text, lines, CASE WHEN len(lines) > 0 THEN md5(array_to_string(lines, ' ')) END AS digest FROM c"""
+
+
+def _license_sql() -> str:
+    spell = "t"
+    for old, new in licenses.SPELLINGS:
+        spell = f"replace({spell}, '{old}', '{new}')"
+    inner = LICENSE_SQL.replace("__SPELL__", spell)
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.KNOWN.items()))
+    known = inner.replace("__TABLE__", f"(SELECT * FROM (VALUES {rows}) AS v(doc_id, text))")
+    return f"""
+WITH d AS ({inner.replace("__TABLE__", "documents")}),
+k AS (SELECT digest, min(doc_id) AS license FROM ({known}) GROUP BY digest),
+n AS (SELECT doc_id, text, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
+      FROM (SELECT doc_id, text, md5(unnest(lines)) AS m FROM d) JOIN k ON m = digest GROUP BY doc_id, text)
+SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n, 0) AS n_notices
+FROM d LEFT JOIN k USING (digest) LEFT JOIN n ON d.doc_id = n.doc_id AND d.text = n.text"""
+
+
+@query("op6_license_scan", _license_sql())
+def op6(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"), licenses.known_digests(spark))
+
+
+@query("op7_token_counts")
+def op7(spark, sf):
+    return tokens.document_tokens(table(spark, sf, "documents"))
