@@ -114,6 +114,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
     langs, prior, logp = model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T)))
+    docs = docs.drop("lang_pred", "score")
     keep = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches):

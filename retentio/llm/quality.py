@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import WORD, row_key, words
+from retentio.llm.common import WORD, row_key, saved, words
 
 BUCKETS = 8192
 # runs of letters (any character beyond ASCII counts as one) and digits, or of punctuation
@@ -152,7 +152,9 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
     """One row per row of ``docs``: _key, doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
     s = scores(docs, log_ratios(docs, labels, buckets, max_trusted)).withColumnRenamed("_key", "_k")
-    d = base_rules(docs)
+    # written first: a later filter on the counts would otherwise be pushed into
+    # the projections and repeat them inside their own array functions
+    d = saved(base_rules(docs), "quality-rows")
     d = d.join(s, F.col("_key") == F.col("_k"), "left").drop("_k")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     d = d.withColumn("base_failed", failed)
