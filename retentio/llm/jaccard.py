@@ -113,7 +113,7 @@ def sketch(described: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, order: np.ndarray, size: int, pct: int) -> DataFrame:
-    """(token, cls, n, pos): the rarest-first prefix of every distinct set."""
+    """(cls, n, tokens): the rarest-first prefix of every set."""
     bits = len(order).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -134,9 +134,8 @@ def prefix_rows(docs: DataFrame, order: np.ndarray, size: int, pct: int) -> Data
                 [pa.array(cls, pa.binary()), pa.array(n, pa.int32()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["cls", "n", "tokens"])
 
-    p = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cls binary, n int, tokens array<bigint>")
-    p = p.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-    return p.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "cls binary, n int, tokens array<bigint>")
 
 
 def _ceil(x: Column, d: int) -> Column:
@@ -170,14 +169,17 @@ def _side(mark: str):
     return lambda c: F.col(f"{mark}_{c}")
 
 
-def live_rows(p: DataFrame, pct: int) -> DataFrame:
-    """Prefix rows that can meet a partner: shingles of two classes or more,
-    and rows whose rest can suffice for the smallest set under the shingle."""
-    g = p.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1")
-    r = p.join(g.withColumnRenamed("token", "t"), F.col("token") == F.col("t"))
+def live_rows(prefixes: DataFrame, pct: int) -> DataFrame:
+    """(token, cls, n, pos), one row per class: the prefix rows that can meet a
+    partner, that is under shingles of two classes or more, where the rest of
+    the set can suffice for the smallest set under the shingle."""
+    p = prefixes.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
+    mark = F.xxhash64("cls")
+    g = p.groupBy("token").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("n").alias("least")).where("lo < hi")
+    r = p.join(g.select(F.col("token").alias("t"), "least"), F.col("token") == F.col("t"))
     other = F.greatest(F.col("least"), _ceil(F.col("n") * F.lit(pct), 100))
     r = r.where(F.col("n") - F.col("pos") >= needed(F.col("n"), other, pct))
-    return r.select("token", "cls", "n", "pos")
+    return r.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
 
 
 def leader_pairs(p: DataFrame, pct: int) -> DataFrame:
@@ -222,6 +224,13 @@ def set_rows(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
         run, "cls binary, n int, bins array<int>, members binary").dropDuplicates(["cls"])
 
 
+def paired_sets(docs: DataFrame, pairs: DataFrame, stands: DataFrame, size: int) -> DataFrame:
+    """The sets of the classes in ``pairs``, read again from the text of the
+    row that stands for each."""
+    cls = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    return saved(set_rows(docs, cls.join(stands, "cls").select("key"), size), "members")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold."""
     small = sets.select("cls", "n", "bins")
@@ -251,15 +260,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, pct: int = 80, bits: int
     described = saved(describe_sets(d, size, bits), "sets")
     rows = described.where("bucket IS NULL").select("key", "doc_id", "n", "cls")
     order = sketch(described, bits)
-    prefixes = saved(live_rows(prefix_rows(d, order, size, pct), pct), "prefixes")
+    prefixes = saved(live_rows(saved(prefix_rows(d, order, size, pct), "prefixes"), pct), "live")
     # one row stands for each class
     stands = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"))
     first = saved(leader_pairs(prefixes, pct), "pairs")
-    sets = saved(set_rows(d, prefixes.select("cls").distinct().join(stands, "cls").select("key"), size), "members")
-    links = saved(verified(first, sets, pct), "verified")
+    links = saved(verified(first, paired_sets(d, first, stands, size), pct), "verified")
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    second = cross_pairs(prefixes, comp, pct).join(first, ["a", "b"], "left_anti")
-    more = saved(verified(second, sets, pct), "verified")
+    second = saved(cross_pairs(prefixes, comp, pct).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = saved(verified(second, paired_sets(d, second, stands, size), pct), "verified")
     whole = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     r = rows.join(whole.withColumnRenamed("node", "u"), F.col("cls") == F.col("u"), "left").select(
         "key", "doc_id", "n", "cls", F.coalesce("component", "cls").alias("group"))
