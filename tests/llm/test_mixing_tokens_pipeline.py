@@ -99,7 +99,7 @@ def test_pipeline_stages(spark, tmp_path):
     texts += [" ".join(w + "###" for w in prose(rng, 150).split()), "too short", None]
     docs = docs_frame(spark, texts)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels(spark, [(i, 1, 0) for i in range(30)]).write.parquet(f"{tmp_path}/labels.parquet")
+    labels(spark, [(i, 1, 0) for i in range(35)]).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     ids, d = {}, docs
     for name, stage in p.STAGES:
