@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.operators.ordering import running_sums, value_bucket
+from retentio.operators.ordering import range_bucketed, running_sums
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -65,36 +65,21 @@ def classification_report(confusion: DataFrame, by: list[str] | None = None,
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
-            by: list[str] | None = None, buckets: int = 4096,
-            materialize: bool = True) -> DataFrame:
+            by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC per group = P(s+ > s-) + ½·P(s+ = s-) (rank-sum with
     average ranks on ties). NULL when a group has only one class.
 
-    Scores are first reduced to per-(group, score) class counts; the number
-    of negatives below each score is an exact running sum over score buckets.
+    Scores are first reduced to per-(group, score) class counts, written once
+    in quantile ranges of (group, score); the number of negatives below each
+    score is an exact running sum over these ranges.
     """
     by = by or []
     s = F.col(score).cast("double")
     agg = (scored.where(s.isNotNull() & ~F.isnan(s) & F.col(label).isNotNull())
            .groupBy(*by, s.alias("_s"))
            .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
-    if materialize:
-        # the per-score counts feed three branches (range, offsets, rows);
-        # write them once to the checkpoint folder instead of recomputing the
-        # scored input three times
-        from retentio.session import checkpoint_dir
-        checkpoint_dir(scored.sparkSession)
-        agg = agg.checkpoint(eager=True)
-    rng = agg.groupBy(*by).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    # one row per group: bounded by the number of groups
-    if by:
-        b = agg.join(F.broadcast(rng), by)
-    else:
-        lo_hi = rng.first()
-        b = agg.withColumn("_lo", F.lit(lo_hi["_lo"])).withColumn("_hi", F.lit(lo_hi["_hi"]))
-    b = b.withColumn("_b", value_bucket(F.col("_s"), F.col("_lo"), F.col("_hi"), buckets))
-    # groups are features or model names: a bounded set
-    r = running_sums(b, by, "_b", [F.col("_s")], {"_neg": F.col("_neg")}, bounded_groups=True)
+    b = range_bucketed(agg, [*by, "_s"], "_b", buckets)
+    r = running_sums(b, by, "_b", [F.col("_s")], {"_neg": F.col("_neg")})
     contrib = F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg"))
     res = r.groupBy(*by).agg(F.sum(contrib).alias("_u"), F.sum("_pos").alias("n_pos"),
                              F.sum("_neg").alias("n_neg"))

@@ -1,9 +1,10 @@
 """Ingest operators for user / repository records.
 
 * projections of API-shaped records (profile fields, repository fields);
-* ``assemble_users``: profile + nested repositories + activity metrics; a
-  record holds at most ``max_repos`` repositories, heavier users are split
-  into several record parts, so no user is ever collected whole into a row;
+* ``assemble_users``: profile + nested repositories + activity metrics in
+  record parts of at most ``max_repos`` repositories: every user has part 0,
+  and part k holds the repositories ranked k·max_repos and up, so no user is
+  ever collected whole into a row;
 * ``upsert_users``: keyed merge (case-insensitive login), latest batch and
   latest position win, position = first appearance;
 * validity filters of the feature layer.
@@ -11,12 +12,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.dates import to_timestamp_any
-from retentio.functions.numbers import bad_number
+from retentio.functions.numbers import bad_number, number_or_zero
 from retentio.schemas import PROFILE_FIELDS
 
 # Repository fields kept from an API repository object, in order,
@@ -50,54 +51,41 @@ def activity_metrics(repos: DataFrame, as_of, key: str = "login",
                      days: int = ACTIVITY_DAYS) -> DataFrame:
     """Collector-side counts per key: total repositories, Σ stars, Σ forks,
     active (whole days since push <= 180, future pushes included) and
-    inactive (older, missing or unparsable push)."""
+    inactive (older, missing or unparsable push). Counters that do not cast
+    add 0 here; ``reject_bad_numbers`` drops their users."""
     ref = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
     pushed = to_timestamp_any(F.col("pushed_at"), repos.schema["pushed_at"].dataType)
     whole_days = F.floor((F.unix_seconds(ref) - F.unix_seconds(pushed)) / 86400)
     active = pushed.isNotNull() & (whole_days <= days)
     return repos.groupBy(key).agg(
         F.count(F.lit(1)).alias("total_repositories"),
-        F.coalesce(F.sum(F.col("stargazers_count").cast("long")), F.lit(0)).alias("total_stars_received"),
-        F.coalesce(F.sum(F.col("forks_count").cast("long")), F.lit(0)).alias("total_forks_received"),
+        F.sum(number_or_zero(F.col("stargazers_count"), repos.schema["stargazers_count"].dataType)
+              ).alias("total_stars_received"),
+        F.sum(number_or_zero(F.col("forks_count"), repos.schema["forks_count"].dataType)
+              ).alias("total_forks_received"),
         F.count_if(active).alias("active_repositories"),
         F.count_if(~active).alias("inactive_repositories"))
 
 
 def assemble_users(users: DataFrame, repos: DataFrame, as_of=None, key: str = "login",
-                   repo_key: str = "repo_id", max_repos: int = MAX_REPOS_PER_RECORD,
-                   materialize: bool = True) -> DataFrame:
+                   repo_key: str = "repo_id", max_repos: int = MAX_REPOS_PER_RECORD) -> DataFrame:
     """Raw user records: profile + metrics + ``repositories`` array + part.
 
-    Users without repositories get one record with an empty array; users
-    absent from ``users`` get none. A user with more than ``max_repos``
-    repositories is split into parts 1, 2, … of ``max_repos`` consecutive
-    repositories in id order (exact rank from bucketed running counts, so the
-    heavy user's rows are ordered in many tasks); the metrics are the user's
-    totals on every part.
-
-    ``materialize`` writes the flat repositories once to the checkpoint
-    folder: the metrics, the light / heavy split and the rank offsets all
-    read them, instead of recomputing the joins behind them several times
-    (and a lost executor does not send the job back to the sources).
+    One layout for every user: part = ⌊rank / max_repos⌋ of the user's
+    repositories in id order (an exact rank over quantile ranges, so a heavy
+    user's rows are ordered in many tasks). Part 0 always exists, with an
+    empty array for users without repositories; all parts carry the profile
+    and the user's total metrics. Users absent from ``users`` get none.
     """
-    from retentio.operators.ordering import ordered_rank
-    from retentio.session import checkpoint_dir
-    if materialize:
-        checkpoint_dir(repos.sparkSession)
-        repos = repos.checkpoint(eager=True)
-    metrics = activity_metrics(repos, as_of, key)
-    repo_cols = [c for c in repos.columns if c != key]
-    sized = repos.join(metrics.select(key, "total_repositories"), key)
-    light = (sized.where(F.col("total_repositories") <= max_repos)
-             .withColumn("part", F.lit(0).cast("long")))
-    heavy = ordered_rank(sized.where(F.col("total_repositories") > max_repos), [key], repo_key)
-    heavy = (heavy.withColumn("part", (F.floor(F.col("_rank") / max_repos) + 1).cast("long"))
-             .drop("_rank"))
-    tagged = light.unionByName(heavy)
-    nested = (tagged.groupBy(key, "part")
-              .agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in [repo_key] +
-                                                          [c for c in repo_cols if c != repo_key]])))
-                   .alias("repositories")))
+    from retentio.operators.ordering import range_bucketed, running_sums
+    # written once: the metrics, the rank offsets and the rows all read it
+    ranged = range_bucketed(repos, [key, repo_key])
+    metrics = activity_metrics(ranged.drop("_vb"), as_of, key)
+    ranked = running_sums(ranged, [key], "_vb", [F.col(repo_key)], {"_one": F.lit(1)})
+    part = F.floor(F.col("_one_before") / max_repos).cast("long").alias("part")
+    cols = [repo_key] + [c for c in repos.columns if c not in (key, repo_key)]
+    nested = (ranked.select(key, part, F.struct(*[F.col(c) for c in cols]).alias("_r"))
+              .groupBy(key, "part").agg(F.sort_array(F.collect_list("_r")).alias("repositories")))
     elem = nested.schema["repositories"].dataType
     records = (users.join(metrics, key, "left")
                .join(nested, key, "left")
@@ -109,6 +97,11 @@ def assemble_users(users: DataFrame, repos: DataFrame, as_of=None, key: str = "l
     return records
 
 
+def first_parts(records: DataFrame) -> DataFrame:
+    """One row per user: part 0 of every record."""
+    return records.where(F.col("part") == 0) if "part" in records.columns else records
+
+
 def valid_users(raw: DataFrame) -> DataFrame:
     """Rows with a non-empty login."""
     return raw.where(F.coalesce(F.col("login"), F.lit("")) != "")
@@ -132,7 +125,15 @@ def reject_bad_numbers(raw: DataFrame, column: str = "repositories") -> DataFram
             if f in st.fieldNames():
                 bad = bad | F.coalesce(F.exists(F.col(column), bad_repo(f, st[f].dataType)),
                                        F.lit(False))
-    return raw.where(~bad)
+    if "part" not in raw.columns:
+        return raw.where(~bad)
+    # one bad part drops all parts of the user (blank logins differ by id)
+    keys = [c for c in ("login", "id") if c in raw.columns]
+    gone = raw.where(bad).select(*[F.col(c).alias(f"_bad_{c}") for c in keys]).distinct()
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_bad_{c}"))
+    return raw.where(~bad).join(gone, same, "left_anti")
 
 
 def upsert_users(existing: DataFrame, incoming: DataFrame, key: str = "login") -> DataFrame:
@@ -146,15 +147,16 @@ def upsert_users(existing: DataFrame, incoming: DataFrame, key: str = "login") -
             .unionByName(incoming.withColumn("_batch", F.lit(1)), allowMissingColumns=True)
             .where(F.coalesce(F.col(key), F.lit("")) != "")
             .withColumn("_k", F.lower(F.col(key))))
-    w = Window.partitionBy("_k")
-    order = F.struct(F.col("_batch"), F.col("pos"))
-    won = (both.withColumn("_win", F.max(order).over(w))
-           .withColumn("_first", F.min(order).over(w))
-           .where(order == F.col("_win")))
-    return (won.withColumn("first_batch", F.col("_first._batch"))
-            .withColumn("first_pos", F.col("_first.pos"))
-            .drop("_win", "_first", "_k", "_batch"))
+    # only (key, batch, pos) is reduced; the records meet the winners by join
+    order = F.struct(F.col("_batch").alias("b"), F.col("pos").alias("p"))
+    best = both.groupBy("_k").agg(F.max(order).alias("_win"), F.min(order).alias("_first")).select(
+        F.col("_k").alias("_wk"), F.col("_win.b").alias("_wb"), F.col("_win.p").alias("_wp"),
+        F.col("_first.b").alias("first_batch"), F.col("_first.p").alias("first_pos"))
+    won = both.join(best, (F.col("_k") == F.col("_wk")) & (F.col("_batch") == F.col("_wb"))
+                    & (F.col("pos") == F.col("_wp")))
+    return won.drop("_k", "_batch", "_wk", "_wb", "_wp")
 
 
 def flatten_users(raw: DataFrame) -> DataFrame:
-    return raw.drop("repositories")
+    """One flat row per user: part 0 without its repositories."""
+    return first_parts(raw).drop("repositories")

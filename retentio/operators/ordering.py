@@ -4,6 +4,10 @@ Rows get a bucket that is monotone in the sort key. Per-bucket totals (at
 most groups × buckets rows) give each bucket its offset; only the rows of one
 bucket are then ordered together. Running counts and ranks stay exact while
 every window partition is a bucket, never a whole class or table.
+
+Buckets of values are Spark's range partitions: their boundaries are sampled
+quantiles of (group, value), so outliers and heavy groups do not crowd a
+bucket. Buckets of shuffles are leading digits of a hash.
 """
 
 from __future__ import annotations
@@ -11,37 +15,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKET_BITS = 16
-
+from retentio.session import small_side, write_once
 
-def hash_bucket(h: Column, bits: int = HASH_BUCKET_BITS) -> Column:
-    """Bucket of a signed 64-bit hash, monotone in the hash value."""
-    return (F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1))).cast("int")
+HASH_DIGITS = 3
 
 
-def value_bucket(v: Column, lo: Column, hi: Column, buckets: int = 4096) -> Column:
-    """Bucket of a double in [lo, hi], monotone in the value."""
-    width = hi - lo
-    b = F.when(width > 0, F.floor((v - lo) / width * buckets)).otherwise(F.lit(0))
-    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int")
+def range_bucketed(df: DataFrame, columns: list[str], bucket: str = "_vb",
+                   buckets: int | None = None) -> DataFrame:
+    """``df`` with a bucket number that is monotone in ``columns``: sampled
+    quantile ranges. Written once, because a recomputed sample may cut
+    elsewhere."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *columns).withColumn(bucket, F.spark_partition_id())
+    return write_once(ranged, "ranged")
 
 
 def running_sums(df: DataFrame, groups: list[str], bucket: str, order: list,
-                 values: dict[str, Column], bounded_groups: bool = False) -> DataFrame:
+                 values: dict[str, Column]) -> DataFrame:
     """Adds ``{name}_before`` = Σ value over rows of the same group that come
     earlier in (bucket, *order); exclusive, exact, bucket-local windows.
 
-    The offsets table has groups × buckets rows. With ``bounded_groups``
-    (classes, features, a fixed set of queries) it is broadcast; otherwise
-    the join strategy is left to AQE's runtime size check, and a shuffle join
-    on (group, bucket) also serves the bucket windows that follow.
+    The offsets table has groups × buckets rows. It is broadcast when a count
+    shows that it is small; otherwise a shuffle join on (group, bucket) also
+    serves the bucket windows that follow.
     """
     tot = df.groupBy(*groups, bucket).agg(*[F.sum(v).alias(k) for k, v in values.items()])
     w_off = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*groups, bucket,
-                         *[F.coalesce(F.sum(k).over(w_off), F.lit(0)).alias(f"{k}_off")
-                           for k in values])
-    joined = df.join(F.broadcast(offsets) if bounded_groups else offsets, [*groups, bucket])
+    offsets = small_side(tot.select(*groups, bucket,
+                                    *[F.coalesce(F.sum(k).over(w_off), F.lit(0)).alias(f"{k}_off")
+                                      for k in values]))
+    joined = df.join(offsets, [*groups, bucket])
     w_in = (Window.partitionBy(*groups, bucket).orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, -1))
     out = joined
@@ -52,25 +55,20 @@ def running_sums(df: DataFrame, groups: list[str], bucket: str, order: list,
 
 
 def hashed_rank(df: DataFrame, groups: list[str], key: Column, seed: int = 42,
-                bits: int = HASH_BUCKET_BITS) -> DataFrame:
+                digits: int = HASH_DIGITS) -> DataFrame:
     """0-based rank of each row inside its group, ordered by
-    (xxhash64(key, seed), key): a seeded shuffle that is exact and stable."""
-    h = F.xxhash64(key, F.lit(seed))
-    d = df.withColumn("_h", h).withColumn("_hb", hash_bucket(F.col("_h"), bits)) \
-          .withColumn("_hk", key.cast("string"))
-    # groups are class labels here: a bounded set
-    out = running_sums(d, groups, "_hb", [F.col("_h"), F.col("_hk")], {"_one": F.lit(1)},
-                       bounded_groups=True)
+    (md5 of key and seed, key): a seeded shuffle that is exact and stable."""
+    text = key.cast("string")
+    d = df.withColumn("_h", F.md5(F.concat(text, F.lit(f"|{seed}")))) \
+          .withColumn("_hb", F.substring("_h", 1, digits)).withColumn("_hk", text)
+    out = running_sums(d, groups, "_hb", [F.col("_h"), F.col("_hk")], {"_one": F.lit(1)})
     return out.withColumnRenamed("_one_before", "_rank").drop("_h", "_hb", "_hk")
 
 
-def ordered_rank(df: DataFrame, groups: list[str], order_col: str, buckets: int = 4096) -> DataFrame:
+def ordered_rank(df: DataFrame, groups: list[str], order_col: str,
+                 buckets: int | None = None) -> DataFrame:
     """0-based rank inside each group by ``order_col`` (ties by row order of
     the column value only; give a unique column for a strict order)."""
-    mm = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if mm["lo"] is None:
-        return df.withColumn("_rank", F.lit(None).cast("long"))
-    v = F.col(order_col).cast("double")
-    d = df.withColumn("_vb", value_bucket(v, F.lit(float(mm["lo"])), F.lit(float(mm["hi"])), buckets))
+    d = range_bucketed(df, [*groups, order_col], buckets=buckets)
     out = running_sums(d, groups, "_vb", [F.col(order_col)], {"_one": F.lit(1)})
     return out.withColumnRenamed("_one_before", "_rank").drop("_vb")

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from retentio.operators.ordering import hashed_rank
 
 
+MAX_CLASSES = 1000
+
+
 def _class_counts(df: DataFrame, label: str) -> dict:
-    # One row per class: bounded by the label's cardinality.
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    """Rows per class on the driver; a column with more than ``MAX_CLASSES``
+    values is no class label and raises."""
+    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values: not a class label")
+    return {r[0]: r[1] for r in rows}
 
 
 def allocate(counts: dict, n_draws: int) -> dict:

@@ -13,8 +13,8 @@ from retentio.schemas import FEATURES, LABELED, RAW_USER
 from retentio.session import scratch_path
 from retentio.sources import raw, sinks, tables, usernames
 
-# Record bound used by the nested queries: small enough that the fixture's
-# heavier users span several record parts.
+# Repositories per record part in the nested queries: small enough that many
+# users span several parts.
 RECORD_BOUND = 8
 ISO = "'%Y-%m-%dT%H:%M:%SZ'"
 AS_OF_TS = "TIMESTAMP '2001-08-01 00:00:00'"
@@ -38,12 +38,10 @@ met AS (
          count(*) FILTER (WHERE floor((epoch({AS_OF_TS}) - epoch(pushed_at)) / 86400) <= 180) AS active_repositories,
          count(*) FILTER (WHERE NOT (floor((epoch({AS_OF_TS}) - epoch(pushed_at)) / 86400) <= 180)) AS inactive_repositories
   FROM u_repos GROUP BY login),
-rcnt AS (SELECT login, count(*) AS n FROM u_repos GROUP BY login),
 rparts AS (
-  SELECT r.login, CAST(CASE WHEN c.n <= {RECORD_BOUND} THEN 0
-         ELSE (row_number() OVER (PARTITION BY r.login ORDER BY r.repo_id) - 1) // {RECORD_BOUND} + 1 END AS BIGINT) AS part,
-         r.repo_id
-  FROM u_repos r JOIN rcnt c USING (login)),
+  SELECT login, CAST((row_number() OVER (PARTITION BY login ORDER BY repo_id) - 1) // {RECORD_BOUND} AS BIGINT) AS part,
+         repo_id
+  FROM u_repos),
 parts AS (SELECT login, part, count(*) AS n_repos, min(repo_id) AS first_repo, max(repo_id) AS last_repo
           FROM rparts GROUP BY ALL),
 records AS (
@@ -119,7 +117,15 @@ def q_features_raw_json(spark, sf):
 
 
 @query("flatten_users", o.with_base(
-    f"SELECT {_SCAN_COLS}, CAST(NULL AS VARCHAR) AS public_gists, CAST(NULL AS VARCHAR) AS bio FROM records", API))
+    f"SELECT {_SCAN_COLS}, CAST(NULL AS VARCHAR) AS public_gists, CAST(NULL AS VARCHAR) AS bio FROM flat_users",
+    API + """,
+flat_users AS (
+  SELECT a.*, CAST(0 AS BIGINT) AS part, coalesce(m.total_repositories, 0) AS total_repositories,
+         coalesce(m.total_stars_received, 0) AS total_stars_received,
+         coalesce(m.total_forks_received, 0) AS total_forks_received,
+         coalesce(m.active_repositories, 0) AS active_repositories,
+         coalesce(m.inactive_repositories, 0) AS inactive_repositories
+  FROM api_users a LEFT JOIN met m USING (login))"""))
 def q_flatten_users(spark, sf):
     flat = ig.flatten_users(landed_json(spark, sf))
     path = sinks.write_csv(flat, scratch_path(spark, "flat_users"))
@@ -141,13 +147,13 @@ def dirty_records(spark, sf):
     repos = ig.project_repo(ar, keep=("login",)).withColumn(
         "stargazers_count", F.when(F.col("forks_count") == 7, F.lit("seven"))
         .otherwise(F.col("stargazers_count").cast("string")))
-    rec = ig.assemble_users(ig.project_user(u), repos, tables.ORDERS_AS_OF)
+    rec = ig.assemble_users(ig.project_user(u), repos, tables.ORDERS_AS_OF, max_repos=RECORD_BOUND)
     return rec.select(
         F.when(F.col("following") == 0, F.lit("")).when(F.col("following") == 1, F.lit(None))
         .otherwise(F.col("login")).alias("login"), "id",
         F.when(F.col("followers") % 10 == 7, F.concat(F.col("followers").cast("string"), F.lit("k")))
         .otherwise(F.col("followers").cast("string")).alias("followers"),
-        "following", "public_repos", "repositories")
+        "following", "public_repos", "repositories", "part")
 
 
 _DIRTY = """dirty AS (
@@ -158,14 +164,14 @@ bad_repo_users AS (SELECT DISTINCT login FROM u_repos WHERE forks_count = 7)"""
 
 @query("valid_users", o.with_base("SELECT login, id FROM dirty WHERE coalesce(login, '') <> ''", _DIRTY))
 def q_valid_users(spark, sf):
-    return ig.valid_users(dirty_records(spark, sf)).select("login", "id")
+    return ig.first_parts(ig.valid_users(dirty_records(spark, sf))).select("login", "id")
 
 
 @query("reject_bad_numbers", o.with_base(
     "SELECT login, id FROM dirty WHERE NOT bad_followers AND real_login NOT IN (SELECT login FROM bad_repo_users)",
     _DIRTY))
 def q_reject_bad_numbers(spark, sf):
-    return ig.reject_bad_numbers(dirty_records(spark, sf)).select("login", "id")
+    return ig.first_parts(ig.reject_bad_numbers(dirty_records(spark, sf))).select("login", "id")
 
 
 # --- upsert ------------------------------------------------------------------------
@@ -224,12 +230,9 @@ def q_load_usernames(spark, sf):
     return usernames.load_usernames(usernames.read_lines(spark, path)).select("username")
 
 
-SEARCH_MAX_PAGES = 10
-
-
-def search_pages(spark, sf, max_pages=SEARCH_MAX_PAGES, per_page=100):
-    """Landed search pages: query = nation name, items = the nation's orders
-    in key order (login spelled by order key), total_count = matches."""
+def search_pages(spark, sf, per_page=100):
+    """Landed search pages: query = nation name, items = all the nation's
+    orders in key order (login spelled by order key), total_count = matches."""
     from retentio.operators.ordering import ordered_rank
     o_ = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = tables.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
@@ -241,9 +244,8 @@ def search_pages(spark, sf, max_pages=SEARCH_MAX_PAGES, per_page=100):
                   .when(F.col("o_orderkey") % 3 == 1, F.upper("c_name"))
                   .otherwise(F.col("c_name")).alias("login")))
     ranked = ordered_rank(it, ["query"], "o_orderkey")
-    totals = it.groupBy("query").agg(F.count(F.lit(1)).alias("total_count"))
-    pages = (ranked.where(F.col("_rank") < (max_pages + 1) * per_page)
-             .withColumn("page", (F.floor(F.col("_rank") / per_page) + 1).cast("int"))
+    totals = ranked.groupBy("query").agg(F.count(F.lit(1)).alias("total_count"))
+    pages = (ranked.withColumn("page", (F.floor(F.col("_rank") / per_page) + 1).cast("int"))
              .groupBy("query", "page")
              .agg(F.sort_array(F.collect_list(F.struct(F.col("_rank"), F.col("login")))).alias("_it"))
              .join(totals, "query")
@@ -254,14 +256,14 @@ def search_pages(spark, sf, max_pages=SEARCH_MAX_PAGES, per_page=100):
     return raw.read_search_pages(spark, path)
 
 
-@query("search_logins_dedup", f"""
+@query("search_logins_dedup", """
 WITH it AS (
   SELECT n.n_name AS query, o.o_orderkey,
          CASE o.o_orderkey % 3 WHEN 0 THEN lower(c.c_name) WHEN 1 THEN upper(c.c_name) ELSE c.c_name END AS login,
          row_number() OVER (PARTITION BY n.n_name ORDER BY o.o_orderkey) - 1 AS rk,
          count(*) OVER (PARTITION BY n.n_name) AS total
   FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey),
-pg AS (SELECT query, rk // 100 + 1 AS page, rk % 100 AS pos, rk, login, total FROM it WHERE rk // 100 + 1 <= {SEARCH_MAX_PAGES}),
+pg AS (SELECT query, rk // 100 + 1 AS page, rk % 100 AS pos, rk, login, total FROM it),
 f AS (SELECT query, lower(login) AS k, min(rk) AS rk FROM pg GROUP BY ALL),
 fl AS (SELECT p.query, p.login, p.page, p.pos FROM pg p JOIN f ON f.query = p.query AND f.rk = p.rk),
 newp AS (SELECT query, page, count(*) AS new FROM fl GROUP BY ALL),
@@ -272,9 +274,9 @@ cum AS (SELECT p.query, p.page, p.nitems, p.total,
 stops AS (SELECT query, min(CASE WHEN nitems = 0 THEN page - 1 WHEN nitems < 100 THEN page
                                  WHEN seen >= total THEN page END) AS stop FROM cum GROUP BY query)
 SELECT fl.query, fl.login, CAST(fl.page AS INT) AS page, CAST(fl.pos AS INT) AS pos
-FROM fl JOIN stops USING (query) WHERE fl.page <= coalesce(stop, {SEARCH_MAX_PAGES})""")
+FROM fl JOIN stops USING (query) WHERE stop IS NULL OR fl.page <= stop""")
 def q_search_logins_dedup(spark, sf):
-    return usernames.search_logins(search_pages(spark, sf), max_pages=SEARCH_MAX_PAGES)
+    return usernames.search_logins(search_pages(spark, sf))
 
 
 # --- sinks -----------------------------------------------------------------------------
@@ -361,17 +363,26 @@ def _stream_batches(spark, sf):
     stale = (base.where(F.col("id") % 5 == 0)
              .withColumn("followers", F.col("followers") + 9)
              .withColumn("scraped_at", F.lit(ts.format(d="2001-07-30"))))
-    return [b0, b1, b2, stale]
+    # one file with two spellings of a login: the later row wins
+    again = base.where(F.col("id") % 7 == 0).withColumn("scraped_at", F.lit(ts.format(d="2001-08-04")))
+    twice = (again.withColumn("followers", F.col("followers") + 3).withColumn("_nth", F.lit(0))
+             .unionByName(again.withColumn("login", F.upper("login"))
+                          .withColumn("followers", F.col("followers") + 4).withColumn("_nth", F.lit(1)))
+             .coalesce(1).sortWithinPartitions("id", "_nth", "part").drop("_nth"))
+    return [b0, b1, b2, stale, twice]
 
 
 @query("incremental_ingest", o.with_base("""
-SELECT login, CAST(f AS VARCHAR) AS followers, scraped_at FROM (
-  SELECT login, arg_max(followers, scraped_at) AS f, max(scraped_at) AS scraped_at FROM (
+SELECT l AS login, CAST(f AS VARCHAR) AS followers, scraped_at, n_repos FROM (
+  SELECT lower(login) AS k, arg_max(login, scraped_at) AS l, arg_max(followers, scraped_at) AS f,
+         max(scraped_at) AS scraped_at FROM (
     SELECT login, followers, '2001-08-01T00:00:00+00:00' AS scraped_at FROM u_users
     UNION ALL SELECT login, followers + 1, '2001-08-02T00:00:00+00:00' FROM u_users WHERE id % 2 = 0
     UNION ALL SELECT login, followers + 2, '2001-08-03T00:00:00+00:00' FROM u_users WHERE id % 3 = 0
-    UNION ALL SELECT login, followers + 9, '2001-07-30T00:00:00+00:00' FROM u_users WHERE id % 5 = 0)
-  GROUP BY login)"""))
+    UNION ALL SELECT login, followers + 9, '2001-07-30T00:00:00+00:00' FROM u_users WHERE id % 5 = 0
+    UNION ALL SELECT upper(login), followers + 4, '2001-08-04T00:00:00+00:00' FROM u_users WHERE id % 7 = 0)
+  GROUP BY lower(login))
+LEFT JOIN (SELECT lower(login) AS k, public_repos AS n_repos FROM u_users) USING (k)"""))
 def q_incremental_ingest(spark, sf):
     from retentio.streaming.ingest import ingest_available
     landing = scratch_path(spark, "landing")
@@ -380,7 +391,8 @@ def q_incremental_ingest(spark, sf):
     log = scratch_path(spark, "ingest_log")
     ckpt = scratch_path(spark, "ingest_ckpt")
     cur = ingest_available(spark, landing + "/*", log, ckpt)
-    return cur.select("login", "followers", "scraped_at")
+    return (cur.groupBy("login", "followers", "scraped_at")
+            .agg(F.sum(size_or_zero("repositories")).alias("n_repos")))
 
 
 @query("collection_summary", o.with_base("""
@@ -388,11 +400,10 @@ SELECT count(*) AS users, CAST(sum(total_repositories) AS BIGINT) AS total_repos
        round(avg(total_repositories), 6) AS avg_repositories, round(avg(followers), 6) AS avg_followers,
        CAST(sum(active_repositories) AS BIGINT) AS active_repositories,
        CAST(sum(inactive_repositories) AS BIGINT) AS inactive_repositories
-FROM records WHERE part <= 1""", API))
+FROM records WHERE part = 0""", API))
 def q_collection_summary(spark, sf):
     from retentio.operators.stats import collection_summary
-    # the first part of every record carries the user's metrics once
-    return collection_summary(landed_json(spark, sf).where(F.col("part") <= 1))
+    return collection_summary(ig.first_parts(landed_json(spark, sf)))
 
 
 @query("preview", o.with_base("SELECT * FROM labeled_v ORDER BY login LIMIT 8"))

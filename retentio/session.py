@@ -77,6 +77,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/retentio-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_once(df, name: str):
+    """Write ``df`` under the checkpoint folder and read it back: what reads
+    it next neither recomputes it nor depends on the executors that made it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df) -> None:
+    """Delete the folder behind a table that :func:`write_once` made."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/retentio-scratch/" in f}:
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def small_side(df, most: int = 500_000):
+    """A join side marked for broadcast if it has at most ``most`` rows
+    (written once and counted), else left to a shuffled join."""
+    from pyspark.sql import functions as F
+    df = write_once(df, "side")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def local_path(path: str) -> str:
     """Strip a file: scheme for local existence checks."""
     return path[len("file:"):] if path.startswith("file:") else path
@@ -91,5 +117,5 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 __all__ = ["build_session", "prepare_session", "checkpoint_dir", "scratch_path",
-           "path_exists", "local_path"]
+           "path_exists", "local_path", "write_once", "drop_written", "small_side"]
 

@@ -30,18 +30,21 @@ def load_usernames(lines: DataFrame) -> DataFrame:
     return first.select("f.username", "f._file", "f._block", "f._row")
 
 
-def search_logins(pages: DataFrame, max_pages: int = 5, per_page: int = 100,
-                  query: str = "query") -> DataFrame:
+def search_logins(pages: DataFrame, per_page: int = 100, query: str = "query",
+                  max_pages: int | None = None) -> DataFrame:
     """Logins from landed search pages (query, page, total_count, items).
 
-    Per query, pages are read in order up to ``max_pages``: reading stops
-    before a missing page, at an empty page, after the first short page, and
-    after the first page at which the distinct logins so far reach
-    ``total_count``. Only string logins count; case-insensitive first-wins
-    de-duplication. Per-page tables hold at most queries × max_pages rows.
+    Per query, all pages are read in order (up to ``max_pages`` where a caller
+    sets that limit): reading stops before a missing page, at an empty page,
+    after the first short page, and after the first page at which the distinct
+    logins so far reach ``total_count``. Only string logins count;
+    case-insensitive first-wins de-duplication. Windows run over one row per
+    page.
     """
     from pyspark.sql import Window
-    p = pages.where((F.col("page") >= 1) & (F.col("page") <= max_pages))
+    p = pages.where(F.col("page") >= 1)
+    if max_pages is not None:
+        p = p.where(F.col("page") <= max_pages)
     from retentio.functions.numbers import size_or_zero
     n_items = size_or_zero("items")
     items = (p.select(query, "page", F.posexplode("items").alias("pos", "item"))
@@ -65,5 +68,5 @@ def search_logins(pages: DataFrame, max_pages: int = 5, per_page: int = 100,
         .when(F.col("_seen") >= F.col("total_count"), F.col("page"))
     stops = pg.groupBy(query).agg(F.min(stop_at).alias("_stop"))
     return (first.join(stops, query)
-            .where(F.col("page") <= F.coalesce(F.col("_stop"), F.lit(max_pages)))
+            .where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
             .select(query, "login", "page", "pos"))

@@ -10,15 +10,20 @@ not the size of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.schemas import RAW_USER
 
 
+# Position of a record in the landed files, kept in the log.
+POSITION = ["_file", "_block", "_row"]
+
+
 def _append_batch(log_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id))
+        (batch.withColumn("_row", F.monotonically_increasing_id())
+         .withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(log_path))
     return write
@@ -29,19 +34,61 @@ def start_ingest(spark: SparkSession, landing: str, log_path: str, checkpoint: s
     """Start an ``availableNow`` stream: every file present is processed, in
     batches of ``files_per_trigger`` files, then the query stops."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .json(landing))
+              .json(landing)
+              .select("*", F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block")))
     return (stream.writeStream.foreachBatch(_append_batch(log_path))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def current_users(spark: SparkSession, log_path: str, key: str = "login") -> DataFrame:
-    """Latest record per lower(login); all parts of the winning record."""
+def current_users(spark: SparkSession, log_path: str, key: str = "login",
+                  base: str | None = None) -> DataFrame:
+    """Latest record per lower(login), with all its parts: the latest
+    ``scraped_at``, then the latest batch, then the latest place in the batch.
+
+    The winner is found on (login, stamp) alone: the part 0 that comes last.
+    Its parts are the rows of the same spelling, stamp and batch; where a
+    record is there twice, the later row of each part counts. ``base`` is a
+    table written by :func:`compact`; only later batches are then read from
+    the log.
+    """
+    return _latest(_rows(spark, log_path, base, key), key).drop(*POSITION)
+
+
+def compact(spark: SparkSession, log_path: str, path: str, key: str = "login",
+            base: str | None = None) -> str:
+    """Write the current records with their stamps to ``path``, to read in
+    place of the batches up to now."""
+    _latest(_rows(spark, log_path, base, key), key).write.parquet(path)
+    return path
+
+
+def _rows(spark, log_path, base, key):
     log = spark.read.parquet(log_path).where(F.coalesce(F.col(key), F.lit("")) != "")
-    stamp = F.struct(F.col("scraped_at"), F.col("batch_id"))
-    w = Window.partitionBy(F.lower(F.col(key)))
-    return (log.withColumn("_best", F.max(stamp).over(w))
-            .where(stamp == F.col("_best")).drop("_best"))
+    if base is None:
+        return log
+    old = spark.read.parquet(base)
+    last = old.agg(F.max("batch_id")).first()[0]
+    return old.unionByName(log.where(F.col("batch_id") > F.lit(-1 if last is None else last)))
+
+
+def _latest(log: DataFrame, key: str) -> DataFrame:
+    part = F.coalesce(F.col("part"), F.lit(0)) if "part" in log.columns else F.lit(0)
+    rows = log.withColumn("_k", F.lower(F.col(key))).withColumn("_part", part)
+    win = rows.where("_part = 0").groupBy("_k").agg(
+        F.max(F.struct("scraped_at", "batch_id", *POSITION, key)).alias("w")).select(
+        F.col("_k").alias("wk"), F.col(f"w.{key}").alias("wl"), F.col("w.scraped_at").alias("ws"),
+        F.col("w.batch_id").alias("wb"))
+    same = ((F.col("_k") == F.col("wk")) & (F.col(key) == F.col("wl")) & (F.col("batch_id") == F.col("wb"))
+            & F.col("scraped_at").eqNullSafe(F.col("ws")))
+    rows = rows.join(win, same)
+    place = rows.groupBy("_k", "_part").agg(F.max(F.struct(*POSITION)).alias("p")).select(
+        F.col("_k").alias("pk"), F.col("_part").alias("pp"), *[F.col(f"p.{c}").alias(f"p{c}") for c in POSITION])
+    at = (F.col("_k") == F.col("pk")) & (F.col("_part") == F.col("pp"))
+    for c in POSITION:
+        at = at & (F.col(c) == F.col(f"p{c}"))
+    return rows.join(place, at).select(*log.columns)
 
 
 def ingest_available(spark: SparkSession, landing: str, log_path: str, checkpoint: str,

@@ -67,4 +67,4 @@ def test_assemble_bounds_parts_and_keeps_users_without_repos(spark):
         F.lit(1).alias("stargazers_count"), F.lit(0).alias("forks_count"))
     rec = assemble_users(users, repos, None, max_repos=10)
     got = {(r.login, r.part): r.n for r in rec.select("login", "part", F.size("repositories").alias("n")).collect()}
-    assert got == {("a", 1): 10, ("a", 2): 10, ("a", 3): 3, ("b", 0): 2, ("c", 0): 0}
+    assert got == {("a", 0): 10, ("a", 1): 10, ("a", 2): 3, ("b", 0): 2, ("c", 0): 0}

@@ -3,7 +3,7 @@ per group, including a group that holds most rows."""
 
 from pyspark.sql import functions as F
 
-from retentio.operators.ordering import hashed_rank, ordered_rank, running_sums, value_bucket
+from retentio.operators.ordering import hashed_rank, ordered_rank, range_bucketed, running_sums
 
 
 def test_ordered_rank_is_exact_for_a_hot_group(spark):
@@ -15,10 +15,18 @@ def test_ordered_rank_is_exact_for_a_hot_group(spark):
     for g, grp in pdf.groupby("g"):
         expect = grp["v"].rank(method="first").astype(int) - 1
         assert (grp["_rank"].values == expect.values).all()
-    # the hot group is spread over many (group, bucket) window partitions
-    buckets = df.select(value_bucket(F.col("v").cast("double"), F.lit(0.0), F.lit(30010.0)).alias("b")) \
-                .where(F.col("b").isNotNull()).distinct().count()
-    assert buckets > 1000
+
+
+def test_outliers_and_hot_groups_do_not_crowd_a_bucket(spark):
+    rows, n = 40_000, 16
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.lit("rest")).alias("g"),
+        F.when(F.col("id") == 5, F.lit(1e18)).otherwise(F.col("id") * 7919 % 40009 * 1.0).alias("v"))
+    sizes = [r["count"] for r in range_bucketed(df, ["g", "v"], buckets=n).groupBy("_vb").count().collect()]
+    assert len(sizes) >= n - 2 and max(sizes) < 3 * rows / n
+    got = ordered_rank(df, ["g"], "v", buckets=n).toPandas()
+    for _, grp in got.groupby("g"):
+        assert (grp["_rank"].values == (grp["v"].rank(method="first").astype(int) - 1).values).all()
 
 
 def test_hashed_rank_is_a_permutation_per_group(spark):
