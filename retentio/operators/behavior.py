@@ -1,11 +1,12 @@
 """Behavioural churn features over event, ticket and billing tables.
 
 All features are per user at an explicit ``as_of`` timestamp and use only
-rows before it. Time frames are conditional aggregates in one pass per
-source (no per-user window over raw events). Sessions are split on a gap
-> 30 minutes using (user, 30-minute bucket) partitions plus the previous
-bucket's last event, so a user with a huge history never lands whole in
-one task.
+rows before it; every user with an event before ``as_of`` has a row. The event
+features come from one pass: events are reduced to (user, 30-minute bucket)
+rows with conditional aggregates, sessions (gap > 30 minutes) are counted by
+looking at each bucket and the one before it, and a second aggregation sums
+the buckets per user. No window or join touches raw events, so a user with a
+huge history never lands whole in one task.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.session import write_once
+
 # Spec frames and cut-offs.
 SHORT_DAYS = 7
 MONTH_DAYS = 30
@@ -47,104 +50,127 @@ def _before(events: DataFrame, as_of, ts: str) -> DataFrame:
     return events.where(F.col(ts) < _ts(as_of))
 
 
-def velocity_ratio(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """actions(7 d) / (actions(30 d) / 4); NULL without actions in 30 d."""
-    e = _before(events, as_of, ts).where(F.col(ts) >= _since(as_of, MONTH_DAYS))
-    g = e.groupBy(user).agg(F.count_if(F.col(ts) >= _since(as_of, SHORT_DAYS)).alias("actions_7d"),
-                            F.count(F.lit(1)).alias("actions_30d"))
-    v = F.try_divide(F.col("actions_7d") * 4.0, F.col("actions_30d"))
-    return g.select(user, "actions_7d", "actions_30d", F.round(v, 6).alias("velocity_ratio"),
-                    (v < VELOCITY_ALERT).alias("velocity_alert"))
+def event_profile(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
+                  kind: str = "event_type", essential=ESSENTIAL_MODULES, value_action: str = VALUE_ACTION,
+                  error: str = ERROR_EVENT, gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
+    """Per user with an event before ``as_of``: counts and firsts behind all
+    event features.
 
+    actions_7d, actions_30d, modules_used, value_actions, active_days (last 30
+    days), errors_14d, sessions_14d (sessions started in the last 14 days),
+    signup and first_value (timestamps).
 
-def feature_breadth(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                    module: str = "event_type", essential=ESSENTIAL_MODULES,
-                    approximate: bool = False) -> DataFrame:
-    """Distinct essential modules used in the last 30 days / number of
-    essential modules; band low (<= 0.2) / medium / high (> 0.7).
-    ``approximate`` uses a HyperLogLog++ sketch instead of an exact count."""
-    e = (_before(events, as_of, ts).where(F.col(ts) >= _since(as_of, MONTH_DAYS))
-         .where(F.col(module).isin(list(essential))))
-    distinct = F.approx_count_distinct(module) if approximate else F.count_distinct(module)
-    g = e.groupBy(user).agg(distinct.alias("modules_used"))
-    b = F.col("modules_used") / F.lit(float(len(essential)))
-    return g.select(user, "modules_used", F.round(b, 6).alias("feature_breadth"),
-                    F.when(b <= BREADTH_LOW, "low").when(b > BREADTH_HIGH, "high")
-                    .otherwise("medium").alias("breadth_band"))
-
-
-def core_action_intensity(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                          kind: str = "event_type", value_action: str = VALUE_ACTION) -> DataFrame:
-    """Value actions in the last 30 days / distinct active days in them."""
-    e = _before(events, as_of, ts).where(F.col(ts) >= _since(as_of, MONTH_DAYS))
-    g = e.groupBy(user).agg(F.count_if(F.col(kind) == value_action).alias("value_actions"),
-                            F.count_distinct(F.to_date(ts)).alias("active_days"))
-    return g.select(user, "value_actions", "active_days",
-                    F.round(F.try_divide(F.col("value_actions").cast("double"), F.col("active_days")), 6)
-                    .alias("core_action_intensity"))
-
-
-def session_starts(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                   order: str = "event_id", gap_minutes: int = SESSION_GAP_MINUTES,
-                   since_days: int | None = None) -> DataFrame:
-    """Adds ``session_start``: the user's previous event (by ts, then
-    ``order``) is missing or more than ``gap_minutes`` earlier.
-
-    Only the bucket just before an event's bucket can hold a previous event
-    within the gap, so each (user, bucket) is ordered on its own and its
-    first event looks up the last timestamp of the user's previous bucket.
-
-    With ``since_days`` only events of the last ``since_days`` days are
-    returned, and only events from one gap before that are read: an older
-    event is more than a gap before every returned one, so it cannot change
-    a flag. The time filter reaches the scan.
+    A bucket is as wide as the session gap, so only its first event can start
+    a session, and only the bucket before can hold an event within the gap.
+    Every bucket row is sent to its own key and, as predecessor, to the next
+    bucket's key; one aggregation brings the two together. Active days are
+    bits of a number, modules flags.
     """
     gap = gap_minutes * 60
-    src = events
-    if since_days is not None:
-        src = events.where(F.col(ts) >= _since(as_of, since_days) - F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(gap_minutes)))
-    e = (_before(src, as_of, ts)
-         .withColumn("_sec", F.unix_seconds(F.col(ts).cast("timestamp")))
-         .withColumn("_bkt", F.floor(F.col("_sec") / gap)))
-    last = e.groupBy(user, "_bkt").agg(F.max("_sec").alias("_prev_bucket_last")) \
-            .withColumn("_bkt", F.col("_bkt") + 1)
-    w = Window.partitionBy(user, "_bkt").orderBy(ts, order)
-    prev = F.coalesce(F.lag("_sec").over(w), F.col("_prev_bucket_last"))
-    out = (e.join(last, [user, "_bkt"], "left")
-           .withColumn("session_start", prev.isNull() | (F.col("_sec") - prev > gap))
-           .drop("_sec", "_bkt", "_prev_bucket_last"))
-    if since_days is not None:
-        out = out.where(F.col(ts) >= _since(as_of, since_days))
-    return out
-
-
-def error_rate_severity(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                        kind: str = "event_type", error: str = ERROR_EVENT,
-                        order: str = "event_id") -> DataFrame:
-    """Errors in the last 14 days / sessions started in them."""
-    s = session_starts(events, as_of, user, ts, order, since_days=ERROR_DAYS)
-    g = s.groupBy(user).agg(F.count_if(F.col(kind) == error).alias("errors_14d"),
-                            F.count_if("session_start").alias("sessions_14d"))
-    return g.select(user, "errors_14d", "sessions_14d",
-                    F.round(F.try_divide(F.col("errors_14d").cast("double"), F.col("sessions_14d")), 6)
-                    .alias("error_rate_severity"))
-
-
-def ghosting_rate(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                  kind: str = "event_type", value_action: str = VALUE_ACTION) -> DataFrame:
+    t, k = F.col(ts), F.col(kind)
+    month, errors_from = _since(as_of, MONTH_DAYS), _since(as_of, ERROR_DAYS)
+    recent = t >= month
+    sec = F.unix_seconds(t.cast("timestamp"))
+    day = F.datediff(F.to_date(_ts(as_of)), F.to_date(t))
+    e = _before(events, as_of, ts).withColumn("_bkt", F.floor(sec / gap))
+    b = e.groupBy(user, "_bkt").agg(
+        F.count_if(t >= _since(as_of, SHORT_DAYS)).alias("actions_7d"), F.count_if(recent).alias("actions_30d"),
+        *[F.max(recent & (k == m)).alias(f"_m{i}") for i, m in enumerate(essential)],
+        F.count_if(recent & (k == value_action)).alias("value_actions"),
+        F.bit_or(F.when(recent, F.call_function("shiftleft", F.lit(1).cast("long"), day))).alias("_days"),
+        F.count_if((t >= errors_from) & (k == error)).alias("errors_14d"),
+        F.min(F.when(t >= errors_from, sec)).alias("_first"), F.max(F.when(t < errors_from, sec)).alias("_older"),
+        F.max(sec).alias("_last"), F.min(t).alias("signup"), F.min(F.when(k == value_action, t)).alias("first_value"))
+    rest = [c for c in b.columns if c not in (user, "_bkt", "_last")]
+    both = b.select(user, F.explode(F.array(
+        F.struct(F.col("_bkt").alias("at"), F.struct(*rest).alias("own"), F.lit(None).cast("long").alias("prev")),
+        F.struct((F.col("_bkt") + 1).alias("at"), F.lit(None).cast(b.select(F.struct(*rest)).schema[0].dataType).alias("own"),
+                 F.col("_last").alias("prev")))).alias("x")).select(user, "x.at", "x.prev", "x.own.*")
+    sums = ["actions_7d", "actions_30d", "value_actions", "errors_14d"]
+    j = both.groupBy(user, "at").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.max(f"_m{i}").alias(f"_m{i}") for i in range(len(essential))],
+        F.bit_or("_days").alias("_days"), F.min("_first").alias("_first"),
+        F.max(F.coalesce("_older", "prev")).alias("_prev"), F.max("_older").alias("_older"),
+        F.min("signup").alias("signup"), F.min("first_value").alias("first_value"))
+    # an older event of the same bucket is nearer than the bucket before
+    before = F.coalesce(F.col("_older"), F.col("_prev"))
+    starts = F.col("_first").isNotNull() & (before.isNull() | (F.col("_first") - before > gap))
+    used = [F.coalesce(F.max(f"_m{i}").cast("int"), F.lit(0)) for i in range(len(essential))]
+    return j.groupBy(user).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+        reduce(lambda x, y: x + y, used).cast("long").alias("modules_used"),
+        F.bit_count(F.coalesce(F.bit_or("_days"), F.lit(0).cast("long"))).cast("long").alias("active_days"),
+        F.count_if(starts).alias("sessions_14d"), F.min("signup").alias("signup"),
+        F.min("first_value").alias("first_value"))
+
+
+def _ratio(a, b):
+    return F.try_divide(F.col(a).cast("double"), F.col(b))
+
+
+def event_features(profile: DataFrame, as_of, n_modules: int = len(ESSENTIAL_MODULES)) -> dict:
+    """Columns of every event feature over :func:`event_profile`."""
+    v = F.try_divide(F.col("actions_7d") * 4.0, F.col("actions_30d"))
+    b = F.col("modules_used") / F.lit(float(n_modules))
+    ref = F.to_date(_ts(as_of))
+    since = F.datediff(ref, F.to_date("signup"))
+    to_value = F.datediff(F.to_date("first_value"), F.to_date("signup"))
+    return {
+        "velocity": [F.col("actions_7d"), F.col("actions_30d"), F.round(v, 6).alias("velocity_ratio"),
+                     (v < VELOCITY_ALERT).alias("velocity_alert")],
+        "breadth": [F.col("modules_used"), F.round(b, 6).alias("feature_breadth"),
+                    F.when(b <= BREADTH_LOW, "low").when(b > BREADTH_HIGH, "high").otherwise("medium")
+                    .alias("breadth_band")],
+        "intensity": [F.col("value_actions"), F.col("active_days"),
+                      F.round(_ratio("value_actions", "active_days"), 6).alias("core_action_intensity")],
+        "errors": [F.col("errors_14d"), F.col("sessions_14d"),
+                   F.round(_ratio("errors_14d", "sessions_14d"), 6).alias("error_rate_severity")],
+        "ghosting": [since.alias("days_since_signup"), to_value.alias("days_to_first_value"),
+                     F.when(F.col("first_value").isNull(), since).otherwise(since - to_value).alias("ghosting_rate")],
+    }
+
+
+def _feature(events, as_of, name, user, **kw):
+    p = event_profile(events, as_of, user, **kw)
+    return p.select(user, *event_features(p, as_of, len(kw.get("essential", ESSENTIAL_MODULES)))[name])
+
+
+def velocity_ratio(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    """actions(7 d) / (actions(30 d) / 4); NULL without actions in 30 d."""
+    return _feature(events, as_of, "velocity", user, **kw)
+
+
+def feature_breadth(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    """Distinct essential modules used in the last 30 days / number of
+    essential modules (0 without any); band low (<= 0.2) / medium / high
+    (> 0.7)."""
+    return _feature(events, as_of, "breadth", user, **kw)
+
+
+def core_action_intensity(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    """Value actions in the last 30 days / distinct active days in them; NULL
+    without an active day."""
+    return _feature(events, as_of, "intensity", user, **kw)
+
+
+def error_rate_severity(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    """Errors in the last 14 days / sessions started in them; NULL without a
+    session."""
+    return _feature(events, as_of, "errors", user, **kw)
+
+
+def ghosting_rate(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
     """Days since signup − days from signup to the first value action
     (= days since the first value action); without one, days since signup.
     Signup = the user's first event. Both terms are returned too."""
-    e = _before(events, as_of, ts)
-    g = e.groupBy(user).agg(F.min(ts).alias("_signup"),
-                            F.min(F.when(F.col(kind) == value_action, F.col(ts))).alias("_first_value"))
-    ref = F.to_date(_ts(as_of))
-    since = F.datediff(ref, F.to_date("_signup"))
-    to_value = F.datediff(F.to_date("_first_value"), F.to_date("_signup"))
-    return g.select(user, since.alias("days_since_signup"), to_value.alias("days_to_first_value"),
-                    F.when(F.col("_first_value").isNull(), since).otherwise(since - to_value)
-                    .alias("ghosting_rate"))
+    return _feature(events, as_of, "ghosting", user, **kw)
+
+
+def all_event_features(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    """All five event features from one pass over the events."""
+    p = event_profile(events, as_of, user, **kw)
+    f = event_features(p, as_of, len(kw.get("essential", ESSENTIAL_MODULES)))
+    return p.select(user, *[c for part in f.values() for c in part])
 
 
 def support_friction(tickets: DataFrame, as_of, user: str = "user_id", opened: str = "opened",
@@ -156,7 +182,8 @@ def support_friction(tickets: DataFrame, as_of, user: str = "user_id", opened: s
                        & (F.to_date(closed) <= F.to_date(ref)))
          .withColumn("_h", (F.unix_seconds(F.col(closed).cast("timestamp"))
                             - F.unix_seconds(F.col(opened).cast("timestamp"))) / 3600.0))
-    per_user = t.groupBy(user).agg(F.sum("_h").alias("_sum"), F.count(F.lit(1)).alias("tickets"))
+    # written once: the company mean and the users' rows both read it
+    per_user = write_once(t.groupBy(user).agg(F.sum("_h").alias("_sum"), F.count(F.lit(1)).alias("tickets")), "tickets")
     tot = per_user.agg(F.sum("_sum").alias("s"), F.sum("tickets").alias("n")).first()
     company = (tot["s"] / tot["n"]) if tot["n"] else None
     mean_h = F.col("_sum") / F.col("tickets")
@@ -185,6 +212,15 @@ def downgrade_momentum(billing: DataFrame, as_of, user: str = "user_id", ts: str
                     .alias("downgrade_momentum"))
 
 
+def write_snapshot(snapshot: DataFrame, as_of, path: str) -> str:
+    """Write one day's features into the dated table at ``path``; a day that
+    is there is replaced, other days stay."""
+    day = as_of.date() if isinstance(as_of, _dt.datetime) else as_of
+    (snapshot.withColumn("snapshot_date", F.lit(day)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path))
+    return path
+
+
 def renewal_danger_zone(contracts: DataFrame, as_of, user: str = "user_id",
                         end: str = "end_date") -> DataFrame:
     """Days from as_of to the contract end; alert below 30."""
@@ -206,6 +242,7 @@ def scaled_features(df: DataFrame, columns: list[str], key: str = "user_id",
     """NULL → ``fill``, then z-score with the sample standard deviation
     (constant columns → 0). Means and deviations are p driver scalars."""
     filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(fill)).alias(c) for c in columns])
+    filled = write_once(filled, "filled")  # read by the moments and by the result
     st = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
                     *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]).first()
     out = [key]

@@ -3,6 +3,8 @@ contracts) and the daily snapshot."""
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import functions as F
 
 from retentio.operators import behavior as bh
@@ -14,119 +16,126 @@ from retentio.sources import tables
 
 EV = tables.EVENTS_AS_OF
 ORD = tables.ORDERS_AS_OF
-T0 = "TIMESTAMP '2024-01-31 00:00:00'"
-D0 = "DATE '2024-01-31'"
-OT0 = "TIMESTAMP '2001-08-01 00:00:00'"
-
-
-def _since(days):
-    return f"({T0} - INTERVAL {days} DAY)"
-
-
-SQL_VELOCITY = f"""SELECT user_id, count(*) FILTER (WHERE ts >= {_since(7)}) AS actions_7d, count(*) AS actions_30d,
-  round(count(*) FILTER (WHERE ts >= {_since(7)}) * 4.0 / count(*), 6) AS velocity_ratio,
-  count(*) FILTER (WHERE ts >= {_since(7)}) * 4.0 / count(*) < 0.5 AS velocity_alert
-FROM events WHERE ts >= {_since(30)} AND ts < {T0} GROUP BY user_id"""
-
-SQL_BREADTH = f"""SELECT user_id, count(DISTINCT event_type) AS modules_used,
-  round(count(DISTINCT event_type) / 5.0, 6) AS feature_breadth,
-  CASE WHEN count(DISTINCT event_type) / 5.0 <= 0.2 THEN 'low' WHEN count(DISTINCT event_type) / 5.0 > 0.7 THEN 'high'
-       ELSE 'medium' END AS breadth_band
-FROM events WHERE ts >= {_since(30)} AND ts < {T0}
-  AND event_type IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY user_id"""
 
-SQL_INTENSITY = f"""SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS value_actions,
-  count(DISTINCT CAST(ts AS DATE)) AS active_days,
-  round(count(*) FILTER (WHERE event_type = 'purchase') / count(DISTINCT CAST(ts AS DATE)), 6) AS core_action_intensity
-FROM events WHERE ts >= {_since(30)} AND ts < {T0} GROUP BY user_id"""
 
-SQL_ERRORS = f"""SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors_14d,
-  count(*) FILTER (WHERE prev IS NULL OR epoch(ts) - epoch(prev) > 1800) AS sessions_14d,
-  round(count(*) FILTER (WHERE event_type = 'error')
-        / nullif(count(*) FILTER (WHERE prev IS NULL OR epoch(ts) - epoch(prev) > 1800), 0), 6) AS error_rate_severity
-FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events WHERE ts < {T0})
-WHERE ts >= {_since(14)} GROUP BY user_id"""
-
-SQL_GHOST = f"""SELECT user_id, CAST(s AS INT) AS days_since_signup, CAST(v AS INT) AS days_to_first_value,
+def _event_sql(as_of):
+    """The five event features over all users with an event before ``as_of``."""
+    t0 = f"TIMESTAMP '{as_of}'"
+    d0 = f"CAST({t0} AS DATE)"
+
+    def since(days):
+        return f"ts >= {t0} - INTERVAL {days} DAY"
+
+    seen = f"events WHERE ts < {t0}"
+    breadth = f"count(DISTINCT event_type) FILTER (WHERE {since(30)} AND event_type IN ('click', 'error', 'purchase', 'signup', 'view'))"
+    days = f"count(DISTINCT CAST(ts AS DATE)) FILTER (WHERE {since(30)})"
+    sessions = f"count(*) FILTER (WHERE {since(14)} AND (prev IS NULL OR epoch(ts) - epoch(prev) > 1800))"
+    errors = f"count(*) FILTER (WHERE {since(14)} AND event_type = 'error')"
+    value = f"count(*) FILTER (WHERE {since(30)} AND event_type = 'purchase')"
+    return {
+        "velocity": f"""SELECT user_id, a7 AS actions_7d, a30 AS actions_30d, round(a7 * 4.0 / nullif(a30, 0), 6) AS velocity_ratio,
+  a7 * 4.0 / nullif(a30, 0) < 0.5 AS velocity_alert
+FROM (SELECT user_id, count(*) FILTER (WHERE {since(7)}) AS a7, count(*) FILTER (WHERE {since(30)}) AS a30 FROM {seen} GROUP BY user_id)""",
+        "breadth": f"""SELECT user_id, m AS modules_used, round(m / 5.0, 6) AS feature_breadth,
+  CASE WHEN m / 5.0 <= 0.2 THEN 'low' WHEN m / 5.0 > 0.7 THEN 'high' ELSE 'medium' END AS breadth_band
+FROM (SELECT user_id, {breadth} AS m FROM {seen} GROUP BY user_id)""",
+        "intensity": f"""SELECT user_id, {value} AS value_actions, {days} AS active_days,
+  round({value} / nullif({days}, 0), 6) AS core_action_intensity FROM {seen} GROUP BY user_id""",
+        "errors": f"""SELECT user_id, {errors} AS errors_14d, {sessions} AS sessions_14d,
+  round({errors} / nullif({sessions}, 0), 6) AS error_rate_severity
+FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM {seen}) GROUP BY user_id""",
+        "ghosting": f"""SELECT user_id, CAST(s AS INT) AS days_since_signup, CAST(v AS INT) AS days_to_first_value,
   CAST(CASE WHEN v IS NULL THEN s ELSE s - v END AS INT) AS ghosting_rate
-FROM (SELECT user_id, {D0} - CAST(min(ts) AS DATE) AS s,
+FROM (SELECT user_id, {d0} - CAST(min(ts) AS DATE) AS s,
              CAST(min(ts) FILTER (WHERE event_type = 'purchase') AS DATE) - CAST(min(ts) AS DATE) AS v
-      FROM events WHERE ts < {T0} GROUP BY user_id)"""
-
-SQL_FRICTION = f"""WITH t AS (
-  SELECT o.o_custkey AS user_id, (epoch(l.closed) - epoch(o.o_orderdate)) / 3600.0 AS h
+      FROM {seen} GROUP BY user_id)""",
+    }
+
+
+def _order_sql(as_of, shift=0):
+    """Ticket, billing and contract features; order dates moved by ``shift``."""
+    t0, d0 = f"TIMESTAMP '{as_of} 00:00:00'", f"DATE '{as_of}'"
+    at, closed = f"(o.o_orderdate + INTERVAL {shift} DAY)", f"(l.closed + INTERVAL {shift} DAY)"
+    month = f"date_trunc('month', {at})"
+    m0 = f"date_trunc('month', {d0})"
+    return {
+        "friction": f"""WITH t AS (
+  SELECT o.o_custkey AS user_id, (epoch({closed}) - epoch({at})) / 3600.0 AS h
   FROM orders o JOIN (SELECT l_orderkey, max(l_shipdate) AS closed FROM lineitem GROUP BY l_orderkey) l
     ON l.l_orderkey = o.o_orderkey
-  WHERE o.o_orderdate < {OT0} AND CAST(l.closed AS DATE) <= DATE '2001-08-01'),
+  WHERE {at} < {t0} AND CAST({closed} AS DATE) <= {d0}),
 u AS (SELECT user_id, count(*) AS tickets, sum(h) / count(*) AS m FROM t GROUP BY user_id)
 SELECT user_id, tickets, round(m, 6) AS mean_hours_to_close,
-       round(m / (SELECT sum(h) / count(*) FROM t), 6) AS support_friction FROM u"""
-
-SQL_MOMENTUM = """SELECT user_id, current_spend,
+       round(m / (SELECT sum(h) / count(*) FROM t), 6) AS support_friction FROM u""",
+        "momentum": f"""SELECT user_id, current_spend,
   CAST(current_spend - prior / 3 AS DECIMAL(18,2)) AS downgrade_momentum FROM (
   SELECT o_custkey AS user_id,
-    CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE date_trunc('month', o_orderdate) = DATE '2001-08-01'), 0) AS DECIMAL(18,2)) AS current_spend,
-    coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE date_trunc('month', o_orderdate) < DATE '2001-08-01'
-             AND date_trunc('month', o_orderdate) >= DATE '2001-05-01'), 0) AS prior
-  FROM orders WHERE date_trunc('month', o_orderdate) <= DATE '2001-08-01' GROUP BY o_custkey)"""
+    CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE {month} = {m0}), 0) AS DECIMAL(18,2)) AS current_spend,
+    coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE {month} < {m0} AND {month} >= {m0} - INTERVAL 3 MONTH), 0) AS prior
+  FROM orders o WHERE {month} <= {m0} GROUP BY o_custkey)""",
+        "renewal": f"""SELECT user_id, CAST(end_date - {d0} AS INT) AS days_to_renewal, end_date - {d0} < 30 AS renewal_alert
+FROM (SELECT o_custkey AS user_id, CAST(max({at}) AS DATE) + 365 AS end_date FROM orders o
+      WHERE CAST({at} AS DATE) <= {d0} GROUP BY o_custkey)""",
+    }
 
-SQL_RENEWAL = """SELECT user_id, CAST(end_date - DATE '2001-08-01' AS INT) AS days_to_renewal,
-  end_date - DATE '2001-08-01' < 30 AS renewal_alert
-FROM (SELECT o_custkey AS user_id, CAST(max(o_orderdate) AS DATE) + 365 AS end_date FROM orders
-      WHERE CAST(o_orderdate AS DATE) <= DATE '2001-08-01' GROUP BY o_custkey)"""
 
+EVENT_SQL = _event_sql("2024-01-31 00:00:00")
+ORDER_SQL = _order_sql("2001-08-01")
 
-@query("velocity_ratio", SQL_VELOCITY)
+
+@query("velocity_ratio", EVENT_SQL["velocity"])
 def q_velocity(spark, sf):
     return bh.velocity_ratio(tables.events(spark, sf), EV)
 
 
-@query("feature_breadth", SQL_BREADTH)
+@query("feature_breadth", EVENT_SQL["breadth"])
 def q_breadth(spark, sf):
     return bh.feature_breadth(tables.events(spark, sf), EV)
 
 
-@query("core_action_intensity", SQL_INTENSITY)
+@query("core_action_intensity", EVENT_SQL["intensity"])
 def q_intensity(spark, sf):
     return bh.core_action_intensity(tables.events(spark, sf), EV)
 
 
-@query("error_rate_severity", SQL_ERRORS)
+@query("error_rate_severity", EVENT_SQL["errors"])
 def q_errors(spark, sf):
     return bh.error_rate_severity(tables.events(spark, sf), EV)
 
 
-@query("ghosting_rate", SQL_GHOST)
+@query("ghosting_rate", EVENT_SQL["ghosting"])
 def q_ghost(spark, sf):
     return bh.ghosting_rate(tables.events(spark, sf), EV)
 
 
-@query("support_friction", SQL_FRICTION)
+@query("support_friction", ORDER_SQL["friction"])
 def q_friction(spark, sf):
     return bh.support_friction(bi.tickets(spark, sf), ORD)
 
 
-@query("downgrade_momentum", SQL_MOMENTUM)
+@query("downgrade_momentum", ORDER_SQL["momentum"])
 def q_momentum(spark, sf):
     return bh.downgrade_momentum(bi.billing(spark, sf), ORD)
 
 
-@query("renewal_danger_zone", SQL_RENEWAL)
+@query("renewal_danger_zone", ORDER_SQL["renewal"])
 def q_renewal(spark, sf):
     return bh.renewal_danger_zone(bi.contracts(spark, sf), ORD)
 
 
-def snapshot_parts(spark, sf):
-    ev = tables.events(spark, sf)
-    return [bh.velocity_ratio(ev, EV), bh.feature_breadth(ev, EV), bh.core_action_intensity(ev, EV),
-            bh.error_rate_severity(ev, EV), bh.ghosting_rate(ev, EV),
-            bh.support_friction(bi.tickets(spark, sf), ORD),
-            bh.downgrade_momentum(bi.billing(spark, sf), ORD),
-            bh.renewal_danger_zone(bi.contracts(spark, sf), ORD)]
+# Two days of the dated feature table.
+SNAPSHOTS = (EV - _dt.timedelta(days=16), EV)
+
+
+def snapshot_parts(spark, sf, as_of):
+    """All sources on the events' clock, all features at one ``as_of``."""
+    shift, day = bi.TO_EVENT_CLOCK, as_of.date()
+    return [bh.all_event_features(tables.events(spark, sf), as_of),
+            bh.support_friction(bi.tickets(spark, sf, shift), day),
+            bh.downgrade_momentum(bi.billing(spark, sf, shift), day),
+            bh.renewal_danger_zone(bi.contracts(spark, sf, day, shift=shift), day)]
 
 
-_SNAP_PARTS = [SQL_VELOCITY, SQL_BREADTH, SQL_INTENSITY, SQL_ERRORS, SQL_GHOST, SQL_FRICTION,
-               SQL_MOMENTUM, SQL_RENEWAL]
 _SNAP_COLS = ["actions_7d", "actions_30d", "velocity_ratio", "velocity_alert", "modules_used",
               "feature_breadth", "breadth_band", "value_actions", "active_days", "core_action_intensity",
               "errors_14d", "sessions_14d", "error_rate_severity", "days_since_signup",
@@ -136,22 +145,25 @@ _SNAP_COLS = ["actions_7d", "actions_30d", "velocity_ratio", "velocity_alert", "
 
 
 def _snapshot_sql():
-    ctes = ",\n".join(f"p{i} AS ({s})" for i, s in enumerate(_SNAP_PARTS))
-    unions = "\nUNION ALL BY NAME\n".join(f"SELECT * FROM p{i}" for i in range(len(_SNAP_PARTS)))
-    aggs = ", ".join(f"max({c}) AS {c}" for c in _SNAP_COLS)
-    return f"""WITH {ctes},
+    days = []
+    for as_of in SNAPSHOTS:
+        sql = [*_event_sql(as_of).values(), *_order_sql(as_of.date(), bi.TO_EVENT_CLOCK).values()]
+        ctes = ",\n".join(f"p{i} AS ({q})" for i, q in enumerate(sql))
+        unions = "\nUNION ALL BY NAME\n".join(f"SELECT * FROM p{i}" for i in range(len(sql)))
+        aggs = ", ".join(f"max({c}) AS {c}" for c in _SNAP_COLS)
+        days.append(f"""SELECT * FROM (WITH {ctes},
 u AS ({unions})
-SELECT user_id, {aggs}, '2024-01-31' AS snapshot_date FROM u GROUP BY user_id"""
+SELECT user_id, {aggs}, '{as_of.date()}' AS snapshot_date FROM u GROUP BY user_id)""")
+    return "\nUNION ALL\n".join(days)
 
 
 @query("user_features_snapshot", _snapshot_sql())
 def q_snapshot(spark, sf):
-    snap = bh.user_features_snapshot(snapshot_parts(spark, sf)).withColumn(
-        "snapshot_date", F.lit(EV.date()))
+    """Two days written into one dated table, the first of them twice."""
     path = scratch_path(spark, "user_features_snapshot")
-    (snap.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("snapshot_date").parquet(path))
-    back = spark.read.parquet(path).where(F.col("snapshot_date") == F.lit(EV.date()))
+    for as_of in (SNAPSHOTS[0], SNAPSHOTS[1], SNAPSHOTS[0]):
+        bh.write_snapshot(bh.user_features_snapshot(snapshot_parts(spark, sf, as_of)), as_of, path)
+    back = spark.read.parquet(path)
     return back.select("user_id", *_SNAP_COLS,
                        F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date"))
 
