@@ -8,6 +8,7 @@ forests are deterministic only for a fixed partitioning."""
 from __future__ import annotations
 
 import statistics
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from retentio.operators.evaluation import classification_report, confusion_matrix, roc_auc
 from retentio.operators.split import stratified_folds, stratified_split, with_class_weights
 from retentio.schemas import ID_COLUMNS, LEAKY_COLUMNS, TARGET
+from retentio.session import write_once
 
 # Forest defaults of the training step.
 FOREST_DEFAULTS = dict(n_trees=200, max_depth=10, min_leaf=5, seed=42)
@@ -77,18 +79,21 @@ def positive_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array(F.col("probability"))[1])
 
 
-def _metrics(pred: DataFrame, target: str) -> dict:
-    conf = {(r["label"], r["prediction"]): r["n"]
-            for r in confusion_matrix(pred, target, "prediction").collect()}
-    tp, tn = conf.get((1, 1), 0), conf.get((0, 0), 0)
-    fp, fn = conf.get((0, 1), 0), conf.get((1, 0), 0)
-    n = tp + tn + fp + fn
-    prec = tp / (tp + fp) if tp + fp else 0.0
-    rec = tp / (tp + fn) if tp + fn else 0.0
-    auc = roc_auc(pred, target, "score").first()["roc_auc"]
-    return {"accuracy": (tp + tn) / n if n else 0.0,
-            "f1": 2 * prec * rec / (prec + rec) if prec + rec else 0.0,
-            "roc_auc": auc}
+def _metrics(pred: DataFrame, target: str, by: list[str]) -> dict:
+    """accuracy, f1 (class 1) and roc_auc per group: one confusion job and
+    one AUC for all groups."""
+    conf: dict = {}
+    for r in confusion_matrix(pred, target, "prediction", by).collect():
+        conf.setdefault(tuple(r[c] for c in by), {})[(r["label"], r["prediction"])] = r["n"]
+    auc = {tuple(r[c] for c in by): r["roc_auc"] for r in roc_auc(pred, target, "score", by).collect()}
+    out = {}
+    for g, c in conf.items():
+        tp, tn, fp, fn = (c.get(k, 0) for k in ((1, 1), (0, 0), (0, 1), (1, 0)))
+        prec = tp / (tp + fp) if tp + fp else 0.0
+        rec = tp / (tp + fn) if tp + fn else 0.0
+        out[g] = {"accuracy": (tp + tn) / (tp + tn + fp + fn),
+                  "f1": 2 * prec * rec / (prec + rec) if prec + rec else 0.0, "roc_auc": auc.get(g)}
+    return out
 
 
 def cross_validate(df: DataFrame, features: list[str], target: str = TARGET, key: str = "login",
@@ -102,15 +107,17 @@ def cross_validate(df: DataFrame, features: list[str], target: str = TARGET, key
     # written to the checkpoint folder: every fold reads it instead of
     # recomputing the ranked input, and a lost executor does not lose it
     data = stratified_folds(df, target, key, k, seed).repartition(key).checkpoint(eager=True)
-    scores = {}
+    scored = []
     for f in range(k):
-        tr = data.where(F.col("fold") != f)
-        va = data.where(F.col("fold") == f)
-        model = fit_forest(tr, features, target, seed=seed, **params)
-        for split, part in (("train", tr), ("validation", va)):
-            m = _metrics(positive_probability(model, part), target)
-            for name, v in m.items():
-                scores.setdefault((name, split), []).append(v)
+        model = fit_forest(data.where(F.col("fold") != f), features, target, seed=seed, **params)
+        split = F.when(F.col("fold") == f, "validation").otherwise("train")
+        scored.append(positive_probability(model, data).select(
+            F.lit(f).alias("_fold"), split.alias("_split"), target, "prediction", "score"))
+    scores: dict = {}
+    all_folds = write_once(reduce(DataFrame.unionByName, scored), "cv-scores")
+    for (_, split), m in sorted(_metrics(all_folds, target, ["_fold", "_split"]).items()):
+        for name, v in m.items():
+            scores.setdefault((name, split), []).append(v)
     rows = []
     for (name, split), vs in sorted(scores.items()):
         vs = [v for v in vs if v is not None]
@@ -139,9 +146,19 @@ def train_forest(df: DataFrame, features: list[str] | None = None, target: str =
 
 
 def holdout_report(pred: DataFrame, target: str = TARGET) -> DataFrame:
+    """Class report of hold-out predictions plus the rows ``roc_auc`` and
+    ``majority baseline`` (their value in every metric column) and the
+    leakage warning on the accuracy."""
+    pred = write_once(pred.select(target, "prediction", "score"), "holdout")
     rep = classification_report(confusion_matrix(pred, target, "prediction"))
-    return rep.withColumn("leakage_warning",
-                          (F.col("class") == "accuracy") & (F.col("f1") > LEAKAGE_ACCURACY))
+    rep = rep.withColumn("leakage_warning", (F.col("class") == "accuracy") & (F.col("f1") > LEAKAGE_ACCURACY))
+    n = pred.groupBy(F.col(target)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m"), F.sum("n").alias("n"))
+    base = n.select(F.lit("majority baseline").alias("class"), F.round(F.col("m") / F.col("n"), 4).alias("v"), "n")
+    auc = roc_auc(pred, target, "score").select(
+        F.lit("roc_auc").alias("class"), F.round("roc_auc", 4).alias("v"), (F.col("n_pos") + F.col("n_neg")).alias("n"))
+    more = auc.unionByName(base).select("class", *[F.col("v").alias(c) for c in ("precision", "recall", "f1")],
+                                        F.col("n").cast("long").alias("support"), F.lit(False).alias("leakage_warning"))
+    return rep.unionByName(more)
 
 
 def model_importance(model: PipelineModel, features: list[str], k: int = 10) -> DataFrame:

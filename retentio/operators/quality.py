@@ -41,14 +41,15 @@ def coerce_numeric(df: DataFrame, columns=None) -> DataFrame:
 
 
 def validate_features(df: DataFrame, columns=None) -> DataFrame:
-    """Label-side validation: coerce to numbers, ±inf → NULL (kept missing)."""
+    """Label-side validation: coerce to numbers, NaN and ±inf → NULL (kept
+    missing)."""
     columns = columns if columns is not None else [c for c in df.columns if c != "login"]
     df = coerce_numeric(df, columns)
     sch = df.schema
     out = []
     for f in sch.fields:
         if f.name in columns and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.when(F.abs(F.col(f.name)) != F.lit(INF), F.col(f.name)).alias(f.name))
+            out.append(finite_or_null(F.col(f.name)).cast(f.dataType).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -24,10 +24,11 @@ def prediction_features(features: DataFrame) -> DataFrame:
 
 def align_features(df: DataFrame, expected: list[str], keep: tuple[str, ...] = (),
                    leaky=tuple(LEAKY_COLUMNS)) -> DataFrame:
-    """Leaky columns dropped, missing expected columns added as 0.0, extra
-    columns dropped, order = ``expected`` (``keep`` columns pass through)."""
+    """Leaky columns dropped, missing expected columns added as 0.0, missing,
+    NaN and infinite values filled with 0.0, extra columns dropped, order = ``expected`` (``keep`` columns pass through)."""
     present = set(df.columns) - set(leaky)
-    cols = [F.col(c).cast("double").alias(c) if c in present else F.lit(0.0).alias(c)
+    from retentio.functions.numbers import finite_or_null
+    cols = [F.coalesce(finite_or_null(F.col(c)), F.lit(0.0)).alias(c) if c in present else F.lit(0.0).alias(c)
             for c in expected]
     return df.select(*[F.col(k) for k in keep], *cols)
 

@@ -79,7 +79,10 @@ def filter_selection_report(df: DataFrame, target: str = TARGET,
                             correlation_threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
     """Leak drop → numeric → variance filter → correlation filter on the
     survivors. One row per candidate feature with both decisions."""
+    from retentio.session import write_once
     feats = candidate_features(df, target)
+    # both filters read these columns: the source behind them runs once
+    df = write_once(df.select(*feats), "candidates")
     vr = variance_report(df, feats, variance_threshold)
     kept = _chosen(vr, "selected", True)
     if not kept:
@@ -95,6 +98,8 @@ def filter_selection_report(df: DataFrame, target: str = TARGET,
 
 def filter_selection(df: DataFrame, target: str = TARGET, **kw) -> tuple[DataFrame, list[str]]:
     """Selected dataset (chosen columns + target) and the chosen list."""
+    from retentio.session import write_once
+    df = write_once(df, "training")
     rep = filter_selection_report(df, target, **kw)
     chosen = _chosen(rep, "selected", True)
     return df.select(*chosen, target), chosen
@@ -143,8 +148,14 @@ def selection_consensus(sets: DataFrame, min_methods: int = 3) -> DataFrame:
 # --- model-based importances (MLlib) ---------------------------------------
 
 def _assembled(df: DataFrame, features: list[str], target: str):
+    """Model input, written once and dealt out by the row's values: fits read
+    it again and again, and depend on the rows alone, not on how they came."""
     from retentio.operators.model import assemble
-    return assemble(df, features, target)
+    from retentio.session import write_once
+    cols = [*features, target]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.select(*cols).repartition(n, *cols).sortWithinPartitions(*cols)
+    return assemble(write_once(d, "tree-input"), features, target)
 
 
 def tree_importance(df: DataFrame, target: str = TARGET, task: str = "classification",
@@ -185,25 +196,34 @@ def forest_importance(df: DataFrame, target: str = TARGET, task: str = "classifi
                                             model.featureImportances.toArray()))
 
 
-def _weights(est_name: str, task: str, data: DataFrame, n: int, seed: int):
+def _estimators(n: int, seed: int) -> dict:
+    """(task, estimator) → a fresh estimator and how to read its weights."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-    if task == "classification" and est_name == "rf":
-        m = RandomForestClassifier(numTrees=100, maxDepth=30, maxBins=256,
-                                   featureSubsetStrategy="sqrt", seed=seed, **DEEP_TREE).fit(data)
-        return list(m.featureImportances.toArray())
-    if task == "classification" and est_name == "logistic":
-        m = LogisticRegression(maxIter=5000, regParam=1.0 / n, elasticNetParam=0.0,
-                               standardization=False).fit(data)
-        return [float(x) ** 2 for x in m.coefficients.toArray()]
-    if task == "regression" and est_name == "rf":
-        m = RandomForestRegressor(numTrees=100, maxDepth=30, maxBins=256,
-                                  featureSubsetStrategy="all", seed=seed, **DEEP_TREE).fit(data)
+
+    def importances(m):
         return list(m.featureImportances.toArray())
-    if task == "regression" and est_name == "linear":
-        m = LinearRegression(regParam=0.0).fit(data)
+
+    def squares(m):
         return [float(x) ** 2 for x in m.coefficients.toArray()]
-    raise ValueError(f"unsupported combination: task={task}, estimator={est_name}")
+
+    return {
+        ("classification", "rf"): (lambda: RandomForestClassifier(
+            numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="sqrt", seed=seed, **DEEP_TREE), importances),
+        ("classification", "logistic"): (lambda: LogisticRegression(
+            maxIter=5000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False), squares),
+        ("regression", "rf"): (lambda: RandomForestRegressor(
+            numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="all", seed=seed, **DEEP_TREE), importances),
+        ("regression", "linear"): (lambda: LinearRegression(regParam=0.0), squares),
+    }
+
+
+def _weights(est_name: str, task: str, data: DataFrame, n: int, seed: int):
+    known = _estimators(n, seed)
+    if (task, est_name) not in known:
+        raise ValueError(f"no {est_name!r} estimator for {task}; known: {sorted(known)}")
+    make, read = known[(task, est_name)]
+    return read(make().fit(data))
 
 
 def rfe(df: DataFrame, n_features: int, target: str = TARGET, task: str = "classification",
@@ -216,8 +236,11 @@ def rfe(df: DataFrame, n_features: int, target: str = TARGET, task: str = "class
     p = len(features)
     if n_features > p:
         raise ValueError(f"n_features={n_features} exceeds the {p} available features")
-    base = df.select(*[F.col(c).cast("double") for c in features],
-                     F.col(target).cast("double").alias("label")).cache()
+    from retentio.session import write_once
+    cols = [*features, target]
+    d = df.select(*cols).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    base = write_once(d.sortWithinPartitions(*cols).select(
+        *[F.col(c).cast("double") for c in features], F.col(target).cast("double").alias("label")), "rfe-input")
     n = base.count()
     remaining = list(features)
     ranking = {}
@@ -231,7 +254,6 @@ def rfe(df: DataFrame, n_features: int, target: str = TARGET, task: str = "class
         rank -= 1
     for f in remaining:
         ranking[f] = 1
-    base.unpersist()
-    rows = [(f, i, ranking[f], ranking[f] == 1) for i, f in enumerate(features)]
+    rows = sorted(((f, i, ranking[f], ranking[f] == 1) for i, f in enumerate(features)), key=lambda r: (r[2], r[1]))
     return df.sparkSession.createDataFrame(
         rows, "feature string, ordinal int, ranking int, selected boolean")

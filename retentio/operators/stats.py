@@ -31,31 +31,40 @@ def _long(row_df: DataFrame, columns, fields) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, columns, probs=(0.25, 0.5, 0.75), buckets: int = 512,
-                    gather_limit: int = 50_000, max_rounds: int = 40, cache: bool = True,
-                    extra_aggs=()):
+                    cache: bool = True, extra_aggs=()):
     """Exact linear-interpolated quantiles (pandas / ``quantile_cont``).
 
     Returns ``({(column, prob): value}, stats_row)``; ``stats_row`` also holds
     ``extra_aggs`` evaluated on the NaN-free columns in the same first pass.
     Each round is one job: rank targets that search the same value range
     share one bucket histogram (at most ranges × buckets rows reach the
-    driver); a range holding at most ``gather_limit`` values is collected and
-    ordered on the driver.
+    driver), and a range shrinks to the least and largest value of the
+    target's bucket, until it holds one value. Infinite values are counted
+    apart and stand before and after all others; NaN counts as missing.
     """
     vals = df.select(*[nan_to_null(F.col(c)).alias(c) for c in columns])
     if cache:
         vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, extra_aggs)
+        return _exact_quantiles(vals, columns, probs, buckets, extra_aggs)
     finally:
         if cache:
             vals.unpersist()
 
 
-def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, extra_aggs):
+def _exact_quantiles(vals, columns, probs, buckets, extra_aggs):
+    inf = float("inf")
+
+    def finite(c):
+        return F.when(F.abs(F.col(c)) != inf, F.col(c))
+
     stats = vals.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
                      *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
                      *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
+                     *[F.min(finite(c)).alias(f"flo{i}") for i, c in enumerate(columns)],
+                     *[F.max(finite(c)).alias(f"fhi{i}") for i, c in enumerate(columns)],
+                     *[F.count_if(F.col(c) == -inf).alias(f"neg{i}") for i, c in enumerate(columns)],
+                     *[F.count_if(F.col(c) == inf).alias(f"pos{i}") for i, c in enumerate(columns)],
                      *extra_aggs).first()
     targets = {}
     for i, c in enumerate(columns):
@@ -65,9 +74,13 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, ex
         for q in probs:
             pos = (n - 1) * q
             for r in {math.floor(pos), min(math.floor(pos) + 1, n - 1)}:
-                targets[(i, r)] = {"lo": stats[f"lo{i}"], "hi": stats[f"hi{i}"], "below": 0,
-                                   "value": None}
-    for _ in range(max_rounds):
+                t = {"lo": stats[f"flo{i}"], "hi": stats[f"fhi{i}"], "below": stats[f"neg{i}"], "value": None}
+                if r < stats[f"neg{i}"]:
+                    t["value"] = -inf
+                elif r >= n - stats[f"pos{i}"]:
+                    t["value"] = inf
+                targets[(i, r)] = t
+    while True:
         for s in targets.values():
             if s["value"] is None and s["lo"] == s["hi"]:
                 s["value"] = s["lo"]
@@ -80,8 +93,10 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, ex
         parts = []
         for g, (i, lo, hi, _) in enumerate(ranges):
             v = F.col(columns[i])
-            b = F.least(F.floor((v - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * buckets),
-                        F.lit(buckets - 1))
+            # halves keep the width finite for any two doubles
+            width = float(hi) / 2 - float(lo) / 2
+            place = F.least((v / 2 - F.lit(float(lo) / 2)) / F.lit(width), F.lit(1.0)) if width else (v > lo).cast("double")
+            b = F.least(F.floor(place * buckets), F.lit(buckets - 1))
             parts.append(F.when((v >= lo) & (v <= hi),
                                 F.struct(F.lit(g).alias("g"), b.cast("int").alias("b"), v.alias("v"))))
         counts = (vals.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x"))
@@ -91,32 +106,15 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, ex
         hist: dict[int, list] = {}
         for row in counts.sort_values(["g", "b"]).to_dict("records"):
             hist.setdefault(int(row["g"]), []).append(row)
-        gather = {}
         for (i, r), s in open_t:
-            g = rid[(i, s["lo"], s["hi"], s["below"])]
             cum = s["below"]
-            for row in hist.get(g, []):
+            for row in hist.get(rid[(i, s["lo"], s["hi"], s["below"])], []):
                 if cum + row["n"] > r:
-                    if row["mn"] == row["mx"]:
-                        s["value"] = row["mn"]
-                    else:
-                        s["lo"], s["hi"], s["below"] = row["mn"], row["mx"], cum
-                        if row["n"] <= gather_limit:
-                            gather.setdefault((i, s["lo"], s["hi"]), []).append((r, s))
+                    if (row["mn"], row["mx"]) == (s["lo"], s["hi"]):
+                        raise ArithmeticError(f"{columns[i]}: the range {s['lo']}..{s['hi']} does not shrink")
+                    s["lo"], s["hi"], s["below"] = row["mn"], row["mx"], cum
                     break
                 cum += int(row["n"])
-        if gather:
-            # one pass collects the values of every narrowed range
-            keys = list(gather)
-            picks = [F.when((F.col(columns[i]) >= lo) & (F.col(columns[i]) <= hi),
-                            F.struct(F.lit(g).alias("g"), F.col(columns[i]).alias("v")))
-                     for g, (i, lo, hi) in enumerate(keys)]
-            got = (vals.select(F.explode(F.filter(F.array(*picks), lambda x: x.isNotNull())).alias("x"))
-                   .select("x.g", "x.v").toPandas())
-            by_g = {int(g): sorted(grp["v"].tolist()) for g, grp in got.groupby("g")}
-            for g, key in enumerate(keys):
-                for r, s in gather[key]:
-                    s["value"] = by_g[g][r - s["below"]]
     out = {}
     for i, c in enumerate(columns):
         n = stats[f"n{i}"]
@@ -128,7 +126,7 @@ def _exact_quantiles(vals, columns, probs, buckets, gather_limit, max_rounds, ex
             f = math.floor(pos)
             a = targets[(i, f)]["value"]
             b = targets[(i, min(f + 1, n - 1))]["value"]
-            out[(c, q)] = a + (b - a) * (pos - f)
+            out[(c, q)] = a if a == b or pos == f else a + (b - a) * (pos - f)
     return out, stats
 
 
@@ -183,33 +181,54 @@ def variance(df: DataFrame, columns=None) -> DataFrame:
     return _long(row, columns, ["variance"])
 
 
+def gram(df: DataFrame, columns) -> tuple:
+    """Pair counts, sums, cross sums and square sums of all column pairs over
+    the rows where both are present, and the shifts that were subtracted.
+
+    One pass: each row becomes the vector (x, present, x²) with zeros where x
+    is missing, and MLlib adds the outer products per partition (JVM, no
+    shuffle of rows); (3p)² sums reach the driver."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    from retentio.session import write_once
+    p = len(columns)
+    vals = write_once(df.select(*[nan_to_null(F.col(c)).alias(f"x{i}") for i, c in enumerate(columns)]), "gram")
+    means = vals.agg(*[F.avg(f"x{i}") for i in range(p)]).first()
+    shift = [0.0 if m is None or not math.isfinite(m) else m for m in means]
+    x = [F.coalesce(F.col(f"x{i}") - F.lit(shift[i]), F.lit(0.0)) for i in range(p)]
+    z = vals.select(*[v.alias(f"v{i}") for i, v in enumerate(x)],
+                    *[F.col(f"x{i}").isNotNull().cast("double").alias(f"m{i}") for i in range(p)],
+                    *[(v * v).alias(f"s{i}") for i, v in enumerate(x)])
+    rows = VectorAssembler(inputCols=z.columns, outputCol="z").transform(z).select("z")
+    g = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "z"), numCols=3 * p).computeGramianMatrix().toArray()
+    return g[p:2 * p, p:2 * p], g[:p, p:2 * p], g[:p, :p], g[2 * p:, p:2 * p], shift
+
+
 def correlation_pairs(df: DataFrame, columns=None) -> DataFrame:
     """Pearson r for all pairs i < j, pairwise-complete (rows where both are
-    present). A constant column gives NULL.
-    (feature_a, feature_b, ordinal_a, ordinal_b, corr).
-
-    Each row is expanded into its p(p-1)/2 (pair, x, y) entries and grouped by
-    pair: three aggregates per group instead of one very wide aggregate, and
-    map-side partial aggregation keeps the shuffle at pairs × partitions rows.
+    present). A column that is constant on those rows gives NULL.
+    (feature_a, feature_b, ordinal_a, ordinal_b, corr), from one Gram matrix.
     """
     from retentio.operators.quality import numeric_columns
     columns = list(columns) if columns is not None else numeric_columns(df)
-    vals = df.select(*[nan_to_null(F.col(c)).alias(c) for c in columns])
-    pairs = list(combinations(range(len(columns)), 2))
-    entries = F.array(*[F.struct(F.lit(k).alias("k"), F.col(columns[a]).alias("x"),
-                                 F.col(columns[b]).alias("y")) for k, (a, b) in enumerate(pairs)])
-    long = (vals.select(F.explode(entries).alias("e")).select("e.*")
-            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    stats = long.groupBy("k").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
-    spark = df.sparkSession
-    names = spark.createDataFrame(
-        [(k, columns[a], columns[b], a, b) for k, (a, b) in enumerate(pairs)],
-        "k int, feature_a string, feature_b string, ordinal_a int, ordinal_b int")
-    # names has one row per pair (p² bound): broadcast
-    return (F.broadcast(names).join(stats, "k", "left")
-            .select("feature_a", "feature_b", "ordinal_a", "ordinal_b",
-                    nan_to_null(F.col("corr")).alias("corr")))
+    n, total, cross, square, shift = gram(df, columns)
+
+    def corr(a, b):
+        if not n[a, b]:
+            return None
+        sa, sb = total[a, b], total[b, a]
+        va, vb = square[a, b] - sa * sa / n[a, b], square[b, a] - sb * sb / n[a, b]
+        # the shift's own rounding is no variance
+        if any(not v > 1e-24 * n[a, b] * (1e-30 + shift[k] ** 2) for v, k in ((va, a), (vb, b))):
+            return None
+        r = (cross[a, b] - sa * sb / n[a, b]) / math.sqrt(va * vb)
+        return float(r) if math.isfinite(r) else None
+
+    rows = [(columns[a], columns[b], a, b, corr(a, b)) for a, b in combinations(range(len(columns)), 2)]
+    return df.sparkSession.createDataFrame(
+        rows, "feature_a string, feature_b string, ordinal_a int, ordinal_b int, corr double")
 
 
 def target_distribution(df: DataFrame, target: str = "churn") -> DataFrame:

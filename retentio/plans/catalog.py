@@ -40,6 +40,36 @@ def features(spark, sf):
     return table_features(spark, sf)
 
 
+# Defects that the quality operators exist for, placed by user number: the same
+# expressions build the Spark frame and the SQL view.
+DEFECTS = {
+    "days_since_last_activity": "CASE WHEN k % 19 = 0 THEN -5 WHEN k % 19 = 1 THEN NULL ELSE days_since_last_activity END",
+    "repos_per_year": "CASE WHEN k % 11 = 0 THEN {nan} WHEN k % 11 = 1 THEN {inf} WHEN k % 11 = 2 THEN NULL "
+                      "WHEN k % 11 = 3 THEN -{inf} WHEN k % 11 = 4 THEN -repos_per_year - 1 ELSE repos_per_year END",
+    "active_repo_ratio": "CASE WHEN k % 13 = 0 THEN 1.5 WHEN k % 13 = 1 THEN -0.5 WHEN k % 13 = 2 THEN {nan} "
+                         "ELSE active_repo_ratio END",
+    "avg_stars_per_repo": "CASE WHEN k % 17 = 0 THEN -3.0 WHEN k % 17 = 1 THEN {inf} WHEN k % 17 = 2 THEN NULL "
+                          "ELSE avg_stars_per_repo END",
+}
+_KEY = "CAST(substr(login, -9) AS INT)"
+_SQL_VALUES = {"nan": "CAST('NaN' AS DOUBLE)", "inf": "CAST('Infinity' AS DOUBLE)"}
+DEFECTIVE_V = ("defective_v AS (SELECT login, " + ", ".join(
+    (f"CAST({DEFECTS[c].format(**_SQL_VALUES)} AS {'INT' if c.startswith('days') else 'DOUBLE'})" if c in DEFECTS else c)
+    + f" AS {c}" for c in FEATURE_COLUMNS) + f" FROM (SELECT *, {_KEY} AS k FROM features_v)),\n"
+    "dlabeled_v AS (SELECT *, CAST(CASE WHEN days_since_last_activity >= 0 THEN "
+    "CASE WHEN days_since_last_activity > 180 THEN 1 ELSE 0 END END AS TINYINT) AS churn FROM defective_v)")
+
+
+def defective(spark, sf):
+    """The feature table with NaN, ±inf, NULL, negative and out-of-range
+    values in every few users' rows."""
+    f = features(spark, sf).withColumn("k", F.substring("login", -9, 9).cast("int"))
+    types = dict(f.dtypes)
+    return f.select("login", *[
+        (F.expr(DEFECTS[c].format(nan="double('NaN')", inf="double('Infinity')")).cast(types[c]) if c in DEFECTS
+         else F.col(c)).alias(c) for c in FEATURE_COLUMNS])
+
+
 def labeled(spark, sf):
     return lb.label_users(features(spark, sf))
 
@@ -93,9 +123,9 @@ _ALL_NUM = FEATURE_COLUMNS + ["churn"]
 @query("quality_summary", o.with_base("\nUNION ALL\n".join(
     f"SELECT '{c}' AS feature, count(*) FILTER (WHERE isinf(CAST({c} AS DOUBLE))) AS n_inf, "
     f"count(*) FILTER (WHERE {c} IS NULL OR isnan(CAST({c} AS DOUBLE))) AS n_missing, "
-    f"count(*) FILTER (WHERE {c} < 0) AS n_negative FROM labeled_v" for c in _ALL_NUM)))
+    f"count(*) FILTER (WHERE {c} < 0) AS n_negative FROM dlabeled_v" for c in _ALL_NUM), DEFECTIVE_V))
 def q_quality_summary(spark, sf):
-    return qa.quality_summary(labeled(spark, sf)).withColumnRenamed("column", "feature")
+    return qa.quality_summary(lb.label_users(defective(spark, sf))).withColumnRenamed("column", "feature")
 
 
 @query("sanitise_features", o.with_base(
@@ -106,17 +136,17 @@ def q_quality_summary(spark, sf):
          f"CAST(greatest(coalesce(CASE WHEN isinf({c}) OR isnan({c}) THEN NULL ELSE {c} END, 0.0), 0.0) AS DOUBLE) AS {c}"
          if c in qa.NON_NEGATIVE_COLUMNS else
          f"CAST(coalesce(CASE WHEN isinf({c}) OR isnan({c}) THEN NULL ELSE {c} END, 0.0) AS DOUBLE) AS {c}")
-        for c in FEATURE_COLUMNS) + " FROM features_v"))
+        for c in FEATURE_COLUMNS) + " FROM defective_v", DEFECTIVE_V))
 def q_sanitise_features(spark, sf):
-    return qa.sanitise_features(features(spark, sf))
+    return qa.sanitise_features(defective(spark, sf))
 
 
 @query("validate_features", o.with_base(
     "SELECT login, days_since_last_activity, account_age_days, " + ", ".join(
-        f"CASE WHEN isinf({c}) THEN NULL ELSE {c} END AS {c}" for c in FEATURE_COLUMNS[2:])
-    + " FROM features_v"))
+        f"CASE WHEN isinf({c}) OR isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in FEATURE_COLUMNS[2:])
+    + " FROM defective_v", DEFECTIVE_V))
 def q_validate_features(spark, sf):
-    return qa.validate_features(features(spark, sf))
+    return qa.validate_features(defective(spark, sf))
 
 
 @query("numeric_only", o.with_base("SELECT * EXCLUDE (login) FROM labeled_v"))
@@ -127,10 +157,10 @@ def q_numeric_only(spark, sf):
 @query("model_matrix", o.with_base(
     "SELECT login, account_age_days, repos_per_year, followers_following_ratio, avg_stars_per_repo, "
     "avg_forks_per_repo, repo_activity_density, repository_maintenance_ratio, CAST(churn AS INT) AS churn "
-    "FROM labeled_v WHERE churn IS NOT NULL"))
+    "FROM dlabeled_v WHERE churn IS NOT NULL", DEFECTIVE_V))
 def q_model_matrix(spark, sf):
     from retentio.operators.model import model_matrix
-    return model_matrix(labeled(spark, sf))
+    return model_matrix(lb.label_users(defective(spark, sf)))
 
 
 @query("prediction_features", o.with_base(
@@ -143,13 +173,14 @@ def q_prediction_features(spark, sf):
 
 @query("align_features", o.with_base(
     "SELECT login, " + ", ".join(
-        f"CAST(0.0 AS DOUBLE) AS {c}" if c in ("active_repo_ratio", "inactive_repo_ratio") else f"CAST({c} AS DOUBLE) AS {c}"
-        for c in qa.RANGE_RULES) + " FROM features_v"))
+        f"CAST(0.0 AS DOUBLE) AS {c}" if c in ("active_repo_ratio", "inactive_repo_ratio") else
+        f"CASE WHEN {c} IS NULL OR isinf({c}) OR isnan({c}) THEN 0.0 ELSE CAST({c} AS DOUBLE) END AS {c}"
+        for c in qa.RANGE_RULES) + " FROM defective_v", DEFECTIVE_V))
 def q_align_features(spark, sf):
     from retentio.operators.scoring import align_features
     # scoring input keeps the key; the leaky columns are gone, so the two
     # payload ratios they feed are filled with 0.0
-    f = features(spark, sf)
+    f = defective(spark, sf)
     pf = f.drop("active_repo_ratio", "inactive_repo_ratio", "days_since_last_activity")
     return align_features(pf, list(qa.RANGE_RULES), keep=("login",))
 
@@ -166,12 +197,12 @@ def _range_sql():
     joined = f"concat_ws(',', {', '.join(parts)})"
     return o.with_base(f"""
 SELECT *, violations IS NULL AS valid FROM (
-  SELECT *, CASE WHEN {joined} = '' THEN NULL ELSE {joined} END AS violations FROM features_v)""")
+  SELECT *, CASE WHEN {joined} = '' THEN NULL ELSE {joined} END AS violations FROM defective_v)""", DEFECTIVE_V)
 
 
 @query("range_check", _range_sql())
 def q_range_check(spark, sf):
-    return qa.range_check(features(spark, sf))
+    return qa.range_check(defective(spark, sf))
 
 
 # --- statistics --------------------------------------------------------------
@@ -321,18 +352,23 @@ rk AS (SELECT *, row_number() OVER (ORDER BY rem DESC, churn) AS rr,
 tr AS (SELECT churn, n, CAST(base + CASE WHEN rr <= need THEN 1 ELSE 0 END AS BIGINT) AS n_tr FROM rk)""")
 
 
-@query("stratified_split", _SPLIT_SQL)
+_ORDERED = """o_rows AS (SELECT login, churn, row_number() OVER (
+    PARTITION BY churn ORDER BY md5(login || '|42'), login) - 1 AS rk FROM labeled_v WHERE churn IS NOT NULL)"""
+_SPLIT_ROWS = _SPLIT_SQL.replace("""
+SELECT churn, false AS is_test, n_tr AS n FROM tr
+UNION ALL SELECT churn, true AS is_test, n - n_tr AS n FROM tr""", f""",
+{_ORDERED}
+SELECT login, o_rows.churn, rk < n - n_tr AS is_test FROM o_rows JOIN tr ON tr.churn = o_rows.churn""")
+
+
+@query("stratified_split", _SPLIT_ROWS)
 def q_stratified_split(spark, sf):
-    return sp.stratified_split(labeled(spark, sf)).groupBy("churn", "is_test").agg(
-        F.count(F.lit(1)).alias("n"))
+    return sp.stratified_split(labeled(spark, sf)).select("login", "churn", "is_test")
 
 
-@query("stratified_folds", o.with_base("\nUNION ALL\n".join(
-    f"SELECT churn, CAST({f} AS INT) AS fold, n // 5 + CASE WHEN {f} < n % 5 THEN 1 ELSE 0 END AS n FROM cnt"
-    for f in range(5)), "cnt AS (SELECT churn, count(*) AS n FROM labeled_v WHERE churn IS NOT NULL GROUP BY churn)"))
+@query("stratified_folds", o.with_base("SELECT login, churn, CAST(rk % 5 AS INT) AS fold FROM o_rows", _ORDERED))
 def q_stratified_folds(spark, sf):
-    return sp.stratified_folds(labeled(spark, sf)).groupBy("churn", "fold").agg(
-        F.count(F.lit(1)).alias("n"))
+    return sp.stratified_folds(labeled(spark, sf)).select("login", "churn", "fold")
 
 
 @query("class_weights", o.with_base("""

@@ -74,13 +74,22 @@ def q_project_repo(spark, sf):
     return ig.project_repo(raw.api_repos(spark, sf))
 
 
-@query("activity_metrics", o.with_base("SELECT * FROM met", API))
+@query("activity_metrics", o.with_base("""
+SELECT login, total_repositories, CAST(s AS BIGINT) AS total_stars_received, total_forks_received,
+       active_repositories, inactive_repositories
+FROM met JOIN (SELECT login, sum(CASE WHEN forks_count = 7 THEN 0 ELSE coalesce(stargazers_count, 0) END) AS s
+               FROM u_repos GROUP BY login) USING (login)""", API))
 def q_activity_metrics(spark, sf):
-    ar = raw.api_repos(spark, sf)
-    return ig.activity_metrics(ig.project_repo(ar, keep=("login",)),
+    """Star counters as text, some of them words."""
+    return ig.activity_metrics(_worded_stars(ig.project_repo(raw.api_repos(spark, sf), keep=("login",))),
                                tables.ORDERS_AS_OF)
 
 
+def _worded_stars(repos):
+    return repos.withColumn("stargazers_count", F.when(F.col("forks_count") == 7, F.lit("seven"))
+                            .otherwise(F.col("stargazers_count").cast("string")))
+
+
 @query("assemble_users", o.with_base(
     "SELECT login, part, n_repos, first_repo, last_repo, total_repositories, active_repositories FROM records", API))
 def q_assemble_users(spark, sf):
@@ -144,9 +153,7 @@ def dirty_records(spark, sf):
     counts written as '1234k', star counts written as words."""
     u = raw.api_users(spark, sf)
     ar = raw.api_repos(spark, sf)
-    repos = ig.project_repo(ar, keep=("login",)).withColumn(
-        "stargazers_count", F.when(F.col("forks_count") == 7, F.lit("seven"))
-        .otherwise(F.col("stargazers_count").cast("string")))
+    repos = _worded_stars(ig.project_repo(ar, keep=("login",)))
     rec = ig.assemble_users(ig.project_user(u), repos, tables.ORDERS_AS_OF, max_repos=RECORD_BOUND)
     return rec.select(
         F.when(F.col("following") == 0, F.lit("")).when(F.col("following") == 1, F.lit(None))
@@ -307,12 +314,18 @@ def q_scan_features(spark, sf):
 
 
 @query("coerce_numeric", o.with_base(
-    "SELECT login, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES.fieldNames()[1:])
+    "SELECT login, " + ", ".join(
+        (f"CASE WHEN CAST(substr(login, -9) AS INT) % 23 = {i} THEN NULL ELSE CAST({c} AS DOUBLE) END" if i < 4
+         else f"CAST({c} AS DOUBLE)") + f" AS {c}" for i, c in enumerate(FEATURES.fieldNames()[1:]))
     + " FROM features_v"))
 def q_coerce_numeric(spark, sf):
     from pyspark.sql import types as T
     from retentio.operators.quality import coerce_numeric
-    path = sinks.save_features(features(spark, sf), scratch_path(spark, "features_text"))
+    k = F.substring("login", -9, 9).cast("int")
+    f = features(spark, sf)
+    f = f.select("login", *[(F.when(k % 23 == i, F.lit("n/a")).otherwise(F.col(c).cast("string")) if i < 4 else F.col(c)).alias(c)
+                            for i, c in enumerate(FEATURES.fieldNames()[1:])])
+    path = sinks.write_csv(f, scratch_path(spark, "features_text"))
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in FEATURES.fields])
     return coerce_numeric(sinks.read_csv(spark, path, as_text))
 
