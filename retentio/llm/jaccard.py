@@ -35,11 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentio.llm import textvec as tv
-from retentio.llm.common import WORD, row_key, saved, sized
+from retentio.llm.common import WORD, drop_saved, row_key, saved, sized
 from retentio.llm.components import components
 
 SKETCH_BITS = 17
-BINS = 16
+BINS = 32
+BIN_SHIFT = np.uint64(59)
 #: Row keys up to this count are broadcast to select texts; more are joined.
 MAX_BROADCAST = 500_000
 
@@ -69,19 +70,21 @@ def set_class(s: np.ndarray) -> bytes | None:
 
 
 SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()),
-                  ("bucket", pa.int32()), ("seen", pa.int64())])
+                  ("bins", pa.list_(pa.int32())), ("bucket", pa.int32()), ("seen", pa.int64())])
 
 
 def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """One row per document (key, doc_id, n, cls) and, with a bucket, the
-    task's part of the sketch (bucket, seen)."""
+    """One row per document (key, doc_id, n, cls, bins: counts of the set in
+    BINS hash ranges) and, with a bucket, the task's part of the sketch
+    (bucket, seen)."""
     def run(batches):
         seen = np.zeros(1 << bits, np.int64)
         for rb in batches:
-            n, cls, held = [], [], []
+            n, cls, bins, held = [], [], [], []
             for s in shingle_sets(rb.column("text").to_pylist(), size):
                 n.append(len(s))
                 cls.append(set_class(s))
+                bins.append(np.bincount((s >> BIN_SHIFT).astype(np.int64), minlength=BINS).astype(np.int32))
                 held.append((s >> np.uint64(64 - bits)).astype(np.int32))
                 if len(held) == 1000:
                     seen += np.bincount(np.concatenate(held), minlength=1 << bits)
@@ -91,17 +94,18 @@ def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [rb.column("key"), rb.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()),
-                 none, none.cast(pa.int64())], schema=SETS)
+                 pa.array(bins, pa.list_(pa.int32())), none, none.cast(pa.int64())], schema=SETS)
         full = np.flatnonzero(seen)
         for a in range(0, len(full), 10_000):
             f = full[a:a + 10_000]
             none = pa.nulls(len(f), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, pa.nulls(len(f), pa.int32()), pa.nulls(len(f), pa.binary()), pa.array(f, pa.int32()),
+                [none, none, pa.nulls(len(f), pa.int32()), pa.nulls(len(f), pa.binary()),
+                 pa.nulls(len(f), pa.list_(pa.int32())), pa.array(f, pa.int32()),
                  pa.array(seen[f])], schema=SETS)
 
     return docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-                       ).mapInArrow(run, "key long, doc_id long, n int, cls binary, bucket int, seen long")
+                       ).mapInArrow(run, "key long, doc_id long, n int, cls binary, bins array<int>, bucket int, seen long")
 
 
 def sketch(described: DataFrame, bits: int) -> np.ndarray:
@@ -208,37 +212,37 @@ def cross_pairs(p: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
     return _pairs(j)
 
 
+def may_reach(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
+    """Suffix filter: the pairs whose common shingles, at most the lesser count
+    of each hash range, can reach the threshold. Reads counts, no sets."""
+    c = classes.select("cls", "n", "bins")
+    p = pairs.join(_as(c, "x"), F.col("a") == F.col("x_cls")).join(_as(c, "y"), F.col("b") == F.col("y_cls"))
+    common = F.aggregate(F.zip_with("x_bins", "y_bins", lambda s, t: F.least(s, t)), F.lit(0), lambda s, t: s + t)
+    return p.where(common >= needed(F.col("x_n"), F.col("y_n"), pct)).select("a", "b")
+
+
 def set_rows(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(cls, n, bins, members) of the classes of the given row keys."""
+    """(cls, members) of the classes of the given row keys, from their text."""
     def run(batches):
         for rb in batches:
             sets = [s for s in shingle_sets(rb.column("text").to_pylist(), size) if len(s)]
-            bins = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BINS) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_class(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(bins, pa.list_(pa.int32())), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["cls", "n", "bins", "members"])
+                [pa.array([set_class(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["cls", "members"])
 
     chosen = docs.join(sized(keys.select(F.col("key").alias("k")), MAX_BROADCAST), F.col("key") == F.col("k"), "left_semi")
     return chosen.select(F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "cls binary, n int, bins array<int>, members binary").dropDuplicates(["cls"])
+        run, "cls binary, members binary").dropDuplicates(["cls"])
 
 
-def paired_sets(docs: DataFrame, pairs: DataFrame, stands: DataFrame, size: int) -> DataFrame:
-    """The sets of the classes in ``pairs``, read again from the text of the
-    row that stands for each."""
-    cls = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    return saved(set_rows(docs, cls.join(stands, "cls").select("key"), size), "members")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
-    small = sets.select("cls", "n", "bins")
-    p = pairs.join(_as(small, "x"), F.col("a") == F.col("x_cls")).join(_as(small, "y"), F.col("b") == F.col("y_cls"))
-    common = F.aggregate(F.zip_with("x_bins", "y_bins", lambda s, t: F.least(s, t)), F.lit(0), lambda s, t: s + t)
-    p = p.where(common >= needed(F.col("x_n"), F.col("y_n"), pct)).select("a", "b")
-    full = sets.select("cls", "members")
-    p = p.join(_as(full, "x"), F.col("a") == F.col("x_cls")).join(_as(full, "y"), F.col("b") == F.col("y_cls"))
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pct: int) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold: the suffix filter
+    first, then the whole sets of the pairs that are left, once per pair."""
+    pairs = saved(may_reach(pairs, classes, pct), "near")
+    cls = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    keys = cls.join(classes.select("cls", "key"), F.col("c") == F.col("cls")).select("key")
+    full = saved(set_rows(docs, keys, size), "members")
+    p = pairs.join(_as(full, "x"), F.col("a") == F.col("x_cls")).join(_as(full, "y"), F.col("b") == F.col("y_cls"))
 
     def run(batches):
         for rb in batches:
@@ -250,7 +254,9 @@ def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 ok.append(100 * both >= pct * (len(s) + len(t) - both))
             yield rb.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return p.select("a", "b", "x_members", "y_members").mapInArrow(run, "a binary, b binary")
+    links = saved(p.select("a", "b", "x_members", "y_members").mapInArrow(run, "a binary, b binary"), "verified")
+    drop_saved(full)
+    return links
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, pct: int = 80, bits: int = SKETCH_BITS) -> DataFrame:
@@ -260,14 +266,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, pct: int = 80, bits: int
     described = saved(describe_sets(d, size, bits), "sets")
     rows = described.where("bucket IS NULL").select("key", "doc_id", "n", "cls")
     order = sketch(described, bits)
-    prefixes = saved(live_rows(saved(prefix_rows(d, order, size, pct), "prefixes"), pct), "live")
-    # one row stands for each class
-    stands = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("key").alias("key"))
-    first = saved(leader_pairs(prefixes, pct), "pairs")
-    links = saved(verified(first, paired_sets(d, first, stands, size), pct), "verified")
+    # one row stands for each class of equal sets
+    classes = saved(described.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "bins")).alias("m"))
+                    .select("cls", "m.key", "m.n", "m.bins"), "classes")
+    prefixes = saved(prefix_rows(d, order, size, pct), "prefixes")
+    live = saved(live_rows(prefixes, pct), "live")
+    drop_saved(prefixes)
+    first = saved(leader_pairs(live, pct), "pairs")
+    links = verified(first, d, classes, size, pct)
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    second = saved(cross_pairs(prefixes, comp, pct).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = saved(verified(second, paired_sets(d, second, stands, size), pct), "verified")
+    second = cross_pairs(live, comp, pct).join(first, ["a", "b"], "left_anti")
+    more = verified(second, d, classes, size, pct)
     whole = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     r = rows.join(whole.withColumnRenamed("node", "u"), F.col("cls") == F.col("u"), "left").select(
         "key", "doc_id", "n", "cls", F.coalesce("component", "cls").alias("group"))
