@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from retentio.plans.catalog import ORACLE
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "orders", "lineitem", "nation", "region", "supplier", "part", "events"]
@@ -41,14 +42,14 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     # no cross products / nested-loop joins anywhere in a registered plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got = df.toPandas()
-    want = con.execute(E.oracle_sql()[name]).df()
+    want = con.execute(ORACLE[name]).df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
     assert gc == wc
