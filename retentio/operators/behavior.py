@@ -140,10 +140,12 @@ def velocity_ratio(events: DataFrame, as_of, user: str = "user_id", **kw) -> Dat
     return _feature(events, as_of, "velocity", user, **kw)
 
 
-def feature_breadth(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+def feature_breadth(events: DataFrame, as_of, user: str = "user_id", approximate: bool = False,
+                    **kw) -> DataFrame:
     """Distinct essential modules used in the last 30 days / number of
     essential modules (0 without any); band low (<= 0.2) / medium / high
-    (> 0.7)."""
+    (> 0.7). One flag per module is exact and cheaper than a sketch, so
+    ``approximate`` changes nothing."""
     return _feature(events, as_of, "breadth", user, **kw)
 
 

@@ -17,7 +17,8 @@ from retentio.schemas import LEAK_COLUMN, TARGET
 # Deep trees (unlimited depth maps to Spark's maximum of 30): keep node ids
 # cached between levels and give each pass more nodes, so a deep level does
 # not cost a pass over the data per small group of nodes.
-DEEP_TREE = dict(cacheNodeIds=True, maxMemoryInMB=1024)
+# Every task holds its own statistics of a node group: 256 MB each.
+DEEP_TREE = dict(cacheNodeIds=True, maxMemoryInMB=256)
 
 VARIANCE_THRESHOLD = 0.01
 CORRELATION_THRESHOLD = 0.9
@@ -153,8 +154,7 @@ def _assembled(df: DataFrame, features: list[str], target: str):
     from retentio.operators.model import assemble
     from retentio.session import write_once
     cols = [*features, target]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.select(*cols).repartition(n, *cols).sortWithinPartitions(*cols)
+    d = df.select(*cols).repartition(*cols).sortWithinPartitions(*cols)  # few rows: few partitions
     return assemble(write_once(d, "tree-input"), features, target)
 
 
@@ -238,8 +238,8 @@ def rfe(df: DataFrame, n_features: int, target: str = TARGET, task: str = "class
         raise ValueError(f"n_features={n_features} exceeds the {p} available features")
     from retentio.session import write_once
     cols = [*features, target]
-    d = df.select(*cols).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
-    base = write_once(d.sortWithinPartitions(*cols).select(
+    d = df.select(*cols).repartition(*cols).sortWithinPartitions(*cols)
+    base = write_once(d.select(
         *[F.col(c).cast("double") for c in features], F.col(target).cast("double").alias("label")), "rfe-input")
     n = base.count()
     remaining = list(features)

@@ -194,17 +194,13 @@ def q_rfe_linear(spark, sf):
     return _rfe_facts(mq.q_rfe_linear(spark, sf), mq.TOP_K)
 
 
-@query("rfe_forest_regression")
+@query("exact_rfe_forest_regression", _features_sql(_NO_RATE, _RFE))
 def q_rfe_forest_regression(spark, sf):
-    """Elimination by a regression forest (numeric target)."""
+    """Elimination by a regression forest (numeric target), one round."""
     t = training(spark, sf)
     feats = [c for c in sel.candidate_features(t, drop=()) if c != "repos_per_year"]
-    return sel.rfe(t, len(feats) - 2, target="repos_per_year", task="regression", estimator="rf", features=feats)
-
-
-@query("exact_rfe_forest_regression", _features_sql(_NO_RATE, _RFE))
-def q_exact_rfe_forest(spark, sf):
-    return _rfe_facts(q_rfe_forest_regression(spark, sf), len(_NO_RATE) - 2)
+    k = len(feats) - 1
+    return _rfe_facts(sel.rfe(t, k, target="repos_per_year", task="regression", estimator="rf", features=feats), k)
 
 
 # --- membership and consensus over exact selectors -----------------------------
