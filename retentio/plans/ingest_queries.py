@@ -361,6 +361,27 @@ def q_sink_selected(spark, sf):
     return back.select(pairs.alias("p")).select("p.feature", "p.value")
 
 
+@query("sink_selected_topk", o.with_base("""
+SELECT feature, value FROM lv WHERE feature = 'churn' OR feature IN (SELECT feature FROM rk WHERE r <= 6)""",
+    "vr AS (" + o.unpivot("training_v", o.TRAIN_COLS, {"v": "round(var_pop({c}), 6)"}) + """),
+rk AS (SELECT *, row_number() OVER (ORDER BY v DESC, ordinal) AS r FROM vr),
+lv AS (""" + "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM training_v"
+                                   for c in o.TRAIN_COLS + ["churn"]) + ")"))
+def q_sink_selected_topk(spark, sf):
+    """The dataset of a ranking's top 6, as the tree, forest and elimination
+    methods write theirs, here with an exact ranking."""
+    from retentio.operators.selection import select_top_k
+    from retentio.operators.stats import variance
+    t = training(spark, sf)
+    v = variance(t, o.TRAIN_COLS).select("feature", F.round("variance", 6).alias("importance"), "ordinal")
+    chosen = [r["feature"] for r in select_top_k(v, k=6).orderBy("rank").collect()]
+    path = sinks.save_selected(t, chosen, "churn", scratch_path(spark, "selected_topk_csv"))
+    back = sinks.read_csv(spark, path, t.select(*chosen, "churn").schema)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                for c in [*chosen, "churn"]]))
+    return back.select(pairs.alias("p")).select("p.feature", "p.value")
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 def _stream_batches(spark, sf):

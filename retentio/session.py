@@ -73,8 +73,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the checkpoint directory for written tables."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/retentio-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/retentio-scratch/{spark.sparkContext.applicationId}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote with :func:`scratch_path`:
+    call it when no DataFrame made so far is read any more, at the latest
+    before ``spark.stop()``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_once(df, name: str):
@@ -117,5 +128,5 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 __all__ = ["build_session", "prepare_session", "checkpoint_dir", "scratch_path",
-           "path_exists", "local_path", "write_once", "drop_written", "small_side"]
+           "path_exists", "local_path", "write_once", "drop_written", "small_side", "clean_scratch"]
 
