@@ -28,6 +28,7 @@ different texts stay apart unless the texts link.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from retentio.llm import textvec as tv
 from retentio.llm.common import WORD, drop_saved, row_key, saved, sized
 from retentio.llm.components import components
 
-SKETCH_BITS = 17
+SKETCH_BITS = 20
 BINS = 32
 BIN_SHIFT = np.uint64(59)
 #: Row keys up to this count are broadcast to select texts; more are joined.
@@ -70,15 +71,17 @@ def set_class(s: np.ndarray) -> bytes | None:
 
 
 SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()),
-                  ("bins", pa.list_(pa.int32())), ("bucket", pa.int32()), ("seen", pa.int64())])
+                  ("bins", pa.list_(pa.int32())), ("block", pa.int32()), ("seen", pa.binary())])
+#: Sums of the sketch that travel in one row.
+SKETCH_BLOCK = 1 << 14
 
 
 def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """One row per document (key, doc_id, n, cls, bins: counts of the set in
-    BINS hash ranges) and, with a bucket, the task's part of the sketch
-    (bucket, seen)."""
+    BINS hash ranges) and, with a block number, the task's part of the sketch
+    (seen: SKETCH_BLOCK compressed 32-bit counts)."""
     def run(batches):
-        seen = np.zeros(1 << bits, np.int64)
+        seen = np.zeros(1 << bits, np.uint32)
         for rb in batches:
             n, cls, bins, held = [], [], [], []
             for s in shingle_sets(rb.column("text").to_pylist(), size):
@@ -86,34 +89,45 @@ def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 cls.append(set_class(s))
                 bins.append(np.bincount((s >> BIN_SHIFT).astype(np.int64), minlength=BINS).astype(np.int32))
                 held.append((s >> np.uint64(64 - bits)).astype(np.int32))
-                if len(held) == 1000:
-                    seen += np.bincount(np.concatenate(held), minlength=1 << bits)
+                if len(held) == 2000:
+                    np.add(seen, np.bincount(np.concatenate(held), minlength=1 << bits), out=seen, casting="unsafe")
                     held = []
             if held:
-                seen += np.bincount(np.concatenate(held), minlength=1 << bits)
-            none = pa.nulls(len(n), pa.int32())
+                np.add(seen, np.bincount(np.concatenate(held), minlength=1 << bits), out=seen, casting="unsafe")
             yield pa.RecordBatch.from_arrays(
                 [rb.column("key"), rb.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()),
-                 pa.array(bins, pa.list_(pa.int32())), none, none.cast(pa.int64())], schema=SETS)
-        full = np.flatnonzero(seen)
-        for a in range(0, len(full), 10_000):
-            f = full[a:a + 10_000]
-            none = pa.nulls(len(f), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.nulls(len(f), pa.int32()), pa.nulls(len(f), pa.binary()),
-                 pa.nulls(len(f), pa.list_(pa.int32())), pa.array(f, pa.int32()),
-                 pa.array(seen[f])], schema=SETS)
+                 pa.array(bins, pa.list_(pa.int32())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                schema=SETS)
+        for b, part in enumerate(seen.reshape(-1, min(SKETCH_BLOCK, 1 << bits))):
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
+                     pa.nulls(1, pa.list_(pa.int32())), pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
+                    schema=SETS)
 
     return docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-                       ).mapInArrow(run, "key long, doc_id long, n int, cls binary, bins array<int>, bucket int, seen long")
+                       ).mapInArrow(run, "key long, doc_id long, n int, cls binary, bins array<int>, block int, seen binary")
 
 
 def sketch(described: DataFrame, bits: int) -> np.ndarray:
-    """The summed sketch: ``2 ** bits`` counts."""
+    """The summed sketch, ``2 ** bits`` counts: tasks add up the blocks that
+    reach them one by one, the driver gets one row per block and task."""
+    width = min(SKETCH_BLOCK, 1 << bits)
+
+    def run(batches):
+        sums = {}
+        for rb in batches:
+            for b, seen in zip(rb.column("block").to_pylist(), rb.column("seen").to_pylist()):
+                part = np.frombuffer(zlib.decompress(seen), np.uint32)
+                sums[b] = sums[b] + part if b in sums else part.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                         ["block", "seen"])
+
     out = np.zeros(1 << bits, np.int64)
-    for r in described.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("s")).toLocalIterator():
-        out[r["bucket"]] = r["s"]
-    return out
+    parts = described.where("block IS NOT NULL").select("block", "seen").repartition("block")
+    for r in parts.mapInArrow(run, "block int, seen binary").toLocalIterator():
+        out[r["block"] * width:(r["block"] + 1) * width] += np.frombuffer(r["seen"], np.int64)
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def prefix_rows(docs: DataFrame, order: np.ndarray, size: int, pct: int) -> DataFrame:
@@ -264,7 +278,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, pct: int = 80, bits: int
     n_shingles, cls (class of equal sets), component_id."""
     d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
     described = saved(describe_sets(d, size, bits), "sets")
-    rows = described.where("bucket IS NULL").select("key", "doc_id", "n", "cls")
+    rows = described.where("block IS NULL").select("key", "doc_id", "n", "cls")
     order = sketch(described, bits)
     # one row stands for each class of equal sets
     classes = saved(described.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "bins")).alias("m"))
