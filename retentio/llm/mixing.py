@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import WORD, uniform
+from retentio.llm.common import WORD, saved, uniform
 
 # Fixed values of the contract: weights in source order, total and cap.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -75,6 +75,8 @@ def mix(docs: DataFrame, key: Column | None = None, slice_chars: int = 1, seed:
         key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("_key"),
                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    # texts are read once, for the sizes; bins, targets and ranks read these rows
+    d = saved(d, "mix-sizes")
     d = (d.withColumn("_class", size_class("size"))
          .withColumn("_slice", F.substring("_key", 1, slice_chars)))
     bins = d.groupBy("source", "_class", "_slice").agg(
