@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentio.operators.ordering import hashed_rank
+from retentio.session import write_once
 
 
 MAX_CLASSES = 1000
@@ -47,7 +48,8 @@ def stratified_split(df: DataFrame, label: str = "churn", key: str = "login",
     """Adds ``is_test``: exactly the allocated number of rows per class, the
     first ones in a seeded hash order of ``key``. Rows with a NULL label are
     removed."""
-    df = df.where(F.col(label).isNotNull())
+    # written once: the class counts, the rank offsets and the rows read it
+    df = write_once(df.where(F.col(label).isNotNull()), "split-input")
     sizes = split_sizes(_class_counts(df, label), test_size)
     cut = F.create_map(*[x for c, n in sizes.items() for x in (F.lit(c), F.lit(n))])
     ranked = hashed_rank(df, [label], F.col(key), seed)
@@ -58,7 +60,7 @@ def stratified_folds(df: DataFrame, label: str = "churn", key: str = "login",
                      k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold`` in [0, k): rank inside the class (seeded hash order) mod
     k, so fold sizes per class differ by at most one."""
-    df = df.where(F.col(label).isNotNull())
+    df = write_once(df.where(F.col(label).isNotNull()), "fold-input")
     ranked = hashed_rank(df, [label], F.col(key), seed)
     return ranked.withColumn("fold", F.pmod(F.col("_rank"), F.lit(k)).cast("int")).drop("_rank")
 
