@@ -236,17 +236,24 @@ def may_reach(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """(cls, members) of the classes of the given row keys, from their text."""
+    """(cls, members) of the classes of the given row keys, from their text.
+
+    One row of a class has the key; only rows repeated in every column share
+    it, and a task gives each class once. What is still there twice doubles a
+    verified pair, no more, so the sets are not shuffled to drop it."""
     def run(batches):
+        given = set()
         for rb in batches:
-            sets = [s for s in shingle_sets(rb.column("text").to_pylist(), size) if len(s)]
+            new = {set_class(s): s for s in shingle_sets(rb.column("text").to_pylist(), size) if len(s)}
+            new = {c: s for c, s in new.items() if c not in given}
+            given.update(new)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_class(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [pa.array(list(new), pa.binary()), pa.array([s.tobytes() for s in new.values()], pa.binary())],
                 ["cls", "members"])
 
     chosen = docs.join(sized(keys.select(F.col("key").alias("k")), MAX_BROADCAST), F.col("key") == F.col("k"), "left_semi")
     return chosen.select(F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "cls binary, members binary").dropDuplicates(["cls"])
+        run, "cls binary, members binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pct: int) -> DataFrame:
@@ -268,7 +275,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
                 ok.append(100 * both >= pct * (len(s) + len(t) - both))
             yield rb.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    links = saved(p.select("a", "b", "x_members", "y_members").mapInArrow(run, "a binary, b binary"), "verified")
+    links = p.select("a", "b", "x_members", "y_members").mapInArrow(run, "a binary, b binary")
+    links = saved(links.distinct(), "verified")
     drop_saved(full)
     return links
 
