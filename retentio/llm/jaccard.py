@@ -111,7 +111,7 @@ def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
 
 def sketch(described: DataFrame, bits: int) -> np.ndarray:
     """The summed sketch, ``2 ** bits`` counts: tasks add up the blocks that
-    reach them one by one, the driver gets one row per block and task."""
+    reach them one by one, the driver gets one row per block."""
     width = min(SKETCH_BLOCK, 1 << bits)
 
     def run(batches):
@@ -120,14 +120,16 @@ def sketch(described: DataFrame, bits: int) -> np.ndarray:
             for b, seen in zip(rb.column("block").to_pylist(), rb.column("seen").to_pylist()):
                 part = np.frombuffer(zlib.decompress(seen), np.uint32)
                 sums[b] = sums[b] + part if b in sums else part.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
-                                         ["block", "seen"])
+        most = np.iinfo(np.uint32).max
+        rows = [np.minimum(v, most).astype(np.uint32).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], ["block", "seen"])
 
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
     parts = described.where("block IS NOT NULL").select("block", "seen").repartition("block")
-    for r in parts.mapInArrow(run, "block int, seen binary").toLocalIterator():
-        out[r["block"] * width:(r["block"] + 1) * width] += np.frombuffer(r["seen"], np.int64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    # 2 ** bits sums in all, one row per block
+    for r in parts.mapInArrow(run, "block int, seen binary").collect():
+        out[r["block"] * width:(r["block"] + 1) * width] = np.frombuffer(r["seen"], np.uint32)
+    return out
 
 
 def prefix_rows(docs: DataFrame, order: np.ndarray, size: int, pct: int) -> DataFrame:

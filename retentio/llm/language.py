@@ -81,7 +81,7 @@ def fit(docs: DataFrame, features: int = FEATURES, max_matrix_bytes: int = MAX_M
     """(languages, log prior, log probabilities) from (text, lang) rows; rows
     without text or language are not used."""
     d = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
-    n_docs = {r["lang"]: r["count"] for r in d.groupBy("lang").count().toLocalIterator()}
+    n_docs = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
     langs = sorted(n_docs)
     if not langs:
         return [], np.zeros(0), np.zeros((0, features))
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, features: int = FEATURES, max_matrix_bytes: int = MAX_M
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["cell", "n"])
 
     counts = np.zeros(len(langs) * features)
-    for r in d.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in d.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
     counts = counts.reshape(len(langs), features) + SMOOTH
     prior = np.array([n_docs[x] for x in langs], float)

@@ -71,7 +71,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     grams = ngrams(d.select(F.col("_tid").isNotNull().alias("trusted"), tokens(F.col("_text")).alias("_k")), buckets)
     grams = grams.select("trusted", F.explode(F.array("_b1", "_b2")).alias("bucket")).where("bucket IS NOT NULL")
     counts = np.zeros((2, buckets))
-    for r in grams.groupBy("trusted", "bucket").count().toLocalIterator():
+    for r in grams.groupBy("trusted", "bucket").count().collect():
         counts[int(r["trusted"]), r["bucket"]] += r["count"]
     target, raw = counts[1], counts.sum(axis=0)  # the raw corpus holds the trusted texts too
     if not target.sum():
