@@ -237,6 +237,19 @@ def may_reach(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
     return p.where(common >= needed(F.col("x_n"), F.col("y_n"), pct)).select("a", "b")
 
 
+def pack(s: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted hashes: enough to tell the shingles of
+    one pair apart, and a quarter less to ship."""
+    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.reshape(-1).view("<u8")
+
+
 def set_rows(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
     """(cls, members) of the classes of the given row keys, from their text.
 
@@ -250,7 +263,7 @@ def set_rows(docs: DataFrame, keys: DataFrame, size: int) -> DataFrame:
             new = {c: s for c, s in new.items() if c not in given}
             given.update(new)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(new), pa.binary()), pa.array([s.tobytes() for s in new.values()], pa.binary())],
+                [pa.array(list(new), pa.binary()), pa.array([pack(s) for s in new.values()], pa.binary())],
                 ["cls", "members"])
 
     chosen = docs.join(sized(keys.select(F.col("key").alias("k")), MAX_BROADCAST), F.col("key") == F.col("k"), "left_semi")
@@ -271,7 +284,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
         for rb in batches:
             ok = []
             for x, y in zip(rb.column("x_members"), rb.column("y_members")):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                s, t = unpack(x.as_buffer()), unpack(y.as_buffer())
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
                 both = int((t[at] == s).sum())
                 ok.append(100 * both >= pct * (len(s) + len(t) - both))
