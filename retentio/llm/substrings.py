@@ -4,7 +4,7 @@ A byte goes if a ``width``-byte string that covers it starts anywhere else,
 too. Two steps keep the sorted suffixes few and the blocks small:
 
 1. Every suffix start belongs to the least hashed 64-byte window among its
-   ``width`` bytes (its anchor) at a distance, in blocks of ``BLOCK``. The
+   ``width`` bytes (its anchor) at a distance, in blocks. The
    bytes that all starts of such a part have in common (the core) key the
    part: equal strings have equal keys. A part alone under its key repeats
    nothing; parts with the same bytes as a whole repeat wholly; both are
@@ -18,9 +18,16 @@ too. Two steps keep the sorted suffixes few and the blocks small:
    settles a tie however long. Neighbours that agree in ``width`` bytes are
    repeats.
 
-Memory is bounded by the block (``BLOCK_BYTES``, or the kinds of one key).
-Hot passages are one kind with a count; counting pre-aggregates. No text is
-shuffled but that of open parts and of documents with removals.
+A key with more than ``MAX_KINDS`` different parts (the rim of a passage that
+many documents hold) is not sorted: its parts, one of each kind, are cut into
+shorter blocks of starts, whose cores and keys are longer, and go through step
+1 again (``BLOCKS``). Blocks of one start have the whole ``width`` bytes as
+their key, so that counting settles what no shorter core told apart.
+
+Memory is bounded by ``BLOCK_BYTES`` and ``MAX_KINDS`` parts, however many
+documents share a passage. Hot passages are one kind with a count; counting
+pre-aggregates. No text is shuffled but that of open parts, of documents with
+parts under a key of too many kinds, and of documents with removals.
 
 Defined cases: null text is empty; texts shorter than ``width`` repeat
 nothing; repeated rows repeat each other; matches never cross documents.
@@ -30,6 +37,7 @@ under one key).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -42,8 +50,11 @@ from retentio.llm.common import by_lists, row_key, saved
 
 WIDTH = 400
 ANCHOR = 64
-BLOCK = 128
+#: Starts of a part, and of the parts that one is cut into; the last must be 1.
+BLOCKS = (128, 16, 1)
 BLOCK_BYTES = 1 << 20
+#: Different parts under one key that are sorted together.
+MAX_KINDS = 2_000
 #: Document keys up to this count are broadcast to select texts.
 MAX_BROADCAST = 500_000
 # A perfect difference set; every residue is a difference of two.
@@ -62,27 +73,37 @@ def shift_table() -> np.ndarray:
     return t
 
 
-def parts(docs: DataFrame, width: int) -> DataFrame:
+def parts(docs: DataFrame, width: int, size: int = BLOCKS[0]) -> DataFrame:
     """(doc, a, b, key, whole) of all parts of (doc, text) rows, texts in bytes;
-    a and b are the first and last start."""
+    a and b are the first and last start. ``size`` is the most starts of a
+    part. With a column ``open`` of (a, b), only the parts inside these."""
+    inside = "open" in docs.columns
+
     def run(batches):
         for rb in batches:
             cols = [[], [], [], [], []]
-            for doc, text in zip(rb.column("doc").to_pylist(), rb.column("text").to_pylist()):
+            opens = rb.column("open").to_pylist() if inside else [None] * rb.num_rows
+            for doc, text, open_ in zip(rb.column("doc").to_pylist(), rb.column("text").to_pylist(), opens):
                 if text is None or len(text) < width:
                     continue
                 sums = tv.prefix_sums(np.frombuffer(text, np.uint8).astype(np.uint64))
-                p, a, b = tv.anchors(sums, width, ANCHOR, BLOCK)
-                block = (p - a) // BLOCK
-                core = p - BLOCK * block  # the latest start that the block allows
-                key = tv.mix(tv.stretches(sums, core, core - BLOCK + 1 + width) + block.astype(np.uint64))
+                p, a, b = tv.anchors(sums, width, ANCHOR, size)
+                if inside:
+                    # parts of a shorter block lie in one part of a longer block
+                    lo, hi = np.array(sorted((r["a"], r["b"]) for r in open_), np.int64).T
+                    at = np.searchsorted(lo, a, side="right") - 1
+                    held = (at >= 0) & (a <= hi[at])
+                    p, a, b = p[held], a[held], b[held]
+                block = (p - a) // size
+                core = p - size * block  # the latest start that the block allows
+                key = tv.mix(tv.stretches(sums, core, core - size + 1 + width) + block.astype(np.uint64))
                 whole = tv.mix(tv.stretches(sums, a, b + width) + (core - a).astype(np.uint64))
                 for c, v in zip(cols, (np.full(len(a), doc), a, b, key.view(np.int64), whole.view(np.int64))):
                     c.append(v)
             flat = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in cols]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], ["doc", "a", "b", "key", "whole"])
 
-    return docs.select("doc", "text").mapInArrow(
+    return docs.select("doc", "text", *["open"] * inside).mapInArrow(
         run, "doc long, a long, b long, key long, whole long")
 
 
@@ -239,22 +260,43 @@ def sorted_blocks(open_: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc, a, b): runs of starts whose ``width`` bytes occur elsewhere."""
-    p = saved(parts(docs, width), "parts")
+def shared_parts(p: DataFrame) -> DataFrame:
+    """The parts (doc, a, b, key, whole) that are not alone under their key,
+    with n (parts of the same bytes), kinds (different parts under the key)
+    and first (one document that has the part)."""
     kinds = p.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("doc"))
     per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).where("all > 1")
     kinds = saved(kinds.join(per_key, "key").select(
         F.col("key").alias("k"), F.col("whole").alias("w"), "n", F.col("doc").alias("first"), "kinds"), "kinds")
     r = p.join(kinds, (F.col("key") == F.col("k")) & (F.col("whole") == F.col("w")))
-    r = saved(r.select("doc", "a", "b", "key", "whole", "n", "kinds", "first"), "shared")
-    # one part of each kind under a key with several kinds stays open
-    open_ = r.where("kinds > 1 AND doc = first").groupBy("key", "whole").agg(
+    return saved(r.select("doc", "a", "b", "key", "whole", "n", "kinds", "first"), "shared")
+
+
+def one_of_each(r: DataFrame) -> DataFrame:
+    """(doc, a, b, key, many): one part of each kind."""
+    one = r.where("doc = first").groupBy("key", "whole").agg(
         F.min("a").alias("a"), F.min(F.col("b") - F.col("a")).alias("long"), F.first("doc").alias("doc"),
         F.max(F.col("n") > 1).alias("many"))
-    open_ = open_.select("doc", "a", (F.col("a") + F.col("long")).alias("b"), "key", "many")
-    found = sorted_blocks(open_parts(open_, docs, width), width)
-    return r.where("n > 1").select("doc", "a", "b").unionByName(found)
+    return one.select("doc", "a", (F.col("a") + F.col("long")).alias("b"), "key", "many")
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, max_kinds: int = MAX_KINDS) -> DataFrame:
+    """(doc, a, b): runs of starts whose ``width`` bytes occur elsewhere."""
+    found, p = [], parts(docs, width)
+    for size, shorter in zip(BLOCKS, (*BLOCKS[1:], None)):
+        r = shared_parts(saved(p, "parts"))
+        found.append(r.where("n > 1").select("doc", "a", "b"))
+        if shorter is None:  # a key is the whole part
+            break
+        # one part of each kind under a key with several kinds stays open
+        found.append(sorted_blocks(open_parts(
+            one_of_each(r.where(F.col("kinds").between(2, max_kinds))), docs, width), width))
+        hot = r.where(F.col("kinds") > max_kinds)
+        if hot.isEmpty():
+            break
+        lists = saved(one_of_each(hot).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("open")), "hot")
+        p = parts(by_lists(docs, lists, MAX_BROADCAST)[0].dropDuplicates(["doc"]), width, shorter)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -271,12 +313,12 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(out), removed, runs
 
 
-def strip(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
+def strip(docs: DataFrame, width: int = WIDTH, texts: bool = True, max_kinds: int = MAX_KINDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 and, with ``texts``, kept (the remaining bytes)."""
     d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id",
                     F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    spans = saved(repeated_spans(d, width).groupBy("doc").agg(
+    spans = saved(repeated_spans(d, width, max_kinds).groupBy("doc").agg(
         F.collect_set(F.struct("a", "b")).alias("open")), "spans")
     touched, others = by_lists(d, spans, MAX_BROADCAST)
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retentio.llm import debruijn, jaccard, substrings
 from retentio.llm.components import components
@@ -117,6 +118,26 @@ def test_repeated_bytes_match_brute_force(spark, width):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
 
 
+def test_keys_of_many_different_parts_are_not_sorted_together(spark, monkeypatch):
+    rng = random.Random(21)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (350, 520, 900)]
+    rims = ["".join(rng.choice("uvwxyz") for _ in range(60)) for _ in range(6)]
+    texts = [prose(rng, 20) + rng.choice(rims + [""]) + rng.choice(passages) + rng.choice(rims + [""]) + prose(rng, 20)
+             for _ in range(90)]
+    texts += texts[:3]
+    most, sort = [], substrings.sorted_blocks
+
+    def spy(open_, width):
+        most.append(open_.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return sort(open_, width)
+
+    monkeypatch.setattr(substrings, "sorted_blocks", spy)
+    rows = substrings.strip(docs_frame(spark, texts), 400, max_kinds=6).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert got == dict(enumerate(brute_bytes(texts, 400)))
+    assert len(most) == 2 and max(most) <= 6
+
+
 def test_difference_cover_and_suffix_order():
     assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
     rng = random.Random(12)
