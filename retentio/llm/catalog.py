@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from retentio.llm import debruijn, decontamination, jaccard, language, licenses, mixing, pii, quality, substrings, tokens
+from retentio.llm import (
+    audit, collocations, debruijn, decontamination, jaccard, language, licenses, mixing, pii, quality, secret_scan,
+    substrings, tokens)
 from retentio.llm.common import table
 
 QUERIES: dict = {}
@@ -123,3 +125,74 @@ def op6(spark, sf):
 @query("op7_token_counts")
 def op7(spark, sf):
     return tokens.document_tokens(table(spark, sf, "documents"))
+
+
+PHRASE_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, 1 AS size, unnest(w) AS phrase FROM q
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM q
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM q),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT lang, size, phrase, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM c
+      UNION ALL SELECT lang, size, phrase, a, 2, array_to_string(w[:2], ' '), w[3] FROM c WHERE size = 3),
+s AS (SELECT k.lang, k.size, k.phrase, a, k, l.f AS l, r.f AS r,
+             CAST(a AS HUGEINT) * a * 1000000 // (CAST(l.f AS HUGEINT) * r.f) AS score
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = head JOIN f r ON r.lang = k.lang AND r.phrase = tail),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, part, max(a) AS a FROM (
+        SELECT lang, a, array_to_string(w[:2], ' ') AS part FROM c WHERE size = 3
+        UNION ALL SELECT lang, a, array_to_string(w[2:], ' ') FROM c WHERE size = 3) GROUP BY ALL),
+x AS (SELECT m.* FROM m LEFT JOIN o ON o.lang = m.lang AND o.part = m.phrase
+      WHERE m.size = 3 OR o.a IS NULL OR 100 * o.a < 50 * m.a),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x)
+SELECT y.lang, rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM y JOIN n ON n.lang = y.lang WHERE rank <= 2000"""
+
+
+@query("op11_collocations", PHRASE_SQL)
+def op11(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_secret_scan")
+def op12(spark, sf):
+    return secret_scan.secrets(table(spark, sf, "documents"))
+
+
+AUDIT_SQL = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+             coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+b AS (SELECT doc_id, part,
+        CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+      FROM b LEFT JOIN l ON l.doc_id = b.doc_id GROUP BY part, mask),
+f(i, v) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.i || b.i || c.i || d.i || e.i AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS v
+      FROM f a, f b, f c, f d, f e WHERE a.v + b.v + c.v + d.v + e.v = 31 AND (a.v | b.v | c.v | d.v | e.v) = 31),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, v[step] AS own, CAST(list_sum(v[:step]) AS INT) - v[step] AS before
+      FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, own,
+        sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def op13(spark, sf):
+    return audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
