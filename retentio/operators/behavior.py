@@ -1,12 +1,15 @@
 """Behavioural churn features over event, ticket and billing tables.
 
 All features are per user at an explicit ``as_of`` timestamp and use only
-rows before it; every user with an event before ``as_of`` has a row. The event
-features come from one pass: events are reduced to (user, 30-minute bucket)
-rows with conditional aggregates, sessions (gap > 30 minutes) are counted by
-looking at each bucket and the one before it, and a second aggregation sums
-the buckets per user. No window or join touches raw events, so a user with a
-huge history never lands whole in one task.
+rows before it. The event features read no more history than their frame: 7,
+14 or 30 days (sessions: and one gap), a bound that reaches the scan. ``users``
+(one row per user) gives every user a row, silent ones with zero counts;
+without it users with an event in the frame have one. Events are reduced by
+conditional partial aggregates; sessions are found on 30-minute buckets, so a
+user with a huge history never lands whole in one task.
+
+:mod:`retentio.operators.rollup` computes the same features for many days from
+dated per-user aggregates.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,70 +52,70 @@ def _since(as_of, days: int) -> F.Column:
     return _ts(as_of) - F.make_dt_interval(F.lit(days))
 
 
-def _before(events: DataFrame, as_of, ts: str) -> DataFrame:
-    return events.where(F.col(ts) < _ts(as_of))
+def _frame(events: DataFrame, as_of, days: int, ts: str, margin_minutes: int = 0) -> DataFrame:
+    """Events of the last ``days`` days before ``as_of`` (and a margin)."""
+    first = _since(as_of, days) - F.make_dt_interval(mins=F.lit(margin_minutes))
+    return events.where((F.col(ts) >= first) & (F.col(ts) < _ts(as_of)))
 
 
-def event_profile(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts",
-                  kind: str = "event_type", essential=ESSENTIAL_MODULES, value_action: str = VALUE_ACTION,
-                  error: str = ERROR_EVENT, gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
-    """Per user with an event before ``as_of``: counts and firsts behind all
-    event features.
+def _every_user(per_user: DataFrame, users: DataFrame | None, user: str) -> DataFrame:
+    """A row per user of ``users``, zeros for those without events; or the
+    rows as they are."""
+    if users is None:
+        return per_user
+    counts = [c for c in per_user.columns if c != user]
+    return users.select(user).join(per_user, user, "left").select(
+        user, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])
 
-    actions_7d, actions_30d, modules_used, value_actions, active_days (last 30
-    days), errors_14d, sessions_14d (sessions started in the last 14 days),
-    signup and first_value (timestamps).
+
+def flags(kind, kinds):
+    """A number with one bit per kind, the bit of this row's kind set."""
+    return F.coalesce(*[F.when(kind == k, F.lit(1 << i)) for i, k in enumerate(kinds)], F.lit(0)).cast("long")
+
+
+def session_starts(events: DataFrame, first, user: str, ts: str, gap_minutes: int, aggregates: list) -> DataFrame:
+    """Events reduced to (user, bucket) rows with ``aggregates`` over the
+    events from ``first`` on (a timestamp) and ``starts``: whether a session
+    starts in the bucket.
 
     A bucket is as wide as the session gap, so only its first event can start
     a session, and only the bucket before can hold an event within the gap.
     Every bucket row is sent to its own key and, as predecessor, to the next
-    bucket's key; one aggregation brings the two together. Active days are
-    bits of a number, modules flags.
+    bucket's key; one aggregation brings the two together. ``events`` must
+    reach one gap further back than ``first``.
     """
     gap = gap_minutes * 60
-    t, k = F.col(ts), F.col(kind)
-    month, errors_from = _since(as_of, MONTH_DAYS), _since(as_of, ERROR_DAYS)
-    recent = t >= month
-    sec = F.unix_seconds(t.cast("timestamp"))
-    day = F.datediff(F.to_date(_ts(as_of)), F.to_date(t))
-    e = _before(events, as_of, ts).withColumn("_bkt", F.floor(sec / gap))
-    b = e.groupBy(user, "_bkt").agg(
-        F.count_if(t >= _since(as_of, SHORT_DAYS)).alias("actions_7d"), F.count_if(recent).alias("actions_30d"),
-        *[F.max(recent & (k == m)).alias(f"_m{i}") for i, m in enumerate(essential)],
-        F.count_if(recent & (k == value_action)).alias("value_actions"),
-        F.bit_or(F.when(recent, F.call_function("shiftleft", F.lit(1).cast("long"), day))).alias("_days"),
-        F.count_if((t >= errors_from) & (k == error)).alias("errors_14d"),
-        F.min(F.when(t >= errors_from, sec)).alias("_first"), F.max(F.when(t < errors_from, sec)).alias("_older"),
-        F.max(sec).alias("_last"), F.min(t).alias("signup"), F.min(F.when(k == value_action, t)).alias("first_value"))
-    rest = [c for c in b.columns if c not in (user, "_bkt", "_last")]
+    sec = F.unix_seconds(F.col(ts).cast("timestamp"))
+    inside = F.col(ts) >= first
+    names = [f"_a{i}" for i in range(len(aggregates))]
+    b = events.withColumn("_sec", sec).withColumn("_in", inside).groupBy(
+        user, F.floor(F.col("_sec") / gap).alias("_bkt")).agg(
+        F.min(F.when(F.col("_in"), F.col("_sec"))).alias("_first"),
+        F.max(F.when(~F.col("_in"), F.col("_sec"))).alias("_older"), F.max("_sec").alias("_last"),
+        *[c.alias(n) for c, n in zip(aggregates, names)])
+    own = F.struct("_first", "_older", *names)
+    kind = b.select(own).schema[0].dataType
     both = b.select(user, F.explode(F.array(
-        F.struct(F.col("_bkt").alias("at"), F.struct(*rest).alias("own"), F.lit(None).cast("long").alias("prev")),
-        F.struct((F.col("_bkt") + 1).alias("at"), F.lit(None).cast(b.select(F.struct(*rest)).schema[0].dataType).alias("own"),
-                 F.col("_last").alias("prev")))).alias("x")).select(user, "x.at", "x.prev", "x.own.*")
-    sums = ["actions_7d", "actions_30d", "value_actions", "errors_14d"]
-    j = both.groupBy(user, "at").agg(
-        *[F.sum(c).alias(c) for c in sums], *[F.max(f"_m{i}").alias(f"_m{i}") for i in range(len(essential))],
-        F.bit_or("_days").alias("_days"), F.min("_first").alias("_first"),
-        F.max(F.coalesce("_older", "prev")).alias("_prev"), F.max("_older").alias("_older"),
-        F.min("signup").alias("signup"), F.min("first_value").alias("first_value"))
+        F.struct(F.col("_bkt").alias("at"), own.alias("own"), F.lit(None).cast("long").alias("prev")),
+        F.struct((F.col("_bkt") + 1).alias("at"), F.lit(None).cast(kind).alias("own"), F.col("_last").alias("prev"))
+    )).alias("x")).select(user, "x.at", "x.prev", "x.own.*")
+    j = both.groupBy(user, "at").agg(F.max("_first").alias("_first"), F.max("_older").alias("_older"),
+                                     F.max("prev").alias("_prev"),
+                                     *[F.first(n, ignorenulls=True).alias(n) for n in names])
     # an older event of the same bucket is nearer than the bucket before
     before = F.coalesce(F.col("_older"), F.col("_prev"))
     starts = F.col("_first").isNotNull() & (before.isNull() | (F.col("_first") - before > gap))
-    used = [F.coalesce(F.max(f"_m{i}").cast("int"), F.lit(0)) for i in range(len(essential))]
-    return j.groupBy(user).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
-        reduce(lambda x, y: x + y, used).cast("long").alias("modules_used"),
-        F.bit_count(F.coalesce(F.bit_or("_days"), F.lit(0).cast("long"))).cast("long").alias("active_days"),
-        F.count_if(starts).alias("sessions_14d"), F.min("signup").alias("signup"),
-        F.min("first_value").alias("first_value"))
+    return j.select(user, F.col("at").alias("bucket"), "_first", starts.alias("starts"), *names)
 
 
 def _ratio(a, b):
     return F.try_divide(F.col(a).cast("double"), F.col(b))
 
 
-def event_features(profile: DataFrame, as_of, n_modules: int = len(ESSENTIAL_MODULES)) -> dict:
-    """Columns of every event feature over :func:`event_profile`."""
+def event_features(as_of, n_modules: int = len(ESSENTIAL_MODULES)) -> dict:
+    """Columns of every event feature over the counts actions_7d, actions_30d,
+    modules_used, value_actions, active_days, errors_14d, sessions_14d and the
+    timestamps signup, first_value."""
     v = F.try_divide(F.col("actions_7d") * 4.0, F.col("actions_30d"))
     b = F.col("modules_used") / F.lit(float(n_modules))
     ref = F.to_date(_ts(as_of))
@@ -130,49 +136,73 @@ def event_features(profile: DataFrame, as_of, n_modules: int = len(ESSENTIAL_MOD
     }
 
 
-def _feature(events, as_of, name, user, **kw):
-    p = event_profile(events, as_of, user, **kw)
-    return p.select(user, *event_features(p, as_of, len(kw.get("essential", ESSENTIAL_MODULES)))[name])
-
-
-def velocity_ratio(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+def velocity_ratio(events: DataFrame, as_of, user: str = "user_id", users: DataFrame | None = None,
+                   ts: str = "ts") -> DataFrame:
     """actions(7 d) / (actions(30 d) / 4); NULL without actions in 30 d."""
-    return _feature(events, as_of, "velocity", user, **kw)
+    g = _frame(events, as_of, MONTH_DAYS, ts).groupBy(user).agg(
+        F.count_if(F.col(ts) >= _since(as_of, SHORT_DAYS)).alias("actions_7d"),
+        F.count(F.lit(1)).alias("actions_30d"))
+    return _every_user(g, users, user).select(user, *event_features(as_of)["velocity"])
 
 
 def feature_breadth(events: DataFrame, as_of, user: str = "user_id", approximate: bool = False,
-                    **kw) -> DataFrame:
+                    users: DataFrame | None = None, ts: str = "ts", kind: str = "event_type",
+                    essential=ESSENTIAL_MODULES, lg_k: int = 12) -> DataFrame:
     """Distinct essential modules used in the last 30 days / number of
     essential modules (0 without any); band low (<= 0.2) / medium / high
-    (> 0.7). One flag per module is exact and cheaper than a sketch, so
-    ``approximate`` changes nothing."""
-    return _feature(events, as_of, "breadth", user, **kw)
+    (> 0.7).
 
-
-def core_action_intensity(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    Up to 62 modules are exact flags in one number. ``approximate`` counts
+    them with a sketch of 2**``lg_k`` registers instead (relative standard
+    error 1.04 / sqrt(2**lg_k), 1.6 % by default; exact for a few dozen
+    modules), for long module lists and for sketches that are stored per day.
+    """
+    e, k = _frame(events, as_of, MONTH_DAYS, ts), F.col(kind)
+    if approximate:
+        used = F.hll_sketch_estimate(F.hll_sketch_agg(F.when(k.isin(list(essential)), k), F.lit(lg_k)))
+    elif len(essential) <= 62:
+        used = F.bit_count(F.bit_or(flags(k, essential))).cast("long")
+    else:
+        used = F.count_distinct(F.when(k.isin(list(essential)), k))
+    g = e.groupBy(user).agg(used.alias("modules_used"))
+    return _every_user(g, users, user).select(user, *event_features(as_of, len(essential))["breadth"])
+
+
+def core_action_intensity(events: DataFrame, as_of, user: str = "user_id", users: DataFrame | None = None,
+                          ts: str = "ts", kind: str = "event_type", value_action: str = VALUE_ACTION) -> DataFrame:
     """Value actions in the last 30 days / distinct active days in them; NULL
-    without an active day."""
-    return _feature(events, as_of, "intensity", user, **kw)
+    without an active day. Days are bits of a number."""
+    day = F.datediff(F.to_date(_ts(as_of)), F.to_date(ts))
+    g = _frame(events, as_of, MONTH_DAYS, ts).groupBy(user).agg(
+        F.count_if(F.col(kind) == value_action).alias("value_actions"),
+        F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), day))).cast("long").alias("active_days"))
+    return _every_user(g, users, user).select(user, *event_features(as_of)["intensity"])
 
 
-def error_rate_severity(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+def error_rate_severity(events: DataFrame, as_of, user: str = "user_id", users: DataFrame | None = None,
+                        ts: str = "ts", kind: str = "event_type", error: str = ERROR_EVENT,
+                        gap_minutes: int = SESSION_GAP_MINUTES) -> DataFrame:
     """Errors in the last 14 days / sessions started in them; NULL without a
-    session."""
-    return _feature(events, as_of, "errors", user, **kw)
-
-
-def ghosting_rate(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
+    session. Reads the 14 days and one gap before them."""
+    first = _since(as_of, ERROR_DAYS)
+    e = _frame(events, as_of, ERROR_DAYS, ts, gap_minutes)
+    b = session_starts(e, first, user, ts, gap_minutes,
+                       [F.count_if((F.col(ts) >= first) & (F.col(kind) == error))])
+    g = b.groupBy(user).agg(F.coalesce(F.sum("_a0"), F.lit(0)).alias("errors_14d"),
+                            F.count_if("starts").alias("sessions_14d"))
+    return _every_user(g, users, user).select(user, *event_features(as_of)["errors"])
+
+
+def ghosting_rate(events: DataFrame, as_of, user: str = "user_id", ts: str = "ts", kind: str = "event_type",
+                  value_action: str = VALUE_ACTION) -> DataFrame:
     """Days since signup − days from signup to the first value action
     (= days since the first value action); without one, days since signup.
-    Signup = the user's first event. Both terms are returned too."""
-    return _feature(events, as_of, "ghosting", user, **kw)
-
-
-def all_event_features(events: DataFrame, as_of, user: str = "user_id", **kw) -> DataFrame:
-    """All five event features from one pass over the events."""
-    p = event_profile(events, as_of, user, **kw)
-    f = event_features(p, as_of, len(kw.get("essential", ESSENTIAL_MODULES)))
-    return p.select(user, *[c for part in f.values() for c in part])
+    Signup = the user's first event, so all history before ``as_of`` is read
+    (two minima per user). Both terms are returned too."""
+    t = F.col(ts)
+    g = events.where(t < _ts(as_of)).groupBy(user).agg(
+        F.min(t).alias("signup"), F.min(F.when(F.col(kind) == value_action, t)).alias("first_value"))
+    return g.select(user, *event_features(as_of)["ghosting"])
 
 
 def support_friction(tickets: DataFrame, as_of, user: str = "user_id", opened: str = "opened",
@@ -215,10 +245,15 @@ def downgrade_momentum(billing: DataFrame, as_of, user: str = "user_id", ts: str
 
 
 def write_snapshot(snapshot: DataFrame, as_of, path: str) -> str:
-    """Write one day's features into the dated table at ``path``; a day that
-    is there is replaced, other days stay."""
-    day = as_of.date() if isinstance(as_of, _dt.datetime) else as_of
-    (snapshot.withColumn("snapshot_date", F.lit(day)).write.mode("overwrite")
+    """Write features into the dated table at ``path``: one day's, or those of
+    many days by their column ``as_of`` (``as_of=None``). A day that is there
+    is replaced, other days stay."""
+    if as_of is None:
+        dated = snapshot.withColumnRenamed("as_of", "snapshot_date")
+    else:
+        day = as_of.date() if isinstance(as_of, _dt.datetime) else as_of
+        dated = snapshot.withColumn("snapshot_date", F.lit(day))
+    (dated.hint("rebalance", "snapshot_date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path))
     return path
 
@@ -233,18 +268,22 @@ def renewal_danger_zone(contracts: DataFrame, as_of, user: str = "user_id",
 
 def user_features_snapshot(parts: list[DataFrame], user: str = "user_id") -> DataFrame:
     """Combine per-user feature tables with one union and one aggregation
-    (one shuffle), instead of a chain of outer joins."""
+    (one shuffle), instead of a chain of outer joins; tables with a column
+    ``as_of`` are combined per user and day."""
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    cols = [c for c in u.columns if c != user]
-    return u.groupBy(user).agg(*[F.max(c).alias(c) for c in cols])
+    key = [user, "as_of"] if "as_of" in u.columns else [user]
+    return u.groupBy(*key).agg(*[F.max(c).alias(c) for c in u.columns if c not in key])
+
+
+def _filled(df: DataFrame, columns: list[str], keep: list[str], fill: float) -> DataFrame:
+    return df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(fill)).alias(c) for c in columns])
 
 
 def scaled_features(df: DataFrame, columns: list[str], key: str = "user_id",
                     fill: float = 0.0) -> DataFrame:
     """NULL → ``fill``, then z-score with the sample standard deviation
     (constant columns → 0). Means and deviations are p driver scalars."""
-    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(fill)).alias(c) for c in columns])
-    filled = write_once(filled, "filled")  # read by the moments and by the result
+    filled = write_once(_filled(df, columns, [key], fill), "filled")  # read by the moments and by the result
     st = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
                     *[F.stddev_samp(c).alias(f"s_{c}") for c in columns]).first()
     out = [key]
@@ -255,3 +294,21 @@ def scaled_features(df: DataFrame, columns: list[str], key: str = "user_id",
         else:
             out.append(F.round((F.col(c) - F.lit(mu)) / F.lit(sd), 6).alias(f"{c}_z"))
     return filled.select(*out)
+
+
+def fit_scaler(df: DataFrame, columns: list[str], fill: float = 0.0) -> PipelineModel:
+    """A scaler of ``columns`` (NULL → ``fill``) that can be saved and applied
+    to the features of a later day: means and sample standard deviations of
+    this one. The column names travel in the assembler."""
+    stages = [VectorAssembler(inputCols=list(columns), outputCol="_values", handleInvalid="error"),
+              StandardScaler(inputCol="_values", outputCol="_scaled", withMean=True, withStd=True)]
+    return Pipeline(stages=stages).fit(_filled(df, columns, [], fill))
+
+
+def apply_scaler(model: PipelineModel, df: DataFrame, key: str = "user_id", fill: float = 0.0) -> DataFrame:
+    """z-scores with the moments of a fitted (or loaded) scaler, 0 for columns
+    that were constant when it was fitted; a narrow transformation."""
+    columns = model.stages[0].getInputCols()
+    z = vector_to_array(F.col("_scaled"))
+    return model.transform(_filled(df, columns, [key], fill)).select(
+        key, *[F.round(F.get(z, F.lit(i)), 6).alias(f"{c}_z") for i, c in enumerate(columns)])

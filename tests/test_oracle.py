@@ -68,6 +68,10 @@ def test_scale_properties_of_key_plans(spark):
     q = E.queries()
     flagship = summarize(q["features"](spark, SF)._jdf.queryExecution().executedPlan().toString())
     assert flagship["shuffles"] <= 2          # per-order and per-owner aggregation only
-    sess = summarize(q["error_rate_severity"](spark, SF)._jdf.queryExecution().executedPlan().toString())
-    assert any("GreaterThanOrEqual(ts" in p for p in sess["pushed"])   # window bound reaches the scan
-    assert sess["windows"] == 1
+    for name in ("velocity_ratio", "feature_breadth", "core_action_intensity", "error_rate_severity"):
+        plan = summarize(q[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+        # the frame's lower bound reaches the scan of the events; users come from the users table
+        assert any("GreaterThanOrEqual(ts" in p and "LessThan(ts" in p for p in plan["pushed"]), name
+        assert plan["windows"] == 0
+        # one aggregation (sessions: by bucket, with the bucket before, by user) and the join's other side
+        assert plan["shuffles"] <= (4 if name == "error_rate_severity" else 2), (name, plan["shuffles"])
