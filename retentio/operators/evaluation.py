@@ -20,9 +20,9 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def classification_report(confusion: DataFrame, by: list[str] | None = None,
-                          classes=(0, 1)) -> DataFrame:
+                          classes=(0, 1), places: int | None = 4) -> DataFrame:
     """Per class precision / recall / F1 / support, then accuracy, macro and
-    weighted averages (0/0 → 0), all rounded to 4 places.
+    weighted averages (0/0 → 0), rounded to ``places`` (None: not at all).
 
     Rows: ``class`` = '0', '1', 'accuracy', 'macro avg', 'weighted avg'.
     """
@@ -60,7 +60,9 @@ def classification_report(confusion: DataFrame, by: list[str] | None = None,
     rows.append(F.struct(F.lit("weighted avg").alias("class"), *[m.alias(n) for m, n in
                 zip(weighted, ("precision", "recall", "f1"))], F.col("total").cast("long").alias("support")))
     out = t.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
-    return out.select(*by, "class", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")],
+    if places is None:
+        return out
+    return out.select(*by, "class", *[F.round(c, places).alias(c) for c in ("precision", "recall", "f1")],
                       "support")
 
 

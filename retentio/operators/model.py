@@ -7,9 +7,10 @@ forests are deterministic only for a fixed partitioning."""
 
 from __future__ import annotations
 
-import statistics
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from retentio.operators.evaluation import classification_report, confusion_matrix, roc_auc
 from retentio.operators.split import stratified_folds, stratified_split, with_class_weights
 from retentio.schemas import ID_COLUMNS, LEAKY_COLUMNS, TARGET
-from retentio.session import write_once
+from retentio.session import checkpoint_dir, write_once
 
 # Forest defaults of the training step.
 FOREST_DEFAULTS = dict(n_trees=200, max_depth=10, min_leaf=5, seed=42)
@@ -79,54 +80,83 @@ def positive_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("score", vector_to_array(F.col("probability"))[1])
 
 
-def _metrics(pred: DataFrame, target: str, by: list[str]) -> dict:
-    """accuracy, f1 (class 1) and roc_auc per group: one confusion job and
-    one AUC for all groups."""
-    conf: dict = {}
-    for r in confusion_matrix(pred, target, "prediction", by).collect():
-        conf.setdefault(tuple(r[c] for c in by), {})[(r["label"], r["prediction"])] = r["n"]
-    auc = {tuple(r[c] for c in by): r["roc_auc"] for r in roc_auc(pred, target, "score", by).collect()}
-    out = {}
-    for g, c in conf.items():
-        tp, tn, fp, fn = (c.get(k, 0) for k in ((1, 1), (0, 0), (0, 1), (1, 0)))
-        prec = tp / (tp + fp) if tp + fp else 0.0
-        rec = tp / (tp + fn) if tp + fn else 0.0
-        out[g] = {"accuracy": (tp + tn) / (tp + tn + fp + fn),
-                  "f1": 2 * prec * rec / (prec + rec) if prec + rec else 0.0, "roc_auc": auc.get(g)}
-    return out
+def threshold_rule(feature: str, target: str = TARGET):
+    """A one-column baseline as a ``fit`` of :func:`fold_scores`: class 1 above
+    the column's mean over the training rows (6 places), score = the column."""
+    def fit(train: DataFrame):
+        mean = train.agg(F.round(F.avg(F.col(feature).cast("double")), 6)).first()[0]
+        x = F.col(feature).cast("double")
+        return lambda df: df.withColumn("score", x).withColumn("prediction", (x > F.lit(mean)).cast("double"))
+    return fit
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str = TARGET, key: str = "login",
-                   k: int = 5, seed: int = 42, **params) -> DataFrame:
-    """k stratified folds; accuracy, F1 (class 1) and ROC-AUC on the train and
-    validation part of every fold → (metric, split, mean, std (ddof 0),
-    leakage_warning)."""
-    spark = df.sparkSession
-    from retentio.session import checkpoint_dir
-    checkpoint_dir(spark)
+def forest_rule(features: list[str], target: str = TARGET, **params):
+    """The class-weighted forest as a ``fit`` of :func:`fold_scores`."""
+    def fit(train: DataFrame):
+        model = fit_forest(train, features, target, **params)
+        return lambda df: positive_probability(model, df)
+    return fit
+
+
+def fold_scores(df: DataFrame, fit, target: str = TARGET, key: str = "login", k: int = 5, seed: int = 42,
+                parallelism: int = 1) -> DataFrame:
+    """Predictions of k stratified folds, each fitted without its own rows:
+    (fold, split 'train' or 'validation', target, prediction, score), all rows
+    per fold, written once.
+
+    ``fit(train)`` returns a function that adds ``prediction`` and ``score``.
+    The folds share one written input; ``parallelism`` of them are fitted at a
+    time, so that one fold's small driver-side steps do not leave the cluster
+    idle (each needs its own memory for the fit). The scores do not depend on it.
+    """
+    checkpoint_dir(df.sparkSession)
     # written to the checkpoint folder: every fold reads it instead of
     # recomputing the ranked input, and a lost executor does not lose it
     data = stratified_folds(df, target, key, k, seed).repartition(key).checkpoint(eager=True)
-    scored = []
-    for f in range(k):
-        model = fit_forest(data.where(F.col("fold") != f), features, target, seed=seed, **params)
+
+    def one(f: int) -> DataFrame:
+        score = fit(data.where(F.col("fold") != f))
         split = F.when(F.col("fold") == f, "validation").otherwise("train")
-        scored.append(positive_probability(model, data).select(
-            F.lit(f).alias("_fold"), split.alias("_split"), target, "prediction", "score"))
-    scores: dict = {}
-    all_folds = write_once(reduce(DataFrame.unionByName, scored), "cv-scores")
-    for (_, split), m in sorted(_metrics(all_folds, target, ["_fold", "_split"]).items()):
-        for name, v in m.items():
-            scores.setdefault((name, split), []).append(v)
-    rows = []
-    for (name, split), vs in sorted(scores.items()):
-        vs = [v for v in vs if v is not None]
-        mean = sum(vs) / len(vs) if vs else None
-        std = statistics.pstdev(vs) if vs else None
-        rows.append((name, split, mean, std,
-                     bool(name == "accuracy" and mean is not None and mean > LEAKAGE_ACCURACY)))
-    return spark.createDataFrame(rows, "metric string, split string, mean double, std double, "
-                                       "leakage_warning boolean")
+        own = data.withColumn("_split", split).drop("fold")
+        return score(own).select(F.lit(f).alias("fold"), F.col("_split").alias("split"), target, "prediction", "score")
+
+    if parallelism > 1:
+        with ThreadPool(min(parallelism, k)) as pool:
+            scored = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
+    else:
+        scored = [one(f) for f in range(k)]
+    return write_once(reduce(DataFrame.unionByName, scored), "cv-scores")
+
+
+def fold_metrics(scores: DataFrame, target: str = TARGET) -> DataFrame:
+    """Per fold and split: tp, fp, fn, tn, accuracy, f1 (class 1) and roc_auc
+    (NULL with a single class). One confusion job and one AUC for all."""
+    by = ["fold", "split"]
+    conf = write_once(confusion_matrix(scores, target, "prediction", by), "confusion")
+
+    def cell(label, prediction):
+        return F.coalesce(F.sum(F.when((F.col("label") == label) & (F.col("prediction") == prediction), F.col("n"))), F.lit(0))
+
+    counts = conf.groupBy(*by).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"))
+    report = classification_report(conf, by, places=None).groupBy(*by).agg(
+        F.max(F.when(F.col("class") == "accuracy", F.col("f1"))).alias("accuracy"),
+        F.max(F.when(F.col("class") == "1", F.col("f1"))).alias("f1"))
+    auc = roc_auc(scores, target, "score", by).select(*by, "roc_auc")
+    return counts.join(report, by).join(auc, by, "left")
+
+
+def cross_validate(df: DataFrame, features: list[str], target: str = TARGET, key: str = "login",
+                   k: int = 5, seed: int = 42, parallelism: int = 1, fit=None, **params) -> DataFrame:
+    """k stratified folds; accuracy, F1 (class 1) and ROC-AUC on the train and
+    validation part of every fold → (metric, split, mean, std (ddof 0),
+    leakage_warning). ``fit`` replaces the forest (see :func:`fold_scores`)."""
+    fit = fit or forest_rule(features, target, seed=seed, **params)
+    m = fold_metrics(fold_scores(df, fit, target, key, k, seed, parallelism), target)
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("v"))
+                                 for c in ("accuracy", "f1", "roc_auc")]))
+    return m.select("split", values.alias("x")).groupBy(F.col("x.metric").alias("metric"), "split").agg(
+        F.avg("x.v").alias("mean"), F.stddev_pop("x.v").alias("std")).withColumn(
+        "leakage_warning", F.coalesce((F.col("metric") == "accuracy") & (F.col("mean") > LEAKAGE_ACCURACY), F.lit(False)))
 
 
 def train_forest(df: DataFrame, features: list[str] | None = None, target: str = TARGET,
@@ -134,7 +164,6 @@ def train_forest(df: DataFrame, features: list[str] | None = None, target: str =
     """Exact stratified hold-out, forest on the train part, hold-out
     predictions. Returns (model, holdout_predictions, features)."""
     features = features or feature_list(df, target)
-    from retentio.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     # the split input is ranked by several jobs and read by the fit and the
     # hold-out scoring: write it once to the checkpoint folder

@@ -128,3 +128,37 @@ def range_check(df: DataFrame, rules=None) -> DataFrame:
     """Adds ``violations`` (NULL when valid) and ``valid``; split with a filter."""
     v = range_violation(rules)
     return df.withColumn("violations", v).withColumn("valid", F.col("violations").isNull())
+
+
+def range_reasons(rules=None) -> Column:
+    """Array of (column, reason) of the violated rules of a row: ``missing``
+    (NULL, NaN or no number), ``below`` or ``above`` its range."""
+    rules = rules or RANGE_RULES
+    found = []
+    for c, (lo, hi) in rules.items():
+        v = F.col(c).try_cast("double")
+        reason = F.when(v.isNull() | F.isnan(v), F.lit("missing"))
+        if lo is not None:
+            reason = reason.when(v < lo, F.lit("below"))
+        if hi is not None:
+            reason = reason.when(v > hi, F.lit("above"))
+        found.append(F.when(reason.isNotNull(), F.struct(F.lit(c).alias("column"), reason.alias("reason"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def quarantine(df: DataFrame, path: str, rules=None) -> tuple[DataFrame, DataFrame]:
+    """Write valid and rejected rows in one pass over ``df`` (two partitions
+    of one table) and read them back: (accepted rows with the columns of
+    ``df``, rejected rows with ``reasons``). Every row is in exactly one of the
+    two."""
+    checked = df.withColumn("reasons", range_reasons(rules))
+    checked = checked.withColumn("accepted", F.size("reasons") == 0)
+    checked.write.partitionBy("accepted").parquet(path)
+    back = df.sparkSession.read.schema(checked.schema).parquet(path)
+    return back.where("accepted").select(*df.columns), back.where("NOT accepted").drop("accepted")
+
+
+def rejection_report(rejected: DataFrame) -> DataFrame:
+    """Rejected rows per (column, reason); a row counts once per violated rule."""
+    return rejected.select(F.explode("reasons").alias("r")).groupBy("r.column", "r.reason").agg(
+        F.count(F.lit(1)).alias("n"))

@@ -464,7 +464,7 @@ ORACLE["filter_selection"] = _filter_selection_sql().replace("__PAIRS__", _raw_p
 
 def _register_more():
     # imported for their @query side effects
-    from retentio.plans import behavior_queries, ingest_queries, model_checks, model_queries  # noqa: F401
+    from retentio.plans import behavior_queries, flow_queries, ingest_queries, model_checks, model_queries  # noqa: F401
 
 
 _register_more()

@@ -384,7 +384,7 @@ def q_sink_selected_topk(spark, sf):
 
 # --- streaming ---------------------------------------------------------------------------
 
-def _stream_batches(spark, sf):
+def stream_batches(spark, sf):
     base = raw.landed_users(spark, sf, tables.ORDERS_AS_OF)
     ts = "{d}T00:00:00+00:00"
     b0 = base.withColumn("scraped_at", F.lit(ts.format(d="2001-08-01")))
@@ -397,16 +397,16 @@ def _stream_batches(spark, sf):
     stale = (base.where(F.col("id") % 5 == 0)
              .withColumn("followers", F.col("followers") + 9)
              .withColumn("scraped_at", F.lit(ts.format(d="2001-07-30"))))
-    # one file with two spellings of a login: the later row wins
+    # two spellings of a login, in one file: the later row wins
     again = base.where(F.col("id") % 7 == 0).withColumn("scraped_at", F.lit(ts.format(d="2001-08-04")))
     twice = (again.withColumn("followers", F.col("followers") + 3).withColumn("_nth", F.lit(0))
              .unionByName(again.withColumn("login", F.upper("login"))
                           .withColumn("followers", F.col("followers") + 4).withColumn("_nth", F.lit(1)))
-             .coalesce(1).sortWithinPartitions("id", "_nth", "part").drop("_nth"))
+             .repartition("id").sortWithinPartitions("id", "_nth", "part").drop("_nth"))
     return [b0, b1, b2, stale, twice]
 
 
-@query("incremental_ingest", o.with_base("""
+INCREMENTAL_SQL = o.with_base("""
 SELECT l AS login, CAST(f AS VARCHAR) AS followers, scraped_at, n_repos FROM (
   SELECT lower(login) AS k, arg_max(login, scraped_at) AS l, arg_max(followers, scraped_at) AS f,
          max(scraped_at) AS scraped_at FROM (
@@ -416,11 +416,14 @@ SELECT l AS login, CAST(f AS VARCHAR) AS followers, scraped_at, n_repos FROM (
     UNION ALL SELECT login, followers + 9, '2001-07-30T00:00:00+00:00' FROM u_users WHERE id % 5 = 0
     UNION ALL SELECT upper(login), followers + 4, '2001-08-04T00:00:00+00:00' FROM u_users WHERE id % 7 = 0)
   GROUP BY lower(login))
-LEFT JOIN (SELECT lower(login) AS k, public_repos AS n_repos FROM u_users) USING (k)"""))
+LEFT JOIN (SELECT lower(login) AS k, public_repos AS n_repos FROM u_users) USING (k)""")
+
+
+@query("incremental_ingest", INCREMENTAL_SQL)
 def q_incremental_ingest(spark, sf):
     from retentio.streaming.ingest import ingest_available
     landing = scratch_path(spark, "landing")
-    for i, b in enumerate(_stream_batches(spark, sf)):
+    for i, b in enumerate(stream_batches(spark, sf)):
         b.write.json(f"{landing}/batch={i}")
     log = scratch_path(spark, "ingest_log")
     ckpt = scratch_path(spark, "ingest_ckpt")

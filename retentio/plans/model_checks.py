@@ -70,6 +70,46 @@ def q_cv(spark, sf):
                     .alias("warning_follows"))
 
 
+_RULE = "repository_maintenance_ratio"
+_CV_SQL = o.with_base("""
+SELECT c.fold, c.split, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+       round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1,
+       round((pos_ranks - (tp + fn) * (tp + fn + 1) / 2.0) / nullif((tp + fn) * CAST(tn + fp AS DOUBLE), 0), 6) AS roc_auc
+FROM counts c""", _ORDERED + f""",
+x AS (SELECT f.fold, CASE WHEN rk % 5 = f.fold THEN 'validation' ELSE 'train' END AS split, l.churn, l.{_RULE} AS s
+      FROM o_rows r JOIN labeled_v l ON l.login = r.login CROSS JOIN range(5) f(fold)),
+th AS (SELECT fold, round(avg(s), 6) AS mean FROM x WHERE split = 'train' GROUP BY fold),
+sc AS (SELECT x.*, CASE WHEN s > mean THEN 1 ELSE 0 END AS pred,
+              rank() OVER w + (count(*) OVER (PARTITION BY x.fold, split, s) - 1) / 2.0 AS r
+       FROM x JOIN th ON th.fold = x.fold WINDOW w AS (PARTITION BY x.fold, split ORDER BY s)),
+counts AS (SELECT CAST(fold AS INT) AS fold, split, count(*) FILTER (WHERE churn = 1 AND pred = 1) AS tp,
+                  count(*) FILTER (WHERE churn = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE churn = 1 AND pred = 0) AS fn,
+                  count(*) FILTER (WHERE churn = 0 AND pred = 0) AS tn, sum(r) FILTER (WHERE churn = 1) AS pos_ranks
+           FROM sc GROUP BY ALL)""")
+
+
+@query("fold_metrics", _CV_SQL)
+def q_fold_metrics(spark, sf):
+    """Confusion counts, accuracy, F1 and AUC of every fold and split, by the
+    cross-validation itself with a one-column rule in place of the forest."""
+    m = mq.matrix(spark, sf)
+    scores = md.fold_scores(m, md.threshold_rule(_RULE), parallelism=2)
+    return md.fold_metrics(scores).select(
+        "fold", "split", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1", "roc_auc")])
+
+
+@query("cross_validate_rule", _CV_SQL.replace("""
+SELECT c.fold, c.split""", """,
+m AS (SELECT c.fold, c.split""").replace("FROM counts c", """FROM counts c)
+SELECT metric, split, round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS std, metric = 'accuracy' AND avg(v) > 0.98 AS leakage_warning
+FROM (SELECT split, 'accuracy' AS metric, accuracy AS v FROM m UNION ALL SELECT split, 'f1', f1 FROM m
+      UNION ALL SELECT split, 'roc_auc', roc_auc FROM m) GROUP BY metric, split"""))
+def q_cv_rule(spark, sf):
+    """Cross-validation of the one-column rule: means and deviations."""
+    cv = md.cross_validate(mq.matrix(spark, sf), [], fit=md.threshold_rule(_RULE), parallelism=2)
+    return cv.select("metric", "split", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "leakage_warning")
+
+
 def _score_facts(scored: DataFrame) -> DataFrame:
     p = F.col("churn_probability")
     return scored.select(
@@ -89,20 +129,20 @@ _SCORE_SQL = """
 SELECT login, true AS bounded, true AS percent_follows, true AS tier_follows, true AS status_follows FROM {view}"""
 
 
-def _model(spark, sf):
+def trained_model(spark, sf):
     return md.train_forest(mq.matrix(spark, sf))[0]
 
 
 @query("exact_batch_score", o.with_base(_SCORE_SQL.format(view="defective_v"), DEFECTIVE_V))
 def q_score(spark, sf):
     """Scoring input with NULL, NaN and infinite features."""
-    return _score_facts(batch_score(_model(spark, sf), defective(spark, sf)))
+    return _score_facts(batch_score(trained_model(spark, sf), defective(spark, sf)))
 
 
 @query("exact_model_roundtrip", o.with_base("SELECT login, true AS same_score FROM features_v"))
 def q_roundtrip(spark, sf):
     """A saved and loaded model gives every user the score of the original."""
-    model = _model(spark, sf)
+    model = trained_model(spark, sf)
     back = md.load_model(md.save_model(model, scratch_path(spark, "model")))
     f = features(spark, sf)
     a = batch_score(model, f).select("login", F.col("churn_probability").alias("a"))
@@ -196,11 +236,8 @@ def q_rfe_linear(spark, sf):
 
 @query("exact_rfe_forest_regression", _features_sql(_NO_RATE, _RFE))
 def q_rfe_forest_regression(spark, sf):
-    """Elimination by a regression forest (numeric target), one round."""
-    t = training(spark, sf)
-    feats = [c for c in sel.candidate_features(t, drop=()) if c != "repos_per_year"]
-    k = len(feats) - 1
-    return _rfe_facts(sel.rfe(t, k, target="repos_per_year", task="regression", estimator="rf", features=feats), k)
+    """Elimination by a regression forest (numeric target), all rounds."""
+    return _rfe_facts(mq.q_rfe_forest_regression(spark, sf), mq.TOP_K)
 
 
 # --- membership and consensus over exact selectors -----------------------------

@@ -46,6 +46,14 @@ def q_rfe_linear(spark, sf):
                    features=feats)
 
 
+@query("rfe_forest_regression")
+def q_rfe_forest_regression(spark, sf):
+    """Elimination by a regression forest for a numeric target."""
+    t = training(spark, sf)
+    feats = [c for c in sel.candidate_features(t, drop=()) if c != "repos_per_year"]
+    return sel.rfe(t, TOP_K, target="repos_per_year", task="regression", estimator="rf", features=feats)
+
+
 def selection_sets(spark, sf):
     """Long (method, feature) table of the four selectors' choices."""
     t = training(spark, sf).cache()
@@ -82,7 +90,7 @@ def q_train_forest(spark, sf):
 @query("cross_validate")
 def q_cross_validate(spark, sf):
     m = matrix(spark, sf)
-    return md.cross_validate(m, md.feature_list(m))
+    return md.cross_validate(m, md.feature_list(m), parallelism=4)
 
 
 @query("model_importance")

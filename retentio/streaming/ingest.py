@@ -6,6 +6,10 @@ a re-run batch is idempotent). The current table is the log reduced to the
 latest record per case-insensitive login (latest ``scraped_at``, then the
 latest batch). Appends never rewrite old data, so a batch costs its own size,
 not the size of the table.
+
+Readers need not reduce the log: :func:`merge_batch` keeps the current records
+in a table bucketed by the hash of the login, where a batch rewrites only the
+buckets of its own logins.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentio.schemas import RAW_USER
+from retentio.session import drop_written, path_exists, write_once
 
 
 # Position of a record in the landed files, kept in the log.
@@ -29,6 +34,60 @@ def _append_batch(log_path: str):
     return write
 
 
+def bucket_of(key: str, n_buckets: int):
+    """Bucket of a case-insensitive key."""
+    return F.pmod(F.xxhash64(F.lower(F.col(key))), F.lit(n_buckets)).cast("int")
+
+
+def merge_batch(spark: SparkSession, log_path: str, batch_id: int, table: str, n_buckets: int = 64,
+                key: str = "login") -> None:
+    """Merge one batch of the log into the bucketed table of current records.
+
+    Only the buckets of the batch's logins are read and replaced; the files of
+    all others stay. Records keep their stamps, so the merge picks the same
+    winners as a reduction of the whole log. A batch that is merged again gives
+    the same table. Merged buckets are written aside before they replace the
+    old ones; the log stays the source from which a table is made anew
+    (``n_buckets`` is fixed per table).
+    """
+    new = spark.read.parquet(log_path).where((F.col("batch_id") == batch_id) & (F.coalesce(F.col(key), F.lit("")) != ""))
+    new = new.withColumn("bucket", bucket_of(key, n_buckets))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most n_buckets
+    if not touched:
+        return
+    if path_exists(spark, table):
+        old = spark.read.schema(new.schema).parquet(table).where(F.col("bucket").isin(touched))
+        new = old.where(F.col("batch_id") != batch_id).unionByName(new)
+    staged = write_once(_latest(new, key), "buckets")
+    (staged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(table))
+    drop_written(staged)
+
+
+def bucketed_users(spark: SparkSession, table: str) -> DataFrame:
+    """The current records of a bucketed table, all parts."""
+    return spark.read.parquet(table).drop("bucket", "batch_id", *POSITION)
+
+
+def run_bucketed_ingest(spark: SparkSession, landing: str, log_path: str, checkpoint: str, table: str,
+                        n_buckets: int = 64, files_per_trigger: int | None = None, schema=RAW_USER) -> None:
+    """Take in the files that have arrived since the last run: each
+    micro-batch goes to the log and is merged into the bucketed table."""
+    append = _append_batch(log_path)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        append(batch, batch_id)
+        merge_batch(batch.sparkSession, log_path, batch_id, table, n_buckets)
+
+    stream = spark.readStream.schema(schema)
+    if files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    stream = stream.json(landing).select("*", F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_block"))
+    (stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def start_ingest(spark: SparkSession, landing: str, log_path: str, checkpoint: str,
                  files_per_trigger: int = 1, schema=RAW_USER):
     """Start an ``availableNow`` stream: every file present is processed, in
