@@ -10,13 +10,17 @@ targets × buckets rows) instead of gathering a column into one task.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.functions.numbers import nan_to_null
+from retentio.functions.numbers import finite_or_null, nan_to_null
+from retentio.session import write_once
 
 # Output precision of floating statistics in report tables.
 DIGITS = 6
@@ -181,54 +185,135 @@ def variance(df: DataFrame, columns=None) -> DataFrame:
     return _long(row, columns, ["variance"])
 
 
-def gram(df: DataFrame, columns) -> tuple:
-    """Pair counts, sums, cross sums and square sums of all column pairs over
-    the rows where both are present, and the shifts that were subtracted.
-
-    One pass: each row becomes the vector (x, present, x²) with zeros where x
-    is missing, and MLlib adds the outer products per partition (JVM, no
-    shuffle of rows); (3p)² sums reach the driver."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    from retentio.session import write_once
-    p = len(columns)
-    vals = write_once(df.select(*[nan_to_null(F.col(c)).alias(f"x{i}") for i, c in enumerate(columns)]), "gram")
-    means = vals.agg(*[F.avg(f"x{i}") for i in range(p)]).first()
-    shift = [0.0 if m is None or not math.isfinite(m) else m for m in means]
-    x = [F.coalesce(F.col(f"x{i}") - F.lit(shift[i]), F.lit(0.0)) for i in range(p)]
-    z = vals.select(*[v.alias(f"v{i}") for i, v in enumerate(x)],
-                    *[F.col(f"x{i}").isNotNull().cast("double").alias(f"m{i}") for i in range(p)],
-                    *[(v * v).alias(f"s{i}") for i, v in enumerate(x)])
-    rows = VectorAssembler(inputCols=z.columns, outputCol="z").transform(z).select("z")
-    g = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "z"), numCols=3 * p).computeGramianMatrix().toArray()
-    return g[p:2 * p, p:2 * p], g[:p, p:2 * p], g[:p, :p], g[2 * p:, p:2 * p], shift
+#: Columns up to which every pair gets its own aggregates (one pass, codegen).
+PAIR_COLUMNS = 24
+#: Cells of a strip of the pair matrix that a task adds up at a time.
+STRIP_CELLS = 1 << 20
 
 
 def correlation_pairs(df: DataFrame, columns=None) -> DataFrame:
     """Pearson r for all pairs i < j, pairwise-complete (rows where both are
-    present). A column that is constant on those rows gives NULL.
-    (feature_a, feature_b, ordinal_a, ordinal_b, corr), from one Gram matrix.
+    present, NaN counts as missing). A column that is constant on those rows,
+    or infinite in one of them, gives NULL.
+    (feature_a, feature_b, ordinal_a, ordinal_b, corr).
+
+    Up to ``PAIR_COLUMNS`` columns: one aggregation pass. Beyond: strips of
+    the pair matrix, see :func:`strip_correlations`; no p x p sums reach the
+    driver in either case.
     """
     from retentio.operators.quality import numeric_columns
     columns = list(columns) if columns is not None else numeric_columns(df)
-    n, total, cross, square, shift = gram(df, columns)
-
-    def corr(a, b):
-        if not n[a, b]:
-            return None
-        sa, sb = total[a, b], total[b, a]
-        va, vb = square[a, b] - sa * sa / n[a, b], square[b, a] - sb * sb / n[a, b]
-        # the shift's own rounding is no variance
-        if any(not v > 1e-24 * n[a, b] * (1e-30 + shift[k] ** 2) for v, k in ((va, a), (vb, b))):
-            return None
-        r = (cross[a, b] - sa * sb / n[a, b]) / math.sqrt(va * vb)
-        return float(r) if math.isfinite(r) else None
-
-    rows = [(columns[a], columns[b], a, b, corr(a, b)) for a, b in combinations(range(len(columns)), 2)]
-    return df.sparkSession.createDataFrame(
-        rows, "feature_a string, feature_b string, ordinal_a int, ordinal_b int, corr double")
+    if len(columns) > PAIR_COLUMNS:
+        r = strip_correlations(df, columns)
+    else:
+        r = _pair_correlations(df, columns)
+    names = F.array(*[F.lit(c) for c in columns])
+    return r.select(F.get(names, F.col("ordinal_a")).alias("feature_a"), F.get(names, F.col("ordinal_b")).alias("feature_b"),
+                    "ordinal_a", "ordinal_b", "corr")
+
+
+def _pair_correlations(df: DataFrame, columns) -> DataFrame:
+    v = df.select(*[nan_to_null(F.col(c)).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    pairs = list(combinations(range(len(columns)), 2))
+    kind = "ordinal_a int, ordinal_b int, corr double"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], kind)
+    aggs = []
+    for i, j in pairs:
+        a, b = F.col(f"x{i}"), F.col(f"x{j}")
+        aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}"), F.var_pop(F.when(b.isNotNull(), a)).alias(f"a{i}_{j}"),
+                 F.var_pop(F.when(a.isNotNull(), b)).alias(f"b{i}_{j}")]
+
+    def corr(i, j):
+        va, vb = F.col(f"a{i}_{j}"), F.col(f"b{i}_{j}")
+        return F.when((va > 0) & (vb > 0), finite_or_null(F.col(f"c{i}_{j}") / (F.sqrt(va) * F.sqrt(vb))))
+
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal_a"), F.lit(j).alias("ordinal_b"), corr(i, j).alias("corr"))
+                     for i, j in pairs])
+    return v.agg(*aggs).select(F.explode(rows).alias("p")).select("p.*")
+
+
+def strip_correlations(df: DataFrame, columns, cells: int = STRIP_CELLS) -> DataFrame:
+    """(ordinal_a, ordinal_b, corr) of all column pairs a < b for wide tables.
+
+    The rows are written once, as arrays. Per strip of rows of the pair matrix,
+    tasks add up six matrices (numpy) over their rows; a task holds one strip,
+    at most ``cells`` cells (or one row). Per column its partial rows meet in
+    one task, which adds them one by one and computes the coefficients. The
+    driver sees the sums behind p means.
+    """
+    p = len(columns)
+    # NaN and null are both missing (both arrive as NaN)
+    vals = write_once(df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v")), "wide")
+
+    def matrix(rb):
+        flat = rb.column(0).values.to_numpy(zero_copy_only=False)[rb.column(0).offset * p:]
+        return np.asarray(flat, float)[:rb.num_rows * p].reshape(-1, p)
+
+    def totals(batches):
+        sums = np.zeros((2, p))
+        for rb in batches:
+            x = matrix(rb)
+            ok = np.isfinite(x)
+            sums += [np.where(ok, x, 0.0).sum(axis=0), ok.sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    def merged(batches):
+        sums = np.zeros((2, p))
+        for rb in batches:
+            for raw in rb.column(0):
+                sums += np.frombuffer(raw.as_buffer(), np.float64).reshape(2, p)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    # subtracting the means keeps the sums of squares exact enough
+    few = vals.mapInArrow(totals, "sums binary").repartition(8).mapInArrow(merged, "sums binary").collect()
+    total, n = sum((np.frombuffer(r["sums"], np.float64).reshape(2, p) for r in few), np.zeros((2, p)))
+    shift = total / np.maximum(n, 1)
+    height = max(1, cells // p)
+
+    def strip(lo):
+        own = slice(0, min(height, p - lo))
+
+        def add(batches):
+            sums = None
+            for rb in batches:
+                x = matrix(rb)[:, lo:] - shift[lo:]
+                there, wild = ~np.isnan(x), np.isinf(x)
+                x[~there | wild] = 0.0
+                m, sq = there.astype(float), x * x
+                part = [m[:, own].T @ m, x[:, own].T @ m, m[:, own].T @ x, sq[:, own].T @ m, m[:, own].T @ sq, x[:, own].T @ x]
+                if wild.any():  # no coefficient for pairs with an infinite value
+                    w = wild.astype(float)
+                    part[5][(w[:, own].T @ m + m[:, own].T @ w) > 0] = np.nan
+                sums = part if sums is None else [s + t for s, t in zip(sums, part)]
+            if sums is not None:
+                both = np.stack(sums, axis=1)  # (own column, matrix, other column)
+                for k in range(len(both)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lo + k], pa.int32()), pa.array([both[k, :, k + 1:].tobytes()], pa.binary())],
+                        ["ordinal_a", "sums"])
+
+        return vals.mapInArrow(add, "ordinal_a int, sums binary")
+
+    def combine(batches):
+        sums: dict[int, np.ndarray] = {}
+        for rb in batches:
+            for a, raw in zip(rb.column(0).to_pylist(), rb.column(1)):
+                part = np.frombuffer(raw.as_buffer(), np.float64).reshape(6, -1)
+                sums[a] = sums[a] + part if a in sums else part
+        for a, (n, sa, sb, saa, sbb, sab) in sums.items():
+            with np.errstate(all="ignore"):
+                va, vb = saa - sa * sa / n, sbb - sb * sb / n
+                r = (sab - sa * sb / n) / np.sqrt(va * vb)
+                # the shift's own rounding is no variance
+                real = (va > 1e-24 * n * (1e-30 + shift[a] ** 2)) & (vb > 1e-24 * n * (1e-30 + shift[a + 1:] ** 2))
+            gone = ~real | ~np.isfinite(r)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(r), a, np.int32)), pa.array(np.arange(a + 1, p, dtype=np.int32)),
+                 pa.array(np.where(gone, 0.0, r), pa.float64(), mask=gone)], ["ordinal_a", "ordinal_b", "corr"])
+
+    parts = reduce(DataFrame.unionByName, [strip(lo) for lo in range(0, p, height)])
+    return parts.repartition("ordinal_a").mapInArrow(combine, "ordinal_a int, ordinal_b int, corr double")
 
 
 def target_distribution(df: DataFrame, target: str = "churn") -> DataFrame:

@@ -20,6 +20,7 @@ from retentio.operators import stats as st
 from retentio.plans import oracle as o
 from retentio.plans.churn import table_features
 from retentio.schemas import FEATURE_COLUMNS
+from retentio.sources import tables
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -223,7 +224,6 @@ def q_describe_features(spark, sf):
 
 @query("describe_raw", o.with_base(_describe_sql("u_users", ["followers", "following", "public_repos"])))
 def q_describe_raw(spark, sf):
-    from retentio.sources import tables
     return st.describe(tables.users(spark, sf), ["followers", "following", "public_repos"])
 
 
@@ -238,6 +238,35 @@ def q_correlation_matrix(spark, sf):
     return st.correlation_pairs(training(spark, sf), TRAIN_COLS).withColumn("corr", F.round("corr", 6))
 
 
+# Months before the reference day whose spend per customer makes a wide table.
+MONTHS = 80
+
+
+def monthly_spend(spark, sf):
+    """Spend of every customer with orders in each of the last 80 months, one
+    column per month (m0 = the reference month), NULL without an order."""
+    orders = tables.table(spark, sf, "orders")
+    ref = F.lit(tables.ORDERS_AS_OF)
+    back = (F.year(ref) - F.year("o_orderdate")) * 12 + F.month(ref) - F.month("o_orderdate")
+    wide = orders.withColumn("back", back).where(F.col("back").between(0, MONTHS - 1))
+    return wide.groupBy("o_custkey").agg(*[
+        F.sum(F.when(F.col("back") == k, F.col("o_totalprice"))).alias(f"m{k}") for k in range(MONTHS)])
+
+
+@query("correlation_wide", f"""
+WITH s AS (SELECT o_custkey, CAST((2001 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) AS INT) AS k, sum(o_totalprice) AS v
+           FROM orders GROUP BY ALL),
+j AS (SELECT a.k AS ka, b.k AS kb, a.v AS x, b.v AS y FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND a.k < b.k
+      WHERE a.k >= 0 AND b.k < {MONTHS}),
+r AS (SELECT ka, kb, CASE WHEN var_pop(x) > 0 AND var_pop(y) > 0 THEN round(corr(x, y), 5) END AS corr FROM j GROUP BY ALL)
+SELECT 'm' || i AS feature_a, 'm' || k AS feature_b, CAST(i AS INT) AS ordinal_a, CAST(k AS INT) AS ordinal_b, corr
+FROM range({MONTHS}) p(i) JOIN range({MONTHS}) q(k) ON i < k LEFT JOIN r ON ka = i AND kb = k""")
+def q_correlation_wide(spark, sf):
+    """Correlations of all pairs of 80 months of spend, by strips."""
+    w = monthly_spend(spark, sf)
+    return st.correlation_pairs(w, [f"m{k}" for k in range(MONTHS)]).withColumn("corr", F.round("corr", 5))
+
+
 @query("ratio_histogram", o.with_base("""
 SELECT CAST(least(CASE WHEN active_repo_ratio < 0 THEN 0 WHEN active_repo_ratio >= 1 THEN 21
                        ELSE CAST(floor(20 * active_repo_ratio) AS BIGINT) + 1 END, 20) AS BIGINT) AS bin,
