@@ -46,15 +46,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retentio.llm.common import saved, sized
+from retentio.llm.common import arrow_rows, saved, sized
 from retentio.llm.textvec import mix, prefix_sums, stretches
 
 # Delimiters of pieces and of words, lengths, thresholds.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 MIN_COUNT, TOP, COVERED_PCT = 10, 2000, 50
-#: Bytes of text that a task encodes at once (at most 2**21 words).
-STRETCH = 1 << 22
+#: Bytes of text that a task encodes at once (at most 2**21 words would fit the codes).
+STRETCH = 1 << 20
+#: Rows per batch between Spark and Python, in and out.
+ROWS_IN, ROWS_OUT = 1_000, 1 << 15
 #: Slots of a proposal bitmap.
 BITS = 1 << 25
 SAMPLE, PROPOSED_AT = 8, 2
@@ -209,23 +211,36 @@ def phrase_counts(docs: DataFrame, old: Proposals | None, new: Proposals | None)
     :func:`count_stretch`."""
     shared = docs.sparkSession.sparkContext.broadcast((old, new))
 
+    def rows(raw, lang):
+        for stretch, own in pieces_of(raw):
+            for phrases, n in count_stretch(stretch, own, lang, *shared.value):
+                live = n > 0
+                if not live.all():
+                    phrases, n = phrases.filter(pa.array(live)), n[live]
+                for a in range(0, len(n), ROWS_OUT):
+                    m = n[a:a + ROWS_OUT]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(m), pa.string()), phrases.slice(a, ROWS_OUT).cast(pa.string()),
+                         pa.array(m, pa.int64())], ["lang", "phrase", "f"])
+
     def run(batches):
-        old, new = shared.value
+        # texts of a language gather until they fill a stretch
+        waiting: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
         for rb in batches:
-            coded = rb.column("_lang").dictionary_encode()
-            for k, lang in enumerate(coded.dictionary.to_pylist()):
-                texts = rb.column("_text").filter(pc.equal(coded.indices, k))
-                raw = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()) + b"\n"
-                for stretch, own in pieces_of(raw):
-                    for phrases, n in count_stretch(stretch, own, lang, old, new):
-                        live = n > 0
-                        if not live.all():
-                            phrases, n = phrases.filter(pa.array(live)), n[live]
-                        for a in range(0, len(n), 1 << 16):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([lang] * len(n[a:a + (1 << 16)]), pa.string()),
-                                 phrases.slice(a, 1 << 16).cast(pa.string()), pa.array(n[a:a + (1 << 16)], pa.int64())],
-                                ["lang", "phrase", "f"])
+            for lang, text in zip(rb.column("_lang").to_pylist(), rb.column("_text").to_pylist()):
+                text = text.encode("utf-8", "surrogatepass")
+                waiting.setdefault(lang, []).append(text)
+                size[lang] = size.get(lang, 0) + len(text) + 1
+                if size[lang] >= STRETCH:
+                    yield from rows(b"\n".join(waiting.pop(lang)) + b"\n", lang)
+                    del size[lang]
+            while sum(size.values()) > 4 * STRETCH:  # many languages: the fullest goes first
+                lang = max(size, key=size.get)
+                yield from rows(b"\n".join(waiting.pop(lang)) + b"\n", lang)
+                del size[lang]
+        for lang, texts in waiting.items():
+            yield from rows(b"\n".join(texts) + b"\n", lang)
 
     return (docs.mapInArrow(run, "lang string, phrase string, f long")
             .groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
@@ -262,13 +277,18 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: int =
     """Exact (lang, phrase, size, f) of every phrase of 1 to 3 words with f of
     ``min_count`` or more, and per language the row of size 0 with the number
     of all words. Written tables; one full pass plus the expansion passes."""
+    with arrow_rows(docs.sparkSession, ROWS_IN):
+        return _frequent(docs, min_count, sample, proposed_at, bits)
+
+
+def _frequent(docs: DataFrame, min_count: int, sample: int, proposed_at: int, bits: int) -> DataFrame:
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("_lang"),
                     F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.col("doc_id").cast("string").alias("_id"))
     chosen = F.pmod(F.xxhash64("_id", "_text"), F.lit(sample)) == 0
     d = d.where(F.col("_text") != "")
     proposed = phrase_counts(d.where(chosen).select("_lang", "_text"), None, None).where(
         (F.col("f") >= proposed_at) & (F.col("phrase") != ""))
-    old, new = None, bitmaps(proposed, bits)
+    old, new = None, bitmaps(proposed, bits)  # the first job
     d = d.select("_lang", "_text")
     words = F.length("phrase") - F.length(F.replace(F.col("phrase"), F.lit(" "))) + 1
     counted = None

@@ -8,6 +8,8 @@ docstring says otherwise, repeated rows each keep their own result row.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,19 @@ def drop_saved(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs started inside send at most ``rows`` rows per batch to Python
+    (they must run to their end inside): bounds the texts a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def uniform(text: Column) -> Column:
     """Deterministic number in [0, 1) from a string: 32 bits of its MD5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
