@@ -158,10 +158,13 @@ def count_stretch(raw: bytes, own: int, lang: str, old: Proposals | None, new: P
     """Yields (phrases, counts) of a stretch. Without proposals (the sample):
     all words and all two-word phrases. With ``new``: the phrases that it
     allows and ``old`` (None: nothing was counted before) does not; words, and
-    their number as the phrase without words, in the first pass only."""
+    their number as the phrase without words, in the first pass only. Phrases
+    come as one key: language, line feed (in no phrase), words."""
     ids, words, joined, own = encode_words(raw, own)
     if not own:
         return
+    mark = lang.encode("utf-8", "surrogatepass") + b"\n"
+    marked = pc.binary_join_element_wise(mark, words, b"")
     two = np.flatnonzero(joined[:own])
     three = two[joined[two + 1]] if len(two) else two
     if new is not None:
@@ -187,8 +190,8 @@ def count_stretch(raw: bytes, own: int, lang: str, old: Proposals | None, new: P
         three = three[:0]
     if old is None:
         n = np.bincount(ids[:own], minlength=len(words))
-        yield words, n
-        yield pa.array([b""], pa.binary()), np.array([own])
+        yield marked, n
+        yield pa.array([mark], pa.binary()), np.array([own])
     for at, size in ((two, 2), (three, 3)):
         if not len(at):
             continue
@@ -197,15 +200,10 @@ def count_stretch(raw: bytes, own: int, lang: str, old: Proposals | None, new: P
             key = key << _CODE | ids[at + k]
         seen = pa.array(key).value_counts()
         value = seen.field(0).to_numpy()
-        parts = [words.take(pa.array(value >> (_CODE * (size - 1 - k)) & _LOW)) for k in range(size)]
+        parts = [(words if k else marked).take(pa.array(value >> (_CODE * (size - 1 - k)) & _LOW)) for k in range(size)]
         yield pc.binary_join_element_wise(*parts, b" "), seen.field(1).to_numpy()
 
 
-def _as_string(a: pa.Array) -> pa.Array:
-    """The same bytes as text (words end between characters)."""
-    return pa.Array.from_buffers(pa.string(), len(a), a.buffers()) if a.offset == 0 else a.cast(pa.string())
-
-
 def phrase_counts(docs: DataFrame, old: Proposals | None, new: Proposals | None) -> DataFrame:
     """(lang, phrase, f) summed over ``docs`` (_lang, _text): see
     :func:`count_stretch`."""
@@ -218,10 +216,8 @@ def phrase_counts(docs: DataFrame, old: Proposals | None, new: Proposals | None)
                 if not live.all():
                     phrases, n = phrases.filter(pa.array(live)), n[live]
                 for a in range(0, len(n), ROWS_OUT):
-                    m = n[a:a + ROWS_OUT]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(m), pa.string()), phrases.slice(a, ROWS_OUT).cast(pa.string()),
-                         pa.array(m, pa.int64())], ["lang", "phrase", "f"])
+                        [phrases.slice(a, ROWS_OUT).cast(pa.string()), pa.array(n[a:a + ROWS_OUT], pa.int64())], ["key", "f"])
 
     def run(batches):
         # texts of a language gather until they fill a stretch
@@ -242,8 +238,9 @@ def phrase_counts(docs: DataFrame, old: Proposals | None, new: Proposals | None)
         for lang, texts in waiting.items():
             yield from rows(b"\n".join(texts) + b"\n", lang)
 
-    return (docs.mapInArrow(run, "lang string, phrase string, f long")
-            .groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
+    sums = docs.mapInArrow(run, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    return sums.select(F.left("key", F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
 
 
 def bitmaps(phrases: DataFrame, bits: int) -> Proposals:
