@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.session import prepare_session, scratch_path
+from retentio.session import drop_written, prepare_session, small_side, write_once
 
 # Fixed value: white space of the word definition, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -33,26 +33,22 @@ def words(text: Column) -> Column:
 
 def row_key(doc_id: Column, text: Column) -> Column:
     """Key of a row's decision: equal for rows with equal id and text, which
-    any deterministic operator treats alike; differs for repeated ids."""
-    return F.xxhash64(doc_id.cast("string"), text)
+    any deterministic operator treats alike; differs for repeated ids. Nulls
+    are told apart by flags (the hash itself skips them, so that an id without
+    text would meet a text without id). 64 bits."""
+    return F.xxhash64(doc_id.isNull(), doc_id.cast("string"), text.isNull(), text)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back: cuts
     lineage, survives the loss of any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_once(df, name)
 
 
 def drop_saved(df: DataFrame) -> None:
-    """Remove the folder behind a table written by :func:`saved`."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(conf).delete(p, True)
+    """Remove the scratch folder behind a table written by :func:`saved`;
+    other folders are left alone."""
+    drop_written(df)
 
 
 @contextmanager
@@ -76,8 +72,7 @@ def uniform(text: Column) -> Column:
 def sized(df: DataFrame, most: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows (counted
     here), else as it is, for a shuffled join."""
-    df = saved(df, "side")
-    return F.broadcast(df) if df.count() <= most else df
+    return small_side(df, most)
 
 
 def by_lists(docs: DataFrame, lists: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

@@ -65,11 +65,25 @@ def size_class(size: str) -> Column:
                   f"+ (shiftright({size}, length(bin({size})) - 5) & 15)) AS int)")
 
 
-def mix(docs: DataFrame, key: Column | None = None, slice_chars: int = 1, seed: str = "mix") -> DataFrame:
+#: Rows of one size class of one source that a task should rank at most.
+SLICE_ROWS = 200_000
+
+
+def slices_for(rows: int) -> int:
+    """Leading key characters that split even a single size class of ``rows``
+    rows into bins of about ``SLICE_ROWS``; the result does not depend on it."""
+    n = 1
+    while n < 8 and rows > SLICE_ROWS * 16 ** n:
+        n += 1
+    return n
+
+
+def mix(docs: DataFrame, key: Column | None = None, slice_chars: int | None = None, seed: str = "mix") -> DataFrame:
     """One row per row of ``docs``: doc_id, key, source, size, source_size,
     target, copies, taken. ``key`` is a lower-case hex string that orders the
     rows of a size class (default: MD5 of the id); its first ``slice_chars``
-    characters split a class of a source into 16 ** slice_chars bins.
+    characters (default: by the number of rows) split a class of a source into
+    16 ** slice_chars bins.
     """
     if key is None:
         key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -77,6 +91,7 @@ def mix(docs: DataFrame, key: Column | None = None, slice_chars: int = 1, seed:
                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     # texts are read once, for the sizes; bins, targets and ranks read these rows
     d = saved(d, "mix-sizes")
+    slice_chars = slice_chars or slices_for(d.count())
     d = (d.withColumn("_class", size_class("size"))
          .withColumn("_slice", F.substring("_key", 1, slice_chars)))
     bins = d.groupBy("source", "_class", "_slice").agg(
@@ -108,9 +123,14 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     with the number of the copy in ``copy`` (1 and up; ``mix_copy`` where the
     input has a ``copy``). Rows equal in every column share their copies."""
     names = docs.columns
-    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() != "map"]
-    row_hash = F.xxhash64(*cols, *[c.isNull() for c in cols])
-    key = F.lpad(F.lower(F.hex(row_hash)), 16, "0")
+    # maps cannot be hashed: their text stands for them (equal maps in another
+    # order then count as different rows, none is lost)
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+            for f in docs.schema.fields]
+    flags = [c.isNull() for c in cols]
+    # 128 bits: rows that differ do not share a key
+    halves = [F.xxhash64(*cols, *flags), F.xxhash64(F.lit(1), *cols, *flags)]
+    key = F.concat(*[F.lpad(F.lower(F.hex(h)), 16, "0") for h in halves])
     m = mix(docs, key=key, **kw).where("copies > 0").groupBy(F.col("key").alias("_mkey")).agg(
         F.sum("copies").cast("int").alias("_copies"))
     rows = (docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), key.alias("_key"))

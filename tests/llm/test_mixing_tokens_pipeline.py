@@ -128,3 +128,18 @@ def test_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF0001}/{t}.parquet'")
     want = con.sql(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLE[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+
+
+def test_rows_that_differ_in_a_map_only_are_all_taken(spark):
+    rows = [(1, "same words here", "s", {"a": k}, [{"b": k % 2}]) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, n array<map<string,int>>")
+    out = mixing.mixed(d).collect()  # one source takes 150 %: every row once or twice
+    assert {r["m"]["a"] for r in out} == set(range(40)) and len(out) == 60
+    assert all(r["m"]["a"] % 2 == r["n"][0]["b"] for r in out)
+
+
+def test_slices_do_not_change_the_mix(spark):
+    d = spark.read.parquet(f"{SF0001}/documents.parquet")
+    want = sorted((r["doc_id"], r["copies"]) for r in mixing.mix(d, slice_chars=1).collect())
+    assert want == sorted((r["doc_id"], r["copies"]) for r in mixing.mix(d, slice_chars=3).collect())
+    assert [mixing.slices_for(n) for n in (0, 3_200_000, 3_200_001, 10 ** 9, 10 ** 15)] == [1, 1, 2, 4, 8]
