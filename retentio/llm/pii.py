@@ -2,14 +2,18 @@
 
 Base entities (email, ip, card, phone) are leftmost non-overlapping matches
 per kind that pass the kind's test; they are the seeds. Every seed and every
-other word with a digit or an at sign is an *instance* that stands in
-contexts (the two words before it, the two words after it: lexical
-patterns). Over the graph of patterns and instances, per kind, scores are
-iterated: a pattern scores the mean score of its distinct instances, provided
-it has ``min_seeds`` distinct seeds; an instance that is no seed scores the
-noisy-or of its patterns that reach ``min_pattern``. Instances of a matching shape that end
-at ``accept`` or more are new identifiers, and all their occurrences become
-spans. Base spans always stay.
+other candidate (a number, its groups of digits parted by single spaces, or a
+word with a digit or an at sign) is an *instance* that stands in contexts (the
+two words before it, the two words after it: lexical patterns). Over the graph
+of patterns and instances, per kind, rounds alternate: a pattern that holds
+``min_seeds`` accepted instances or more scores their share among these and
+the instances that contradict it (whose shape is none of the kind's; values of
+the right shape that are not accepted yet say nothing); an instance of the
+right shape scores the noisy-or of its patterns that reach ``min_pattern``, and
+is accepted from ``accept`` on. Accepted instances support patterns in the next
+round, so that a pattern without a seed of its own can be found through them.
+Rounds end when nothing new is accepted, or after ``rounds``. All occurrences
+of accepted instances become spans. Base spans always stay.
 
 Texts are read once; what goes on are the occurrences (a kind, a place, a
 short context). Gaps between matches give the places, as prefix sums of
@@ -39,8 +43,10 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Other words that may be identifiers: those with a digit or an at sign.
-OTHER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Other candidates: numbers (groups of digits, parted by single spaces), and
+#: words with a digit or an at sign.
+NUMBER = r"[(+]?[0-9][0-9().-]*+(?:\x20[(]?[0-9][0-9().-]*+)*+(?![^\x20\x09-\x0D,;:!?\"'])"
+OTHER = rf"(?<![^\x20\x09-\x0D])(?:{NUMBER}|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "other": ""}
 CONTEXT = 80
 
@@ -104,8 +110,8 @@ def shape(token: Column) -> Column:
     n = F.length(digits(token))
     return (F.when(token.rlike(r"^[^@]+(?:@|[(\[]at[)\]])[^@]+$"), "email")
             .when(token.rlike(r"^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$"), "ip")
-            .when(token.rlike(r"^[0-9][0-9-]*$") & n.between(13, 19), "card")
-            .when(token.rlike(r"^[+(]?[0-9][0-9().-]*$") & n.between(7, 15), "phone"))
+            .when(token.rlike(r"^[0-9][0-9\x20-]*$") & n.between(13, 19), "card")
+            .when(token.rlike(r"^[+(]?[0-9][\x200-9().-]*$") & n.between(7, 15), "phone"))
 
 
 def contexts(before: Column, after: Column) -> Column:
@@ -118,13 +124,14 @@ def contexts(before: Column, after: Column) -> Column:
     return F.filter(both, lambda c: F.length(c) > 2)
 
 
-def bootstrap(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, min_pattern: float = 0.9,
+def bootstrap(occ: DataFrame, rounds: int = 5, min_seeds: int = 3, min_pattern: float = 0.9,
               accept: float = 0.9) -> DataFrame:
-    """New identifiers: (kind, value, score) of instances that are no seeds.
+    """New identifiers: (kind, x, score) of accepted instances that are no
+    seeds (x: hash of the lower-cased value).
 
-    ``occ`` has base entities (kind set) and other words (kind ``other``,
+    ``occ`` has base entities (kind set) and other candidates (kind ``other``,
     ``guess`` their shape's kind or null). Each round is two aggregations and
-    two equi-joins over distinct (pattern, instance) edges.
+    three equi-joins over distinct (pattern, instance) edges.
     """
     value = F.lower("match")
     edges = occ.select(
@@ -132,25 +139,34 @@ def bootstrap(occ: DataFrame, rounds: int = 3, min_seeds: int = 3, min_pattern:
         (F.col("kind") != "other").cast("double").alias("seed"), value.alias("value"),
         F.explode(contexts(F.col("before"), F.col("after"))).alias("pattern"))
     # a shape of no kind counts against every kind's patterns
-    edges = edges.groupBy("pattern", F.coalesce("kind", F.lit("")).alias("kind"),
-                          F.xxhash64("value").alias("x")).agg(F.max("seed").alias("seed"))
-    # only patterns with enough seeds can score: the others leave the graph
-    seeded = (edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"))
-              .where((F.col("seeds") >= min_seeds) & (F.col("kind") != "")))
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    live = seeded.join(total, "pattern").select("pattern", "kind", "n")
-    edges = saved(edges.join(live, ["pattern", "kind"]), "pii-edges")
+    edges = saved(edges.groupBy("pattern", F.coalesce("kind", F.lit("")).alias("kind"),
+                                F.xxhash64("value").alias("x")).agg(F.max("seed").alias("seed")), "pii-all-edges")
+    # a pattern can gather support if enough of its instances have the kind's
+    # shape; the rest of them contradicts it, whatever is accepted
+    per_kind = edges.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
+    total = per_kind.groupBy(F.col("pattern").alias("tp")).agg(F.sum("n").alias("all"))
+    live = per_kind.where((F.col("n") >= min_seeds) & (F.col("kind") != "")).join(
+        total, F.col("pattern") == F.col("tp")).select("pattern", "kind", (F.col("all") - F.col("n")).alias("against"))
     known = edges.where("seed = 1").select("kind", "x").distinct().withColumn("score", F.lit(1.0))
-    scores = known
+    edges = saved(edges.join(live, ["pattern", "kind"]).drop("seed"), "pii-edges")
+    known = saved(known, "pii-seeds")
+    scores, before = known, known.count()
     for _ in range(rounds):
-        e = edges.join(scores, ["kind", "x"], "left")
-        good = (e.groupBy("pattern", "kind").agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.max("n")).alias("p"))
-                .where(F.col("p") >= min_pattern))
-        e = edges.join(good, ["pattern", "kind"])
+        support = edges.join(scores, ["kind", "x"]).groupBy("pattern", "kind").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.max("against").alias("against"))
+        p = F.col("s") / (F.col("n") + F.col("against"))
+        good = support.where((F.col("n") >= min_seeds) & (p >= min_pattern)).select("pattern", "kind", p.alias("p"))
+        # a pattern's word for an instance is never certain
         least = F.least(F.col("p"), F.lit(0.999))
-        found = e.where("seed = 0").groupBy("kind", "x").agg((1 - F.exp(F.sum(F.log(1 - least)))).alias("score"))
-        scores = saved(known.unionByName(found.join(known.select("kind", "x"), ["kind", "x"], "left_anti")), "pii-scores")
-    return scores.join(known.select("kind", "x"), ["kind", "x"], "left_anti").where(F.col("score") >= accept)
+        found = edges.join(good, ["pattern", "kind"]).groupBy("kind", "x").agg(
+            (1 - F.exp(F.sum(F.log(1 - least)))).alias("score")).where(F.col("score") >= accept)
+        found = found.join(known.select("kind", "x"), ["kind", "x"], "left_anti")
+        scores = saved(known.unionByName(found), "pii-scores")
+        now = scores.count()
+        if now == before:
+            break
+        before = now
+    return scores.join(known.select("kind", "x"), ["kind", "x"], "left_anti")
 
 
 def _cells(start: Column, end: Column) -> Column:
@@ -171,9 +187,10 @@ def untouched(others: DataFrame, base: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, **kw) -> DataFrame:
     """All spans: _key, kind, start, end, base (of a base pattern or found)."""
     occ = occurrences(docs).where(passes(F.col("kind"), F.col("match")))
-    # other words go without the punctuation around them
-    core = F.regexp_extract("match", r"^[^\p{L}\p{N}+(]*(.*?)[^\p{L}\p{N}]*$", 1)
-    lead = F.length(F.regexp_extract("match", r"^[^\p{L}\p{N}+(]*", 0))
+    # other words go without the punctuation around them (each run of it is tried once: linear)
+    head = F.regexp_replace("match", r"^[^\p{L}\p{N}+(]++", "")
+    core = F.regexp_replace(head, r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    lead = F.length("match") - F.length(head)
     other = F.col("kind") == "other"
     occ = occ.select("_key", "kind", F.when(other, F.col("start") + lead).otherwise(F.col("start")).alias("start"),
                      F.when(other, F.col("start") + lead + F.length(core)).otherwise(F.col("end")).alias("end"),

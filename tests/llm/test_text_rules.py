@@ -1,13 +1,17 @@
 """Quality rules, personal data, licences, decontamination, language."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from retentio.llm import decontamination, language, licenses, pii, quality
+from retentio.llm.common import drop_saved, row_key, saved
+from retentio.session import path_exists
 from tests.conftest import SF0001, SF001
 from tests.llm.fixtures import docs_frame, empty_docs, labels, odd_docs, odd_rows, prose
 
@@ -114,46 +118,152 @@ def test_license_canonical_forms(spark):
     assert rows[3]["notices"] == "MIT notice" and rows[3]["n_notices"] == 1 and rows[5]["digest"] is None
 
 
+def found_texts(spark, texts, **kw):
+    """The added spans of each text, as its words."""
+    out = {}
+    for r in pii.personal_data(docs_frame(spark, texts), **kw).collect():
+        base = set(filter(None, base_spans(texts[r["doc_id"]]).split(",")))
+        new = [x.split(":") for x in filter(None, r["spans"].split(",")) if x not in base]
+        out[r["doc_id"]] = [(k, texts[r["doc_id"]][int(a):int(b)]) for k, a, b in new]
+        assert r["n_found"] == len(new)
+    return out
+
+
+def test_found_numbers_make_new_patterns(spark):
+    rng = random.Random(12)
+
+    def near(a, number, b="end"):
+        return f"{prose(rng, 6)} {a} {number} {b} {prose(rng, 6)}"
+
+    seeds = [near("reach me", f"+1 (743) 555-{1000 + k}") for k in range(4)]
+    # seen after "reach me" and, too, after "dial now": those two words are a pattern of the second round
+    both = [f"743 555 {2000 + k}" for k in range(4)]
+    first = [near("reach me", x) for x in both]
+    second = [near("dial now", x, "thanks") for x in both]
+    third = [near("dial now", "(743) 555-3999", "thanks")]
+    other = [near("order code", f"7435552{k}99") for k in range(5)]
+    texts = seeds + first + second + third + other
+    got = found_texts(spark, texts)
+    assert [got[4 + k] for k in range(4)] == [got[8 + k] for k in range(4)] == [[("phone", x)] for x in both]
+    assert got[12] == [("phone", "(743) 555-3999")]
+    assert all(got[i] == [] for i in [0, 1, 2, 3, *range(13, 18)])
+    one = found_texts(spark, texts, rounds=1)  # one round finds no second generation
+    assert one[4] == [("phone", both[0])] and one[12] == []
+
+
+def test_half_of_a_contexts_numbers_hidden(spark):
+    rng = random.Random(13)
+    texts = []
+    for k in range(30):
+        number = f"+49 30 12345{k:02d}0" if k % 2 else rng.choice([f"030 12345{k:02d}0", f"(030) 12345{k:02d}0", f"030-12345{k:02d}0"])
+        texts.append(f"{prose(rng, 8)} my phone {number}, {prose(rng, 8)}")
+    got = found_texts(spark, texts)
+    assert all(len(got[k]) == (k % 2 == 0) for k in range(30))
+    assert all(got[k][0][1] in texts[k] and got[k][0][1].endswith("0") for k in range(0, 30, 2))
+
+
+def test_a_context_with_contradicting_words_is_no_pattern(spark):
+    rng = random.Random(14)
+    texts = [f"{prose(rng, 6)} the number {x} {prose(rng, 6)}" for x in
+             [f"+1 (743) 555-{1000 + k}" for k in range(4)] + ["room3", "b2b", "7x", "743 555 0199"]]
+    assert all(x == [] for x in found_texts(spark, texts).values())
+
+
+def test_long_texts_of_candidates_take_linear_time(spark):
+    def seconds(n):
+        texts = ["1 " * n, "a@b." * n, "+1(" * n, "1" + "." * n + "x", "1(" * n, "9" * n, "1." * n]
+        t = time.monotonic()
+        assert pii.personal_data(docs_frame(spark, texts)).count() == 7
+        return time.monotonic() - t
+
+    seconds(100)
+    short = seconds(20_000)
+    assert seconds(160_000) < 8 * short + 20
+
+
 def tokens_of(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
 def brute_contaminated(doc, item):
-    """Best agreement in a window around a masked hit, position by position."""
+    """Best agreement of any window of the document with any of the item."""
     a, b = tokens_of(doc), tokens_of(item)
-    span, best = decontamination.SPAN, 0
-    w = min(decontamination.WINDOW, len(b))
-    for i in range(len(a) - span + 1):
-        for j in range(len(b) - span + 1):
-            if not any(all(a[i + k] == b[j + k] for k in range(span) if m[k] == "1") for m in decontamination.MASKS):
-                continue
-            for s in range(span - w, 1):
-                lo, hi = s, s + w
-                if i + lo >= 0 and j + lo >= 0 and i + hi <= len(a) and j + hi <= len(b):
-                    best = max(best, sum(a[i + k] == b[j + k] for k in range(lo, hi)))
+    n, best = len(b), 0
+    if n < decontamination.SPAN:
+        return 0 < n and any(a[i:i + n] == b for i in range(len(a) - n + 1)), n
+    w = min(decontamination.WINDOW, n)
+    for i in range(len(a) - w + 1):
+        for j in range(n - w + 1):
+            best = max(best, sum(x == y for x, y in zip(a[i:i + w], b[j:j + w])))
     return best >= -(-w * 8 // 10), best
 
 
-@pytest.mark.parametrize("max_seeds", [decontamination.MAX_SEEDS, 60])
-def test_spaced_seeds_find_substituted_passages(spark, max_seeds):
+def test_masks_hit_every_pattern_that_the_agreement_allows():
+    span = decontamination.SPAN
+    masks = [[k for k, on in enumerate(m) if on == "1"] for m in decontamination.MASKS]
+    for w in range(span, decontamination.WINDOW + 1):
+        for n in range(w - -(-w * 8 // 10) + 1):
+            for bad in itertools.combinations(range(w), n):
+                assert any(not any(o + k in bad for k in m) for m in masks for o in range(w - span + 1)), (w, bad)
+
+
+@pytest.mark.parametrize("kw", [{}, {"max_seeds": 60}, {"piece": 30, "max_seeds": 500}])
+def test_spaced_seeds_find_substituted_passages(spark, kw):
     rng = random.Random(7)
-    items = [prose(rng, rng.randint(7, 30)) for _ in range(12)]
+    items = [prose(rng, rng.randint(1, 30)) for _ in range(14)] + [prose(rng, 130), "", "!!!", None]
     texts = []
     for n in range(60):
         body = prose(rng, 40).split()
-        passage = rng.choice(items).split()
+        passage = rng.choice(items[:15]).split()
         for _ in range(n % 6):
             passage[rng.randrange(len(passage))] = "sub"
         cut = rng.randint(0, 3)
         texts.append(" ".join(body[:20] + passage[cut:] + body[20:]))
-    texts += [prose(rng, 50) for _ in range(5)]
+    texts += [prose(rng, 50) for _ in range(5)] + [items[0], items[14], "", None]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {r["doc_id"]: r for r in decontamination.decontaminate(docs_frame(spark, texts), bench, max_seeds=max_seeds).collect()}
+    got = {r["doc_id"]: r for r in decontamination.decontaminate(docs_frame(spark, texts), bench, **kw).collect()}
     for i, t in enumerate(texts):
         found = {k: brute_contaminated(t, x) for k, x in enumerate(items)}
         hits = [k for k, (bad, _) in found.items() if bad]
-        assert got[i]["contaminated"] == bool(hits) and got[i]["n_items"] == len(hits), i
-    assert 10 < sum(r["contaminated"] for r in got.values()) < 65
+        want = (bool(hits), len(hits), min(hits, default=None), max((found[k][1] for k in hits), default=0))
+        assert tuple(got[i])[1:] == want, i
+    assert 10 < sum(r["contaminated"] for r in got.values()) < 68
+
+
+def test_every_thirteen_token_window_within_the_agreement_is_found(spark):
+    item = [f"t{k}" for k in range(13)]
+    pairs = list(itertools.combinations(range(13), 2))
+    texts = [" ".join("before it".split() + ["x" if k in p else t for k, t in enumerate(item)] + ["after"]) for p in pairs]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = decontamination.decontaminate(docs_frame(spark, texts), bench).collect()
+    assert len(rows) == 78 and all(r["contaminated"] and r["matched"] == 11 for r in rows)
+
+
+def test_items_without_id_repeated_ids_and_repeated_items(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 16) for _ in range(3))
+    bench = spark.createDataFrame([(None, a), (5, b), (5, c), (5, c), (None, None)], "item_id long, text string")
+    docs = docs_frame(spark, [f"x {a} y", f"{c} and {b}", f"{a} {b}", "clean"])
+    rows = decontamination.decontaminate(docs, bench.withColumn("_item", F.lit("clash"))).orderBy("doc_id").collect()
+    assert [tuple(r)[1:4] for r in rows] == [(True, 1, None), (True, 2, 5), (True, 2, 5), (False, 0, None)]
+    assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [3]
+
+
+def test_row_keys_tell_nulls_and_places_apart(spark):
+    rows = [("4111111111111111", None), (None, "4111111111111111"), (None, None), ("", None), (None, ""), ("", "")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    assert d.select(row_key(F.col("doc_id"), F.col("text"))).distinct().count() == 6
+    got = {r["doc_id"]: (r["n_card"], r["spans"]) for r in pii.personal_data(d.limit(2)).collect()}
+    assert got == {"4111111111111111": (0, ""), None: (1, "card:0:16")}
+
+
+def test_drop_saved_leaves_other_folders_alone(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "table"))
+    drop_saved(spark.read.parquet(str(tmp_path / "table")))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+    kept = saved(spark.range(3).toDF("id"), "probe")
+    drop_saved(kept)
+    assert not path_exists(spark, kept.inputFiles()[0].rsplit("/", 1)[0]) if kept.inputFiles() else True
 
 
 def test_benchmark_passages_of_the_tables(spark):
@@ -201,7 +311,8 @@ def test_odd_rows(spark):
     assert pii.personal_data(d).count() == n
     assert pii.redact(d).columns == d.columns
     assert decontamination.decontaminate(d, bench).count() == n
-    assert decontamination.clean(d, bench).count() == n
+    hit = sum(brute_contaminated(t, "w1x w2x")[0] for _, t in odd_rows())
+    assert decontamination.clean(d, bench).count() == n - hit
     assert licenses.scan(d, licenses.known_digests(spark)).count() == n
     model = language.fit(d.select("text", "lang"))
     rows = language.predict(d, model).collect()
