@@ -93,28 +93,43 @@ def op10(spark, sf):
     return debruijn.strip(table(spark, sf, "documents"), texts=False)
 
 
+# Canonical lines of a (doc_id, text) table, in its own words: line by line, a
+# year or a sign with the word copyright ends the line.
 LICENSE_SQL = """
-WITH c AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(
-        __SPELL__, '[^a-z0-9\\x{80}-\\x{10FFFF}\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
-    FROM (SELECT doc_id, text, regexp_replace(lower(coalesce(text, '')),
-        '(?m)^[^a-z0-9\\n]*(?:copyright\\b|\\(c\\)|©|all rights reserved).*$', '', 'g') AS t FROM __TABLE__))
-SELECT doc_id, text, lines, CASE WHEN len(lines) > 0 THEN md5(array_to_string(lines, ' ')) END AS digest FROM c"""
+SELECT doc_id, text, list_filter(list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: trim(regexp_replace(
+        __SPELL__, '[^a-z0-9\\x{80}-\\x{10FFFF}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM __TABLE__"""
 
 
 def _license_sql() -> str:
-    spell = "t"
+    from retentio.llm import license_texts as lt
+    spell = r"regexp_replace(x, '((copyright ?)?(\(c\)|©) ?|copyright |\(c\) ?)[0-9]{4}.*$|copyright ?(\(c\)|©).*$|©.*$', '')"
+    spell = f"replace({spell}, 'all rights reserved', '')"
     for old, new in licenses.SPELLINGS:
         spell = f"replace({spell}, '{old}', '{new}')"
     inner = LICENSE_SQL.replace("__SPELL__", spell)
-    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.KNOWN.items()))
-    known = inner.replace("__TABLE__", f"(SELECT * FROM (VALUES {rows}) AS v(doc_id, text))")
+
+    def quoted(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    def values(rows):
+        return "(VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+    names = values((k, n) for k, v in lt.NAMES.items() for n in v)
+    one = {k: values((x,) for x in v) for k, v in (("b", lt.BEGINNINGS), ("a", lt.ARTICLES), ("e", lt.ENDINGS))}
     return f"""
 WITH d AS ({inner.replace("__TABLE__", "documents")}),
-k AS (SELECT digest, min(doc_id) AS license FROM ({known}) GROUP BY digest),
+t AS (SELECT * FROM {values(lt.texts())} v(doc_id, text)
+      UNION ALL SELECT spdx || ' notice', b || ' ' || a || name || e FROM {names} n(spdx, name), {one["b"]} b(b), {one["a"]} a(a), {one["e"]} e(e)
+      UNION ALL SELECT DISTINCT spdx || ' notice', 'SPDX-License-Identifier: ' || spdx FROM {names} n(spdx, name)),
+c AS ({inner.replace("__TABLE__", "t")}),
+k AS (SELECT digest, min(license) AS license FROM (
+        SELECT md5(array_to_string(lines, ' ')) AS digest, doc_id AS license FROM c WHERE len(lines) > 0
+        UNION ALL SELECT digest, license FROM {values((d, n) for n, d in lt.DIGESTS.items())} v(digest, license)) GROUP BY digest),
 n AS (SELECT doc_id, text, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n
-      FROM (SELECT doc_id, text, md5(unnest(lines)) AS m FROM d) JOIN k ON m = digest GROUP BY doc_id, text)
-SELECT d.doc_id, d.digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n, 0) AS n_notices
-FROM d LEFT JOIN k USING (digest) LEFT JOIN n ON d.doc_id = n.doc_id AND d.text = n.text"""
+      FROM (SELECT doc_id, text, md5(unnest(lines)) AS m FROM d) JOIN k ON m = digest GROUP BY doc_id, text),
+w AS (SELECT doc_id, text, CASE WHEN len(lines) > 0 THEN md5(array_to_string(lines, ' ')) END AS digest FROM d)
+SELECT w.doc_id, w.digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n, 0) AS n_notices
+FROM w LEFT JOIN k USING (digest) LEFT JOIN n ON w.doc_id = n.doc_id AND w.text = n.text"""
 
 
 @query("op6_license_scan", _license_sql())

@@ -1,10 +1,11 @@
 """Licence scan by canonical digest lookup.
 
-Texts are brought to a canonical form (lower case, no copyright lines, one
-spelling of words that licences spell in several ways, only letters and
+Texts are brought to a canonical form (lower case, no copyright statements,
+one spelling of words that licences spell in several ways, only letters and
 digits) and digested; digests are hash-joined with the digests of known
-licence texts, canonicalised alike. A document is looked up as a whole, and
-each of its lines as a text of its own, which finds one-line notices.
+licence texts, canonicalised alike. Line breaks play no part in the form of a
+whole text. A document is looked up as a whole, and each of its lines as a
+text of its own, which finds one-line notices.
 
 The known table is broadcast up to ``MAX_KNOWN`` rows and shuffled beyond.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retentio.llm import license_texts
 from retentio.llm.common import row_key, sized
 
 MAX_KNOWN = 1_000_000
@@ -29,77 +31,24 @@ SPELLINGS = (
     ("merchantibility", "merchantability"), ("favour", "favor"), ("organisation", "organization"),
     ("whilst", "while"), ("https:", "http:"),
 )
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright\b|\(c\)|©|all rights reserved).*$"
+# A copyright statement is a sign or a year behind the word or
+# the sign, and the holder: up to the end of the line, or to words that open a
+# licence, whichever comes first (200 characters at most).
+YEARS = r"(?:[0-9]{4}|<year>|\[year\]|\[yyyy\])(?:\s*[-–,]\s*(?:[0-9]{4}|present))*"
+OPENERS = ("permission is hereby granted", "permission to use", "permission is granted", "redistribution and use",
+           "licensed under", "released under", "distributed under", "this software is", "this program is", "this file is",
+           "this library is", "this work is", "this source code", "boost software license", "everyone is permitted",
+           "all rights reserved", "the above copyright")
+STATEMENT = (rf"(?:(?:copyright\s*(?:\(c\)|©)|©)(?:\s*{YEARS})?|(?:copyright|\(c\))\s*{YEARS})"
+             rf"[^\n]{{0,200}}?(\n|\z|{'|'.join(OPENERS)})")
+RESERVED = "all rights reserved"
 OTHERS = r"[^a-z0-9\x{80}-\x{10FFFF}\n]+"
 
-# Known texts.
-KNOWN = {
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
-AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
-SOFTWARE.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
-purpose with or without fee is hereby granted, provided that the above
-copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
-REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
-AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
-INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
-LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
-OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
-PERFORMANCE OF THIS SOFTWARE.""",
-    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License");
-you may not use this file except in compliance with the License.
-You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software
-distributed under the License is distributed on an "AS IS" BASIS,
-WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
-See the License for the specific language governing permissions and
-limitations under the License.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied
-warranty. In no event will the authors be held liable for any damages
-arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose,
-including commercial applications, and to alter it and redistribute it
-freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not
-   claim that you wrote the original software. If you use this software
-   in a product, an acknowledgment in the product documentation would be
-   appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be
-   misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution.""",
-    "MIT notice": "Released under the MIT License.",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
-}
-
 
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text that have a letter or digit."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT, "")
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), STATEMENT, "$1")
+    t = F.replace(t, F.lit(RESERVED), F.lit(""))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
     lines = F.split(F.regexp_replace(t, OTHERS, " "), "\n")
@@ -112,11 +61,19 @@ def digest(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license): digests of the known texts."""
-    rows = sorted((KNOWN if texts is None else texts).items())
+    """(digest, license): digests of the given texts, or of the known ones
+    (:mod:`retentio.llm.license_texts`): short texts with and without a title,
+    standard headers, one-line notices by rule, long texts by digest."""
+    if texts is None:
+        rows = [*license_texts.texts(), *((f"{n} notice", t) for n, t in license_texts.notices())]
+    else:
+        rows = sorted(texts.items())
     known = spark.createDataFrame(rows, "license string, text string")
-    return (known.select("license", digest(canonical_lines(F.col("text"))).alias("digest")).where("digest IS NOT NULL")
-            .groupBy("digest").agg(F.min("license").alias("license")))
+    known = known.select("license", digest(canonical_lines(F.col("text"))).alias("digest")).where("digest IS NOT NULL")
+    if texts is None:
+        long = [(name, d) for name, d in license_texts.DIGESTS.items()]
+        known = known.unionByName(spark.createDataFrame(long, "license string, digest string"))
+    return known.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

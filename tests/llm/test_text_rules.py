@@ -2,14 +2,16 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
+import textwrap
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from retentio.llm import decontamination, language, licenses, pii, quality
+from retentio.llm import decontamination, language, license_texts, licenses, pii, quality
 from retentio.llm.common import drop_saved, row_key, saved
 from retentio.session import path_exists
 from tests.conftest import SF0001, SF001
@@ -110,7 +112,7 @@ def test_contexts_find_numbers_that_no_base_pattern_has(spark):
 
 
 def test_license_canonical_forms(spark):
-    mit = licenses.KNOWN["MIT"]
+    mit = license_texts.TEXTS["MIT"]
     texts = ["Copyright (c) 1999 Jane Doe\n\n" + mit.upper(), mit.replace("sublicense", "sub-license").replace(",", " ;"),
              mit + " and more", "some prose\n* Released under the MIT Licence!\nend", "", None]
     rows = {r["doc_id"]: r for r in licenses.scan(docs_frame(spark, texts), licenses.known_digests(spark)).collect()}
@@ -118,6 +120,52 @@ def test_license_canonical_forms(spark):
     assert rows[3]["notices"] == "MIT notice" and rows[3]["n_notices"] == 1 and rows[5]["digest"] is None
 
 
+def wrappings(text):
+    """A text wrapped in other ways, with copyright statements around it."""
+    flat = " ".join(text.split())
+    yield text
+    yield flat
+    yield textwrap.fill(flat, 50)
+    yield text.upper().replace("\n", "\r\n")
+    yield "Copyright (c) 2020 Jane Doe and others\n\n" + text
+    yield "Copyright 1999-2004, 2007 The X Project.\n(c) 2011 Y Inc. All rights reserved.\n\n" + textwrap.fill(flat, 90)
+    yield "© Z 2003\n" + "\n".join("  * " + x for x in text.split("\n"))
+
+
+def test_licences_are_found_under_any_wrapping(spark):
+    texts, names = [], []
+    for name, text in license_texts.TEXTS.items():
+        for t in wrappings(text):
+            texts.append(t)
+            names.append(name)
+    rows = {r["doc_id"]: r for r in licenses.scan(docs_frame(spark, texts), licenses.known_digests(spark)).collect()}
+    assert [rows[i]["license"] for i in range(len(texts))] == names
+
+
+def test_titles_headers_notices_and_one_line_statements(spark):
+    mit, gpl = license_texts.TEXTS["MIT"], dict(reversed(list(license_texts.texts())))["GPL-3.0-or-later header"]
+    one_line = " ".join(mit.split())
+    texts = ["The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + mit, "Copyright (c) 2020 X. " + one_line, "Copyright (c) 2020 X " + one_line,
+             gpl, "Licensed under the MIT License.", "prose\nThis project is licensed under the terms of the BSD 3-Clause license\nSPDX-License-Identifier: MPL-2.0",
+             "copyright notice and this permission notice appear in all copies.", mit.replace("free of charge", "for a fee")]
+    rows = {r["doc_id"]: r for r in licenses.scan(docs_frame(spark, texts), licenses.known_digests(spark)).collect()}
+    assert [rows[i]["license"] for i in range(8)] == ["MIT", "MIT", "MIT", "GPL-3.0-or-later header", "MIT notice", None, None, None]
+    assert rows[5]["notices"] == "BSD-3-Clause notice,MPL-2.0 notice" and rows[6]["digest"] is not None
+
+
+def test_digests_of_long_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1",
+             "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3", "Artistic-1.0-Perl": "Artistic"}
+    there = {n: pathlib.Path("/usr/share/common-licenses", f) for n, f in files.items()}
+    there = {n: f.read_text(errors="replace") for n, f in there.items() if f.exists()}
+    if not there:
+        pytest.skip("no licence texts on this system")
+    names = sorted(there)
+    wide = [re.sub(r"(?<=[a-z,;])\n *(?=[a-z])", " ", there[n]) for n in names]  # one line per paragraph
+    rows = licenses.scan(docs_frame(spark, [there[n] for n in names] + wide), licenses.known_digests(spark)).collect()
+    assert {r["doc_id"]: r["license"] for r in rows} == dict(enumerate(names + names))
+
+
 def found_texts(spark, texts, **kw):
     """The added spans of each text, as its words."""
     out = {}
