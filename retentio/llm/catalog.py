@@ -26,7 +26,7 @@ def query(name, sql=None):
 def op1(spark, sf):
     q = quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                    "n_repeat_words", "base_failed", "kept", "score")
+                    "n_repeat_words", "base_failed", "kept", "score", "toxic_peak")
 
 
 MIX_SQL = """

@@ -1,22 +1,32 @@
-"""Quality rules: hashed n-gram log-likelihood ratio with plain base rules.
+"""Quality rules: hashed n-gram log-likelihood ratios with plain base rules.
 
 Two multinomials over ``buckets`` hash buckets of token unigrams and bigrams
 (lower case, letters apart from punctuation) are estimated with add-one smoothing: the trusted target from
 documents whose label says so, the raw corpus from every document. A
 document's score is the mean over its n-grams of
-``log(p_target / p_raw)``; it is kept when it passes the base rules and the
-score is at least ``threshold``, a fixed number, so every document's verdict
-depends on its own text and the two models only.
-
-The trusted set is a classifier's training sample: the ``max_trusted`` good
-ids with the smallest id hash (documented bound: their ids are broadcast, so no
-text is shuffled). The raw model counts all documents. The model is a row of
-``buckets`` doubles. Counting and scoring explode the tokens inside one stage
-and sum at once, so only sums are shuffled.
+``log(p_target / p_raw)``; it is kept when it passes the base rules, the
+score is at least ``threshold`` and its toxic peak is below ``peak``, fixed
+numbers, so every document's verdict depends on its own text and the models
+only.
+
+The mean cannot show a few bad words in much good prose. The toxic peak can:
+the same ratio between documents labelled toxic and the trusted ones, over
+windows of one token, and the highest window counts. Its multinomials count
+the documents that hold a token, so that one text cannot make a word toxic by
+repeating it; a token is judged by the lesser ratio of two hash buckets, so
+that a harmless word which shares a bucket with a bad one is not taken for it.
+
+The labelled sets are a classifier's training samples: the ``max_trusted`` good
+ids (and as many toxic ones) with the smallest id hash (documented bound: their
+ids are broadcast, so no text is shuffled). The raw model counts all documents.
+The models are rows of ``buckets`` and 2 x ``TOXIC_BUCKETS`` doubles. Counting
+and scoring explode the tokens inside one stage and sum at once, so only sums
+are shuffled.
 
 Defined cases: null, empty and blank texts have no words and fail the base
-rules (score null); without any trusted document all scores are 0; an empty
-table gives an empty result; repeated rows are judged alike, each in its row.
+rules (scores null); without any trusted document all scores are 0, and
+without any toxic one all peaks; an empty table gives an empty result;
+repeated rows are judged alike, each in its row.
 """
 
 from __future__ import annotations
@@ -34,6 +44,10 @@ TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+|[^a-z0-9\x{80}-\x{10FFFF}\s]+"
 MAX_TRUSTED = 20_000
 #: Mean log ratio per n-gram below which a text is unlike the trusted set.
 THRESHOLD = -0.35
+#: Buckets of either hash of the toxic model, and the log ratio of a token from
+#: which a document is toxic.
+TOXIC_BUCKETS = 1 << 16
+PEAK = 2.75
 
 
 def tokens(text: Column) -> Column:
@@ -46,11 +60,13 @@ def _bucket(*parts: Column, buckets: int) -> Column:
 
 
 def ngrams(df: DataFrame, buckets: int) -> DataFrame:
-    """One row per token of the array ``_k``: the other columns, the bucket
-    of the token (``_b1``) and of it with the next (``_b2``, null at the end)."""
+    """One row per token of the array ``_k``: the other columns, the token's
+    hash (``_x``), its bucket (``_b1``) and that of it with the next (``_b2``,
+    null at the end)."""
     d = df.select("*", F.posexplode("_k").alias("_p", "_t"))
     nxt = F.get("_k", F.col("_p") + 1)
-    return d.select(*[c for c in df.columns if c != "_k"], _bucket(F.col("_t"), buckets=buckets).alias("_b1"),
+    return d.select(*[c for c in df.columns if c != "_k"], F.xxhash64("_t").alias("_x"),
+                    _bucket(F.col("_t"), buckets=buckets).alias("_b1"),
                     F.when(nxt.isNotNull(), _bucket(F.col("_t"), nxt, buckets=buckets)).alias("_b2"))
 
 
@@ -80,15 +96,50 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
             - np.log((raw + 1.0) / (raw.sum() + buckets)))
 
 
-def scores(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """Per row key (``_key``) of a text with tokens: the mean log ratio of its
-    n-grams."""
+def toxic_buckets(x: Column) -> list[Column]:
+    """The two buckets of a token's hash in the toxic model."""
+    low = F.lit(TOXIC_BUCKETS - 1)
+    return [x.bitwiseAND(low).cast("int"), F.shiftrightunsigned(x, 32).bitwiseAND(low).cast("int")]
+
+
+def toxic_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> np.ndarray:
+    """``log(p_toxic / p_trusted)`` per bucket of either hash, over documents
+    that hold a token. Reads the labelled samples only; at most
+    4 x ``TOXIC_BUCKETS`` counts reach the driver."""
+    bad = labels.where("toxic = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    bad = bad.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    ids = trusted_ids(labels, max_trusted).select("doc_id", F.lit(0).alias("cls")).unionByName(
+        bad.select("doc_id", F.lit(1).alias("cls"))).groupBy("doc_id").agg(F.max("cls").alias("_cls"))
+    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(
+        F.broadcast(ids.withColumnRenamed("doc_id", "_lid")), F.col("_id") == F.col("_lid"))
+    x = d.select("_cls", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("_t")).select("_cls", F.xxhash64("_t").alias("_x"))
+    cells = x.select("_cls", F.posexplode(F.array(*toxic_buckets(F.col("_x")))).alias("_hash", "_bucket"))
+    counts = np.zeros((2, 2, TOXIC_BUCKETS))
+    for r in cells.groupBy("_cls", "_hash", "_bucket").count().collect():
+        counts[r["_cls"], r["_hash"], r["_bucket"]] = r["count"]
+    total = counts.sum(axis=2, keepdims=True)
+    if not total.all():
+        return np.zeros((2, TOXIC_BUCKETS))
+    log = np.log((counts + 1.0) / (total + TOXIC_BUCKETS))
+    return log[1] - log[0]
+
+
+def _literal(model: np.ndarray) -> Column:
     # the text of the model becomes one array literal when the plan is built
-    ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+
+
+def scores(docs: DataFrame, model: np.ndarray, toxic: np.ndarray) -> DataFrame:
+    """Per row key (``_key``) of a text with tokens: the mean log ratio of its
+    n-grams and the highest toxic log ratio of its tokens."""
+    ratios = _literal(model)
     d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), tokens(F.col("text")).alias("_k"))
     part = F.get(ratios, F.col("_b1")) + F.coalesce(F.get(ratios, F.col("_b2")), F.lit(0.0))
     grams = F.sum(F.lit(1) + F.col("_b2").isNotNull().cast("int"))
-    return ngrams(d, len(model)).groupBy("_key").agg((F.sum(part) / grams).alias("score"))
+    high = F.lit(0.0)
+    if toxic.any():
+        high = F.least(*[F.get(_literal(m), b) for m, b in zip(toxic, toxic_buckets(F.col("_x")))])
+    return ngrams(d, len(model)).groupBy("_key").agg((F.sum(part) / grams).alias("score"), F.max(high).alias("toxic_peak"))
 
 
 def windows(w: Column) -> Column:
@@ -148,17 +199,20 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD,
-            max_trusted: int = MAX_TRUSTED) -> DataFrame:
+            max_trusted: int = MAX_TRUSTED, peak: float = PEAK) -> DataFrame:
     """One row per row of ``docs``: _key, doc_id, n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
-    s = scores(docs, log_ratios(docs, labels, buckets, max_trusted)).withColumnRenamed("_key", "_k")
+    n_symbols, n_dup_lines, n_repeat_words, score, toxic_peak, base_failed,
+    kept."""
+    models = log_ratios(docs, labels, buckets, max_trusted), toxic_ratios(docs, labels, max_trusted)
+    s = scores(docs, *models).withColumnRenamed("_key", "_k")
     # written first: a later filter on the counts would otherwise be pushed into
     # the projections and repeat them inside their own array functions
     d = saved(base_rules(docs), "quality-rows")
     d = d.join(s, F.col("_key") == F.col("_k"), "left").drop("_k")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     d = d.withColumn("base_failed", failed)
-    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.lit(threshold), F.lit(False)))
+    passes = (F.col("score") >= F.lit(threshold)) & (F.col("toxic_peak") < F.lit(peak))
+    return d.withColumn("kept", ~F.col("base_failed") & F.coalesce(passes, F.lit(False)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
