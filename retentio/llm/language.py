@@ -4,11 +4,13 @@ n-grams.
 Learning counts the n-grams (1 to ``max(ORDERS)`` code points, lower case,
 hashed into ``features`` buckets) of every labelled text per language, in
 numpy inside each task; summed counts become a languages x features matrix of
-log probabilities, which is broadcast. Its size is bounded: ``features`` is
-halved until the matrix fits ``max_matrix_bytes``. Prediction counts the
-n-grams of a batch sparsely (text, bucket) and multiplies the counts into the
-matrix. Batches are cut into pieces of ``PIECE`` code points, so that memory
-does not grow with the length of a text.
+log probabilities. It is broadcast in blocks of languages of at most
+``max_matrix_bytes``: all known languages fit one block; with more, a pass per
+block carries the best language and the sum of the posteriors along with each
+row. The number of features never depends on that of the languages. Prediction
+counts the n-grams of a batch sparsely (text, bucket) and multiplies the counts
+into the matrix. Batches are cut into pieces of ``PIECE`` code points, so that
+memory does not grow with the length of a text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 without any learned language everything is ``und``; equal log probabilities
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.llm.common import saved
+
 FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
 PIECE = 1 << 19
@@ -77,7 +81,7 @@ def gram_counts(texts: list[str], features: int):
         yield count(part)
 
 
-def fit(docs: DataFrame, features: int = FEATURES, max_matrix_bytes: int = MAX_MATRIX_BYTES):
+def fit(docs: DataFrame, features: int = FEATURES):
     """(languages, log prior, log probabilities) from (text, lang) rows; rows
     without text or language are not used."""
     d = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
@@ -85,8 +89,6 @@ def fit(docs: DataFrame, features: int = FEATURES, max_matrix_bytes: int = MAX_M
     langs = sorted(n_docs)
     if not langs:
         return [], np.zeros(0), np.zeros((0, features))
-    while features > 256 and features * len(langs) * 8 > max_matrix_bytes:
-        features //= 2
     place = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
@@ -108,35 +110,56 @@ def fit(docs: DataFrame, features: int = FEATURES, max_matrix_bytes: int = MAX_M
     return langs, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
-def predict(docs: DataFrame, model) -> DataFrame:
-    """``docs`` (text and any other columns) with lang_pred and score: the
-    most probable language and its posterior probability."""
-    langs, prior, logp = model
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T)))
-    docs = docs.drop("lang_pred", "score")
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+def _pass(docs: DataFrame, block) -> DataFrame:
+    """``docs`` (text, _best, _top, _sum and any other columns) after a block of
+    languages: the best language so far, its log probability, and the sum of
+    all languages' probabilities relative to it."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    state = ["_best", "_top", "_sum"]
+    keep = [f for f in docs.schema.fields if f.name not in state]
 
     def run(batches):
         langs, prior, table = shared.value
         for rb in batches:
             texts = rb.column("text").to_pylist()
-            worth = np.array([bool(langs) and t is not None and has_letter(t) for t in texts], bool)
+            worth = np.array([t is not None and has_letter(t) for t in texts], bool)
             score = np.tile(prior, (len(texts), 1))
             for who, bucket, n in gram_counts([t.lower() if w else "" for t, w in zip(texts, worth)], table.shape[0]):
                 part = table[bucket] * n[:, None]
                 for k in range(len(langs)):
                     score[:, k] += np.bincount(who, weights=part[:, k], minlength=len(texts))
-            if langs:
-                best = score.argmax(axis=1)
-                p = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1)
-            names = [langs[b] if w else "und" for b, w in zip(best, worth)] if langs else ["und"] * len(texts)
-            p = np.where(worth, p, 0.0) if langs else np.zeros(len(texts))
+            here = score.argmax(axis=1)
+            top = score.max(axis=1)
+            total = np.exp(score - top[:, None]).sum(axis=1)
+            best = [langs[k] for k in here]
+            old = rb.column("_top").to_numpy(zero_copy_only=False)
+            if not np.isnan(old).all():  # languages come in order: of equals, the earlier one stays
+                stays = old >= top
+                most = np.maximum(old, top)
+                total = total * np.exp(top - most) + rb.column("_sum").to_numpy(zero_copy_only=False) * np.exp(old - most)
+                best = [b if s else x for s, b, x in zip(stays, rb.column("_best").to_pylist(), best)]
+                top = most
             yield pa.RecordBatch.from_arrays(
-                [rb.column(f.name) for f in keep] + [pa.array(names, pa.string()), pa.array(p, pa.float64())],
-                [f.name for f in keep] + ["lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+                [rb.column(f.name) for f in keep]
+                + [pa.array([b if w else "und" for b, w in zip(best, worth)], pa.string()), pa.array(top, pa.float64()),
+                   pa.array(total, pa.float64(), mask=~worth)], [f.name for f in keep] + state)
 
-    out = StructType([*keep, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = StructType([*keep, StructField("_best", StringType()), StructField("_top", DoubleType()), StructField("_sum", DoubleType())])
     return docs.mapInArrow(run, out)
+
+
+def predict(docs: DataFrame, model, max_matrix_bytes: int = MAX_MATRIX_BYTES) -> DataFrame:
+    """``docs`` (text and any other columns) with lang_pred and score: the
+    most probable language and its posterior probability."""
+    langs, prior, logp = model
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)
+    d = docs.select(row.alias("_row"), "text", F.lit("und").alias("_best"), F.lit(float("nan")).alias("_top"), F.lit(1.0).alias("_sum"))
+    size = max(1, max_matrix_bytes // max(1, 8 * logp.shape[1]))
+    for a in range(0, len(langs), size):
+        if a:
+            d = saved(d, "languages")
+        d = _pass(d, (langs[a:a + size], prior[a:a + size], np.ascontiguousarray(logp[a:a + size].T)))
+    score = F.coalesce(1 / F.col("_sum"), F.lit(0.0)) if langs else F.lit(0.0)
+    return d.select(*(["_row.*"] if kept else []), F.col("_best").alias("lang_pred"), score.alias("score"))

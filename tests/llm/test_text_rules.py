@@ -425,10 +425,62 @@ def test_language_pieces_count_each_gram_once(monkeypatch):
     assert (total(1 << 19) == total(37)).all()
 
 
-def test_matrix_stays_below_its_bound(spark):
-    d = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(20)], "text string, lang string")
-    langs, prior, logp = language.fit(d, max_matrix_bytes=20 * 512 * 8)
-    assert logp.shape == (20, 512) and len(langs) == 20
+def bayes_by_hand(rows, texts, features):
+    """Naive Bayes with a loop over every n-gram."""
+    m64 = (1 << 64) - 1
+    steps = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+
+    def buckets(t):
+        codes = [ord(c) for c in t.lower()]
+        for i in range(len(codes)):
+            h = 0
+            for k in range(min(3, len(codes) - i)):
+                h = (h ^ codes[i + k]) * steps[k] & m64
+                h ^= h >> 29
+                yield (h * steps[0] & m64) >> (64 - (features.bit_length() - 1))
+
+    counts, docs = {}, Counter()
+    for t, g in rows:
+        if t is not None and g is not None:
+            counts.setdefault(g, Counter()).update(buckets(t))
+            docs[g] += 1
+    out = []
+    for t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        s = {}
+        for g in sorted(counts):
+            total = sum(counts[g].values()) + language.SMOOTH * features
+            s[g] = math.log(docs[g] / sum(docs.values())) + sum(math.log((counts[g][b] + language.SMOOTH) / total) for b in buckets(t))
+        best = max(sorted(s), key=s.get)
+        out.append((best, 1 / sum(math.exp(x - s[best]) for x in s.values())))
+    return out
+
+
+@pytest.mark.parametrize("bound", [language.MAX_MATRIX_BYTES, 2 * 8 * 1024, 1])
+def test_predictions_match_brute_force_in_any_blocks(spark, bound):
+    rng = random.Random(31)
+    alphabets = {"aa": "abcde ", "bb": "bcdef ", "cc": "xyz. ", "dd": "éüß a", "zz": "abcde "}
+    rows = [("".join(rng.choice(alphabets[g]) for _ in range(rng.randrange(40))), g) for g in alphabets for _ in range(12)]
+    rows += [(None, "aa"), ("abc", None), ("", "bb")]
+    texts = ["".join(rng.choice(rng.choice(list(alphabets.values()))) for _ in range(rng.randrange(1, 25))) for _ in range(60)]
+    texts += [None, "", "123 !", "A", "bcd", "\U0001F600", "é" * 3000]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), features=1024)
+    assert model[2].shape == (5, 1024)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("_best", F.lit("clash"))
+    got = {r["doc_id"]: r for r in language.predict(docs, model, bound).collect()}
+    for i, (lang, p) in enumerate(bayes_by_hand(rows, texts, 1024)):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - p) < 1e-6, (i, texts[i])
+        assert got[i]["_best"] == "clash"
+
+
+def test_equal_probabilities_go_to_the_first_language(spark):
+    rows = [("abc abc", g) for g in ("b", "a", "c")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    for bound in (language.MAX_MATRIX_BYTES, 1):
+        r = language.predict(spark.createDataFrame([("abc",)], "text string"), model, bound).first()
+        assert r["lang_pred"] == "a" and abs(r["score"] - 1 / 3) < 1e-9
 
 
 def test_odd_rows(spark):
