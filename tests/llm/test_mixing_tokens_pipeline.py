@@ -143,3 +143,32 @@ def test_slices_do_not_change_the_mix(spark):
     want = sorted((r["doc_id"], r["copies"]) for r in mixing.mix(d, slice_chars=1).collect())
     assert want == sorted((r["doc_id"], r["copies"]) for r in mixing.mix(d, slice_chars=3).collect())
     assert [mixing.slices_for(n) for n in (0, 3_200_000, 3_200_001, 10 ** 9, 10 ** 15)] == [1, 1, 2, 4, 8]
+
+
+def written(tmp_path, docs, lab, bench):
+    for name, df in (("documents", docs), ("labels", lab), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+    sf = written(tmp_path, empty_docs(spark), labels(spark, []), spark.createDataFrame([], "item_id long, text string"))
+    assert p.run(spark, sf).count() == 0
+
+
+def test_pipeline_on_odd_rows_keeps_extra_columns_and_drops_toxic_text(spark, tmp_path):
+    import corpus_pipeline as p
+    rng = random.Random(33)
+    fine = [prose(rng, 120, 2000) for _ in range(60)]
+    bad = [" ".join(w if k % 40 else "vileword" for k, w in enumerate(prose(rng, 120, 2000).split())) for _ in range(60)]
+    rows = [(100 + i, t) for i, t in enumerate(fine + bad)] + odd_rows()
+    docs = docs_frame(spark, rows).withColumn("_key", F.lit("clash")).withColumn("copy", F.lit("clash"))
+    lab = labels(spark, [(100 + i, 1, 0) for i in range(50)] + [(160 + i, 1, 1) for i in range(50)] + [(None, 1, 1)])
+    bench = spark.createDataFrame([(None, fine[7]), (2, None), (3, "")], "item_id long, text string")
+    out = p.run(spark, written(tmp_path, docs, lab, bench))
+    assert out.columns == [*docs.columns, "mix_copy"]
+    rows = out.collect()
+    ids = {r["doc_id"] for r in rows}
+    assert ids <= {*range(100, 160), 4, 5, None} - {107}  # no toxic, contaminated, short or blank text
+    assert len(ids & set(range(100, 160))) > 50 and {r["copy"] for r in rows} == {"clash"}
