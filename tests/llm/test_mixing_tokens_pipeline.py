@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,44 @@ def test_token_files_round_trip(spark, block):
     assert sorted(r["n_tokens"] - tokens.HEADER for r in plain) == sorted(n for _, n in got)
 
 
+def counts_by_hand(raw, eod, header):
+    t = np.frombuffer(raw, "<u2").tolist()
+    out, start = [], 0
+    for i, x in enumerate(t):
+        if x == eod:
+            out.append((start, tokens.id_of(np.array(t[start:start + header]), header) if i - start >= header else None, i - start - header))
+            start = i + 1
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("eod,split", [(2, 37), (50256, 64), (0x0202, 41)])
+def test_files_read_in_ranges_count_like_whole_ones(spark, tmp_path, eod, split):
+    rng = random.Random(eod + split)
+    # tokens whose halves make up separators at odd bytes, empty documents, files with and without a last separator
+    low, high = eod & 255, eod >> 8
+    odd = [low << 8 | rng.randrange(256) for _ in range(3)] + [rng.randrange(256) << 8 | high for _ in range(3)]
+    pool = [x for x in odd + [3, 4, 513, 0x0101, 65535] if x != eod] + [eod]
+    paths = []
+    for k in range(6):
+        t = [rng.choice(pool) for _ in range(rng.choice([1, 40, 300]))] + ([eod] if k % 2 else [9])
+        (tmp_path / f"f{k}.bin").write_bytes(np.array(t, "<u2").tobytes())
+        paths.append(tmp_path / f"f{k}.bin")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for header in (0, 2):
+            want = {p.name: counts_by_hand(p.read_bytes(), eod, header) for p in paths}
+            for whole in (0, 100):  # all files in ranges, the longer ones
+                got = {p.name: [] for p in paths}
+                for r in tokens.token_counts(spark, str(tmp_path), eod, header, block_tokens=16, whole_bytes=whole).collect():
+                    got[r["path"].rsplit("/", 1)[1]].append((r["start"], r["doc_id"] if r["n_tokens"] >= 0 else None, r["n_tokens"]))
+                assert {k: sorted(v, key=str) for k, v in got.items()} == want, (header, whole)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
 def test_odd_and_empty_inputs(spark):
     d, n = odd_docs(spark), len(odd_rows())
     assert mixing.mix(d).count() == n
