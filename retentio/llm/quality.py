@@ -15,12 +15,13 @@ windows of one token, and the highest window counts. Its multinomials count
 the documents that hold a token, so that one text cannot make a word toxic by
 repeating it; a token is judged by the lesser ratio of two hash buckets, so
 that a harmless word which shares a bucket with a bad one is not taken for it.
+Ratios below ``FLOOR`` count as 0.
 
 The labelled sets are a classifier's training samples: the ``max_trusted`` good
 ids (and as many toxic ones) with the smallest id hash (documented bound: their
 ids are broadcast, so no text is shuffled). The raw model counts all documents.
-The models are rows of ``buckets`` and 2 x ``TOXIC_BUCKETS`` doubles. Counting
-and scoring explode the tokens inside one stage and sum at once, so only sums
+The raw model is a row of ``buckets`` doubles, the toxic one two tables of at
+most ``TOXIC_BUCKETS`` rows that are joined by broadcast. Counting and scoring explode the tokens inside one stage and sum at once, so only sums
 are shuffled.
 
 Defined cases: null, empty and blank texts have no words and fail the base
@@ -48,6 +49,8 @@ THRESHOLD = -0.35
 #: which a document is toxic.
 TOXIC_BUCKETS = 1 << 16
 PEAK = 2.75
+#: Log ratios below this count as 0 in the toxic peak.
+FLOOR = 1.0
 
 
 def tokens(text: Column) -> Column:
@@ -77,6 +80,16 @@ def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted))
 
 
+def _packed(counts: DataFrame, by: list[str], bucket: str):
+    """Counts per bucket for the driver, 4,096 buckets as one text: yields
+    (values of ``by``, buckets, counts)."""
+    cell = F.concat_ws(":", F.col(bucket).cast("string"), F.col("count").cast("string"))
+    rows = counts.groupBy(*by, F.shiftright(bucket, 12).alias("_part")).agg(F.array_join(F.collect_list(cell), ",").alias("_cells"))
+    for r in rows.collect():
+        cells = np.array([x.split(":") for x in r["_cells"].split(",")], np.int64)
+        yield tuple(r[c] for c in by), cells[:, 0], cells[:, 1]
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                max_trusted: int = MAX_TRUSTED) -> np.ndarray:
     """The model: ``log(p_target / p_raw)`` per bucket. One pass over all
@@ -87,8 +100,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     grams = ngrams(d.select(F.col("_tid").isNotNull().alias("trusted"), tokens(F.col("_text")).alias("_k")), buckets)
     grams = grams.select("trusted", F.explode(F.array("_b1", "_b2")).alias("bucket")).where("bucket IS NOT NULL")
     counts = np.zeros((2, buckets))
-    for r in grams.groupBy("trusted", "bucket").count().collect():
-        counts[int(r["trusted"]), r["bucket"]] += r["count"]
+    for (trusted,), at, n in _packed(grams.groupBy("trusted", "bucket").count(), ["trusted"], "bucket"):
+        counts[int(trusted), at] += n
     target, raw = counts[1], counts.sum(axis=0)  # the raw corpus holds the trusted texts too
     if not target.sum():
         return np.zeros(buckets)
@@ -115,8 +128,8 @@ def toxic_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUS
     x = d.select("_cls", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("_t")).select("_cls", F.xxhash64("_t").alias("_x"))
     cells = x.select("_cls", F.posexplode(F.array(*toxic_buckets(F.col("_x")))).alias("_hash", "_bucket"))
     counts = np.zeros((2, 2, TOXIC_BUCKETS))
-    for r in cells.groupBy("_cls", "_hash", "_bucket").count().collect():
-        counts[r["_cls"], r["_hash"], r["_bucket"]] = r["count"]
+    for (cls, k), at, n in _packed(cells.groupBy("_cls", "_hash", "_bucket").count(), ["_cls", "_hash"], "_bucket"):
+        counts[cls, k, at] = n
     total = counts.sum(axis=2, keepdims=True)
     if not total.all():
         return np.zeros((2, TOXIC_BUCKETS))
@@ -124,22 +137,24 @@ def toxic_ratios(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUS
     return log[1] - log[0]
 
 
-def _literal(model: np.ndarray) -> Column:
-    # the text of the model becomes one array literal when the plan is built
-    return F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-
-
 def scores(docs: DataFrame, model: np.ndarray, toxic: np.ndarray) -> DataFrame:
     """Per row key (``_key``) of a text with tokens: the mean log ratio of its
     n-grams and the highest toxic log ratio of its tokens."""
-    ratios = _literal(model)
+    # the text of the model becomes one array literal when the plan is built
+    ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
     d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("_key"), tokens(F.col("text")).alias("_k"))
     part = F.get(ratios, F.col("_b1")) + F.coalesce(F.get(ratios, F.col("_b2")), F.lit(0.0))
     grams = F.sum(F.lit(1) + F.col("_b2").isNotNull().cast("int"))
-    high = F.lit(0.0)
-    if toxic.any():
-        high = F.least(*[F.get(_literal(m), b) for m, b in zip(toxic, toxic_buckets(F.col("_x")))])
-    return ngrams(d, len(model)).groupBy("_key").agg((F.sum(part) / grams).alias("score"), F.max(high).alias("toxic_peak"))
+    d = ngrams(d, len(model)).select("_key", "_b2", part.alias("_part"),
+                                     *[t.alias(f"_t{k}") for k, t in enumerate(toxic_buckets(F.col("_x")))])
+    high = []
+    for k, row in enumerate(toxic):
+        # few buckets reach the floor: small tables, joined by broadcast
+        at = np.flatnonzero(row >= FLOOR)
+        table = docs.sparkSession.createDataFrame([(int(i), float(row[i])) for i in at], f"_i{k} int, _r{k} double")
+        d = d.join(F.broadcast(table), F.col(f"_t{k}") == F.col(f"_i{k}"), "left")
+        high.append(F.coalesce(f"_r{k}", F.lit(0.0)))
+    return d.groupBy("_key").agg((F.sum("_part") / grams).alias("score"), F.max(F.least(*high)).alias("toxic_peak"))
 
 
 def windows(w: Column) -> Column:
