@@ -180,20 +180,18 @@ def forest_importance(df: DataFrame, target: str = TARGET, task: str = "classifi
     """Random-forest impurity importances, ranked. The regressor considers
     every feature at each split."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.regression import RandomForestRegressor
+    from retentio.operators.trees import fitted_importances
+    if task not in ("classification", "regression"):
+        raise ValueError(f"unsupported task: {task}")
     features = features or candidate_features(df, target, drop=())
     data = _assembled(df, features, target)
     if task == "classification":
         est = RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, maxBins=max_bins,
                                      featureSubsetStrategy="sqrt", seed=seed, **DEEP_TREE)
-    elif task == "regression":
-        est = RandomForestRegressor(numTrees=n_trees, maxDepth=max_depth, maxBins=max_bins,
-                                    featureSubsetStrategy="all", seed=seed, **DEEP_TREE)
+        weights = est.fit(data).featureImportances.toArray()
     else:
-        raise ValueError(f"unsupported task: {task}")
-    model = est.fit(data)
-    return rank_importance(importance_table(df.sparkSession, features,
-                                            model.featureImportances.toArray()))
+        weights = fitted_importances(data, features, n_trees, max_depth, max_bins, seed)
+    return rank_importance(importance_table(df.sparkSession, features, weights))
 
 
 def _estimators(n: int, seed: int) -> dict:
