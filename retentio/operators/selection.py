@@ -197,7 +197,7 @@ def forest_importance(df: DataFrame, target: str = TARGET, task: str = "classifi
 def _estimators(n: int, seed: int) -> dict:
     """(task, estimator) → a fresh estimator and how to read its weights."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+    from pyspark.ml.regression import LinearRegression
 
     def importances(m):
         return list(m.featureImportances.toArray())
@@ -210,18 +210,22 @@ def _estimators(n: int, seed: int) -> dict:
             numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="sqrt", seed=seed, **DEEP_TREE), importances),
         ("classification", "logistic"): (lambda: LogisticRegression(
             maxIter=5000, regParam=1.0 / n, elasticNetParam=0.0, standardization=False), squares),
-        ("regression", "rf"): (lambda: RandomForestRegressor(
-            numTrees=100, maxDepth=30, maxBins=256, featureSubsetStrategy="all", seed=seed, **DEEP_TREE), importances),
         ("regression", "linear"): (lambda: LinearRegression(regParam=0.0), squares),
     }
 
 
-def _weights(est_name: str, task: str, data: DataFrame, n: int, seed: int):
+def _round_weights(est_name: str, task: str, base: DataFrame, features: list[str], n: int, seed: int):
+    """``weights(columns)`` of one round over the written input."""
+    from pyspark.ml.feature import VectorAssembler
     known = _estimators(n, seed)
+    if (task, est_name) == ("regression", "rf"):
+        from retentio.operators.trees import binned, regression_importances
+        table = binned(VectorAssembler(inputCols=features, outputCol="features").transform(base), features, seed=seed)
+        return lambda cols: regression_importances(table, cols, n_trees=100, seed=seed)
     if (task, est_name) not in known:
-        raise ValueError(f"no {est_name!r} estimator for {task}; known: {sorted(known)}")
+        raise ValueError(f"no {est_name!r} estimator for {task}; known: {sorted([*known, ('regression', 'rf')])}")
     make, read = known[(task, est_name)]
-    return read(make().fit(data))
+    return lambda cols: read(make().fit(VectorAssembler(inputCols=cols, outputCol="features").transform(base)))
 
 
 def rfe(df: DataFrame, n_features: int, target: str = TARGET, task: str = "classification",
@@ -243,10 +247,9 @@ def rfe(df: DataFrame, n_features: int, target: str = TARGET, task: str = "class
     remaining = list(features)
     ranking = {}
     rank = p - n_features + 1
-    from pyspark.ml.feature import VectorAssembler
+    weights = _round_weights(estimator, task, base, features, n, seed) if len(remaining) > n_features else None
     while len(remaining) > n_features:
-        data = VectorAssembler(inputCols=remaining, outputCol="features").transform(base)
-        w = _weights(estimator, task, data, n, seed)
+        w = weights(list(remaining))
         weakest = min(range(len(remaining)), key=lambda i: (w[i], features.index(remaining[i])))
         ranking[remaining.pop(weakest)] = rank
         rank -= 1
