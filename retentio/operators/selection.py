@@ -163,15 +163,17 @@ def tree_importance(df: DataFrame, target: str = TARGET, task: str = "classifica
                     features: list[str] | None = None) -> DataFrame:
     """Decision-tree impurity importances, ranked."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.regression import DecisionTreeRegressor
+    from retentio.operators.trees import fitted_importances
+    if task not in ("classification", "regression"):
+        raise ValueError(f"unsupported task: {task}")
     features = features or candidate_features(df, target, drop=())
     data = _assembled(df, features, target)
-    cls = {"classification": DecisionTreeClassifier, "regression": DecisionTreeRegressor}.get(task)
-    if cls is None:
-        raise ValueError(f"unsupported task: {task}")
-    model = cls(maxDepth=max_depth, maxBins=max_bins, seed=seed, **DEEP_TREE).fit(data)
-    return rank_importance(importance_table(df.sparkSession, features,
-                                            model.featureImportances.toArray()))
+    if task == "classification":
+        model = DecisionTreeClassifier(maxDepth=max_depth, maxBins=max_bins, seed=seed, **DEEP_TREE).fit(data)
+        weights = model.featureImportances.toArray()
+    else:
+        weights = fitted_importances(data, features, 1, max_depth, max_bins, seed)
+    return rank_importance(importance_table(df.sparkSession, features, weights))
 
 
 def forest_importance(df: DataFrame, target: str = TARGET, task: str = "classification",

@@ -146,6 +146,8 @@ def _tree(bag: DataFrame, n: int, features: list[str], max_depth: int, max_bins:
         return pd.DataFrame({"gains": [gains], **{c: [v.sum()] for c, v in zip(("n", "s", "q"), nsq)}})
 
     if depth:
+        # few bytes, much work: dealt by the rows, not by AQE's bytes a task
+        rows = rows.repartition(math.ceil(n / (4 * NODE_ROWS)), "leaf")
         nodes = rows.groupBy("leaf").applyInPandas(finish, "gains array<double>, n double, s double, q double")
     else:
         nodes = rows.groupBy("leaf").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]).withColumn(
