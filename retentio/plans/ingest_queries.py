@@ -10,7 +10,7 @@ from retentio.operators.features import features_from_records
 from retentio.plans import oracle as o
 from retentio.plans.catalog import features, labeled, query, training
 from retentio.schemas import FEATURES, LABELED, RAW_USER
-from retentio.session import scratch_path
+from retentio.session import scratch_path, write_once
 from retentio.sources import raw, sinks, tables, usernames
 
 # Repositories per record part in the nested queries: small enough that many
@@ -385,7 +385,8 @@ def q_sink_selected_topk(spark, sf):
 # --- streaming ---------------------------------------------------------------------------
 
 def stream_batches(spark, sf):
-    base = raw.landed_users(spark, sf, tables.ORDERS_AS_OF)
+    # every batch is a part of these records: assembled and written once
+    base = write_once(raw.landed_users(spark, sf, tables.ORDERS_AS_OF), "landed")
     ts = "{d}T00:00:00+00:00"
     b0 = base.withColumn("scraped_at", F.lit(ts.format(d="2001-08-01")))
     b1 = (base.where(F.col("id") % 2 == 0)

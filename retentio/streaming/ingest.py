@@ -135,16 +135,18 @@ def _rows(spark, log_path, base, key):
 def _latest(log: DataFrame, key: str) -> DataFrame:
     part = F.coalesce(F.col("part"), F.lit(0)) if "part" in log.columns else F.lit(0)
     rows = log.withColumn("_k", F.lower(F.col(key))).withColumn("_part", part)
-    win = rows.where("_part = 0").groupBy("_k").agg(
+    # found on the narrow columns; the records themselves move once, to their places
+    slim = rows.select("_k", "_part", key, "scraped_at", "batch_id", *POSITION)
+    win = slim.where("_part = 0").groupBy("_k").agg(
         F.max(F.struct("scraped_at", "batch_id", *POSITION, key)).alias("w")).select(
         F.col("_k").alias("wk"), F.col(f"w.{key}").alias("wl"), F.col("w.scraped_at").alias("ws"),
         F.col("w.batch_id").alias("wb"))
     same = ((F.col("_k") == F.col("wk")) & (F.col(key) == F.col("wl")) & (F.col("batch_id") == F.col("wb"))
             & F.col("scraped_at").eqNullSafe(F.col("ws")))
-    rows = rows.join(win, same)
-    place = rows.groupBy("_k", "_part").agg(F.max(F.struct(*POSITION)).alias("p")).select(
-        F.col("_k").alias("pk"), F.col("_part").alias("pp"), *[F.col(f"p.{c}").alias(f"p{c}") for c in POSITION])
-    at = (F.col("_k") == F.col("pk")) & (F.col("_part") == F.col("pp"))
+    place = slim.join(win, same).groupBy("wk", "_part", "wl", "ws", "wb").agg(
+        F.max(F.struct(*POSITION)).alias("p")).withColumnRenamed("_part", "pp").select(
+        "wk", "pp", "wl", "ws", "wb", *[F.col(f"p.{c}").alias(f"p{c}") for c in POSITION])
+    at = same & (F.col("_part") == F.col("pp"))
     for c in POSITION:
         at = at & (F.col(c) == F.col(f"p{c}"))
     return rows.join(place, at).select(*log.columns)
