@@ -7,8 +7,8 @@ selective). Two sets can only reach the threshold if they share a shingle
 among their first few: documents join on these prefix shingles, under the
 length filter and the positional filter (what is left after the shared
 shingle must suffice). Candidate pairs, once each, pass the suffix filter
-(common shingles bounded by the minimum of their counts in ``BINS`` hash
-ranges) and are then verified on the full sets.
+(the shingles in which two sets differ are at least the bits in which their
+marks do, see :func:`odd_marks`) and are then verified on the full sets.
 
 Documents with equal sets form one class first and join as one. Groups of
 many similar texts are not expanded into all pairs: in a first round every
@@ -32,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.llm import textvec as tv
@@ -40,8 +40,8 @@ from retentio.llm.common import WORD, drop_saved, row_key, saved, sized
 from retentio.llm.components import components
 
 SKETCH_BITS = 20
-BINS = 32
-BIN_SHIFT = np.uint64(59)
+#: Least bits of a set's marks; longer sets have a bit for each shingle.
+MARK_BITS = 512
 #: Row keys up to this count are broadcast to select texts; more are joined.
 MAX_BROADCAST = 500_000
 
@@ -70,24 +70,34 @@ def set_class(s: np.ndarray) -> bytes | None:
     return hashlib.md5(s.tobytes()).digest() if len(s) else None
 
 
+def odd_marks(s: np.ndarray) -> np.ndarray:
+    """A power of two of bits, as 64-bit words: whether an odd number of the
+    set's hashes falls on the bit. Shingles that two sets share cancel out in
+    the XOR of their marks, so its bits count at most those that differ; for
+    sets without much in common, that is about half of all bits."""
+    width = max(MARK_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()),
-                  ("bins", pa.list_(pa.int32())), ("block", pa.int32()), ("seen", pa.binary())])
+                  ("marks", pa.list_(pa.int64())), ("block", pa.int32()), ("seen", pa.binary())])
 #: Sums of the sketch that travel in one row.
 SKETCH_BLOCK = 1 << 14
 
 
 def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
-    """One row per document (key, doc_id, n, cls, bins: counts of the set in
-    BINS hash ranges) and, with a block number, the task's part of the sketch
+    """One row per document (key, doc_id, n, cls, marks: see
+    :func:`odd_marks`) and, with a block number, the task's part of the sketch
     (seen: SKETCH_BLOCK compressed 32-bit counts)."""
     def run(batches):
         seen = np.zeros(1 << bits, np.uint32)
         for rb in batches:
-            n, cls, bins, held = [], [], [], []
+            n, cls, marks, held = [], [], [], []
             for s in shingle_sets(rb.column("text").to_pylist(), size):
                 n.append(len(s))
                 cls.append(set_class(s))
-                bins.append(np.bincount((s >> BIN_SHIFT).astype(np.int64), minlength=BINS).astype(np.int32))
+                marks.append(odd_marks(s) if len(s) else None)
                 held.append((s >> np.uint64(64 - bits)).astype(np.int32))
                 if len(held) == 2000:
                     np.add(seen, np.bincount(np.concatenate(held), minlength=1 << bits), out=seen, casting="unsafe")
@@ -96,17 +106,17 @@ def describe_sets(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 np.add(seen, np.bincount(np.concatenate(held), minlength=1 << bits), out=seen, casting="unsafe")
             yield pa.RecordBatch.from_arrays(
                 [rb.column("key"), rb.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.binary()),
-                 pa.array(bins, pa.list_(pa.int32())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                 pa.array(marks, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
                 schema=SETS)
         for b, part in enumerate(seen.reshape(-1, min(SKETCH_BLOCK, 1 << bits))):
             if part.any():
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
-                     pa.nulls(1, pa.list_(pa.int32())), pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
+                     pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])],
                     schema=SETS)
 
     return docs.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
-                       ).mapInArrow(run, "key long, doc_id long, n int, cls binary, bins array<int>, block int, seen binary")
+                       ).mapInArrow(run, "key long, doc_id long, n int, cls binary, marks array<bigint>, block int, seen binary")
 
 
 def sketch(described: DataFrame, bits: int) -> np.ndarray:
@@ -133,19 +143,22 @@ def sketch(described: DataFrame, bits: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, order: np.ndarray, size: int, pct: int) -> DataFrame:
-    """(cls, n, tokens): the rarest-first prefix of every set."""
+    """(cls, n, tokens): the rarest-first prefix of every set; a task gives
+    each class once."""
     bits = len(order).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        counts = shared.value
+        counts, given = shared.value, set()
         for rb in batches:
             cls, n, tokens = [], [], []
             for s in shingle_sets(rb.column("text").to_pylist(), size):
-                if len(s):
+                c = set_class(s)
+                if c is not None and c not in given:
+                    given.add(c)
                     rank = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))
                     keep = len(s) - (-(-pct * len(s) // 100)) + 1
-                    cls.append(set_class(s))
+                    cls.append(c)
                     n.append(len(s))
                     tokens.append(s[rank[:keep]].view(np.int64))
             ends = np.cumsum([0] + [len(t) for t in tokens], dtype=np.int32)
@@ -190,24 +203,25 @@ def _side(mark: str):
 
 
 def live_rows(prefixes: DataFrame, pct: int) -> DataFrame:
-    """(token, cls, n, pos), one row per class: the prefix rows that can meet a
-    partner, that is under shingles of two classes or more, where the rest of
-    the set can suffice for the smallest set under the shingle."""
+    """(token, cls, n, pos, lead), one row per class: the prefix rows that can
+    meet a partner, that is under shingles of two classes or more, where the
+    rest of the set can suffice for the smallest set under the shingle; lead
+    is the shingle's earliest row. The rows are shuffled once, by shingle."""
+    same = Window.partitionBy("token")
     p = prefixes.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-    mark = F.xxhash64("cls")
-    g = p.groupBy("token").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.min("n").alias("least")).where("lo < hi")
-    r = p.join(g.select(F.col("token").alias("t"), "least"), F.col("token") == F.col("t"))
+    r = p.select("token", "cls", "n", "pos", F.min("cls").over(same).alias("lo"), F.max("cls").over(same).alias("hi"),
+                 F.min("n").over(same).alias("least")).where("lo < hi")
     other = F.greatest(F.col("least"), _ceil(F.col("n") * F.lit(pct), 100))
     r = r.where(F.col("n") - F.col("pos") >= needed(F.col("n"), other, pct))
-    return r.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    r = r.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    return r.withColumn("lead", F.min(F.struct("pos", "n", "cls")).over(same))
 
 
 def leader_pairs(p: DataFrame, pct: int) -> DataFrame:
     """Round one: each row with the earliest row of its shingle."""
-    lead = p.groupBy("token").agg(F.min(F.struct("pos", "n", "cls")).alias("l")).select(
-        F.col("token").alias("y_token"), F.col("l.cls").alias("y_cls"), F.col("l.n").alias("y_n"), F.col("l.pos").alias("y_pos"))
-    j = _as(p, "x").join(lead, (F.col("x_token") == F.col("y_token")) & (F.col("x_cls") != F.col("y_cls")))
-    return _pairs(j.where(can_link(_side("x"), _side("y"), pct)))
+    j = p.select(*[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos")],
+                 *[F.col(f"lead.{c}").alias(f"y_{c}") for c in ("cls", "n", "pos")])
+    return _pairs(j.where((F.col("x_cls") != F.col("y_cls")) & can_link(_side("x"), _side("y"), pct)))
 
 
 def cross_pairs(p: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
@@ -215,26 +229,45 @@ def cross_pairs(p: DataFrame, comp: DataFrame, pct: int) -> DataFrame:
     c = comp.select(F.col("node").alias("k"), "component")
     p = p.join(c, F.col("cls") == F.col("k"), "left").select(
         "token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp"))
-    sizes = p.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("s"))
-    major = sizes.groupBy("token").agg(F.max(F.struct("s", "comp")).alias("m"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
-    p = saved(p.join(major.select(F.col("token").alias("t"), F.col("m.comp").alias("main")), F.col("token") == F.col("t"))
-              .drop("t"), "prefix-cross")
+    same = Window.partitionBy("token")
+    # one shuffle by shingle serves the counts and their greatest
+    p = p.repartition("token").withColumn("s", F.count(F.lit(1)).over(Window.partitionBy("token", "comp")))
+    p = p.withColumn("m", F.max(F.struct("s", "comp")).over(same)).withColumn("least", F.min("comp").over(same)).withColumn(
+        "most", F.max("comp").over(same)).where("least < most")
+    p = saved(p.select("token", "cls", "n", "pos", "comp", (F.col("comp") == F.col("m.comp")).alias("main")), "prefix-cross")
     # x leaves out the shingle's largest component; pairs inside x come once
-    x = _as(p.where("comp <> main"), "x")
+    x = _as(p.where("NOT main").drop("main"), "x")
     y = _as(p, "y")
     j = x.join(y, (F.col("x_token") == F.col("y_token")) & (F.col("x_comp") != F.col("y_comp"))
-               & ((F.col("y_comp") == F.col("y_main")) | (F.col("x_cls") < F.col("y_cls")))
+               & (F.col("y_main") | (F.col("x_cls") < F.col("y_cls")))
                & can_link(_side("x"), _side("y"), pct))
     return _pairs(j)
 
 
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two marks differ, the longer folded to the shorter: at
+    most the shingles in which the sets do. Marks of more than twice the
+    other's length are not compared (0)."""
+    longer, shorter = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+    m = F.size(shorter)
+
+    def xor(s, t):
+        return s.bitwiseXOR(t)
+
+    folded = F.when(F.size(longer) == m, longer).otherwise(
+        F.zip_with(F.slice(longer, 1, m), F.slice(longer, m + 1, m), xor))
+    bits = F.aggregate(F.zip_with(folded, shorter, xor), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return F.when(F.size(longer) <= 2 * m, bits).otherwise(F.lit(0))
+
+
 def may_reach(pairs: DataFrame, classes: DataFrame, pct: int) -> DataFrame:
-    """Suffix filter: the pairs whose common shingles, at most the lesser count
-    of each hash range, can reach the threshold. Reads counts, no sets."""
-    c = classes.select("cls", "n", "bins")
+    """Suffix filter: the pairs whose sets may differ in so few shingles that
+    the others reach the threshold. Reads marks, no sets."""
+    c = classes.select("cls", "n", "marks")
     p = pairs.join(_as(c, "x"), F.col("a") == F.col("x_cls")).join(_as(c, "y"), F.col("b") == F.col("y_cls"))
-    common = F.aggregate(F.zip_with("x_bins", "y_bins", lambda s, t: F.least(s, t)), F.lit(0), lambda s, t: s + t)
-    return p.where(common >= needed(F.col("x_n"), F.col("y_n"), pct)).select("a", "b")
+    both = F.col("x_n") + F.col("y_n")
+    return p.where(both - differing(F.col("x_marks"), F.col("y_marks"))
+                   >= 2 * needed(F.col("x_n"), F.col("y_n"), pct)).select("a", "b")
 
 
 def pack(s: np.ndarray) -> bytes:
@@ -304,8 +337,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, pct: int = 80, bits: int
     rows = described.where("block IS NULL").select("key", "doc_id", "n", "cls")
     order = sketch(described, bits)
     # one row stands for each class of equal sets
-    classes = saved(described.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "bins")).alias("m"))
-                    .select("cls", "m.key", "m.n", "m.bins"), "classes")
+    classes = saved(described.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("key", "n", "marks")).alias("m"))
+                    .select("cls", "m.key", "m.n", "m.marks"), "classes")
     prefixes = saved(prefix_rows(d, order, size, pct), "prefixes")
     live = saved(live_rows(prefixes, pct), "live")
     drop_saved(prefixes)

@@ -77,6 +77,35 @@ def test_jaccard_components_match_brute_force(spark, size, pct):
     assert len(set(want.values())) < len(texts) - 30
 
 
+def test_long_sets_without_much_in_common_do_not_become_candidates(spark):
+    rng = random.Random(19)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(n)) for n in (40, 500, 520, 3000, 3000, 3050, 9000, 9000)]
+    texts += [" ".join(t.split()[: -len(t.split()) // 20]) for t in texts]  # 95 %: 520 and 494 words on either side of 512
+    d = docs_frame(spark, texts).withColumn("key", F.col("doc_id").cast("long"))
+    rows = jaccard.describe_sets(d, 3, 10).where("cls IS NOT NULL").drop("block", "seen").cache()
+    pairs = rows.select("key", "n", F.col("cls").alias("a")).crossJoin(
+        rows.select(F.col("key").alias("k"), F.col("n").alias("m"), F.col("cls").alias("b")))
+    pairs = pairs.where("key < k AND 100 * least(n, m) >= 90 * greatest(n, m)").select("a", "b")
+    ids = {bytes(r["cls"]): r["key"] for r in rows.collect()}
+    got = {tuple(sorted((ids[bytes(r["a"])], ids[bytes(r["b"])]))) for r in jaccard.may_reach(pairs, rows, 90).collect()}
+    half = len(texts) // 2
+    assert got == {(i, i + half) for i in range(half)}
+
+
+@pytest.mark.parametrize("sizes", [(30, 30), (500, 530), (530, 500), (1020, 1030), (5, 4000)])
+def test_marks_differ_in_no_more_bits_than_sets_in_shingles(spark, sizes):
+    rng = np.random.default_rng(20)
+    shared = rng.integers(0, 1 << 63, min(sizes), np.uint64)
+    rows, want = [], []
+    for kept in (0, min(sizes) // 2, min(sizes)):
+        x, y = (np.unique(np.concatenate([shared[:kept], rng.integers(0, 1 << 63, n - kept, np.uint64)])) for n in sizes)
+        rows.append((jaccard.odd_marks(x).tolist(), jaccard.odd_marks(y).tolist()))
+        want.append(len(np.setxor1d(x, y)))
+    d = spark.createDataFrame(rows, "x array<long>, y array<long>").coalesce(1)
+    got = [r["n"] for r in d.select(jaccard.differing(F.col("x"), F.col("y")).alias("n")).collect()]
+    assert all(g <= w for g, w in zip(got, want)) and got[2] >= want[2] // 4 * (max(sizes) < 4000)
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     rng = random.Random(10)
     base = prose(rng, 120)
