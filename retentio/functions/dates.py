@@ -21,13 +21,21 @@ DATE_PATTERNS = (
     "yyyy-M-d",
 )
 
+# Fixed value: the layout that collectors write. A cast reads it to the same
+# instant as the patterns do, without a formatter per value.
+PLAIN = r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)?\z"
+
+
+def _first_layout(s: Column, cleaned: Column, patterns: tuple[str, ...]) -> Column:
+    """Plain text by cast, all other text by the first pattern that reads it."""
+    cleaned = F.when(cleaned != "", cleaned)
+    return F.coalesce(F.when(s.rlike(PLAIN), s.try_cast("timestamp")),
+                      *[F.try_to_timestamp(cleaned, F.lit(p)) for p in patterns])
+
 
 def parse_date(s: Column) -> Column:
     """STRING → DATE (UTC). Blank, unparsable or out-of-range text → NULL."""
-    cleaned = F.regexp_replace(F.trim(s), "Z", "+00:00")
-    cleaned = F.when(cleaned != "", cleaned)
-    ts = F.coalesce(*[F.try_to_timestamp(cleaned, F.lit(p)) for p in DATE_PATTERNS])
-    return F.to_date(ts)
+    return F.to_date(_first_layout(s, F.regexp_replace(F.trim(s), "Z", "+00:00"), DATE_PATTERNS))
 
 
 def to_utc_date(c: Column, dtype: T.DataType) -> Column:
@@ -74,9 +82,7 @@ TIMESTAMP_PATTERNS = (
 def parse_timestamp(s: Column) -> Column:
     """ISO-8601 text → TIMESTAMP; a trailing Z is UTC, zone-less text is read
     as UTC; unparsable → NULL."""
-    cleaned = F.regexp_replace(F.trim(s), "Z$", "+00:00")
-    cleaned = F.when(cleaned != "", cleaned)
-    return F.coalesce(*[F.try_to_timestamp(cleaned, F.lit(p)) for p in TIMESTAMP_PATTERNS])
+    return _first_layout(s, F.regexp_replace(F.trim(s), "Z$", "+00:00"), TIMESTAMP_PATTERNS)
 
 
 def to_timestamp_any(c: Column, dtype: T.DataType) -> Column:

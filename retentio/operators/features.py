@@ -29,6 +29,7 @@ MAINTAINED_DAYS = 90
 DAYS_PER_YEAR = 365.25
 
 STAT_COLUMNS = ["total", "active", "inactive", "maintained", "stars", "forks", "has_bad_number"]
+STAT_FIELDS = ("pushed_at", "updated_at", "stargazers_count", "forks_count")
 
 
 def _field_type(struct: T.StructType, name: str) -> T.DataType:
@@ -39,24 +40,25 @@ def _field(r: Column, struct: T.StructType, name: str) -> Column:
     return r[name] if name in struct.fieldNames() else F.lit(None)
 
 
-def _repo_terms(r: Column, struct: T.StructType, as_of: Column,
-                active_days: int, maintained_days: int) -> dict[str, Column]:
-    """Per-repository predicates and amounts as column expressions."""
-    pushed = to_utc_date(_field(r, struct, "pushed_at"), _field_type(struct, "pushed_at"))
-    updated = to_utc_date(_field(r, struct, "updated_at"), _field_type(struct, "updated_at"))
+def _repo_values(r: Column, struct: T.StructType) -> dict[str, Column]:
+    """Per-repository dates and amounts, read from their text."""
     st_t = _field_type(struct, "stargazers_count")
     fk_t = _field_type(struct, "forks_count")
     st = _field(r, struct, "stargazers_count")
     fk = _field(r, struct, "forks_count")
     return {
-        "active": pushed.isNotNull() & (days_between(pushed, as_of) <= active_days),
-        "maintained": updated.isNotNull() & (days_between(updated, as_of) <= maintained_days),
+        "pushed": to_utc_date(_field(r, struct, "pushed_at"), _field_type(struct, "pushed_at")),
+        "updated": to_utc_date(_field(r, struct, "updated_at"), _field_type(struct, "updated_at")),
         "stars": number_or_zero(st, st_t, "double"),
         "forks": number_or_zero(fk, fk_t, "double"),
         "bad": bad_number(st, st_t, "double") | bad_number(fk, fk_t, "double"),
     }
 
 
+def _within(day: Column, as_of: Column, days: int) -> Column:
+    return day.isNotNull() & (days_between(day, as_of) <= days)
+
+
 def repo_activity(repos: DataFrame, as_of=None, key: str = "login",
                   active_days: int = ACTIVE_DAYS,
                   maintained_days: int = MAINTAINED_DAYS, extra=()) -> DataFrame:
@@ -66,14 +68,14 @@ def repo_activity(repos: DataFrame, as_of=None, key: str = "login",
     A row whose optional ``malformed`` column is true counts in ``total`` only.
     """
     ref = as_of_date(as_of)
-    t = _repo_terms(F.struct(*[F.col(c) for c in repos.columns]), repos.schema, ref,
-                    active_days, maintained_days)
+    t = _repo_values(F.struct(*[F.col(c) for c in repos.columns]), repos.schema)
+    active = _within(t["pushed"], ref, active_days)
     ok = ~F.col("malformed") if "malformed" in repos.columns else F.lit(True)
     return repos.groupBy(key).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(ok & t["active"]).alias("active"),
-        F.count_if(ok & ~t["active"]).alias("inactive"),
-        F.count_if(ok & t["maintained"]).alias("maintained"),
+        F.count_if(ok & active).alias("active"),
+        F.count_if(ok & ~active).alias("inactive"),
+        F.count_if(ok & _within(t["updated"], ref, maintained_days)).alias("maintained"),
         F.sum(F.when(ok, t["stars"]).otherwise(0.0)).alias("stars"),
         F.sum(F.when(ok, t["forks"]).otherwise(0.0)).alias("forks"),
         F.max(ok & t["bad"]).alias("has_bad_number"),
@@ -101,38 +103,35 @@ def nested_repo_activity(records: DataFrame, as_of=None, column: str = "reposito
 
     ``column`` must be ARRAY<STRUCT> (use ``parse_repositories`` first for
     landed JSON). NULL elements are malformed: skipped, but counted in
-    ``total``. A NULL array counts as empty. Each element's terms are
-    evaluated once (``transform``) and folded in one ``aggregate`` pass.
+    ``total``. A NULL array counts as empty. Each element's text is read once
+    (``transform``: an expression inside a lambda runs as often as it is
+    named) and folded in one ``aggregate`` pass.
     """
     ref = as_of_date(as_of)
     arr_t = records.schema[column].dataType
     struct = arr_t.elementType
     arr = F.coalesce(F.col(column), F.array().cast(arr_t))
 
-    def term_struct(r):
-        t = _repo_terms(r, struct, ref, active_days, maintained_days)
-        ok = r.isNotNull()
-        return F.struct(
-            F.when(ok, 1).otherwise(0).cast("long").alias("valid"),
-            F.when(ok & t["active"], 1).otherwise(0).cast("long").alias("active"),
-            F.when(ok & t["maintained"], 1).otherwise(0).cast("long").alias("maintained"),
-            F.when(ok, t["stars"]).otherwise(0.0).cast("double").alias("stars"),
-            F.when(ok, t["forks"]).otherwise(0.0).cast("double").alias("forks"),
-            F.coalesce(ok & t["bad"], F.lit(False)).alias("bad"))
+    def value_struct(r):
+        t = _repo_values(r, struct)
+        return F.struct(r.isNotNull().alias("ok"), *[v.alias(k) for k, v in t.items()])
 
     zero = F.struct(F.lit(0).cast("long").alias("valid"), F.lit(0).cast("long").alias("active"),
                     F.lit(0).cast("long").alias("maintained"), F.lit(0.0).alias("stars"),
                     F.lit(0.0).alias("forks"), F.lit(False).alias("bad"))
 
+    def counted(c):
+        return F.when(c, 1).otherwise(0).cast("long")
+
     def merge(acc, t):
-        return F.struct((acc["valid"] + t["valid"]).alias("valid"),
-                        (acc["active"] + t["active"]).alias("active"),
-                        (acc["maintained"] + t["maintained"]).alias("maintained"),
-                        (acc["stars"] + t["stars"]).alias("stars"),
-                        (acc["forks"] + t["forks"]).alias("forks"),
-                        (acc["bad"] | t["bad"]).alias("bad"))
-
-    folded = F.aggregate(F.transform(arr, term_struct), zero, merge)
+        return F.struct((acc["valid"] + counted(t["ok"])).alias("valid"),
+                        (acc["active"] + counted(t["ok"] & _within(t["pushed"], ref, active_days))).alias("active"),
+                        (acc["maintained"] + counted(t["ok"] & _within(t["updated"], ref, maintained_days))).alias("maintained"),
+                        (acc["stars"] + F.when(t["ok"], t["stars"]).otherwise(0.0)).alias("stars"),
+                        (acc["forks"] + F.when(t["ok"], t["forks"]).otherwise(0.0)).alias("forks"),
+                        (acc["bad"] | F.coalesce(t["ok"] & t["bad"], F.lit(False))).alias("bad"))
+
+    folded = F.aggregate(F.transform(arr, value_struct), zero, merge)
     out = records.withColumn("_agg", folded).withColumn("total", size_or_zero(arr).cast("long"))
     return out.select(
         *[c for c in records.columns], "total",
@@ -213,7 +212,9 @@ def features_from_records(records: DataFrame, as_of=None, column: str = "reposit
     (``part`` column, see ``assemble_users``): their statistics are summed."""
     arr_t = records.schema[column].dataType
     if isinstance(arr_t, T.ArrayType) and isinstance(arr_t.elementType, T.StringType):
-        records = parse_repositories(records, column)
+        from retentio.schemas import REPO
+        # only the fields that the statistics read
+        records = parse_repositories(records, column, T.StructType([f for f in REPO.fields if f.name in STAT_FIELDS]))
     with_stats = nested_repo_activity(records, as_of, column).drop(column)
     if "part" in with_stats.columns:
         # every part repeats the record's profile, so the profile columns are

@@ -12,13 +12,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentio.functions.dates import to_timestamp_any
 from retentio.functions.numbers import bad_number, number_or_zero
+from retentio.operators.ordering import range_bucketed, running_sums
 from retentio.schemas import PROFILE_FIELDS
+from retentio.session import write_once
 
 # Repository fields kept from an API repository object, in order,
 # as (source field, output name).
@@ -30,6 +32,8 @@ REPO_FIELDS = [("name", "repo_name"), ("id", "repo_id"), ("created_at", "created
                ("default_branch", "default_branch")]
 
 MAX_REPOS_PER_RECORD = 10_000
+# Repositories of one user that one task ranks.
+MAX_SORTED = 100_000
 ACTIVITY_DAYS = 180
 
 
@@ -68,24 +72,43 @@ def activity_metrics(repos: DataFrame, as_of, key: str = "login",
 
 
 def assemble_users(users: DataFrame, repos: DataFrame, as_of=None, key: str = "login",
-                   repo_key: str = "repo_id", max_repos: int = MAX_REPOS_PER_RECORD) -> DataFrame:
+                   repo_key: str = "repo_id", max_repos: int = MAX_REPOS_PER_RECORD,
+                   max_sorted: int = MAX_SORTED) -> DataFrame:
     """Raw user records: profile + metrics + ``repositories`` array + part.
 
     One layout for every user: part = ⌊rank / max_repos⌋ of the user's
-    repositories in id order (an exact rank over quantile ranges, so a heavy
-    user's rows are ordered in many tasks). Part 0 always exists, with an
-    empty array for users without repositories; all parts carry the profile
-    and the user's total metrics. Users absent from ``users`` get none.
+    repositories in id order. Part 0 always exists, with an empty array for
+    users without repositories; all parts carry the profile and the user's
+    total metrics. Users absent from ``users`` get none.
+
+    The repositories move once, to their user: rank, arrays and the join with
+    the profile share that partitioning. Users with more than ``max_sorted``
+    repositories are ranked over quantile ranges instead, so a heavy user's
+    rows are ordered in many tasks.
     """
-    from retentio.operators.ordering import range_bucketed, running_sums
-    # written once: the metrics, the rank offsets and the rows all read it
-    ranged = range_bucketed(repos, [key, repo_key])
-    metrics = activity_metrics(ranged.drop("_vb"), as_of, key)
-    ranked = running_sums(ranged, [key], "_vb", [F.col(repo_key)], {"_one": F.lit(1)})
-    part = F.floor(F.col("_one_before") / max_repos).cast("long").alias("part")
+    # written once: the metrics, the heavy users and the rows all read it
+    repos = write_once(repos.where(F.col(key).isNotNull()), "repos")
+    metrics = write_once(activity_metrics(repos, as_of, key), "metrics")
     cols = [repo_key] + [c for c in repos.columns if c not in (key, repo_key)]
-    nested = (ranked.select(key, part, F.struct(*[F.col(c) for c in cols]).alias("_r"))
-              .groupBy(key, "part").agg(F.sort_array(F.collect_list("_r")).alias("repositories")))
+
+    def parts(rows: DataFrame, rank) -> DataFrame:
+        part = F.floor(rank / max_repos).cast("long").alias("part")
+        return (rows.select(key, part, F.struct(*[F.col(c) for c in cols]).alias("_r"))
+                .groupBy(key, "part").agg(F.sort_array(F.collect_list("_r")).alias("repositories")))
+
+    def light(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(repo_key)
+        return parts(rows.withColumn("_rank", F.row_number().over(order) - 1), F.col("_rank"))
+
+    heavy = metrics.where(F.col("total_repositories") > max_sorted).select(key)
+    if heavy.isEmpty():
+        nested = light(repos)
+    else:
+        # each has more than max_sorted rows, so they are few
+        heavy = F.broadcast(heavy)
+        ranged = range_bucketed(repos.join(heavy, key, "left_semi"), [key, repo_key])
+        ranked = running_sums(ranged, [key], "_vb", [F.col(repo_key)], {"_one": F.lit(1)})
+        nested = light(repos.join(heavy, key, "left_anti")).unionByName(parts(ranked, F.col("_one_before")))
     elem = nested.schema["repositories"].dataType
     records = (users.join(metrics, key, "left")
                .join(nested, key, "left")

@@ -106,3 +106,19 @@ def test_repartitioning_does_not_change_features(spark):
     a = table_features(spark, "/root/testdata/sf0.001")
     b = table_features(spark, "/root/testdata/sf0.001").repartition(3, F.col("login"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_nested_route_reads_each_text_once_and_keeps_odd_elements(spark):
+    good = {"repo_id": 1, "pushed_at": ago(1), "updated_at": ago(1), "stargazers_count": "2", "forks_count": 1}
+    elements = [good, {**good, "repo_id": "x", "size": {"a": [1]}}, {**good, "watchers_count": 1.5}, None, 5]
+    texts = [json.dumps(e) for e in elements] + [json.dumps(good)[:-1], "{", "[1]"]
+    df = spark.createDataFrame([("u", "1", "0", "8", ago(730), ago(10), texts)],
+                               "login string, followers string, following string, public_repos string, "
+                               "created_at string, updated_at string, repositories array<string>")
+    out = features_from_records(df, AS_OF)
+    # three elements carry values, five more count in the total only
+    r = out.first()
+    assert (r.active_repo_ratio, r.avg_stars_per_repo, r.repository_maintenance_ratio) == (0.375, 0.75, 0.375)
+    # a formatter per repository and layout: two dates of the repository, two of the profile
+    plan = out.select("active_repo_ratio", "repository_maintenance_ratio")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("yyyy-M-d'T'H:m:sXXX") <= 4, plan

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from retentio.functions.dates import days_between, parse_date
+from retentio.functions.dates import DATE_PATTERNS, PLAIN, TIMESTAMP_PATTERNS, days_between, parse_date, parse_timestamp
 from retentio.operators.labels import churn_label
 
 D = dt.date
@@ -51,3 +51,20 @@ def test_churn_label_rules(spark):
     num = spark.createDataFrame([(float("nan"),), (180.0,), (181.0,)], "v double")
     assert [r.c for r in num.select(churn_label(F.col("v"), num.schema["v"].dataType).alias("c"))
             .collect()] == [None, 0, 1]
+
+
+def test_plain_layouts_are_cast_to_what_the_patterns_read(spark):
+    days = [f"{y}-{m}-{d}" for y in ("1000", "1582", "1900", "2023", "2024", "9999", "0999", "0000")
+            for m in ("00", "02", "10", "12", "13") for d in ("00", "01", "05", "14", "28", "29", "30", "31", "32")]
+    times = ["", "T00:00:00Z", "T23:59:59Z", "T24:00:00Z", "T12:60:00Z", "T12:00:60Z", "T12:00:00Z\n", "\n", "T12:00:00", "T1:2:3Z"]
+    df = spark.createDataFrame([(d + t,) for d in days for t in times], "s string")
+
+    def by_patterns(zone, patterns):
+        cleaned = F.regexp_replace(F.trim("s"), zone, "+00:00")
+        return F.coalesce(*[F.try_to_timestamp(cleaned, F.lit(p)) for p in patterns])
+
+    date, at = parse_date(F.col("s")), parse_timestamp(F.col("s"))
+    wrong = df.where(~date.eqNullSafe(F.to_date(by_patterns("Z", DATE_PATTERNS)))
+                     | ~at.eqNullSafe(by_patterns("Z$", TIMESTAMP_PATTERNS)))
+    assert wrong.collect() == []
+    assert df.where(F.col("s").rlike(PLAIN) & date.isNotNull()).count() > 100

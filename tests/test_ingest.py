@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -68,3 +69,26 @@ def test_assemble_bounds_parts_and_keeps_users_without_repos(spark):
     rec = assemble_users(users, repos, None, max_repos=10)
     got = {(r.login, r.part): r.n for r in rec.select("login", "part", F.size("repositories").alias("n")).collect()}
     assert got == {("a", 0): 10, ("a", 1): 10, ("a", 2): 3, ("b", 0): 2, ("c", 0): 0}
+
+
+def test_assemble_moves_repositories_once_and_splits_heavy_users(spark):
+    users = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "login string")
+    # ids in mixed order, one twice, some owners unknown or missing
+    rows = [("a", (i * 7) % 23) for i in range(23)] + [("a", 5), ("b", 40), ("b", 30), ("z", 1), (None, 2), (None, 3)]
+    repos = spark.createDataFrame(rows, "login string, repo_id long").select(
+        "login", "repo_id", F.lit("2024-01-01T00:00:00Z").alias("pushed_at"),
+        F.lit(1).alias("stargazers_count"), F.lit(0).alias("forks_count"))
+
+    def flat(rec):
+        return sorted(((r.login or "", r.part, r.total_repositories, r.ids) for r in rec.select(
+            "login", "part", "total_repositories", F.col("repositories.repo_id").alias("ids")).collect()))
+
+    ids = sorted(i for login, i in rows if login == "a")
+    expected = [("", 0, 0, [])] + [("a", k, 24, ids[10 * k:10 * k + 10]) for k in range(3)] + [
+        ("b", 0, 2, [30, 40]), ("c", 0, 0, [])]
+    light = assemble_users(users, repos, None, max_repos=10)
+    assert flat(light) == expected
+    assert flat(assemble_users(users, repos, None, max_repos=10, max_sorted=5)) == expected
+    # rank, arrays and the join share one partitioning by login
+    plan = light._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(login#\d+, [^\d]", plan), plan
