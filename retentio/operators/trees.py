@@ -5,7 +5,9 @@ rows the node has, and a tree without a depth limit has about as many nodes as
 rows. So MLlib grows the upper levels of a tree only; the rows of each node
 reached there are grouped, and a task grows that node's subtree from its rows by
 the same rule (largest fall of the variance; the first feature and the lowest
-cut among equals).
+cut among equals). The trees of a forest, whose draws fit a task as packed bin
+numbers, are grown whole, one tree a task; above that each tree is grown as
+the single tree is.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from pyspark.sql import functions as F
 from retentio.session import drop_written, write_once
 
 # Rows a node should have when a task takes it over, the most it
-# may have, and the trees of a forest grown at a time.
+# may have, the trees of a larger forest grown at a time, and the most rows of
+# a draw that one task grows a whole tree from.
 NODE_ROWS = 4_096
 MOST_NODE_ROWS = 65_536
 TREES_AT_A_TIME = 6
+MOST_TREE_ROWS = 2_000_000
+# Rows a node has at least, in the mean, for its level to be counted by bins.
+COUNTED_ROWS = 512
 
 
 def cut_points(values, counts, max_bins: int) -> np.ndarray:
@@ -79,47 +85,130 @@ def subtree_gains(bins: np.ndarray, n, s, q, depth: int) -> np.ndarray:
     """Fall of the squared error per feature in the tree of at most ``depth``
     levels grown from these rows: ``bins`` (rows × features) and, per row,
     the count, sum and sum of squares of its labels. All nodes of a level are
-    split together."""
-    bins = bins.astype("int64")
-    gains = np.zeros(bins.shape[1])
+    split together: large ones by counts per bin, smaller ones along orders of
+    their rows by bin, which a split only parts in two."""
+    rows, p = bins.shape
+    gains = np.zeros(p)
+    if not rows:
+        return gains
     width = int(bins.max(initial=0)) + 1
-    node = np.zeros(len(bins), dtype="int64")
+    cols = list(np.ascontiguousarray(bins.T.astype("uint8" if width <= 256 else "int32")))
+    sums = [np.asarray(v, dtype="float64") for v in (n, s, q)]
+    node, k, orders, sizes = np.zeros(rows, dtype="int64"), 1, None, None
     for _ in range(depth):
-        if not len(node):
-            break
-        total = [np.bincount(node, v) for v in (n, s, q)]
-        impurity = _variance(*total)
-        k = len(impurity)
-        best, feature, cut = np.zeros(k), np.full(k, -1), np.zeros(k, dtype="int64")
-        for f in range(bins.shape[1]):
-            cell, at_cell = np.unique(node * width + bins[:, f], return_inverse=True)
-            at = cell // width
-            first = np.flatnonzero(np.diff(at, prepend=-1))  # every node has rows
-            left = []
-            for v in (n, s, q):
-                run = np.cumsum(np.bincount(at_cell, v))
-                left.append(run - np.concatenate(([0.0], run[first[1:] - 1]))[at])
-            right = [t[at] - x for t, x in zip(total, left)]
-            gain = impurity[at] - left[0] / total[0][at] * _variance(*left) - right[0] / total[0][at] * _variance(*right)
-            gain[right[0] <= 0] = -np.inf
-            top = np.maximum.reduceat(gain, first)
-            tops = np.flatnonzero(gain == top[at])
-            where = tops[np.unique(at[tops], return_index=True)[1]]
-            better = top > best
-            best[better], feature[better], cut[better] = top[better], f, cell[where][better] % width
+        if orders is None and len(node) < COUNTED_ROWS * k:
+            cols, sums, orders, sizes = _ordered(cols, sums, node, k)
+        if orders is None:
+            total, best, feature, cut = _counted_splits(cols, sums, node, k, width)
+        else:
+            node = np.repeat(np.arange(k, dtype="int32"), sizes)
+            total, best, feature, cut = _ordered_splits(cols, sums, orders, node, sizes)
         # labels that are all equal leave rounding behind
-        split = (feature >= 0) & (impurity > 1e-13 * total[2] / total[0])
-        gains += np.bincount(feature[split], (best * total[0])[split], len(gains))
-        kept = split[node]
-        node, bins, n, s, q = node[kept], bins[kept], n[kept], s[kept], q[kept]
-        above = bins[np.arange(len(node)), feature[node]] > cut[node]
-        node = np.unique(node * 2 + above, return_inverse=True)[1]
+        split = (feature >= 0) & (_variance_of(*total) > 1e-13 * total[2] / total[0])
+        if not split.any():
+            break
+        gains += np.bincount(feature[split], (best * total[0])[split], p)
+        k = int(split.sum())
+        if orders is None:
+            kept = split[node]
+            node, cols, sums = node[kept], [c[kept] for c in cols], [v[kept] for v in sums]
+            above = _above(cols, feature, cut, node, np.arange(len(node)))
+            node = (np.cumsum(split) - 1)[node] + above * k
+        else:
+            side = np.full(len(sums[0]), 2, dtype="int8")  # 0 left, 1 right, 2 in no split node
+            above = _above(cols, feature, cut, node, orders[0])
+            side[orders[0]] = np.where(split[node], above, 2)
+            rights = np.add.reduceat(above.astype("int64"), np.cumsum(sizes) - sizes)[split]
+            sizes = np.concatenate((sizes[split] - rights, rights))
+            orders = [np.concatenate((o[side[o] == 0], o[side[o] == 1])) for o in orders]
+        k *= 2
     return gains
 
 
-def _variance(n, s, q):
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(n > 0, (q - s * s / n) / n, 0.0)
+def _above(cols, feature, cut, node, rows) -> np.ndarray:
+    """Whether the row of each place lies above its node's cut."""
+    out = np.zeros(len(node), dtype=bool)
+    own = feature[node]
+    for f, c in enumerate(cols):
+        at = np.flatnonzero(own == f)
+        out[at] = c[rows[at]] > cut[node[at]]
+    return out
+
+
+def _ordered(cols, sums, node, k: int):
+    """The rows dealt by node, and per feature their order by (node, bin)."""
+    place = np.argsort(node.astype("uint16") if k <= 65_536 else node, kind="stable")
+    cols, sums, node = [c[place] for c in cols], [v[place] for v in sums], node[place]
+    orders = []
+    for c in cols:
+        o = np.argsort(c, kind="stable")
+        by_node = node[o]
+        orders.append(o[np.argsort(by_node.astype("uint16") if k <= 65_536 else by_node, kind="stable")].astype("int32"))
+    return cols, sums, orders, np.bincount(node, minlength=k)
+
+
+def _gain(total, impurity, left):
+    """Fall of the variance for the cuts that leave ``left`` of ``total``
+    (each side has rows)."""
+    share = left[0] / total[0]
+    gain = impurity - share * _variance_of(*left)
+    right = [t - x for t, x in zip(total, left)]
+    gain -= right[0] / total[0] * _variance_of(*right)
+    return gain
+
+
+def _counted_splits(cols, sums, node, k: int, width: int):
+    """Totals of the nodes, and their best fall, its feature (-1: none) and cut."""
+    total = [np.bincount(node, v, k) for v in sums]
+    impurity = _variance_of(*total)
+    best, feature, cut = np.zeros(k), np.full(k, -1), np.zeros(k, dtype="int64")
+    each = np.arange(k)
+    for f, c in enumerate(cols):
+        cell = node * width + c
+        left = [np.bincount(cell, v, k * width).reshape(k, width).cumsum(axis=1) for v in sums]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = _gain([t[:, None] for t in total], impurity[:, None], left)
+        gain[(left[0] <= 0) | (left[0] >= total[0][:, None])] = -np.inf
+        at = gain.argmax(axis=1)
+        top = gain[each, at]
+        better = top > best
+        best[better], feature[better], cut[better] = top[better], f, at[better]
+    return total, best, feature, cut
+
+
+def _ordered_splits(cols, sums, orders, node, sizes):
+    """As :func:`_counted_splits`, for rows that lie by (node, bin) in each order."""
+    k = len(sizes)
+    ends = np.cumsum(sizes)
+    total = [np.add.reduceat(v[orders[0]], ends - sizes) for v in sums]
+    impurity = _variance_of(*total)
+    best, feature, cut = np.zeros(k), np.full(k, -1), np.zeros(k, dtype="int64")
+    inner = np.ones(len(node), dtype=bool)
+    inner[ends - 1] = False
+    for f, (c, o) in enumerate(zip(cols, orders)):
+        b = c[o]
+        at = np.flatnonzero((b[1:] != b[:-1]) & inner[:-1])
+        if not len(at):
+            continue
+        own = node[at]
+        left = []
+        for v in sums:
+            run = np.cumsum(v[o])
+            left.append(run[at] - np.concatenate(([0.0], run[ends[:-1] - 1]))[own])
+        gain = _gain([t[own] for t in total], impurity[own], left)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        top = np.maximum.reduceat(gain, first)
+        tops = np.flatnonzero(gain == np.repeat(top, np.diff(first, append=len(own))))
+        where = at[tops[np.flatnonzero(np.diff(own[tops], prepend=-1))]]
+        nodes = own[first]
+        better = top > best[nodes]
+        x = nodes[better]
+        best[x], feature[x], cut[x] = top[better], f, b[where[better]]
+    return total, best, feature, cut
+
+
+def _variance_of(n, s, q):
+    return (q - s * s / n) / n
 
 
 def _tree(bag: DataFrame, n: int, features: list[str], max_depth: int, max_bins: int, seed: int) -> np.ndarray:
@@ -161,6 +250,47 @@ def _tree(bag: DataFrame, n: int, features: list[str], max_depth: int, max_bins:
     return gains / gains.sum() if gains.sum() > 0 else gains
 
 
+def _draws(table: DataFrame, features: list[str], n_trees: int, seed: int) -> DataFrame:
+    """(tree, n, bins, times, labels): the draws of the trees, packed; a row
+    that was drawn several times in turn is there once with its count."""
+    draws = [table.sample(True, 1.0, seed + t).select(F.lit(t).alias("tree"), *[F.col(f"`{f}`") for f in features], "label")
+             for t in range(n_trees)]
+    while len(draws) > 1:
+        draws = [a.union(b) for a, b in zip(draws[::2], draws[1::2])] + draws[len(draws) // 2 * 2:]
+
+    def pack(frames):
+        for pdf in frames:
+            if len(pdf):
+                x = np.column_stack([pdf[c].to_numpy() for c in features]).astype("int16")
+                y = pdf["label"].to_numpy(dtype="float64")
+                new = np.concatenate(([True], (x[1:] != x[:-1]).any(axis=1) | (y[1:] != y[:-1])))
+                at = np.flatnonzero(new)
+                times = np.diff(at, append=len(y)).astype("int32")
+                kind = "uint8" if x.min() >= 0 and x.max() < 256 else "int16"
+                yield pd.DataFrame({"tree": pdf["tree"].iloc[:1], "n": [len(at)], "bins": [x[at].astype(kind).tobytes()],
+                                    "times": [times.tobytes()], "labels": [y[at].tobytes()]})
+
+    return draws[0].mapInPandas(pack, "tree int, n int, bins binary, times binary, labels binary")
+
+
+def _forest(draws: DataFrame, known: list[str], features: list[str], n_trees: int, max_depth: int) -> np.ndarray:
+    """Sum of the trees' importances over ``features``, each tree grown by one
+    task from the draws of the columns ``known``."""
+    p, use = len(known), [known.index(f) for f in features]
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        bins = np.concatenate([np.frombuffer(b, "uint8" if len(b) == n * p else "int16").reshape(n, p)[:, use]
+                               for n, b in zip(pdf["n"], pdf["bins"])])
+        times = np.concatenate([np.frombuffer(b, "int32") for b in pdf["times"]]).astype("float64")
+        y = np.concatenate([np.frombuffer(b, "float64") for b in pdf["labels"]])
+        gains = subtree_gains(bins, times, times * y, times * y * y, max_depth)
+        return pd.DataFrame({"gains": [gains / gains.sum() if gains.sum() > 0 else gains]})
+
+    # few bytes, much work: more partitions than trees, so that few trees share one
+    grown = draws.repartition(4 * n_trees, "tree").groupBy("tree").applyInPandas(grow, "gains array<double>").collect()
+    return np.sum([r["gains"] for r in grown], axis=0) if grown else np.zeros(len(use))  # a few numbers per tree
+
+
 def regression_importances(table: DataFrame, features: list[str], n_trees: int = 1, max_depth: int = 30,
                            max_bins: int = 256, seed: int = 42) -> np.ndarray:
     """Importances of a regression tree over the columns ``features`` of a
@@ -169,6 +299,9 @@ def regression_importances(table: DataFrame, features: list[str], n_trees: int =
     n = table.count()
     if n_trees == 1:
         return _tree(table, n, features, max_depth, max_bins, seed)
+    if n <= MOST_TREE_ROWS:
+        total = _forest(_draws(table, features, n_trees, seed), features, features, n_trees, max_depth)
+        return total / total.sum() if total.sum() > 0 else total
 
     def one(t: int) -> np.ndarray:
         bag = table.sample(True, 1.0, seed + t)
@@ -181,6 +314,22 @@ def regression_importances(table: DataFrame, features: list[str], n_trees: int =
     return total / total.sum() if total.sum() > 0 else total
 
 
+def forest_rounds(table: DataFrame, features: list[str], n_trees: int, max_depth: int = 30, max_bins: int = 256,
+                  seed: int = 42):
+    """``importances(columns)`` of forests over some of ``features`` of a
+    :func:`binned` table; the draws, which are the same each time, are written
+    once."""
+    if table.count() > MOST_TREE_ROWS:
+        return lambda cols: regression_importances(table, cols, n_trees, max_depth, max_bins, seed)
+    draws = write_once(_draws(table, features, n_trees, seed), "tree-draws")
+
+    def importances(cols: list[str]) -> np.ndarray:
+        total = _forest(draws, features, cols, n_trees, max_depth)
+        return total / total.sum() if total.sum() > 0 else total
+
+    return importances
+
+
 def fitted_importances(data: DataFrame, features: list[str], n_trees: int = 1, max_depth: int = 30,
                        max_bins: int = 256, seed: int = 42) -> np.ndarray:
     """:func:`regression_importances` of an assembled table."""

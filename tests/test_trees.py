@@ -104,3 +104,35 @@ def test_cut_points():
     assert list(trees.cut_points(v[:1], [5], 256)) == []
     # one heavy value: the cuts fall at both sides of it
     assert list(trees.cut_points(np.arange(6.0), [1, 1, 50, 1, 1, 1], 3)) == [1.5, 2.5]
+
+
+def test_small_forests_are_grown_whole_and_alike(spark, rows, monkeypatch):
+    """One task a tree gives the trees that MLlib's upper levels and the
+    subtrees below them give; MLlib is not asked."""
+    table = trees.binned(sel._assembled(rows, FEATS, "y"), FEATS)
+    with monkeypatch.context() as m:
+        m.setattr(trees, "DecisionTreeRegressor", None)
+        got = trees.regression_importances(table, FEATS, n_trees=5, seed=3)
+        rounds = trees.forest_rounds(table, FEATS, n_trees=5, seed=3)
+        again, fewer = rounds(FEATS), rounds(["c", "a"])
+    monkeypatch.setattr(trees, "MOST_TREE_ROWS", 0)
+    np.testing.assert_allclose(got, trees.regression_importances(table, FEATS, n_trees=5, seed=3), atol=1e-9)
+    np.testing.assert_allclose(again, got, atol=1e-12)
+    np.testing.assert_allclose(fewer, trees.regression_importances(table, ["c", "a"], n_trees=5, seed=3), atol=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_by_counts_and_by_orders_are_alike(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    bins, y = rng.integers(0, 300 if seed else 12, (400, 3)), rng.integers(0, 50, 400).astype(float)
+    n = rng.poisson(1, 400) + 1.0
+    bins[:50], y[:50] = 3, 7.0
+    got = {}
+    for counted in (0, 8, 10**9):  # all by counts, both, all by orders
+        monkeypatch.setattr(trees, "COUNTED_ROWS", counted)
+        got[counted] = trees.subtree_gains(bins, n, n * y, n * y * y, 30)
+        each = np.repeat(np.arange(400), n.astype(int))
+        np.testing.assert_allclose(trees.subtree_gains(bins, n, n * y, n * y * y, 3),
+                                   loop_gains(bins[each], y[each], 3), atol=1e-6)
+    np.testing.assert_allclose(got[8], got[0], atol=1e-6)
+    np.testing.assert_allclose(got[10**9], got[0], atol=1e-6)
