@@ -221,9 +221,9 @@ def _round_weights(est_name: str, task: str, base: DataFrame, features: list[str
     from pyspark.ml.feature import VectorAssembler
     known = _estimators(n, seed)
     if (task, est_name) == ("regression", "rf"):
-        from retentio.operators.trees import binned, regression_importances
+        from retentio.operators.trees import binned, forest_rounds
         table = binned(VectorAssembler(inputCols=features, outputCol="features").transform(base), features, seed=seed)
-        return lambda cols: regression_importances(table, cols, n_trees=100, seed=seed)
+        return forest_rounds(table, features, n_trees=100, seed=seed)
     if (task, est_name) not in known:
         raise ValueError(f"no {est_name!r} estimator for {task}; known: {sorted([*known, ('regression', 'rf')])}")
     make, read = known[(task, est_name)]
