@@ -15,9 +15,9 @@ from retentio.operators.scoring import batch_score
 from retentio.plans import oracle as o
 from retentio.plans.behavior_queries import DAY, EV, EVENT_SQL, first_day, users
 from retentio.plans.catalog import DEFECTIVE_V, FEATURE_COLUMNS, defective, features, query
-from retentio.plans.ingest_queries import INCREMENTAL_SQL, stream_batches
+from retentio.plans.ingest_queries import INCREMENTAL_SQL, land, stream_batches
 from retentio.plans.model_checks import trained_model
-from retentio.session import scratch_path
+from retentio.session import collect_garbage, drop_written, scratch_path
 from retentio.sources import tables
 from retentio.streaming import ingest as si
 from retentio.streaming import sessions as ss
@@ -74,8 +74,10 @@ def q_bucketed_ingest(spark, sf):
     landing, log, ckpt, table = (scratch_path(spark, x) for x in ("landing", "ingest_log", "ingest_ckpt", "users"))
     batches = stream_batches(spark, sf)
     for i, b in enumerate(batches):
-        b.write.json(f"{landing}/batch={i}")
+        land(b, f"{landing}/batch={i}")
         si.run_bucketed_ingest(spark, landing + "/*", log, ckpt, table, n_buckets=16)
+        collect_garbage(spark)
+    drop_written(b)  # the records that the batches are parts of
     si.merge_batch(spark, log, len(batches) - 1, table, n_buckets=16)
     return (si.bucketed_users(spark, table).groupBy("login", "followers", "scraped_at")
             .agg(F.sum(size_or_zero("repositories")).alias("n_repos")))

@@ -10,8 +10,9 @@ from retentio.operators.features import features_from_records
 from retentio.plans import oracle as o
 from retentio.plans.catalog import features, labeled, query, training
 from retentio.schemas import FEATURES, LABELED, RAW_USER
-from retentio.session import scratch_path, write_once
+from retentio.session import collect_garbage, drop_written, scratch_path, write_once
 from retentio.sources import raw, sinks, tables, usernames
+from retentio.streaming.ingest import CODEC
 
 # Repositories per record part in the nested queries: small enough that many
 # users span several parts.
@@ -384,9 +385,18 @@ def q_sink_selected_topk(spark, sf):
 
 # --- streaming ---------------------------------------------------------------------------
 
+# Files of a landed batch, and how many the stream takes at a time: compressed
+# files are read by a task each.
+BATCH_FILES = 32
+FILES_AT_A_TIME = 8
+
+
 def stream_batches(spark, sf):
     # every batch is a part of these records: assembled and written once
-    base = write_once(raw.landed_users(spark, sf, tables.ORDERS_AS_OF), "landed")
+    records = raw.landed_users(spark, sf, tables.ORDERS_AS_OF)
+    base = write_once(records, "landed", CODEC)
+    drop_written(records)  # the tables that they were assembled from
+    collect_garbage(spark)
     ts = "{d}T00:00:00+00:00"
     b0 = base.withColumn("scraped_at", F.lit(ts.format(d="2001-08-01")))
     b1 = (base.where(F.col("id") % 2 == 0)
@@ -403,8 +413,15 @@ def stream_batches(spark, sf):
     twice = (again.withColumn("followers", F.col("followers") + 3).withColumn("_nth", F.lit(0))
              .unionByName(again.withColumn("login", F.upper("login"))
                           .withColumn("followers", F.col("followers") + 4).withColumn("_nth", F.lit(1)))
-             .repartition("id").sortWithinPartitions("id", "_nth", "part").drop("_nth"))
-    return [b0, b1, b2, stale, twice]
+             .repartition(BATCH_FILES, "id").sortWithinPartitions("id", "_nth", "part").drop("_nth"))
+    # all parts of a record in one file
+    return [*[b.repartition(BATCH_FILES, "login") for b in (b0, b1, b2, stale)], twice]
+
+
+def land(batch, path):
+    """A batch as compressed JSON lines; nothing of its making stays."""
+    batch.write.option("compression", "gzip").json(path)
+    collect_garbage(batch.sparkSession)
 
 
 INCREMENTAL_SQL = o.with_base("""
@@ -425,10 +442,11 @@ def q_incremental_ingest(spark, sf):
     from retentio.streaming.ingest import ingest_available
     landing = scratch_path(spark, "landing")
     for i, b in enumerate(stream_batches(spark, sf)):
-        b.write.json(f"{landing}/batch={i}")
+        land(b, f"{landing}/batch={i}")
+    drop_written(b)  # the records that the batches are parts of
     log = scratch_path(spark, "ingest_log")
     ckpt = scratch_path(spark, "ingest_ckpt")
-    cur = ingest_available(spark, landing + "/*", log, ckpt)
+    cur = ingest_available(spark, landing + "/*", log, ckpt, FILES_AT_A_TIME)
     return (cur.groupBy("login", "followers", "scraped_at")
             .agg(F.sum(size_or_zero("repositories")).alias("n_repos")))
 

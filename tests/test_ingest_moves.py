@@ -3,6 +3,7 @@
 import re
 
 import __spark_entry__  # noqa: F401 - loads the plans in order
+from retentio.plans import ingest_queries as iq
 from retentio.plans.ingest_queries import stream_batches
 from retentio.streaming import ingest as si
 
@@ -32,3 +33,30 @@ def test_batches_share_one_assembly(spark):
     batches = stream_batches(spark, "/root/testdata/sf0.001")
     files = {f for b in batches for f in b.inputFiles()}
     assert files and all("/retentio-scratch/" in f for f in files)
+
+
+def test_landed_batches_log_and_table_are_compressed(spark, tmp_path):
+    base = stream_batches(spark, "/root/testdata/sf0.001")[0]
+    assert {f.split("/")[-2].rsplit("-", 1)[0] for f in base.inputFiles()} == {"landed"}
+    iq.land(base, str(tmp_path / "landing/batch=0"))
+    si.run_bucketed_ingest(spark, str(tmp_path / "landing/*"), str(tmp_path / "log"), str(tmp_path / "ckpt"),
+                           str(tmp_path / "users"), n_buckets=2)
+    files = [f.name for f in (tmp_path / "landing").rglob("part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    for name in ("log", "users"):
+        files = [f.name for f in (tmp_path / name).rglob("*.parquet")]
+        assert files and all(".zstd." in f for f in files)
+    assert si.bucketed_users(spark, str(tmp_path / "users")).count() == base.count()
+
+
+def test_batches_leave_only_their_records(spark):
+    """The tables that the records were assembled from go when the records are written."""
+    base = stream_batches(spark, "/root/testdata/sf0.001")[0]
+    scratch = base.inputFiles()[0].split("/retentio-scratch/")[0] + "/retentio-scratch"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(scratch).getFileSystem(spark._jsc.hadoopConfiguration())
+    app = fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{scratch}/{spark.sparkContext.applicationId}"))
+    before = {s.getPath().getName() for s in app}
+    stream_batches(spark, "/root/testdata/sf0.001")
+    app = fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{scratch}/{spark.sparkContext.applicationId}"))
+    new = {s.getPath().getName() for s in app} - before
+    assert {n.rsplit("-", 1)[0] for n in new} == {"landed"}
